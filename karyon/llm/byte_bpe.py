@@ -32,7 +32,7 @@ MEMO_BYTES_EACH = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: White space outside ASCII, as the pre-splitting pattern's \s knows it.
-_WIDE_SPACE = re.compile("[\x85\xa0  -     　]".encode("utf-8").decode("utf-8"))
+_WIDE_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _byte_of_symbol() -> dict[str, int]:

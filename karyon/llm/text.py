@@ -70,23 +70,26 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, n + 1 offsets into them by row). With lower=False the hashes keep the case."""
+def word_places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte) of each word, and n + 1 offsets into them by row."""
     n = len(raw)
-    rows = len(bounds) - 1
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    low = LOWER[raw]
-    inside = IS_WORD[low]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+    inside = IS_WORD[LOWER[raw]]
     first = np.zeros(n + 1, dtype=bool)
     first[bounds] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | first[1:n]
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:n]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    hashes = spans(low if lower else raw, starts, ends)
-    return hashes, np.searchsorted(starts, bounds, side="left")
+    starts = np.flatnonzero(start)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, bounds, side="left")
+
+
+def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, n + 1 offsets into them by row)."""
+    starts, ends, at = word_places(raw, bounds)
+    return spans(LOWER[raw], starts, ends), at
 
 
 def spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
