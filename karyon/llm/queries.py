@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_round_trip
 from .decontaminate import benchmark_hits, contamination
+from .jaccard_join import jaccard_groups
 from .tables import table
 from .token_counts import token_counts
 
@@ -26,6 +27,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
@@ -34,6 +39,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
