@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import bpe_round_trip
 from .decontaminate import benchmark_hits, contamination
 from .jaccard_join import jaccard_groups
+from .quality import quality
 from .tables import table
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -27,6 +29,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
