@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_round_trip
+from .chat_format import digests, digests_sql, format_turns
 from .decontaminate import benchmark_hits, contamination
 from .jaccard_join import jaccard_groups
+from .licences import licence_scan, licence_scan_sql
 from .quality import quality
 from .tables import table
 from .token_counts import token_counts
@@ -29,6 +31,16 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+#: Conversation -1: control strings inside texts.
+_CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", _CONTROL_TEXT), (-1, 1, "assistant", _CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    return digests(format_turns(rows.unionByName(own)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
@@ -49,10 +65,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op6_quality": op6_quality,
+    "op7_licence_scan": op7_licence_scan,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": digests_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_CONTROL_TEXT}'), (-1, 1, 'assistant', '{_CONTROL_TEXT}')"),
+    "op7_licence_scan": licence_scan_sql(),
+}
