@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import bpe_round_trip
 from .chat_format import digests, digests_sql, format_turns
 from .decontaminate import benchmark_hits, contamination
+from .fingerprints import neighbour_fingerprints
 from .jaccard_join import jaccard_groups
 from .licences import licence_scan, licence_scan_sql
 from .quality import quality
@@ -57,6 +58,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_licence_scan": op7_licence_scan,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_fingerprints": op9_fingerprints,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
