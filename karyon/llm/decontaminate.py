@@ -139,12 +139,16 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray
 
 
 def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, keep_text: bool = True
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, keep_text: bool = True, prefix: str = ""
 ) -> DataFrame:
-    """All columns of docs (the text only with keep_text), n_words, hit_words (merged runs [first, end) of words), removal (the same as bytes of the UTF-8 text), hit_items."""
+    """All columns of docs (the text only with keep_text), n_words, hit_words (merged runs [first, end) of words), removal (the same as bytes of the UTF-8 text), hit_items.
+
+    These four names stand after `prefix`; columns of docs with the same names are replaced.
+    """
     spark = docs.sparkSession
-    extra = "n_words bigint, hit_words array<array<int>>, removal array<array<int>>, hit_items array<string>"
-    names = [c for c in docs.columns if c not in (id_col, text_col)]
+    new = [prefix + c for c in ("n_words", "hit_words", "removal", "hit_items")]
+    extra = ", ".join(f"`{c}` {kind}" for c, kind in zip(new, ("bigint", "array<array<int>>", "array<array<int>>", "array<string>"), strict=True))
+    names = [c for c in docs.columns if c not in (id_col, text_col, *new)]
     df = docs.select(id_col, text_col, *[F.col(f"`{c}`") for c in names])
     before = df.schema
     blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks(benchmark, item_col, item_text_col, block_words, window)] or [spark.sparkContext.broadcast(phrases([], window))]
@@ -157,7 +161,7 @@ def benchmark_hits(
                 begin, length, doc, item = occurrences(hashes, at, block)
                 rows = pa.Table.from_batches(held)
                 if not first:  # spans of the blocks before
-                    for k, old in enumerate(rows.column("hit_words").to_pylist()):
+                    for k, old in enumerate(rows.column(new[1]).to_pylist()):
                         for a, b in old:
                             begin, length = np.append(begin, at[k] + a), np.append(length, b - a)
                 runs = _merged(begin, length, len(hashes), at)
@@ -167,12 +171,12 @@ def benchmark_hits(
                     k = int(np.searchsorted(at, a, side="right")) - 1
                     own[k].append([int(a - at[k]), int(b - at[k])])
                     cut[k].append([int(starts[a]), int(ends[b - 1])])
-                found = [[] for _ in own] if first else [list(x) for x in rows.column("hit_items").to_pylist()]
+                found = [[] for _ in own] if first else [list(x) for x in rows.column(new[3]).to_pylist()]
                 for d, i in zip(doc.tolist(), item.tolist(), strict=True):
                     found[d].append(block.items[i])
                 made = [pa.array(np.diff(at), pa.int64()), pa.array(own, pa.list_(pa.list_(pa.int32()))), pa.array(cut, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))]
                 rows = rows.select([c for c in rows.column_names[: len(rows.columns) - (0 if first else 4)] if c != dropped])
-                yield from pa.table([*rows.columns, *made], names=[*rows.column_names, "n_words", "hit_words", "removal", "hit_items"]).combine_chunks().to_batches()
+                yield from pa.table([*rows.columns, *made], names=[*rows.column_names, *new]).combine_chunks().to_batches()
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in before if f.name != dropped) + ", " + extra
         df = df.mapInArrow(run, schema)

@@ -210,20 +210,21 @@ def probabilities(model: Model, raw: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(_forward(model.layers, z)[1] / model.temperature, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted; one pass, no shuffle. Only the text is an input of the score."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """docs with score and predicted (their names after `prefix`; columns of docs with these names are replaced). One pass, no shuffle; only the text is an input of the score."""
+    made = [f"{prefix}score", f"{prefix}predicted"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c not in made]
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = np.concatenate([np.zeros(0), *(probabilities(shared.value, raw, bounds) for _, _, raw, bounds in chunks(batch.column(place), _CHUNK))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*names, *made])
 
     picked = docs.select(*[F.col(f"`{c}`") for c in names])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.mapInArrow(run, schema + ", score double, predicted int")
+    return picked.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

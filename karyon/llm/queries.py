@@ -24,12 +24,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_bpe_file() -> str:
+    return _tokenizer("byte_bpe_50k.json")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return bpe_round_trip(table(spark, sf_dir, "documents"), byte_bpe_file())
 
 
 #: Conversation -1: control strings inside texts.
