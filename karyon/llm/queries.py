@@ -10,6 +10,7 @@ from .byte_bpe import bpe_round_trip
 from .chat_format import digests, digests_sql, format_turns
 from .decontaminate import benchmark_hits, contamination
 from .fingerprints import neighbour_fingerprints
+from .html_extract import extract_pages
 from .jaccard_join import jaccard_groups
 from .licences import licence_scan, licence_scan_sql
 from .quality import quality
@@ -50,6 +51,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
+    "op5_html_extraction": op5_html_extraction,
     "op6_quality": op6_quality,
     "op7_licence_scan": op7_licence_scan,
     "op8_jaccard_join": op8_jaccard_join,
