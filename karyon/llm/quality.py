@@ -111,15 +111,18 @@ def pooled(vectors: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarr
     some = np.flatnonzero(n)
     if not len(some):
         return out
-    own = vectors[bucket]
-    start, count = at[some], n[some][:, None].astype(np.float32)
-    mean = np.add.reduceat(own, start) / count
-    out[some, :SIZE] = mean
-    out[some, SIZE : 2 * SIZE] = np.sqrt(np.maximum(np.add.reduceat(own * own, start) / count - mean * mean, 0))
-    change = np.zeros_like(own)
-    np.abs(own[1:] - own[:-1], out=change[1:])
-    change[start] = 0
-    out[some, 2 * SIZE : 3 * SIZE] = np.add.reduceat(change, start) / np.maximum(count - 1, 1)
+    start, count = at[some], n[some].astype(np.float32)
+    ends = np.append(start[1:], len(bucket)) - 1
+    for d, table in enumerate(np.ascontiguousarray(vectors.T)):
+        own = table[bucket]
+        mean = np.add.reduceat(own, start) / count
+        change = np.zeros_like(own)
+        np.abs(own[1:] - own[:-1], out=change[:-1])
+        change[ends] = 0  # the last token of a document has no successor
+        own *= own
+        out[some, d] = mean
+        out[some, SIZE + d] = np.sqrt(np.maximum(np.add.reduceat(own, start) / count - mean * mean, 0))
+        out[some, 2 * SIZE + d] = np.add.reduceat(change, start) / np.maximum(count - 1, 1)
     out[some, -1] = np.log1p(n[some])
     return out
 
