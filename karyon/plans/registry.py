@@ -1,4 +1,4 @@
-"""Registered queries of the copy-number operators and their SQL."""
+"""Registered queries of the copy-number operators, and the same as DuckDB SQL where SQL has it."""
 
 from __future__ import annotations
 
@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its own name, with the SQL of the same result."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import fragment_queries, matrix_queries  # noqa: E402, F401
