@@ -28,7 +28,7 @@ from .fm_index import FMIndex
 from .text import CHUNK_BYTES, chunks, spans, utf8, word_places, LOWER
 
 WINDOW = 10
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 BLOCK_WORDS = 2_000_000
 
 

@@ -34,7 +34,7 @@ FROM (SELECT s_suppkey AS k, i AS b, CAST(CASE WHEN s_suppkey % 3 = 1 AND i IN (
 """
 
 CELLS_SQL = """
-SELECT concat('cell_', s_suppkey) AS cell_id, s_suppkey % 3 AS grp, CASE WHEN s_suppkey % 2 = 0 THEN 2.0 ELSE 4.0 END + ((s_suppkey * 37) % 11 - 5) * 0.02 AS est_ploidy,
+SELECT concat('cell_', s_suppkey) AS cell_id, s_suppkey % 3 AS grp, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2.0 ELSE 4.0 END + ((s_suppkey * 37) % 11 - 5) * 0.02 AS DOUBLE) AS est_ploidy,
        100000 + (s_suppkey * 7919) % 50000 - CASE WHEN s_suppkey % 13 = 0 THEN 40000 ELSE 0 END AS total_reads
 FROM {supplier}
 """
