@@ -149,11 +149,12 @@ def benchmark_hits(
     new = [prefix + c for c in ("n_words", "hit_words", "removal", "hit_items")]
     extra = ", ".join(f"`{c}` {kind}" for c, kind in zip(new, ("bigint", "array<array<int>>", "array<array<int>>", "array<string>"), strict=True))
     names = [c for c in docs.columns if c not in (id_col, text_col, *new)]
-    df = docs.select(id_col, text_col, *[F.col(f"`{c}`") for c in names])
+    plain = [f"c{k}" for k in range(len(names) + 2)]  # mapInArrow takes no names with dots
+    df = docs.select(id_col, text_col, *[F.col(f"`{c}`") for c in names]).toDF(*plain)
     before = df.schema
     blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks(benchmark, item_col, item_text_col, block_words, window)] or [spark.sparkContext.broadcast(phrases([], window))]
     for number, shared in enumerate(blocks):
-        first, dropped = number == 0, None if keep_text or number + 1 < len(blocks) else text_col
+        first, dropped = number == 0, None if keep_text or number + 1 < len(blocks) else plain[1]
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, dropped=dropped) -> Iterator[pa.RecordBatch]:
             for held, hashes, at, starts, ends in _shards(batches, shard_words):
@@ -180,7 +181,7 @@ def benchmark_hits(
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in before if f.name != dropped) + ", " + extra
         df = df.mapInArrow(run, schema)
-    return df
+    return df.toDF(id_col, *[text_col] * keep_text, *names, *new)
 
 
 def _merged(begin: np.ndarray, length: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:

@@ -219,15 +219,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in made]
     place = names.index(text_col)
+    plain = [f"c{k}" for k in range(len(names))]  # mapInArrow takes no names with dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = np.concatenate([np.zeros(0), *(probabilities(shared.value, raw, bounds) for _, _, raw, bounds in chunks(batch.column(place), _CHUNK))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*names, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*plain, *made])
 
-    picked = docs.select(*[F.col(f"`{c}`") for c in names])
+    picked = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*plain)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int")
+    return picked.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

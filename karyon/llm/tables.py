@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/karyon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
