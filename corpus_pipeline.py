@@ -23,19 +23,19 @@ from karyon.llm.decontaminate import benchmark_hits
 from karyon.llm.jaccard_join import jaccard_groups
 from karyon.llm.queries import byte_bpe_file
 from karyon.llm.byte_bpe import bpe_round_trip
-from karyon.llm.tables import cut, table
+from karyon.llm.tables import columns_of, cut, table
 
 _OWN = "__stage_"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, prefix=_OWN).where(F.col(f"{_OWN}predicted") == 1).select(docs.columns)
+    return quality.score(docs, model, prefix=_OWN).where(F.col(f"{_OWN}predicted") == 1).select(*columns_of(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, prefix=_OWN).where(F.col(f"{_OWN}predicted") == 0).select(docs.columns)
+    return toxicity.score(docs, model, prefix=_OWN).where(F.col(f"{_OWN}predicted") == 0).select(*columns_of(docs))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept = with_id.join(groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id"), "doc_id", "left_semi")
     if with_id.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*columns_of(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), prefix=_OWN)
-    return hits.where(F.size(f"{_OWN}hit_words") == 0).select(docs.columns)
+    return hits.where(F.size(f"{_OWN}hit_words") == 0).select(*columns_of(docs))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
