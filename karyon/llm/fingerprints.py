@@ -258,8 +258,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     result = _RESULT + ", sketch binary, edited_sketch binary" * keep_sketches
     made = cut(dealt.mapInArrow(_in_order(keep_sketches), f"id bigint, {result}, part int, first string, last string"))
     edge = made.where("part is not null").select("id", "part", "first", "last")
-    ahead = W.orderBy("part")  # a row for each range
-    around = F.min(F.struct("part", "first")).over(W.partitionBy())["first"]
-    edge = edge.select("id", "last", F.coalesce(F.lead("first").over(ahead), around).alias("next"))
+    parts = edge.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a number for each range; texts do not pass here
+    edge = edge.join(parts, "part").join(edge.select(F.col("part").alias("next_part"), F.col("first").alias("next")), "next_part").select("id", "last", "next")
     whole = made.where("part is null").drop("part", "first", "last").unionByName(edge.mapInArrow(_pairs(keep_sketches), f"id bigint, {result}"))
     return whole.withColumnRenamed("id", id_col)
