@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_round_trip
 from .chat_format import digests, digests_sql, format_turns
@@ -43,7 +44,8 @@ _CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", _CONTROL_TEXT), (-1, 1, "assistant", _CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(_CONTROL_TEXT).alias("text"))
     return digests(format_turns(rows.unionByName(own)))
 
 
