@@ -107,7 +107,7 @@ class ForcedBoundaryCodec:
         return out
 
     def _learn(self, missing: list[bytes]) -> list[tuple[str, bytes]]:
-        found = self.tokenizer.encode_batch([f.decode("utf-8") for f in missing], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([f.decode("utf-8") for f in missing], add_special_tokens=False)
         pieces, out = self.pieces, []
         for f, e in zip(missing, found, strict=True):
             ids = e.ids
@@ -121,20 +121,23 @@ class ForcedBoundaryCodec:
         The memo has two halves: a full new half becomes the old one, and what is found in the old half moves to the new.
         """
         new, old = self.memo
-        found = list(map(new.get, parts))
-        if None not in found:
-            return found
-        absent = {f for f, v in zip(parts, found, strict=True) if v is None}
-        learned = {f: v for f in absent if (v := old.get(f)) is not None}
-        missing = [f for f in absent if f not in learned]
-        learned |= zip(missing, self._learn(missing), strict=True)
-        out = [v if v is not None else learned[f] for f, v in zip(parts, found, strict=True)]
-        if len(new) + len(learned) > MEMO_FRAGMENTS:
+        known = dict.fromkeys(parts)
+        fresh, missing = [], []
+        for f in known:
+            v = new.get(f)
+            if v is None:
+                fresh.append(f)
+                v = old.get(f)
+                if v is None:
+                    missing.append(f)
+            known[f] = v
+        known.update(zip(missing, self._learn(missing), strict=True))
+        if len(new) + len(fresh) > MEMO_FRAGMENTS:
             self.memo = new, old = {}, new
-        for f, v in learned.items():
+        for f in fresh:
             if len(f) <= MEMO_BYTES_EACH and len(new) < MEMO_FRAGMENTS:
-                new[f] = v
-        return out
+                new[f] = known[f]
+        return list(map(known.__getitem__, parts))
 
     def encode(self, text: str | None) -> list[int]:
         parts = self.fragments(np.frombuffer((text or "").encode("utf-8"), np.uint8))
