@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from .text import chunks
 
 #: Each half of the memo holds so many fragments at most; longer fragments are not kept.
-MEMO_FRAGMENTS = 250_000
+MEMO_FRAGMENTS = 150_000
 MEMO_BYTES_EACH = 64
+#: Texts are looked up so many bytes at a time (a longer text alone).
+LOOK_UP_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -44,6 +47,7 @@ def _byte_of_symbol() -> dict[str, int]:
 
 class ForcedBoundaryCodec:
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; threads would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -66,7 +70,9 @@ class ForcedBoundaryCodec:
         forced[_SPACE, :] = False  # a run of white space and what follows it are split with regard to each other
         forced[:, ord("'")] = False  # an apostrophe at the start of a fragment could begin a contraction
         self.forced = forced.ravel()
-        self.memo: tuple[dict[bytes, tuple[str, bytes]], dict[bytes, tuple[str, bytes]]] = {}, {}
+        self.memo: tuple[dict[bytes, str], dict[bytes, str]] = {}, {}
+        #: Whether all fragments seen decoded to themselves; then so does a text of them.
+        self.faithful = True
 
     def cuts(self, raw: np.ndarray) -> np.ndarray:
         """Places in the UTF-8 bytes of a text that no token spans and at which both sides split as in the whole.
@@ -106,17 +112,17 @@ class ForcedBoundaryCodec:
             out.append(total)
         return out
 
-    def _learn(self, missing: list[bytes]) -> list[tuple[str, bytes]]:
+    def _learn(self, missing: list[bytes]) -> list[str]:
         found = self.tokenizer.encode_batch_fast([f.decode("utf-8") for f in missing], add_special_tokens=False)
         pieces, out = self.pieces, []
         for f, e in zip(missing, found, strict=True):
             ids = e.ids
-            back = b"".join([pieces[i] for i in ids])
-            out.append((",".join(map(str, ids)), f if back == f else back))
+            self.faithful = self.faithful and b"".join([pieces[i] for i in ids]) == f
+            out.append(",".join(map(str, ids)))
         return out
 
-    def look_up(self, parts: list[bytes]) -> list[tuple[str, bytes]]:
-        """(ids as text, bytes of their decoding) of each fragment.
+    def look_up(self, parts: list[bytes]) -> list[str]:
+        """The ids of each fragment as text.
 
         The memo has two halves: a full new half becomes the old one, and what is found in the old half moves to the new.
         """
@@ -141,7 +147,7 @@ class ForcedBoundaryCodec:
 
     def encode(self, text: str | None) -> list[int]:
         parts = self.fragments(np.frombuffer((text or "").encode("utf-8"), np.uint8))
-        return [int(i) for ids, _ in self.look_up(parts) for i in ids.split(",")]
+        return [int(i) for ids in self.look_up(parts) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes of all ids, one after the other, as text; what is not UTF-8 becomes U+FFFD, as in the library."""
@@ -159,17 +165,18 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for first, end, raw, bounds in chunks(batch.column(1), 1 << 20):
+            for first, end, raw, bounds in chunks(batch.column(1), LOOK_UP_BYTES):
                 parts = [c.fragments(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 found = c.look_up([f for row in parts for f in row])
                 n, shas, backs, ids, at = [], [], [], [], 0
-                for row in parts:
+                for k, row in enumerate(parts):
                     own = found[at : at + len(row)]
                     at += len(row)
-                    listed = ",".join([v[0] for v in own])
+                    listed = ",".join(own)
                     n.append(listed.count(",") + 1 if own else 0)
                     shas.append(hashlib.sha256(listed.encode()).hexdigest())
-                    backs.append(hashlib.sha256(b"".join([v[1] for v in own])).hexdigest())
+                    back = raw[bounds[k] : bounds[k + 1]] if c.faithful else c.decode([int(i) for i in listed.split(",")] if own else []).encode()
+                    backs.append(hashlib.sha256(back).hexdigest())
                     if keep_ids:
                         ids.append([int(i) for i in listed.split(",")] if own else [])
                 columns = [batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
