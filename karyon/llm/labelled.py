@@ -11,13 +11,18 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str, usable: Column) -> DataFrame:
+    """(id, label) of the usable labels. A null label or id is unlabelled; an id with two labels has the greater one."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    return known.where(usable).groupBy("id").agg(F.max("label").alias("label"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, most: int) -> DataFrame:
     """(label, part, text): at most `most` usable labels of each class, in the order of a hash of the id. part: one of 0 to 4, by another hash.
 
     A null label or id is unlabelled; an id with two labels has the greater one. The chosen ids are 2 x `most` at the most.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
-    known = known.where(usable).groupBy("id").agg(F.max("label").alias("label"))
+    known = known_labels(labels, id_col, label_col, usable)
     here = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi") if docs is not None else known
     picked = [here.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def local_folder(spark: SparkSession) -> str:
+    """The shared folder as a path that Python opens on every machine."""
+    url = urlparse(shared_folder(spark))
+    if url.scheme not in ("", "file"):
+        raise ValueError("spark.checkpoint.dir must be a folder mounted on the driver and all executors")
+    os.makedirs(unquote(url.path), exist_ok=True)
+    return unquote(url.path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from a table in the shared folder; a lost executor loses none of it."""
     spark = df.sparkSession

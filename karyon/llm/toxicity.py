@@ -1,53 +1,59 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models with shared backoff.
+"""Toxicity by two class-conditional bigram models with discounts and shared backoff, in the manner of Kneser-Ney.
 
 For a class c, with counts n_c of documents that have an expression:
 
     P_c(w | v) = max(n_c(v w) - D_c(v w), 0) / n_c(v) + L_c(v) P_c(w)
     P_c(w)     = max(n_c(w) - D_c(w), 0) / T_c        + L_c    P(w)
 
-P is shared: the rate of w in both classes, at their shares of all labels. L gives back what the discounts take.
-A discount takes what the shared rate explains, with a margin for its noise, so rare expressions, and
-frequent ones that a class uses no more than the other, go to the shared counts and weigh the same in both classes.
-Counting an expression once in a document keeps a long or repetitive text from standing for a class, and of
-documents of a class with the same least 5-gram hash (copies, most near copies) one is counted.
+P is shared: the rate of w in all documents, labelled or not. L gives back what the discounts take. This is not Kneser-Ney proper, which
+has a fixed discount below 1 and continuation counts: on held-out labels that does not find toxic texts (README has the figures).
+A discount takes what the rate of both classes, at their shares of all labels, explains, with a margin for its noise of sqrt(2 ln V) standard deviations (V expressions: what the
+largest of V chance values reaches), so expressions that a class uses no more than others weigh the same in both classes.
+As a part of the documents the margin fades as they grow, so with more labels rarer expressions count.
+Counting an expression once in a document keeps a long or repetitive text from standing for a class.
 
 A document's score is a logistic function, fitted on labelled documents apart, of the difference of its
 two log-likelihoods, normalised by its length and by the root of its length. Shared factors cancel in the
-difference, so the model that tasks get holds only expressions with something left after the discount.
+difference, so the model that tasks look up holds only expressions with something left after the discount. It is a table in files of the
+shared folder; no process holds it.
 
-The models are fitted on at most `most` documents of each class. Null and empty texts have length 0 and difference 0. Without labels of
+Counts are of all labelled documents that are not held out, but for at most `most` of each class that fit the logistic function; shared rates
+of all documents. Null and empty texts have length 0 and difference 0. Without labels of
 both classes the score is the rate of label 1 (0 without labels). Repeated rows get the same result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .labelled import label_rate, labelled, remainder
-from .tables import cut
-from .text import chunks, mix, shingles, words
+from .labelled import known_labels, label_rate, remainder
+from .tables import cut, local_folder
+from .text import chunks, mix, words
 
 MOST = 8000
 THRESHOLD = 0.3
-#: Margins of a discount: standard deviations of a count (sqrt(2 ln V) for V expressions: what the largest of V chance values reaches),
-#: or this part of the root of the shared rate, by which classes differ in topic and language.
+#: A margin of a discount is at least this part of the root of the shared rate, by which classes differ in topic and language.
 SPREAD = 0.15
-#: Expressions in fewer documents of the sample are within any margin.
-LEAST_DOCUMENTS = 4
+#: Candidates before the margin is known: a margin of sqrt(2 ln V) deviations is at least so many.
+LEAST_DEVIATIONS = 2.0
+#: Rows of counts that a task holds before it passes them on, and rows of a file of a lookup table.
+MOST_HELD = 1 << 20
+FILE_ROWS = 1 << 22
 _START = np.uint64(1)
+_ROW = np.dtype([("key", np.int64), ("value", np.float64)])
 
 
 @dataclass
 class Model:
-    word: tuple[np.ndarray, np.ndarray]  # hashes in order, and the log ratio of the classes
-    pair: tuple[np.ndarray, np.ndarray]
-    before: tuple[np.ndarray, np.ndarray]  # of words as contexts: the log ratio of their backoff shares
+    table: Lookup  # log ratios of words, pairs and contexts by keys_of
     other: float  # log ratio of any other word
     weights: np.ndarray  # of the logistic function
     always: float | None = None
@@ -61,58 +67,184 @@ def expressions(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, before, mix(before * np.uint64(3) + hashes), at
 
 
-def _with_least_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, end, raw, bounds in chunks(batch.column(2)):
-            grams, at = shingles(*words(raw, bounds), 5)
-            least = np.zeros(end - first, np.uint64)
-            some = np.flatnonzero(np.diff(at))
-            if len(some):
-                least[some] = np.minimum.reduceat(mix(grams + np.uint64(5)), at[some])
-            yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, pa.array(least.view(np.int64))], names=["label", "part", "text", "least"])
+def _distinct(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where each key of each document stands once."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+    return order[new]
+
 
+def _merged(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(kind, key, n0, n1) with the counts of equal keys added."""
+    kind, key, n0, n1 = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((key, kind))
+    kind, key, n0, n1 = kind[order], key[order], n0[order], n1[order]
+    new = np.ones(len(kind), dtype=bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
+    at = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), pa.array(key[at].view(np.int64)), pa.array(np.add.reduceat(n0, at)), pa.array(np.add.reduceat(n1, at))], names=["kind", "key", "n0", "n1"])
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (label, text): (kind, key, before, word, n0, n1), numbers of documents that have a word (0), a pair (1), and sums over these (2)."""
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (label, text): (kind, key, n0, n1), numbers of documents of a class that have a word (0), a pair (1), and the sum of those of words (2)."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
     for batch in batches:
         for first, end, raw, bounds in chunks(batch.column(1)):
-            label = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)
-            hashes, before, pairs, at = expressions(raw, bounds)
+            label = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes, _, pairs, at = expressions(raw, bounds)
             doc = np.repeat(np.arange(end - first), np.diff(at))
             for kind, key in ((0, hashes), (1, pairs)):
-                order = np.lexsort((doc, key))
-                k, d = key[order], doc[order]
-                new = np.ones(len(k), dtype=bool)
-                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                order, k, d = order[new], k[new], d[new]
-                keys, where, inverse = np.unique(k, return_index=True, return_inverse=True)
-                n1 = np.bincount(inverse, label[d], len(keys)).astype(np.int64)
-                n0 = np.bincount(inverse, minlength=len(keys)) - n1
-                some = order[where]
-                yield _counts(np.full(len(keys), kind), keys, before[some] if kind else keys, hashes[some], n0, n1)
-                yield _counts(np.array([2]), np.array([kind], np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([n0.sum()]), np.array([n1.sum()]))
-            yield _counts(np.array([2]), np.array([2], np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([(label == 0).sum()]), np.array([(label == 1).sum()]))
+                some = _distinct(key, doc)
+                one = label[doc[some]]
+                held.append((np.full(len(some), kind), key[some], 1 - one, one))
+                rows += len(some)
+                if not kind:
+                    held.append((np.array([2]), np.zeros(1, np.uint64), np.array([(one == 0).sum()]), np.array([one.sum()])))
+            if rows > MOST_HELD:
+                yield _merged(held)
+                held, rows = [], 0
+    if held:
+        yield _merged(held)
+
+
+def _labelled_texts(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(label, text) of the documents with a known label. Tasks look the labels up, so no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(lookup(known.select(F.xxhash64(F.col("id").cast("string")).alias("key"), F.col("label").alias("value")).dropDuplicates(["key"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = shared.value.find(batch.column(0).to_numpy())
+            here = ~np.isnan(label)
+            if here.any():
+                yield pa.RecordBatch.from_arrays([pa.array(label[here].astype(np.int32)), batch.column(1).filter(pa.array(here))], names=["label", "text"])
+
+    with_id = docs.where(F.col(id_col).isNotNull())
+    return with_id.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "label int, text string")
+
+
+def keys_of(kind: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of words (0), pairs (1) and contexts (2) in one table."""
+    return np.where(kind == 0, word, np.where(kind == 1, mix(before * np.uint64(3) + word), mix(before + np.uint64(5)))).view(np.int64)
+
+
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """rows, which have kind, before and word as first columns, with their key."""
+    names = [*rows.columns, "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, before, word = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys_of(kind, before.view(np.uint64), word.view(np.uint64)))], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", key bigint")
+
 
+class Lookup:
+    """A table of (key, value) in files of the shared folder, by ranges of the key; tasks map the pages that they need, so no process holds it."""
 
-def _counts(kind: np.ndarray, key: np.ndarray, before: np.ndarray, word: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key, before, word)), pa.array(n0.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["kind", "key", "before", "word", "n0", "n1"])
+    def __init__(self, files: list[tuple[int, int, str, int]]):
+        self.files = sorted(files)
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; nan if it is not there."""
+        some, inverse = np.unique(keys, return_inverse=True)
+        found = np.full(len(some), np.nan)
+        for first, last, path, n in self.files:
+            i, j = np.searchsorted(some, first, "left"), np.searchsorted(some, last, "right")
+            if i < j:
+                rows = np.memmap(path, dtype=_ROW, mode="r", shape=(n,))
+                at = np.minimum(np.searchsorted(rows["key"], some[i:j]), n - 1)
+                found[i:j] = np.where(rows["key"][at] == some[i:j], rows["value"][at], np.nan)
+        return found[inverse]
 
-def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
-    known, values = table
-    if not len(known):
-        return np.full(len(keys), default)
-    i = np.searchsorted(known, keys)
-    i[i == len(known)] = 0
-    return np.where(known[i] == keys, values[i], default)
+
+def lookup(rows: DataFrame) -> Lookup:
+    """Writes (key, value), keys once each, as files of a Lookup."""
+    spark = rows.sparkSession
+    folder = local_folder(spark)
+    name = uuid.uuid4().hex
+    parts = max(1, -(-rows.count() // FILE_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = f"{folder}/toxicity-{name}-{uuid.uuid4().hex}"
+        ends, n = [], 0
+        with open(path, "wb") as out:
+            for batch in batches:
+                made = np.empty(batch.num_rows, _ROW)
+                made["key"], made["value"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if len(made):
+                    made.tofile(out)
+                    ends += [int(made["key"][0]), int(made["key"][-1])]
+                    n += len(made)
+                    ends = [ends[0], ends[-1]]
+        if n:
+            yield pa.RecordBatch.from_pylist([{"first": ends[0], "last": ends[1], "path": path, "n": n}])
+        else:
+            os.remove(path)
+
+    ordered = rows.select("key", F.col("value").cast("double")).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    return Lookup([tuple(r) for r in ordered.mapInArrow(run, "first bigint, last bigint, path string, n bigint").collect()])
+
+
+def _spelled(texts: DataFrame, pairs: Lookup) -> DataFrame:
+    """(key, before, word) of each of the pairs, once."""
+    shared = texts.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for batch in batches:
+            for _, _, raw, bounds in chunks(batch.column(0)):
+                hashes, before, keys, _ = expressions(raw, bounds)
+                some, where = np.unique(keys.view(np.int64), return_index=True)
+                here = np.flatnonzero(~np.isnan(shared.value.find(some)))
+                here = np.array([i for i in here if int(some[i]) not in known], np.int64)
+                known.update(some[here].tolist())
+                if len(known) > MOST_HELD:
+                    known.clear()
+                if len(here):
+                    at = where[here]
+                    yield pa.RecordBatch.from_arrays([pa.array(some[here]), pa.array(before[at].view(np.int64)), pa.array(hashes[at].view(np.int64))], names=["key", "before", "word"])
+
+    return texts.select("text").mapInArrow(run, "key bigint, before bigint, word bigint").groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"))
+
+
+def document_counts(docs: DataFrame, wanted: Lookup, text_col: str) -> DataFrame:
+    """(key, documents that have it) of the wanted words over all of docs; key null: the sum over all their words."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, total = [np.zeros(0, np.int64)], 0, 0
+
+        def made(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+        for batch in batches:
+            for first, end, raw, bounds in chunks(batch.column(0)):
+                hashes, at = words(raw, bounds)
+                key = hashes[_distinct(hashes, np.repeat(np.arange(end - first), np.diff(at)))].view(np.int64)
+                total += len(key)
+                held.append(key[~np.isnan(shared.value.find(key))])
+                rows += len(held[-1])
+                if rows > MOST_HELD:
+                    one = np.unique(np.concatenate(held), return_counts=True)
+                    yield made(*one)
+                    held, rows = [np.zeros(0, np.int64)], 0
+        yield made(*np.unique(np.concatenate(held), return_counts=True))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["key", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(model: Model, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihood as toxic less that as ordinary, words) of each document."""
     hashes, before, pairs, at = expressions(raw, bounds)
-    single = _look(model.word, hashes, model.other) + _look(model.before, before, 0.0)
-    value = _look(model.pair, pairs, np.nan)
-    value = np.where(np.isnan(value), single, value)
+    n = len(hashes)
+    found = model.table.find(np.concatenate([hashes, pairs, mix(before + np.uint64(5))]).view(np.int64))
+    word, pair, context = found[:n], found[n : 2 * n], found[2 * n :]
+    value = np.where(np.isnan(pair), np.where(np.isnan(word), model.other, word) + np.nan_to_num(context), pair)
     total = np.zeros(len(value) + 1)
     np.cumsum(value, out=total[1:])
     return total[at[1:]] - total[at[:-1]], np.diff(at)
@@ -123,50 +255,50 @@ def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), ratio / n, ratio / np.sqrt(n)], axis=1)
 
 
-def _ratio_model(stats: list, spread: float, deviations: float, rate: float) -> Model:
-    totals = {int(r.key): np.array([r.n0, r.n1], float) for r in stats if r.kind == 2}
-    docs = totals.get(2, np.zeros(2))
-    share = np.array([1 - rate, rate])
-
-    def left_over(n: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        expected = shared[:, None] * docs
-        margin = np.maximum(deviations * np.sqrt(expected + 1), spread * docs * np.sqrt(shared)[:, None])
-        return np.maximum(n - expected - margin, 0)
-
-    kept = {}
-    for kind in (0, 1):
-        rows = [r for r in stats if r.kind == kind]
-        n = np.array([[r.n0, r.n1] for r in rows], float).reshape(-1, 2)
-        shared = (n / docs * share).sum(axis=1)
-        keys = np.array([[r.key, r.before, r.word] for r in rows], np.int64).reshape(-1, 3).view(np.uint64)
-        kept[kind] = keys, n, shared, left_over(n, shared)
-    keys, n, shared, left = kept[0]
-    mass = (totals.get(0, np.ones(2)) / docs * share).sum()  # of all words' shared rates
-    back = 1 - left.sum(axis=0) / np.maximum(totals.get(0, np.ones(2)), 1)
-    p = left / np.maximum(totals.get(0, np.ones(2)), 1) + back * (shared / mass)[:, None]
-    order = np.argsort(keys[:, 0])
-    words_ = keys[order, 0]
-    word_n, word_p = n[order], p[order]
-    some = left[order].any(axis=1)
-    other = float(np.log(back[1]) - np.log(back[0]))
-    word = words_[some], np.log(word_p[some, 1]) - np.log(word_p[some, 0])
-
-    keys, n, shared, left = kept[1]
-    some = left.any(axis=1)
-    keys, left = keys[some], left[some]
-    if not len(keys):
-        return Model(word, (np.zeros(0, np.uint64), np.zeros(0)), (np.zeros(0, np.uint64), np.zeros(0)), other, np.zeros(3))
-    i = np.searchsorted(words_, keys[:, 1])
-    i[i == len(words_)] = 0
-    context_n = np.where((words_[i] == keys[:, 1])[:, None], word_n[i], docs)
-    context_n = np.maximum(np.maximum(context_n, left), 1)
-    contexts, which = np.unique(keys[:, 1], return_inverse=True)
-    used = np.stack([np.bincount(which, left[:, c] / context_n[:, c]) for c in (0, 1)], axis=1)
-    back = np.maximum(1 - used, 0.05)
-    j = np.searchsorted(words_, keys[:, 2])
-    p = left / context_n + back[which] * word_p[j]
-    order = np.argsort(keys[:, 0])
-    return Model(word, (keys[order, 0], (np.log(p[:, 1]) - np.log(p[:, 0]))[order]), (contexts, np.log(back[:, 1]) - np.log(back[:, 0])), other, np.zeros(3))
+def left_over(n: Column, shared: Column, docs: int, deviations: float) -> Column:
+    """What a class's n documents with an expression leave after the discount; the margin's share of docs fades as docs grow."""
+    expected = shared * docs
+    margin = F.greatest(deviations * F.sqrt(expected + 1), SPREAD * docs * F.sqrt(shared))
+    return F.greatest(n - expected - margin, F.lit(0.0))
+
+
+def _ratio_table(texts: DataFrame, every: DataFrame, text_col: str, docs: tuple[int, int], rate: float) -> tuple[Lookup, float]:
+    """(log ratios of the classes: of words, of pairs, and of the backoff shares of contexts; that of any other word)."""
+    found = Observation()
+    counts = texts.mapInArrow(_class_counts, "kind int, key bigint, n0 bigint, n1 bigint").groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    expected = (1 - rate) * F.col("n0") / docs[0] + rate * F.col("n1") / docs[1]
+
+    def left(deviations: float) -> dict[str, Column]:
+        return {f"l{c}": left_over(F.col(f"n{c}"), expected, docs[c], deviations) for c in (0, 1)}
+
+    some = F.expr("l0 > 0 or l1 > 0")
+    seen = cut(counts.observe(found, F.count(F.lit(1)).alias("expressions")).withColumns(left(LEAST_DEVIATIONS)).where((F.col("kind") != 1) | some).select("kind", "key", "n0", "n1"))
+    deviations = max(LEAST_DEVIATIONS, float(np.sqrt(2 * np.log(max(3, found.get["expressions"])))))
+    sums = seen.where("kind = 2").first()
+    words_n = (max(1, sums.n0), max(1, sums.n1))
+    stats = seen.where("kind < 2").withColumns(left(deviations))
+    pairs = cut(stats.where("kind = 1").where(some).select("key", "l0", "l1"))
+    pairs = cut(pairs.join(_spelled(texts, lookup(pairs.select("key", F.lit(0.0).alias("value")))), "key"))
+    around = pairs.select(F.explode(F.array("before", "word")).alias("key")).distinct()
+    single = stats.where("kind = 0")
+    wanted = cut(single.where(some).unionByName(single.where(~some).join(around, "key", "left_semi").select(single.columns)).drop("kind"))
+    counted = cut(document_counts(every, lookup(wanted.select("key", F.lit(0.0).alias("value"))), text_col))
+    mass = counted.where("key is null").first().n  # of all words' counts
+    word = wanted.join(counted.where("key is not null"), "key").select(F.col("key").alias("word"), "n0", "n1", "l0", "l1", (F.col("n") / mass).alias("shared"))
+
+    used = word.agg(F.sum("l0"), F.sum("l1")).first()
+    back = [1 - (used[c] or 0.0) / words_n[c] for c in (0, 1)]
+    word = cut(word.withColumns({f"p{c}": F.col(f"l{c}") / words_n[c] + back[c] * F.col("shared") for c in (0, 1)}))
+    own = word.where(some).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("before"), "word", F.log(F.col("p1") / F.col("p0")).alias("value"))
+
+    pairs = pairs.join(word.select(F.col("word").alias("before"), F.col("n0").alias("b0"), F.col("n1").alias("b1")), "before", "left").join(word.select("word", "p0", "p1"), "word")
+    begins = F.col("before") == int(_START)
+    share = {f"s{c}": F.col(f"l{c}") / F.greatest(F.when(begins, F.lit(docs[c])).otherwise(F.coalesce(f"b{c}", F.lit(1))), F.col(f"l{c}"), F.lit(1.0)) for c in (0, 1)}
+    pairs = pairs.withColumns(share)
+    contexts = pairs.groupBy("before").agg(*[F.greatest(1 - F.sum(f"s{c}"), F.lit(0.05)).alias(f"k{c}") for c in (0, 1)])
+    pair = pairs.join(contexts, "before").select(F.lit(1).alias("kind"), "before", "word", F.log((F.col("s1") + F.col("k1") * F.col("p1")) / (F.col("s0") + F.col("k0") * F.col("p0"))).alias("value"))
+    context = contexts.select(F.lit(2).alias("kind"), "before", F.lit(0).cast("long").alias("word"), F.log(F.col("k1") / F.col("k0")).alias("value"))
+    return lookup(cut(_with_keys(own.unionByName(pair).unionByName(context)))), float(np.log(back[1]) - np.log(back[0]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -190,33 +322,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST) -> Model:
     usable = remainder("id", 4) != 2
     n, ones = label_rate(labels, id_col, label_col, usable)
-    nothing = (np.zeros(0, np.uint64), np.zeros(0))
     if not ones or ones == n:
-        return Model(nothing, nothing, nothing, 0.0, np.zeros(3), always=ones / n if n else 0.0)
-    sample = labelled(docs, labels, id_col, text_col, label_col, usable, most)
-    sample = cut(sample.mapInArrow(_with_least_gram, "label int, part int, text string, least bigint").groupBy("label", "least").agg(F.min(F.struct("part", "text")).alias("one")).select("label", "one.part", "one.text"))
-    counted = sample.where("part > 0").select("label", "text").mapInArrow(_document_counts, "kind int, key bigint, before bigint, word bigint, n0 bigint, n1 bigint")
-    grouped = counted.groupBy("kind", "key").agg(F.min("before").alias("before"), F.min("word").alias("word"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    stats = cut(grouped.where((F.col("kind") == 2) | (F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS)))
-    totals = {int(r.label): int(r["count"]) for r in sample.where("part > 0").groupBy("label").count().collect()}
-    deviations = float(np.sqrt(2 * np.log(max(3, stats.count()))))
+        return Model(Lookup([]), 0.0, np.zeros(3), always=ones / n if n else 0.0)
     rate = ones / n
+    known = known_labels(labels, id_col, label_col, usable)
+    apart = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0
+    picked = [known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").where(apart & (F.col("label") == k)).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
+    chosen = cut(picked[0].unionByName(picked[1]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counted = cut(known.join(F.broadcast(chosen.select("id")), "id", "left_anti"))
+    totals = {int(r.label): int(r["count"]) for r in texts.select("id").join(counted, "id").groupBy("label").count().collect()}
     if len(totals) < 2:
-        return Model(nothing, nothing, nothing, 0.0, np.zeros(3), always=rate)
-    shared = (1 - rate) * F.col("n0") / totals[0] + rate * F.col("n1") / totals[1]
-    above = F.lit(False)
-    for k in (0, 1):
-        margin = F.greatest(deviations * F.sqrt(shared * totals[k] + 1), SPREAD * totals[k] * F.sqrt(shared))
-        above = above | (F.col(f"n{k}") > shared * totals[k] + margin)
-    kept = stats.where((F.col("kind") == 2) | above)
-    around = stats.where("kind = 0").join(F.broadcast(kept.where("kind = 1").select(F.explode(F.array("before", "word")).alias("key")).distinct()), "key", "left_semi")
-    rows = kept.unionByName(around.select(kept.columns)).distinct().collect()
-    model = _ratio_model(rows, SPREAD, deviations, rate)
-
-    x, y = _scored(sample.where("part = 0"), model)
+        return Model(Lookup([]), 0.0, np.zeros(3), always=rate)
+    table, other = _ratio_table(_labelled_texts(docs, counted, id_col, text_col), docs, text_col, (totals[0], totals[1]), rate)
+    model = Model(table, other, np.zeros(3))
+
+    x, y = _scored(texts.join(F.broadcast(chosen), "id"), model)
     if len(set(y.tolist())) < 2:
-        x, y = _scored(sample, model)
+        some = [counted.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
+        x, y = _scored(texts.join(F.broadcast(some[0].unionByName(some[1])), "id"), model)
     shares = np.bincount(y, minlength=2) / len(y)
+    if not shares.all():
+        model.always = rate
+        return model
     model.weights = _logistic(x, y, np.where(y == 1, rate / shares[1], (1 - rate) / shares[0]))
     return model
 

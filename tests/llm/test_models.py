@@ -42,6 +42,23 @@ def test_edges(spark, operator, column):
         assert operator(edges.empty(spark), labels).count() == 0
 
 
+def rare_word(spark, share, n=6000):
+    """Documents, every other one toxic, and their labels; this share of the toxic ones have the word vile."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, 12)) + " vile" * (i % 2 and rng.random() < share) for i in range(n)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id bigint, toxic int")
+
+
+def vile_score(spark, model):
+    one, other = (r.score for r in toxicity.score(spark.createDataFrame([(1, "w1 vile w2"), (2, "w1 other w2")], "doc_id bigint, text string"), model).orderBy("doc_id").collect())
+    return one, other
+
+
+def test_toxic_counts_are_of_all_labels(spark):
+    one, other = vile_score(spark, toxicity.fit(*rare_word(spark, 0.2), most=40))
+    assert one > other
+
+
 def test_field_on_generated_pages():
     field = trained_field()
     right = total = 0
