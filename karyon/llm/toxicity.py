@@ -40,8 +40,6 @@ from .text import chunks, mix, words
 
 MOST = 8000
 THRESHOLD = 0.3
-#: A margin of a discount is at least this part of the root of the shared rate, by which classes differ in topic and language.
-SPREAD = 0.15
 #: Candidates before the margin is known: a margin of sqrt(2 ln V) deviations is at least so many.
 LEAST_DEVIATIONS = 2.0
 #: Rows of counts that a task holds before it passes them on, and rows of a file of a lookup table.
@@ -258,8 +256,7 @@ def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
 def left_over(n: Column, shared: Column, docs: int, deviations: float) -> Column:
     """What a class's n documents with an expression leave after the discount; the margin's share of docs fades as docs grow."""
     expected = shared * docs
-    margin = F.greatest(deviations * F.sqrt(expected + 1), SPREAD * docs * F.sqrt(shared))
-    return F.greatest(n - expected - margin, F.lit(0.0))
+    return F.greatest(n - expected - deviations * F.sqrt(expected + 1), F.lit(0.0))
 
 
 def _ratio_table(texts: DataFrame, every: DataFrame, text_col: str, docs: tuple[int, int], rate: float) -> tuple[Lookup, float]:

@@ -59,6 +59,11 @@ def test_toxic_counts_are_of_all_labels(spark):
     assert one > other
 
 
+def test_toxic_margin_fades(spark):
+    one, other = vile_score(spark, toxicity.fit(*rare_word(spark, 0.03)))
+    assert one > other
+
+
 def test_field_on_generated_pages():
     field = trained_field()
     right = total = 0
