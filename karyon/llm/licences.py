@@ -19,6 +19,8 @@ from .licence_texts import LICENCES
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A copyright line, after lowering; and spellings taken as one, as whole words.
 COPYRIGHT_LINE = r"(^|\n)[ \t/*#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line of body text that begins with these words is not a notice: "copyright", then no year, sign or holder but a word of the licences' own.
+NOTICE_LINE = r"(^|\n)[ \t/*#;-]*((copyright(?![ \t]+(notices?|holders?|owners?|laws?|interest|licen[cs]es?|statements?|and|or|in|to|is|are|treaty)\b)|\(c\)[ \t]*(copyright|\d)|©)[^\n]*|all rights reserved[ \t.*/#;-]*(?=\n|$))"
 SPELLINGS = [
     ("licence", "license"),
     ("licences", "licenses"),
@@ -45,7 +47,7 @@ SPELLINGS = [
 def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     for _ in range(2):  # lines that follow each other share a line end
-        out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+        out = F.regexp_replace(out, NOTICE_LINE, "$1")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[\x00-/:-`{-\x7F]+", " ")), F.lit(" "))
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(f" {one} "), F.lit(f" {other} "))
@@ -53,7 +55,7 @@ def canonical(text: Column) -> Column:
 
 
 def canonical_sql(text: str) -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB, but that every line that begins with copyright goes: its expressions cannot look ahead."""
     out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
     for _ in range(2):
         out = rf"regexp_replace({out}, '{COPYRIGHT_LINE}', '\1', 'g')"

@@ -11,6 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from karyon.llm import queries
 from karyon.llm.chat_format import digests, examples, format_turns, spelled_out
+from karyon.llm.licence_texts import LICENCES
 from karyon.llm.licences import licence_scan
 from karyon.llm.tables import cut, table
 
@@ -67,6 +68,12 @@ def test_licences_of_edges(spark):
     assert licence_scan(edges.empty(spark)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    isc, bsd = LICENCES["ISC"].replace("above copyright", "above\ncopyright"), LICENCES["BSD-2-Clause"].replace("THE COPYRIGHT", "THE\nCOPYRIGHT")
+    rows = [(1, f"Copyright (c) 2020 Me\nAll rights reserved.\n\n{isc}"), (2, bsd)]
+    assert {r.doc_id: r.license_id for r in licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1: "ISC", 2: "BSD-2-Clause"}
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     stages = dict(corpus_pipeline.STAGES)
