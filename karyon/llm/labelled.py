@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, for fitting classifiers."""
+"""Labels of documents, and bounded samples of labelled documents for fitting classifiers."""
 
 from __future__ import annotations
 
@@ -17,16 +17,23 @@ def known_labels(labels: DataFrame, id_col: str, label_col: str, usable: Column)
     return known.where(usable).groupBy("id").agg(F.max("label").alias("label"))
 
 
+def picked(known: DataFrame, docs: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(id, label) of at most `most` labels of each class that have a document, in the order of a hash of the id."""
+    here = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    by_class = [here.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
+    return by_class[0].unionByName(by_class[1])
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, label, text): one row for each chosen id; of rows that repeat the id, the least text (null first)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, most: int) -> DataFrame:
-    """(label, part, text): at most `most` usable labels of each class, in the order of a hash of the id. part: one of 0 to 4, by another hash.
-
-    A null label or id is unlabelled; an id with two labels has the greater one. The chosen ids are 2 x `most` at the most.
-    """
-    known = known_labels(labels, id_col, label_col, usable)
-    here = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi") if docs is not None else known
-    picked = [here.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)).cast("int").alias("part"), "text")
+    """(label, part, text): at most `most` labelled documents of each class, one row for each id. part: one of 0 to 4, by a hash of the id."""
+    chosen = picked(known_labels(labels, id_col, label_col, usable), docs, id_col, most)
+    return texts_of(docs, chosen, id_col, text_col).select("label", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)).cast("int").alias("part"), "text")
 
 
 def label_rate(labels: DataFrame, id_col: str, label_col: str, usable: Column) -> tuple[int, int]:

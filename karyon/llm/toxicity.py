@@ -1,306 +1,231 @@
-"""Toxicity by two class-conditional bigram models with discounts and shared backoff, in the manner of Kneser-Ney.
+"""Toxicity by two class-conditional Kneser-Ney models of byte n-grams with shared backoff counts.
 
-For a class c, with counts n_c of documents that have an expression:
+The symbols are the bytes of a text with A-Z lowered; every run of bytes outside words is one space. For a class c with counts
+n_c of symbols x after histories h of ORDER - 1 symbols:
 
-    P_c(w | v) = max(n_c(v w) - D_c(v w), 0) / n_c(v) + L_c(v) P_c(w)
-    P_c(w)     = max(n_c(w) - D_c(w), 0) / T_c        + L_c    P(w)
+    P_c(x | h) = (max(n_c(h x) - D_c, 0) + (D_c t_c(h) + STRENGTH) P(x | h)) / (n_c(h) + STRENGTH)
 
-P is shared: the rate of w in all documents, labelled or not. L gives back what the discounts take. This is not Kneser-Ney proper, which
-has a fixed discount below 1 and continuation counts: on held-out labels that does not find toxic texts (README has the figures).
-A discount takes what the rate of both classes, at their shares of all labels, explains, with a margin for its noise of sqrt(2 ln V) standard deviations (V expressions: what the
-largest of V chance values reaches), so expressions that a class uses no more than others weigh the same in both classes.
-As a part of the documents the margin fades as they grow, so with more labels rarer expressions count.
-Counting an expression once in a document keeps a long or repetitive text from standing for a class.
+t_c(h) is the number of different symbols after h, and D_c = n1 / (n1 + 2 n2) from the numbers of n-grams seen once and twice.
+P is shared by both classes: the interpolated Kneser-Ney model of all documents, labelled or not, whose lower orders count
+the different symbols before an n-gram (continuation counts). So an expression that a class has seen little is scored
+alike by both, and STRENGTH keeps the class with fewer texts from looking less likely everywhere.
 
-A document's score is a logistic function, fitted on labelled documents apart, of the difference of its
-two log-likelihoods, normalised by its length and by the root of its length. Shared factors cancel in the
-difference, so the model that tasks look up holds only expressions with something left after the discount. It is a table in files of the
-shared folder; no process holds it.
+The two log-likelihoods are compared word by word. A document's features are its mean ratio and that of its TOP
+highest words, both less its median word, and the median itself: the classes differ in their shares of languages and
+topics, which moves all words of a document and so the median, while toxic expressions stand out from it. A logistic
+function fitted on labelled documents apart makes the score.
 
-Counts are of all labelled documents that are not held out, but for at most `most` of each class that fit the logistic function; shared rates
-of all documents. Null and empty texts have length 0 and difference 0. Without labels of
-both classes the score is the rate of label 1 (0 without labels). Repeated rows get the same result; an empty table gives an empty one.
+Counting is a map over the documents and one aggregation by n-gram, of which there are as many as an alphabet allows, not as
+documents have words. An n-gram that no class has seen has a ratio that depends on its history only, so the table that tasks look up
+(files of the shared folder, mapped page by page) holds the n-grams and histories of the labelled documents.
+
+Counts use all labelled documents that are not held out, but for at most `most` of each class, a fifth of them, that fit the logistic function.
+Null and empty texts have all features 0. Without labels of both classes the score is the rate of label 1 (0 without labels). Repeated
+rows get the same result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .labelled import known_labels, label_rate, remainder
-from .tables import cut, local_folder
-from .text import chunks, mix, words
+from .labelled import known_labels, label_rate, picked, remainder, texts_of
+from .lookup import Lookup, lookup
+from .tables import cut
+from .text import IS_WORD, LOWER, chunks
 
 MOST = 8000
 THRESHOLD = 0.3
-#: Candidates before the margin is known: a margin of sqrt(2 ln V) deviations is at least so many.
-LEAST_DEVIATIONS = 2.0
-#: Rows of counts that a task holds before it passes them on, and rows of a file of a lookup table.
-MOST_HELD = 1 << 20
-FILE_ROWS = 1 << 22
-_START = np.uint64(1)
-_ROW = np.dtype([("key", np.int64), ("value", np.float64)])
+ORDER = 5
+STRENGTH = 100.0
+#: The part of a document's words whose mean stands for its most telling ones.
+TOP = 0.03
+#: n-grams that a task holds before it passes their counts on.
+MOST_HELD = 1 << 21
+#: Texts are looked up so many bytes at a time.
+_SLICE = 1 << 20
+_SPACE = 32
+_SYMBOL = np.where(IS_WORD[LOWER], LOWER, _SPACE).astype(np.uint8)
+#: Histories have keys below 0, n-grams from 0 on.
+_HISTORY = -(1 << 62)
 
 
 @dataclass
 class Model:
-    table: Lookup  # log ratios of words, pairs and contexts by keys_of
-    other: float  # log ratio of any other word
+    table: Lookup  # log ratios of n-grams, and of unseen symbols after a history
     weights: np.ndarray  # of the logistic function
     always: float | None = None
 
 
-def expressions(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, words before, pairs, offsets by document)."""
-    hashes, at = words(raw, bounds)
-    before = np.concatenate([[_START], hashes[:-1]]).astype(np.uint64)[: len(hashes)]
-    before[at[:-1][np.diff(at) > 0]] = _START
-    return hashes, before, mix(before * np.uint64(3) + hashes), at
-
-
-def _distinct(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Where each key of each document stands once."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-    return order[new]
-
-
-def _merged(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """(kind, key, n0, n1) with the counts of equal keys added."""
-    kind, key, n0, n1 = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.lexsort((key, kind))
-    kind, key, n0, n1 = kind[order], key[order], n0[order], n1[order]
-    new = np.ones(len(kind), dtype=bool)
-    new[1:] = (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    return pa.RecordBatch.from_arrays([pa.array(kind[at].astype(np.int32)), pa.array(key[at].view(np.int64)), pa.array(np.add.reduceat(n0, at)), pa.array(np.add.reduceat(n1, at))], names=["kind", "key", "n0", "n1"])
-
-
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (label, text): (kind, key, n0, n1), numbers of documents of a class that have a word (0), a pair (1), and the sum of those of words (2)."""
-    held: list[tuple[np.ndarray, ...]] = []
-    rows = 0
-    for batch in batches:
-        for first, end, raw, bounds in chunks(batch.column(1)):
-            label = batch.column(0).slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.int64)
-            hashes, _, pairs, at = expressions(raw, bounds)
-            doc = np.repeat(np.arange(end - first), np.diff(at))
-            for kind, key in ((0, hashes), (1, pairs)):
-                some = _distinct(key, doc)
-                one = label[doc[some]]
-                held.append((np.full(len(some), kind), key[some], 1 - one, one))
-                rows += len(some)
-                if not kind:
-                    held.append((np.array([2]), np.zeros(1, np.uint64), np.array([(one == 0).sum()]), np.array([one.sum()])))
-            if rows > MOST_HELD:
-                yield _merged(held)
-                held, rows = [], 0
-    if held:
-        yield _merged(held)
-
-
-def _labelled_texts(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(label, text) of the documents with a known label. Tasks look the labels up, so no text is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(lookup(known.select(F.xxhash64(F.col("id").cast("string")).alias("key"), F.col("label").alias("value")).dropDuplicates(["key"])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = shared.value.find(batch.column(0).to_numpy())
-            here = ~np.isnan(label)
-            if here.any():
-                yield pa.RecordBatch.from_arrays([pa.array(label[here].astype(np.int32)), batch.column(1).filter(pa.array(here))], names=["label", "text"])
-
-    with_id = docs.where(F.col(id_col).isNotNull())
-    return with_id.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "label int, text string")
-
-
-def keys_of(kind: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of words (0), pairs (1) and contexts (2) in one table."""
-    return np.where(kind == 0, word, np.where(kind == 1, mix(before * np.uint64(3) + word), mix(before + np.uint64(5)))).view(np.int64)
-
-
-def _with_keys(rows: DataFrame) -> DataFrame:
-    """rows, which have kind, before and word as first columns, with their key."""
-    names = [*rows.columns, "key"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind, before, word = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys_of(kind, before.view(np.uint64), word.view(np.uint64)))], names=names)
-
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", key bigint")
-
-
-class Lookup:
-    """A table of (key, value) in files of the shared folder, by ranges of the key; tasks map the pages that they need, so no process holds it."""
+def symbols(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts, offsets by text). Each text begins with one space, in which all histories before it end."""
+    rows = len(bounds) - 1
+    own = _SYMBOL[raw]
+    inside = np.ones(len(own), dtype=bool)
+    if len(own):
+        inside[1:] = (own[1:] != _SPACE) | (own[:-1] != _SPACE)
+        starts = bounds[:-1][np.diff(bounds) > 0]
+        inside[starts] = own[starts] != _SPACE
+    kept = np.concatenate([[0], np.cumsum(inside)])[bounds]
+    out = np.insert(own[inside], kept[:-1], _SPACE)
+    return out, kept + np.arange(rows + 1)
 
-    def __init__(self, files: list[tuple[int, int, str, int]]):
-        self.files = sorted(files)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key; nan if it is not there."""
-        some, inverse = np.unique(keys, return_inverse=True)
-        found = np.full(len(some), np.nan)
-        for first, last, path, n in self.files:
-            i, j = np.searchsorted(some, first, "left"), np.searchsorted(some, last, "right")
-            if i < j:
-                rows = np.memmap(path, dtype=_ROW, mode="r", shape=(n,))
-                at = np.minimum(np.searchsorted(rows["key"], some[i:j]), n - 1)
-                found[i:j] = np.where(rows["key"][at] == some[i:j], rows["value"][at], np.nan)
-        return found[inverse]
+def ngrams(own: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The n-gram that ends at each symbol, its bytes packed in a long; `before` has the ORDER - 1 symbols in front."""
+    padded = np.concatenate([before, own]).astype(np.int64)
+    out = np.zeros(len(own), np.int64)
+    for k in range(ORDER):
+        out = (out << 8) | padded[k : k + len(own)]
+    return out
 
 
-def lookup(rows: DataFrame) -> Lookup:
-    """Writes (key, value), keys once each, as files of a Lookup."""
-    spark = rows.sparkSession
-    folder = local_folder(spark)
-    name = uuid.uuid4().hex
-    parts = max(1, -(-rows.count() // FILE_ROWS))
+def _slices(own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, n-grams) of runs of symbols."""
+    for a in range(0, len(own), _SLICE):
+        before = own[max(0, a - ORDER + 1) : a]
+        yield a, ngrams(own[a : a + _SLICE], np.concatenate([np.full(ORDER - 1 - len(before), _SPACE, np.uint8), before]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = f"{folder}/toxicity-{name}-{uuid.uuid4().hex}"
-        ends, n = [], 0
-        with open(path, "wb") as out:
-            for batch in batches:
-                made = np.empty(batch.num_rows, _ROW)
-                made["key"], made["value"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                if len(made):
-                    made.tofile(out)
-                    ends += [int(made["key"][0]), int(made["key"][-1])]
-                    n += len(made)
-                    ends = [ends[0], ends[-1]]
-        if n:
-            yield pa.RecordBatch.from_pylist([{"first": ends[0], "last": ends[1], "path": path, "n": n}])
-        else:
-            os.remove(path)
 
-    ordered = rows.select("key", F.col("value").cast("double")).repartitionByRange(parts, "key").sortWithinPartitions("key")
-    return Lookup([tuple(r) for r in ordered.mapInArrow(run, "first bigint, last bigint, path string, n bigint").collect()])
+def _plain_histories(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """own with ORDER - 1 more spaces before each text, so that no history reaches into the text before; what ends in these spaces belongs to no text."""
+    gap = np.full(ORDER - 1, _SPACE, np.uint8)
+    return np.insert(own, np.repeat(at[:-1], len(gap)), np.tile(gap, len(at) - 1)), at + np.arange(len(at)) * len(gap)
 
 
-def _spelled(texts: DataFrame, pairs: Lookup) -> DataFrame:
-    """(key, before, word) of each of the pairs, once."""
-    shared = texts.sparkSession.sparkContext.broadcast(pairs)
+def _counts(label_of: Lookup):
+    """From (key of the id, text): (gram, n0, n1, n), its counts in the texts of either class and in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        for batch in batches:
-            for _, _, raw, bounds in chunks(batch.column(0)):
-                hashes, before, keys, _ = expressions(raw, bounds)
-                some, where = np.unique(keys.view(np.int64), return_index=True)
-                here = np.flatnonzero(~np.isnan(shared.value.find(some)))
-                here = np.array([i for i in here if int(some[i]) not in known], np.int64)
-                known.update(some[here].tolist())
-                if len(known) > MOST_HELD:
-                    known.clear()
-                if len(here):
-                    at = where[here]
-                    yield pa.RecordBatch.from_arrays([pa.array(some[here]), pa.array(before[at].view(np.int64)), pa.array(hashes[at].view(np.int64))], names=["key", "before", "word"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-    return texts.select("text").mapInArrow(run, "key bigint, before bigint, word bigint").groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            gram = np.concatenate([h[0] for h in held])
+            order = np.argsort(gram, kind="stable")
+            gram = gram[order]
+            at = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            return gram[at], np.add.reduceat(np.concatenate([h[1] for h in held])[order], at, axis=0)
 
-
-def document_counts(docs: DataFrame, wanted: Lookup, text_col: str) -> DataFrame:
-    """(key, documents that have it) of the wanted words over all of docs; key null: the sum over all their words."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, total = [np.zeros(0, np.int64)], 0, 0
-
-        def made(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+        def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), *(pa.array(np.ascontiguousarray(found[1][:, k])) for k in range(3))], names=["gram", "n0", "n1", "n"])
 
         for batch in batches:
-            for first, end, raw, bounds in chunks(batch.column(0)):
-                hashes, at = words(raw, bounds)
-                key = hashes[_distinct(hashes, np.repeat(np.arange(end - first), np.diff(at)))].view(np.int64)
-                total += len(key)
-                held.append(key[~np.isnan(shared.value.find(key))])
-                rows += len(held[-1])
-                if rows > MOST_HELD:
-                    one = np.unique(np.concatenate(held), return_counts=True)
-                    yield made(*one)
-                    held, rows = [np.zeros(0, np.int64)], 0
-        yield made(*np.unique(np.concatenate(held), return_counts=True))
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["key", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def log_ratios(model: Model, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood as toxic less that as ordinary, words) of each document."""
-    hashes, before, pairs, at = expressions(raw, bounds)
-    n = len(hashes)
-    found = model.table.find(np.concatenate([hashes, pairs, mix(before + np.uint64(5))]).view(np.int64))
-    word, pair, context = found[:n], found[n : 2 * n], found[2 * n :]
-    value = np.where(np.isnan(pair), np.where(np.isnan(word), model.other, word) + np.nan_to_num(context), pair)
-    total = np.zeros(len(value) + 1)
-    np.cumsum(value, out=total[1:])
-    return total[at[1:]] - total[at[:-1]], np.diff(at)
-
-
-def features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), ratio / n, ratio / np.sqrt(n)], axis=1)
-
-
-def left_over(n: Column, shared: Column, docs: int, deviations: float) -> Column:
-    """What a class's n documents with an expression leave after the discount; the margin's share of docs fades as docs grow."""
-    expected = shared * docs
-    return F.greatest(n - expected - deviations * F.sqrt(expected + 1), F.lit(0.0))
-
-
-def _ratio_table(texts: DataFrame, every: DataFrame, text_col: str, docs: tuple[int, int], rate: float) -> tuple[Lookup, float]:
-    """(log ratios of the classes: of words, of pairs, and of the backoff shares of contexts; that of any other word)."""
-    found = Observation()
-    counts = texts.mapInArrow(_class_counts, "kind int, key bigint, n0 bigint, n1 bigint").groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    expected = (1 - rate) * F.col("n0") / docs[0] + rate * F.col("n1") / docs[1]
-
-    def left(deviations: float) -> dict[str, Column]:
-        return {f"l{c}": left_over(F.col(f"n{c}"), expected, docs[c], deviations) for c in (0, 1)}
-
-    some = F.expr("l0 > 0 or l1 > 0")
-    seen = cut(counts.observe(found, F.count(F.lit(1)).alias("expressions")).withColumns(left(LEAST_DEVIATIONS)).where((F.col("kind") != 1) | some).select("kind", "key", "n0", "n1"))
-    deviations = max(LEAST_DEVIATIONS, float(np.sqrt(2 * np.log(max(3, found.get["expressions"])))))
-    sums = seen.where("kind = 2").first()
-    words_n = (max(1, sums.n0), max(1, sums.n1))
-    stats = seen.where("kind < 2").withColumns(left(deviations))
-    pairs = cut(stats.where("kind = 1").where(some).select("key", "l0", "l1"))
-    pairs = cut(pairs.join(_spelled(texts, lookup(pairs.select("key", F.lit(0.0).alias("value")))), "key"))
-    around = pairs.select(F.explode(F.array("before", "word")).alias("key")).distinct()
-    single = stats.where("kind = 0")
-    wanted = cut(single.where(some).unionByName(single.where(~some).join(around, "key", "left_semi").select(single.columns)).drop("kind"))
-    counted = cut(document_counts(every, lookup(wanted.select("key", F.lit(0.0).alias("value"))), text_col))
-    mass = counted.where("key is null").first().n  # of all words' counts
-    word = wanted.join(counted.where("key is not null"), "key").select(F.col("key").alias("word"), "n0", "n1", "l0", "l1", (F.col("n") / mass).alias("shared"))
-
-    used = word.agg(F.sum("l0"), F.sum("l1")).first()
-    back = [1 - (used[c] or 0.0) / words_n[c] for c in (0, 1)]
-    word = cut(word.withColumns({f"p{c}": F.col(f"l{c}") / words_n[c] + back[c] * F.col("shared") for c in (0, 1)}))
-    own = word.where(some).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("before"), "word", F.log(F.col("p1") / F.col("p0")).alias("value"))
-
-    pairs = pairs.join(word.select(F.col("word").alias("before"), F.col("n0").alias("b0"), F.col("n1").alias("b1")), "before", "left").join(word.select("word", "p0", "p1"), "word")
-    begins = F.col("before") == int(_START)
-    share = {f"s{c}": F.col(f"l{c}") / F.greatest(F.when(begins, F.lit(docs[c])).otherwise(F.coalesce(f"b{c}", F.lit(1))), F.col(f"l{c}"), F.lit(1.0)) for c in (0, 1)}
-    pairs = pairs.withColumns(share)
-    contexts = pairs.groupBy("before").agg(*[F.greatest(1 - F.sum(f"s{c}"), F.lit(0.05)).alias(f"k{c}") for c in (0, 1)])
-    pair = pairs.join(contexts, "before").select(F.lit(1).alias("kind"), "before", "word", F.log((F.col("s1") + F.col("k1") * F.col("p1")) / (F.col("s0") + F.col("k0") * F.col("p0"))).alias("value"))
-    context = contexts.select(F.lit(2).alias("kind"), "before", F.lit(0).cast("long").alias("word"), F.log(F.col("k1") / F.col("k0")).alias("value"))
-    return lookup(cut(_with_keys(own.unionByName(pair).unionByName(context)))), float(np.log(back[1]) - np.log(back[0]))
+            label = label_of.find_one(batch.column(0).to_numpy()) if label_of.files else np.full(len(batch), np.nan)
+            for first, end, raw, bounds in chunks(batch.column(1)):
+                own, at = _plain_histories(*symbols(raw, bounds))
+                kind = np.nan_to_num(label[first:end], nan=2).astype(np.int64)
+                for a, gram in _slices(own):
+                    text = np.searchsorted(at, np.arange(a, a + len(gram)), side="right") - 1
+                    inside = np.arange(a, a + len(gram)) - at[text] >= ORDER - 1
+                    some, where = np.unique(((gram << 2) | kind[text])[inside], return_counts=True)
+                    n = np.zeros((len(some), 3), np.int64)
+                    n[:, 2] = where
+                    for k in (0, 1):
+                        n[:, k] = np.where((some & 3) == k, where, 0)
+                    held.append((some >> 2, n))
+                    size += len(some)
+                    if size > MOST_HELD:
+                        found = merged()
+                        if len(found[0]) > MOST_HELD // 2:
+                            yield rows(found)
+                            held, size = [], 0
+                        else:
+                            held, size = [found], len(found[0])
+        if held:
+            yield rows(merged())
+
+    return run
+
+
+def _label_lookup(known: DataFrame) -> Lookup:
+    return lookup(cut(known.select(F.xxhash64(F.col("id").cast("string")).alias("key"), F.col("label").cast("double").alias("value")).groupBy("key").agg(F.max("value").alias("value"))))
+
+
+def _discount(n: Column) -> Column:
+    once, twice = F.count(F.when(n == 1, 1)), F.count(F.when(n == 2, 1))
+    return F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)
+
+
+def shared_model(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, p): the interpolated Kneser-Ney probability of the last symbol of each n-gram of counts (gram, n), lower orders by continuation counts."""
+    levels = {order: counts.select("gram", "n")}
+    for m in range(order - 1, 0, -1):
+        levels[m] = cut(levels[m + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")).agg(F.count("*").alias("n")))
+    lower = None
+    for m in range(1, order + 1):
+        discount = float(levels[m].agg(_discount(F.col("n"))).first()[0])
+        after = W.partitionBy(F.shiftright("gram", 8))  # at most 256 rows
+        rows = levels[m].select("gram", "n", F.sum("n").over(after).alias("total"), F.count("*").over(after).alias("types"))
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1))).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
+        lower = rows.select("gram", ((F.greatest(F.col("n") - discount, F.lit(0.0)) + discount * F.col("types") * F.col("below")) / F.col("total")).alias("p"))
+        if m < order:
+            lower = cut(lower)
+    return lower
+
+
+def ratio_table(counts: DataFrame, strength: float = STRENGTH) -> Lookup:
+    """The log ratios of the two class models: of each n-gram of a class, and of a symbol that neither has seen after a history."""
+    own = counts.where("n0 + n1 > 0")
+    found = own.agg(_discount(F.col("n0")).alias("d0"), _discount(F.col("n1")).alias("d1")).first()
+    after = W.partitionBy("history")
+    rows = own.join(shared_model(counts), "gram").withColumn("history", F.shiftright("gram", 8))
+    for c in (0, 1):
+        n, d = F.col(f"n{c}"), float(found[f"d{c}"])
+        left, whole = d * F.sum((n > 0).cast("int")).over(after) + strength, F.sum(n).over(after) + strength
+        rows = rows.withColumns({f"p{c}": (F.greatest(n - d, F.lit(0.0)) + left * F.col("p")) / whole, f"b{c}": left / whole})
+    rows = cut(rows.select("gram", "history", F.log(F.col("p1") / F.col("p0")).alias("value"), F.log(F.col("b1") / F.col("b0")).alias("unseen")))
+    histories = rows.groupBy("history").agg(F.first("unseen").alias("value")).select((F.col("history") + F.lit(_HISTORY)).alias("key"), "value")
+    return lookup(cut(rows.select(F.col("gram").alias("key"), "value").unionByName(histories)))
+
+
+def word_ratios(model: Model, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihood of each word as toxic less that as ordinary, offsets by text). A word's space before it is a part of it."""
+    own, at = _plain_histories(*symbols(raw, bounds))
+    value = np.zeros(len(own), np.float32)
+    for a, gram in _slices(own):
+        some, inverse = np.unique(gram, return_inverse=True)
+        ratio = model.table.find_one(some)
+        unseen = np.flatnonzero(np.isnan(ratio))
+        ratio[unseen] = np.nan_to_num(model.table.find_one((some[unseen] >> 8) + _HISTORY))
+        value[a : a + len(gram)] = ratio[inverse]
+    space = own == _SPACE
+    begins = np.flatnonzero(space[:-1] & ~space[1:]) if len(own) else np.zeros(0, np.int64)
+    ends = np.minimum(np.append(begins[1:], len(own)), at[np.searchsorted(at, begins, side="right")]) if len(begins) else begins
+    sums = np.add.reduceat(np.append(value, 0).astype(np.float64), np.stack([begins, ends], axis=1).ravel())[::2] if len(begins) else np.zeros(0)
+    return sums, np.searchsorted(begins, at)
+
+
+def features(ratios: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(1, mean less median, mean of the highest less median, median) of each text's words."""
+    n = np.diff(at)
+    text = np.repeat(np.arange(len(n)), n)
+    ordered = ratios[np.lexsort((ratios, text))]
+    total = np.concatenate([[0.0], np.cumsum(ordered)])
+    out = np.zeros((len(n), 4))
+    out[:, 0] = 1
+    some = np.flatnonzero(n)
+    a, k = at[:-1][some], n[some]
+    median = (ordered[a + (k - 1) // 2] + ordered[a + k // 2]) / 2
+    top = np.maximum(1, (k * TOP).astype(np.int64))
+    out[some, 1] = (total[a + k] - total[a]) / k - median
+    out[some, 2] = (total[a + k] - total[a + k - top]) / top - median
+    out[some, 3] = median
+    return np.round(out, 9)  # so that equal texts are scored alike wherever they stand
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights of a slightly damped logistic regression, by Newton steps; columns are scaled first."""
-    scale = np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-9)
+    scale = np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-3)
     x = x / scale
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-6, *[1e-3] * (x.shape[1] - 1)])
@@ -320,25 +245,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = remainder("id", 4) != 2
     n, ones = label_rate(labels, id_col, label_col, usable)
     if not ones or ones == n:
-        return Model(Lookup([]), 0.0, np.zeros(3), always=ones / n if n else 0.0)
+        return Model(Lookup([]), np.zeros(4), always=ones / n if n else 0.0)
     rate = ones / n
     known = known_labels(labels, id_col, label_col, usable)
     apart = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(5)) == 0
-    picked = [known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").where(apart & (F.col("label") == k)).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
-    chosen = cut(picked[0].unionByName(picked[1]))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = cut(known.join(F.broadcast(chosen.select("id")), "id", "left_anti"))
-    totals = {int(r.label): int(r["count"]) for r in texts.select("id").join(counted, "id").groupBy("label").count().collect()}
-    if len(totals) < 2:
-        return Model(Lookup([]), 0.0, np.zeros(3), always=rate)
-    table, other = _ratio_table(_labelled_texts(docs, counted, id_col, text_col), docs, text_col, (totals[0], totals[1]), rate)
-    model = Model(table, other, np.zeros(3))
-
-    x, y = _scored(texts.join(F.broadcast(chosen), "id"), model)
+    chosen = cut(picked(known.where(apart), docs, id_col, most))
+    counted = cut(known.join(F.broadcast(chosen.select("id")), "id", "left_anti"))  # chosen has at most 2 x most rows
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(F.lit(0))
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    counts = cut(texts.mapInArrow(_counts(_label_lookup(counted)), "gram bigint, n0 bigint, n1 bigint, n bigint").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n")]))
+    both = counts.agg(F.sum("n0"), F.sum("n1")).first()
+    if not both[0] or not both[1]:
+        return Model(Lookup([]), np.zeros(4), always=rate)
+    model = Model(ratio_table(counts), np.zeros(4))
+    x, y = _scored(texts_of(docs, chosen, id_col, text_col), model)
     if len(set(y.tolist())) < 2:
-        some = [counted.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
-        x, y = _scored(texts.join(F.broadcast(some[0].unionByName(some[1])), "id"), model)
-    shares = np.bincount(y, minlength=2) / len(y)
+        x, y = _scored(texts_of(docs, picked(counted, docs, id_col, most), id_col, text_col), model)
+    shares = np.bincount(y, minlength=2) / max(1, len(y))
     if not shares.all():
         model.always = rate
         return model
@@ -347,16 +270,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scored(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a bounded sample, in an order of their own."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, raw, bounds in chunks(batch.column(1)):
-                ratio, n = log_ratios(shared.value, raw, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(ratio), pa.array(n)], names=["label", "ratio", "n"])
+                x = features(*word_ratios(shared.value, raw, bounds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(1, 4))], names=["label", "a", "b", "c"])
 
-    found = rows.select("label", "text").mapInArrow(run, "label int, ratio double, n bigint").toArrow()
-    return features(found["ratio"].to_numpy(), found["n"].to_numpy()), found["label"].to_numpy()
+    found = rows.select("label", "text").mapInArrow(run, "label int, a double, b double, c double").toArrow()
+    y = found["label"].to_numpy().astype(np.int64)
+    x = np.stack([np.ones(len(y)), *(found[c].to_numpy() for c in "abc")], axis=1)
+    order = np.lexsort((*x.T, y))
+    return x[order], y[order]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
@@ -373,15 +300,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             scores = [np.zeros(0)]
             for _, _, raw, bounds in chunks(batch.column(place)):
                 if model.always is None:
-                    scores.append(1 / (1 + np.exp(-np.clip(features(*log_ratios(model, raw, bounds)) @ model.weights, -30, 30))))
+                    scores.append(1 / (1 + np.exp(-np.clip(features(*word_ratios(model, raw, bounds)) @ model.weights, -30, 30))))
                 else:
                     scores.append(np.full(len(bounds) - 1, model.always))
-            value = np.concatenate(scores)
+            value = np.round(np.concatenate(scores), 12)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*plain, *made])
 
-    picked = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*plain)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
+    chosen = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*plain)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
+    return chosen.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
