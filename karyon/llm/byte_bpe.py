@@ -71,8 +71,7 @@ class ForcedBoundaryCodec:
         forced[:, ord("'")] = False  # an apostrophe at the start of a fragment could begin a contraction
         self.forced = forced.ravel()
         self.memo: tuple[dict[bytes, str], dict[bytes, str]] = {}, {}
-        #: Whether all fragments seen decoded to themselves; then so does a text of them.
-        self.faithful = True
+        self.bytes_of = {str(i): piece for i, piece in self.pieces.items()}
 
     def cuts(self, raw: np.ndarray) -> np.ndarray:
         """Places in the UTF-8 bytes of a text that no token spans and at which both sides split as in the whole.
@@ -114,12 +113,7 @@ class ForcedBoundaryCodec:
 
     def _learn(self, missing: list[bytes]) -> list[str]:
         found = self.tokenizer.encode_batch_fast([f.decode("utf-8") for f in missing], add_special_tokens=False)
-        pieces, out = self.pieces, []
-        for f, e in zip(missing, found, strict=True):
-            ids = e.ids
-            self.faithful = self.faithful and b"".join([pieces[i] for i in ids]) == f
-            out.append(",".join(map(str, ids)))
-        return out
+        return [",".join(map(str, e.ids)) for e in found]
 
     def look_up(self, parts: list[bytes]) -> list[str]:
         """The ids of each fragment as text.
@@ -153,6 +147,11 @@ class ForcedBoundaryCodec:
         """Bytes of all ids, one after the other, as text; what is not UTF-8 becomes U+FFFD, as in the library."""
         return b"".join([self.pieces[i] for i in ids]).decode("utf-8", errors="replace")
 
+    def decode_listed(self, listed: str) -> bytes:
+        """The decoded text, in UTF-8, of ids joined by commas."""
+        back = b"".join(map(self.bytes_of.__getitem__, listed.split(","))) if listed else b""
+        return back.decode("utf-8", errors="replace").encode("utf-8")
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> ForcedBoundaryCodec:
@@ -175,8 +174,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     listed = ",".join(own)
                     n.append(listed.count(",") + 1 if own else 0)
                     shas.append(hashlib.sha256(listed.encode()).hexdigest())
-                    back = raw[bounds[k] : bounds[k + 1]] if c.faithful else c.decode([int(i) for i in listed.split(",")] if own else []).encode()
-                    backs.append(hashlib.sha256(back).hexdigest())
+                    backs.append(hashlib.sha256(c.decode_listed(listed)).hexdigest())
                     if keep_ids:
                         ids.append([int(i) for i in listed.split(",")] if own else [])
                 columns = [batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
