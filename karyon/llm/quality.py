@@ -1,10 +1,10 @@
 """Document quality: random-indexing word vectors pooled by document, and a two-layer network.
 
-Tokens are runs of word characters (case kept) and runs of other visible characters, hashed to `BUCKETS`
-buckets. Each bucket has a sparse random index vector; its word vector is the sum of the index vectors of
-all its direct neighbours over all documents, scaled to length 1. The sums are made by one pass that emits a partial table of at
-most BUCKETS rows a task, added up by bucket. A document is pooled to the means and spreads of its vectors
-and the mean change from token to token. A numpy network with one hidden layer reads these; a temperature
+Tokens are runs of word characters (case kept) and runs of other visible characters. Each has a sparse random index vector, made
+from its hash; its word vector is the sum of the index vectors of all its direct neighbours over all documents, scaled to
+length 1. Each token has its own sum: a map emits partial sums by token, and one aggregation adds them. The vectors are a table in files of the
+shared folder, mapped page by page, so the vocabulary has no bound and no process holds it. A document is pooled to the means and spreads
+of its vectors and the mean change from token to token. A numpy network with one hidden layer reads these; a temperature
 fitted on labelled documents apart calibrates its probabilities.
 
 The network is fitted on at most `most` documents of each class; the word vectors use all documents. Null and
@@ -23,15 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import label_rate, labelled, remainder
+from .lookup import Lookup, lookup
+from .tables import cut
 from .text import IS_WORD, LOWER, chunks, mix, spans
 
-BUCKETS = 1 << 14
 SIZE = 48
 NONZERO = 4
 HIDDEN = 32
 MOST = 6000
 THRESHOLD = 0.5
 _CHUNK = 1 << 20
+#: Token rows that a task holds before it passes their sums on.
+MOST_HELD = 1 << 17
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[IS_WORD[LOWER]] = 1
@@ -40,7 +43,7 @@ _KIND[[0, 9, 10, 11, 12, 13, 32]] = 0
 
 @dataclass
 class Model:
-    vectors: np.ndarray
+    vectors: Lookup
     centre: np.ndarray
     scale: np.ndarray
     layers: list[np.ndarray]
@@ -49,10 +52,10 @@ class Model:
 
 
 def tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each token, offsets by document)."""
+    """(hash of each token, offsets by document)."""
     n = len(raw)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     kind = _KIND[raw]
     turn = np.ones(n + 1, dtype=bool)
     turn[1:n] = kind[1:] != kind[:-1]
@@ -61,50 +64,84 @@ def tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     starts, ends = edges[:-1], edges[1:]
     seen = kind[starts] != 0
     starts, ends = starts[seen], ends[seen]
-    return (spans(raw, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(starts, bounds)
+    return spans(raw, starts, ends), np.searchsorted(starts, bounds)
 
 
-def index_vectors() -> np.ndarray:
-    """Sparse vectors of +1 and -1, from hashes of bucket and place."""
-    out = np.zeros((BUCKETS, SIZE), np.int8)
-    bucket = np.arange(BUCKETS, dtype=np.uint64)
+def index_places(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs), each tokens x NONZERO: the sparse index vector of each token, from hashes of the token."""
+    h = np.stack([mix(token * np.uint64(NONZERO) + np.uint64(k + 1)) for k in range(NONZERO)], axis=1)
+    return (h % np.uint64(SIZE)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.int64)
+
+
+def neighbour_sums(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct tokens, SIZE sums of each: the index vectors of its neighbours)."""
+    some, which = np.unique(token, return_inverse=True)
+    joined = np.ones(len(token), dtype=bool)
+    joined[at[:-1][at[:-1] < len(token)]] = False
+    right = np.flatnonzero(joined)
+    a, b = which[right - 1], which[right]
+    place, sign = index_places(some)
+    total = np.zeros(len(some) * SIZE)
     for k in range(NONZERO):
-        h = mix(bucket * np.uint64(NONZERO) + np.uint64(k + 1))
-        out[np.arange(BUCKETS), (h % np.uint64(SIZE)).astype(np.int64)] += np.where((h >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.int8)
-    return out
+        total += np.bincount(a * SIZE + place[b, k], sign[b, k], len(total)) + np.bincount(b * SIZE + place[a, k], sign[a, k], len(total))
+    return some, total.reshape(-1, SIZE).astype(np.int64)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = index_vectors().T.astype(np.float64).copy()
-    total = np.zeros((SIZE, BUCKETS))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        token = np.concatenate([h[0] for h in held])
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        return token[at], np.add.reduceat(np.concatenate([h[1] for h in held])[order], at, axis=0)
+
+    def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), *(pa.array(np.ascontiguousarray(found[1][:, d])) for d in range(SIZE))], names=["token", *(f"d{d}" for d in range(SIZE))])
+
     for batch in batches:
         for _, _, raw, bounds in chunks(batch.column(0), _CHUNK):
-            bucket, at = tokens(raw, bounds)
-            joined = np.ones(len(bucket), dtype=bool)
-            joined[at[:-1][at[:-1] < len(bucket)]] = False
-            right = np.flatnonzero(joined)
-            a, b = bucket[right - 1], bucket[right]
-            for d in range(SIZE):
-                total[d] += np.bincount(a, index[d][b], BUCKETS) + np.bincount(b, index[d][a], BUCKETS)
-    seen = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(total[d][seen].astype(np.int64)) for d in range(SIZE))], names=["bucket", *(f"d{d}" for d in range(SIZE))])
-
-
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """BUCKETS x SIZE vectors of length 1 (or 0), from all documents; a table of fixed size."""
-    parts = docs.select(text_col).mapInArrow(_neighbours, "bucket bigint, " + ", ".join(f"d{d} bigint" for d in range(SIZE)))
-    table = parts.groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(SIZE)]).toArrow()
-    out = np.zeros((BUCKETS, SIZE), np.float32)
-    if table.num_rows:
-        out[table["bucket"].to_numpy()] = np.stack([table[f"d{d}"].to_numpy() for d in range(SIZE)], axis=1)
-    own = index_vectors().astype(np.float32)
-    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
-    return out + 0.5 * own / np.sqrt(NONZERO)
-
-
-def pooled(vectors: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            token, at = tokens(raw, bounds)
+            if not len(token):
+                continue
+            held.append(neighbour_sums(token, at))
+            size += len(held[-1][0])
+            if size > MOST_HELD:
+                found = merged()
+                held, size = [found], len(found[0])
+                if size > MOST_HELD // 2:
+                    yield rows(found)
+                    held, size = [], 0
+    if held:
+        yield rows(merged())
+
+
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (token, sums): (key, value), vectors of length 1 (or 0) with a share of the token's own index vector."""
+    for batch in batches:
+        token = batch.column(0).to_numpy().view(np.uint64)
+        out = np.stack([batch.column(1 + d).to_numpy() for d in range(SIZE)], axis=1).astype(np.float32)
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
+        place, sign = index_places(token)
+        for k in range(NONZERO):
+            np.add.at(out, (np.arange(len(token)), place[:, k]), sign[:, k].astype(np.float32) * np.float32(0.5 / np.sqrt(NONZERO)))
+        width = 4 * SIZE
+        flat = out.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[i : i + width] for i in range(0, len(flat), width)], pa.binary())], names=["key", "value"])
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> Lookup:
+    """The vector of each token of all documents."""
+    parts = docs.select(text_col).mapInArrow(_neighbours, "token bigint, " + ", ".join(f"d{d} bigint" for d in range(SIZE)))
+    sums = parts.groupBy("token").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(SIZE)])
+    return lookup(cut(sums.mapInArrow(_unit, "key bigint, value binary")), SIZE)
+
+
+def pooled(vectors: Lookup, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A row for each document: means, spreads and mean changes of its vectors, and the log of its length."""
-    bucket, at = tokens(raw, bounds)
+    token, at = tokens(raw, bounds)
     rows = len(bounds) - 1
     out = np.zeros((rows, 3 * SIZE + 1), np.float32)
     n = np.diff(at)
@@ -112,9 +149,10 @@ def pooled(vectors: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarr
     if not len(some):
         return out
     start, count = at[some], n[some].astype(np.float32)
-    ends = np.append(start[1:], len(bucket)) - 1
-    for d, table in enumerate(np.ascontiguousarray(vectors.T)):
-        own = table[bucket]
+    ends = np.append(start[1:], len(token)) - 1
+    known, which = np.unique(token, return_inverse=True)
+    for d, table in enumerate(np.ascontiguousarray(np.nan_to_num(vectors.find(known.view(np.int64))).T)):
+        own = table[which]
         mean = np.add.reduceat(own, start) / count
         change = np.zeros_like(own)
         np.abs(own[1:] - own[:-1], out=change[:-1])
