@@ -1,22 +1,26 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's lines are its paragraphs; a line is cut further after words whose hash is divisible by `CUT`, so
-that an edit changes the pieces around it and no others. Each piece has a 64-bit digest of its bytes, numbered
-if it repeats. A sketch is a table of cells (count, xor of digests, xor of checks); a digest goes to one cell in
-each of four quarters. Sizes are powers of two, and a sketch folds to half its size by adding its halves.
-
-The sketches of two texts subtract cell by cell; cells with one digest left are peeled, until the
-differing digests are recovered. If cells remain, both sketches are made anew with twice the cells, until it works.
+A text's lines are its paragraphs; a line is cut further after words whose hash is divisible by `CUT`, so that an edit
+changes the pieces around it and no others. Each piece has a KEY_BITS-bit digest of its bytes, numbered if it repeats. A sketch
+is a table of cells (count, xor of digests, xor of their checks); a digest goes to one cell in each of four quarters, at the
+place that the lowest bits of a hash give. Sizes are powers of two, so a sketch folds to half its size by adding the halves of
+each quarter, and sketches of different sizes can be compared.
+
+The fingerprint is the text's sketch folded to BASE_CELLS cells, with the number of its digests, in base 64. Two fingerprints
+are compared by subtracting their cells and peeling: a cell with one digest left gives that digest, which is taken out of its
+other cells, until nothing remains. What is recovered are the paragraph digests in which the two texts differ. A small sketch recovers
+few; where cells remain, the comparison is retried with sketches GROWTH times as large, made from the texts, until it works.
 With d digests recovered of texts with a and b, the texts share (a + b - d) / 2, and their likeness is this part of all their digests.
 
 `neighbour_fingerprints` compares each document with an edited text and with the next document by descending id. The documents are
-dealt by ranges of the id and read in order; what a range needs of the next one (its first text) is carried in a row for each
-range. Rows that repeat an id stand in the order of their texts, null ids last. A null text is empty; two empty texts have likeness 1; a
-single document is its own next. Other columns are ignored.
+dealt by ranges of the id and the beginning of the text, and read in order; what a range needs of the next one (its first text) is carried
+in a row for each range. Rows that repeat an id stand in the order of their texts, null ids last; ids may be of any type that has an order. A
+null text is empty; two empty texts have likeness 1; a single document is its own next. Other columns are ignored. One output row for each input row.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -30,10 +34,15 @@ from .tables import cut
 from .text import LOWER, mix, spans, utf8, word_places
 
 CUT = np.uint64(4)
-LEAST_CELLS = 16
+BASE_CELLS = 16
+GROWTH = 4
+KEY_BITS, CHECK_BITS = 40, 16
 _HASHES = 4
-_CHECK = np.uint64(0x51ED270B7A9C3F15)
+_KEY, _CHECK = np.uint64((1 << KEY_BITS) - 1), np.uint64((1 << CHECK_BITS) - 1)
+_SALT = np.uint64(0x51ED270B7A9C3F15)
 _ROWS_BYTES = 1 << 21
+#: Characters of a text by which rows of one id are dealt to ranges.
+_PREFIX = 32
 
 
 def digests(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,21 +64,20 @@ def digests(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
     number = (np.arange(len(d)) - first).astype(np.uint64)
-    return mix(d + number * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(t, np.arange(rows + 1))
+    return mix(d + number * np.uint64(0x9E3779B97F4A7C15)) & _KEY, np.searchsorted(t, np.arange(rows + 1))
 
 
-def cells_for(n: np.ndarray) -> np.ndarray:
-    """The least power of two of cells from LEAST_CELLS on that is at least n."""
-    return np.maximum(LEAST_CELLS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+def _check(digest: np.ndarray) -> np.ndarray:
+    return mix(digest ^ _SALT) & _CHECK
 
 
 class Sketches:
-    """Tables of cells for many texts (or differences of texts) in one run of arrays."""
+    """Tables of cells for many texts (or differences of texts) in one run of arrays; table i has cells[i] of them."""
 
     def __init__(self, cells: np.ndarray) -> None:
         self.cells = cells
         self.at = np.concatenate([[0], np.cumsum(cells)])
-        self.count = np.zeros(self.at[-1], np.int32)
+        self.count = np.zeros(self.at[-1], np.int64)
         self.key = np.zeros(self.at[-1], np.uint64)
         self.check = np.zeros(self.at[-1], np.uint64)
 
@@ -83,17 +91,25 @@ class Sketches:
 
     def add(self, text: np.ndarray, digest: np.ndarray, sign: int | np.ndarray) -> None:
         where = self.places(text, digest)
-        np.add.at(self.count, where, np.tile(np.broadcast_to(np.asarray(sign, np.int32), len(digest)), _HASHES))
+        np.add.at(self.count, where, np.tile(np.broadcast_to(np.asarray(sign, np.int64), len(digest)), _HASHES))
         np.bitwise_xor.at(self.key, where, np.tile(digest, _HASHES))
-        np.bitwise_xor.at(self.check, where, np.tile(mix(digest ^ _CHECK), _HASHES))
+        np.bitwise_xor.at(self.check, where, np.tile(_check(digest), _HASHES))
+
+    def less(self, other: Sketches) -> Sketches:
+        """The differences of tables of equal sizes."""
+        out = Sketches(self.cells)
+        out.count = self.count - other.count
+        out.key, out.check = self.key ^ other.key, self.check ^ other.check
+        return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray]:
         """(digests recovered, whether nothing remains) of each difference. Empties the cells."""
         owner = np.repeat(np.arange(len(self.cells)), self.cells)
         found = np.zeros(len(self.cells), np.int64)
         look = np.flatnonzero(np.abs(self.count) == 1)
-        while True:
-            pure = look[(np.abs(self.count[look]) == 1) & (mix(self.key[look] ^ _CHECK) == self.check[look])]
+        left_to_do = 2 * len(owner) + 8  # a wrong digest can come and go: stop then
+        while left_to_do > 0:
+            pure = look[(np.abs(self.count[look]) == 1) & (_check(self.key[look]) == self.check[look])]
             if not len(pure):
                 break
             text, digest, sign = owner[pure], self.key[pure], self.count[pure]
@@ -104,46 +120,90 @@ class Sketches:
             text, digest, sign = text[new], digest[new], sign[new]
             self.add(text, digest, -sign)
             found += np.bincount(text, minlength=len(found))
+            left_to_do -= len(text)
             look = np.unique(self.places(text, digest))
-        left = np.bincount(owner[(self.count != 0) | (self.key != 0)], minlength=len(self.cells)) > 0
+        left = np.bincount(owner[(self.count != 0) | (self.key != 0) | (self.check != 0)], minlength=len(self.cells)) > 0
         return found, ~left
 
-    def bytes_of(self, i: int) -> bytes:
-        a, b = self.at[i], self.at[i + 1]
-        return self.count[a:b].tobytes() + self.key[a:b].tobytes() + self.check[a:b].tobytes()
+    def packed(self) -> np.ndarray:
+        """A cell as 64 bits: the count modulo 256, the digests, the checks."""
+        return (self.count.astype(np.uint64) & np.uint64(0xFF)) << np.uint64(KEY_BITS + CHECK_BITS) | self.key << np.uint64(CHECK_BITS) | self.check
+
+    @classmethod
+    def unpacked(cls, cells: np.ndarray, packed: np.ndarray) -> Sketches:
+        out = cls(cells)
+        out.count = (packed >> np.uint64(KEY_BITS + CHECK_BITS)).astype(np.uint8).view(np.int8).astype(np.int64)
+        out.key, out.check = packed >> np.uint64(CHECK_BITS) & _KEY, packed & _CHECK
+        return out
 
 
-def sketches(digest: np.ndarray, at: np.ndarray) -> Sketches:
-    """The sketch of each text, with as many cells as its digests need."""
+def sketches(digest: np.ndarray, at: np.ndarray, cells: np.ndarray | int = BASE_CELLS) -> Sketches:
+    """The sketch of each text with so many cells."""
     n = np.diff(at)
-    out = Sketches(cells_for(n))
+    out = Sketches(np.broadcast_to(np.asarray(cells, np.int64), len(n)))
     out.add(np.repeat(np.arange(len(n)), n), digest, 1)
     return out
 
 
+def folded(packed: np.ndarray, cells: int) -> np.ndarray:
+    """A packed sketch folded to fewer cells: the halves of each quarter are added until it has so many."""
+    while len(packed) > cells:
+        halves = packed.reshape(_HASHES, 2, -1)
+        a, b = halves[:, 0], halves[:, 1]
+        low = np.uint64((1 << KEY_BITS + CHECK_BITS) - 1)
+        high = ~low
+        packed = (((a & high) + (b & high)) | ((a ^ b) & low)).ravel()
+    return packed
+
+
+def encoded(n: np.ndarray, packed: np.ndarray) -> list[str]:
+    """Fingerprints: the number of digests (8 bytes), then the cells, in base 64."""
+    rows = np.concatenate([np.asarray(n, np.uint64)[:, None], packed.reshape(len(n), -1)], axis=1).astype("<u8")
+    flat, width = rows.tobytes(), 8 * rows.shape[1]
+    return [base64.b64encode(flat[i : i + width]).decode() for i in range(0, len(flat), width)]
+
+
+def decoded(fingerprints: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(numbers of digests, packed cells) of fingerprints, which may be of different sizes."""
+    rows = [np.frombuffer(base64.b64decode(f), "<u8") for f in fingerprints]
+    return np.array([int(r[0]) for r in rows], np.int64), [r[1:] for r in rows]
+
+
 def _gather(digest: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = at[rows + 1] - at[rows]
     return digest[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[rows], n)], n
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of text i of a and text i of b, for all i: from their subtracted and peeled sketches."""
+def fingerprint_likeness(one: list[str], other: list[str]) -> np.ndarray:
+    """The likeness of fingerprints, nan where their sketches are too small for it. Sketches of different sizes are folded to the smaller one."""
+    (n, a), (m, b) = decoded(one), decoded(other)
+    cells = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    fit = lambda rows: Sketches.unpacked(cells, np.concatenate([np.zeros(0, np.uint64), *(folded(x, c) for x, c in zip(rows, cells.tolist(), strict=True))]))
+    return _shared(n, m, *fit(a).less(fit(b)).peel())
+
+
+def _shared(n: np.ndarray, m: np.ndarray, differing: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    shared = (n + m - differing) / 2
+    sane = whole & (differing <= n + m) & ((n + m - differing) % 2 == 0) & (differing >= np.abs(n - m))
+    return np.where(sane, np.where(n + m == 0, 1.0, shared / np.maximum(n + m - shared, 1)), np.nan)
+
+
+def likeness(one: list[str], other: list[str], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """(likeness of fingerprint i to the other's i for all i, how many were retried). a and b have the digests of the texts, for the retries."""
+    out = fingerprint_likeness(one, other)
     n, m = np.diff(a[1]), np.diff(b[1])
-    out = np.ones(len(n))
-    todo = np.flatnonzero(n + m)
-    cells = cells_for((n + m)[todo] // 2)
+    todo = np.flatnonzero(np.isnan(out))
+    retried, cells = len(todo), np.full(len(todo), BASE_CELLS * GROWTH, np.int64)
     while len(todo):
-        both = Sketches(cells)
-        for side, sign in ((a, 1), (b, -1)):
-            digest, count = _gather(*side, todo)
-            both.add(np.repeat(np.arange(len(todo)), count), digest, sign)
-        differing, whole = both.peel()
-        done = todo[whole]
-        total = (n + m)[done]
-        shared = (total - differing[whole]) / 2
-        out[done] = shared / (total - shared)
-        todo, cells = todo[~whole], cells[~whole] * 2
-    return out
+        sides = []
+        for digest, at in (a, b):
+            own, count = _gather(digest, at, todo)
+            sides.append(sketches(own, np.concatenate([[0], np.cumsum(count)]), cells))
+        found = _shared(n[todo], m[todo], *sides[0].less(sides[1]).peel())
+        out[todo] = found
+        failed = np.isnan(found)
+        todo, cells = todo[failed], cells[failed] * GROWTH
+    return out, retried
 
 
 def _edited(data: bytes, raw: np.ndarray, bounds: np.ndarray, follower: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -162,8 +222,8 @@ def _edited(data: bytes, raw: np.ndarray, bounds: np.ndarray, follower: np.ndarr
     return out, chars
 
 
-def compared(texts: list[bytes], follower: np.ndarray, keep_sketches: bool) -> list[pa.Array]:
-    """n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next [, sketch, edited_sketch] of the first len(follower) texts."""
+def compared(texts: list[bytes], follower: np.ndarray) -> list[pa.Array]:
+    """n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, retries of the first len(follower) texts."""
     data = b"".join(texts)
     raw = np.frombuffer(data, np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -171,94 +231,88 @@ def compared(texts: list[bytes], follower: np.ndarray, keep_sketches: bool) -> l
     edited, chars = _edited(data, raw, bounds, follower)
     changed = digests(np.frombuffer(b"".join(edited), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in edited])]).astype(np.int64))
     n = len(follower)
-    head = own[0][: own[1][n]], own[1][: n + 1]
+    prints = encoded(np.diff(own[1]), sketches(*own).packed())
+    edited_prints = encoded(np.diff(changed[1]), sketches(*changed).packed())
     digest, count = _gather(*own, follower)
-    following = digest, np.concatenate([[0], np.cumsum(count)])
-    made, made_edited = sketches(*head), sketches(*changed)
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    columns = [
+    head, following = (own[0][: own[1][n]], own[1][: n + 1]), (digest, np.concatenate([[0], np.cumsum(count)]))
+    near_edited, _ = likeness(prints[:n], edited_prints, head, changed)
+    near_next, _ = likeness(prints[:n], [prints[j] for j in follower.tolist()], head, following)
+    return [
         pa.array(chars[:n], pa.int64()),
-        pa.array([sha(t) for t in edited], pa.string()),
-        pa.array([sha(made.bytes_of(i)) for i in range(n)], pa.string()),
-        pa.array([sha(made_edited.bytes_of(i)) for i in range(n)], pa.string()),
-        pa.array(likeness(head, changed)),
-        pa.array(likeness(head, following)),
+        pa.array([hashlib.sha256(t).hexdigest() for t in edited], pa.string()),
+        pa.array(prints[:n], pa.string()),
+        pa.array(edited_prints, pa.string()),
+        pa.array(near_edited),
+        pa.array(near_next),
     ]
-    if keep_sketches:
-        columns += [pa.array([s.bytes_of(i) for i in range(n)], pa.binary()) for s in (made, made_edited)]
-    return columns
 
 
 _RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_EMPTY = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
 
-def _in_order(keep: bool):
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a range's rows (id, text) in order: results of all but its last row, then a row with its first and its last text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        ids: list = []
-        texts: list[bytes] = []
-        first = None
-        names = ["id", *_NAMES, *(["sketch", "edited_sketch"] if keep else []), "part", "first", "last"]
-
-        def flush() -> pa.RecordBatch:
-            n = len(ids) - 1
-            columns = compared(texts, np.arange(1, n + 1), keep)
-            none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
-            batch = pa.RecordBatch.from_arrays([pa.array(ids[:-1], pa.int64()), *columns, *none], names=names)
-            del ids[:-1], texts[:-1]
-            return batch
-
-        for batch in batches:
-            raw, bounds = utf8(batch.column(1))
-            data = raw.tobytes()
-            held = sum(map(len, texts))
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                text = data[bounds[i] : bounds[i + 1]]
-                if first is None:
-                    first = text
-                ids.append(key)
-                texts.append(text)
-                held += len(text)
-                if held > _ROWS_BYTES and len(ids) > 1:
-                    yield flush()
-                    held = len(texts[0])
-        if len(ids) > 1:
-            yield flush()
-        if ids:
-            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())] + [pa.nulls(1, pa.binary())] * (2 * keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *empty, pa.array([part], pa.int32()), pa.array([first.decode()], pa.string()), pa.array([texts[0].decode()], pa.string())], names=names)
-
-    return run
-
-
-def _pairs(keep: bool):
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    ids: list[pa.Array] = []
+    texts: list[bytes] = []
+    first = None
+    names = ["id", *_NAMES, "part", "first", "last"]
+
+    def flush() -> pa.RecordBatch:
+        n = len(texts) - 1
+        columns = compared(texts, np.arange(1, n + 1))
+        none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
+        own = pa.concat_arrays(ids)
+        batch = pa.RecordBatch.from_arrays([own.slice(0, n), *columns, *none], names=names)
+        ids[:] = [own.slice(n)]
+        del texts[:-1]
+        return batch
+
+    for batch in batches:
+        raw, bounds = utf8(batch.column(1))
+        data = raw.tobytes()
+        held, begin = sum(map(len, texts)), 0
+        for i in range(len(batch)):
+            text = data[bounds[i] : bounds[i + 1]]
+            if first is None:
+                first = text
+            texts.append(text)
+            held += len(text)
+            if held > _ROWS_BYTES and len(texts) > 1:
+                ids.append(batch.column(0).slice(begin, i + 1 - begin))
+                begin = i + 1
+                yield flush()
+                held = len(texts[0])
+        if begin < len(batch):
+            ids.append(batch.column(0).slice(begin))
+    if len(texts) > 1:
+        yield flush()
+    if texts:
+        empty = [pa.nulls(1, t) for t in _EMPTY]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *empty, pa.array([part], pa.int32()), pa.array([first.decode()], pa.string()), pa.array([texts[0].decode()], pa.string())], names=names)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (id, text, next text): their results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            for i in range(n):
-                texts = [(batch.column(c)[i].as_py() or "").encode() for c in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *compared(texts, np.array([1]), keep)], names=["id", *_NAMES, *(["sketch", "edited_sketch"] if keep else [])])
-
-    return run
-
-
-def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_sketches: bool = False) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document; fingerprints are SHA-256 of
-    the sketches, which keep_sketches adds."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("id"), F.asc("text")]
-    dealt = rows.repartitionByRange(*order[:1]).sortWithinPartitions(*order)
-    result = _RESULT + ", sketch binary, edited_sketch binary" * keep_sketches
-    made = cut(dealt.mapInArrow(_in_order(keep_sketches), f"id bigint, {result}, part int, first string, last string"))
+    for batch in batches:
+        for i in range(len(batch)):
+            texts = [(batch.column(c)[i].as_py() or "").encode() for c in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *compared(texts, np.array([1]))], names=["id", *_NAMES])
+
+
+def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a task gets the rows of a range of (id, beginning of the text), so rows that repeat an id are split by their texts
+    dealt = rows.repartitionByRange(F.desc_nulls_last("id"), F.substring("text", 1, _PREFIX).asc()).sortWithinPartitions(F.desc_nulls_last("id"), F.asc("text"))
+    made = cut(dealt.mapInArrow(_in_order, f"id {kind}, {_RESULT}, part int, first string, last string"))
     edge = made.where("part is not null").select("id", "part", "first", "last")
     parts = edge.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a number for each range; texts do not pass here
     edge = edge.join(parts, "part").join(edge.select(F.col("part").alias("next_part"), F.col("first").alias("next")), "next_part").select("id", "last", "next")
-    whole = made.where("part is null").drop("part", "first", "last").unionByName(edge.mapInArrow(_pairs(keep_sketches), f"id bigint, {result}"))
+    whole = made.where("part is null").drop("part", "first", "last").unionByName(edge.mapInArrow(_pairs, f"id {kind}, {_RESULT}"))
     return whole.withColumnRenamed("id", id_col)

@@ -4,10 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from karyon.llm.decontaminate import benchmark_hits, contamination, without_spans
-from karyon.llm.fingerprints import neighbour_fingerprints
-from karyon.llm.jaccard_join import jaccard_groups
+from karyon.llm.fingerprints import Sketches, digests, fingerprint_likeness, folded, neighbour_fingerprints, sketches
+from karyon.llm.jaccard_join import jaccard_groups, least_similarity, one_of_each_group, stop_depths
 from karyon.llm.tables import table
+from karyon.llm.text import utf8
 
 from . import edges
 
@@ -150,3 +154,94 @@ def test_fingerprint_likeness(spark):
     assert got[9].near_next == 1 and got[9].fingerprint == got[8].fingerprint
     assert 0.9 < got[8].near_next < 1 and got[7].near_next < 0.05
     assert got[7].near_edited > 0.25
+
+
+def exact_likeness(one, other):
+    """Of the pieces' digests, as sets."""
+    a, b = (set(digests(*utf8(pa.array([t])))[0].tolist()) for t in (one, other))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_likeness_is_exact_over_the_table(spark):
+    rows = sorted((tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()), reverse=True)
+    got = {r.doc_id: r for r in neighbour_fingerprints(table(spark, SF, "documents")).collect()}
+    for k, (i, text) in enumerate(rows):
+        text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        assert abs(got[i].near_edited - exact_likeness(text, text[: len(text) - half] + following[:half])) < 1e-9
+        assert abs(got[i].near_next - exact_likeness(text, following)) < 1e-9
+
+
+def test_near_copies_need_their_fingerprints_only(spark):
+    base = [f"word{k * 7919 % 900}" for k in range(800)]
+    rows = [(3, " ".join(base)), (2, " ".join([*base[:400], "inserted", *base[400:]])), (1, "quite another text")]
+    got = {r.doc_id: r for r in neighbour_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    prints = [got[k].fingerprint for k in (3, 2, 1)]
+    alone = fingerprint_likeness(prints, prints[1:] + prints[:1])
+    assert abs(alone[0] - exact_likeness(rows[0][1], rows[1][1])) < 1e-9 and np.isnan(alone[1])
+    assert fingerprint_likeness(prints, prints).tolist() == [1, 1, 1]
+
+
+def test_sketches_fold():
+    digest = np.random.default_rng(2).integers(1, 1 << 40, 500).astype(np.uint64)
+    at = np.array([0, 500])
+    large, small = sketches(digest, at, 1024).packed(), sketches(digest, at, 16).packed()
+    assert (folded(large, 16) == small).all()
+    other = sketches(digest[5:], np.array([0, 495]), 1024)
+    found, whole = Sketches.unpacked(np.array([1024]), large).less(other).peel()
+    assert whole[0] and found[0] == 5
+
+
+def test_fingerprints_of_odd_ids(spark):
+    rows = [("b", "x y z"), ("a", "x y z"), ("b", "another text"), (None, "n"), (None, "m"), (None, None)]
+    found = neighbour_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(found) == len(rows)
+    order = [("b", "another text"), ("b", "x y z"), ("a", "x y z"), (None, ""), (None, "m"), (None, "n")]
+    want = []
+    for k, (i, text) in enumerate(order):
+        half = len(text) // 2
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - half] + order[(k + 1) % 6][1][:half]).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in found), key=repr) == sorted(want, key=repr)
+
+
+def test_groups_of_odd_ids(spark):
+    """One output row for each input row: string ids, null ids, ids that repeat with other texts."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", base), ("a", base + " more"), ("b", "quite another text of seven words"), (None, base), (None, base), (None, "no id"), (None, None), ("c", "quite another text of seven words"), ("c", "quite another text of seven words")]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id string, text string, `class.id` string")
+    got = jaccard_groups(docs).collect()
+    assert len(got) == len(rows)
+    want = [("b", "a", 1, "b", 3), ("a", "a", 3, "a", 1), ("b", "b", 0, "b", 2), (None, "a", 1, "b", 3), (None, "a", 1, "b", 3), (None, None, 0, None, 1), (None, None, 0, None, 1), ("c", "b", 0, "b", 2), ("c", "b", 0, "b", 2)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    kept = one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or "", r.text or "") for r in kept.collect()) == sorted([("a", base + " more"), ("b", "quite another text of seven words"), ("", "no id"), ("", "")])
+
+
+def test_stop_depths():
+    """A text is done early only if every partner it can have at the threshold would have met it."""
+    for n in range(1, 60):
+        every = [i / (n + m - i) for m in range(1, 120) for i in range(1, min(n, m) + 1) if i >= 0.8 * (n + m - i) - 1e-9]
+        assert abs(least_similarity(n, 0.8) - min(every)) < 1e-9
+    depths = stop_depths(0.8, 20, 6, 0.9999)
+    assert depths[1] == 6 and depths[-1] == 4 and len(set(depths.tolist())) == 3
+
+
+def test_recall_of_every_hundredth_document(spark):
+    """Queries are all rows whose id is divisible by 100, against all rows of sf0.1, by brute force."""
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").collect()]
+    bags, whole, places = {i: shingles(t) for i, t in docs}, {i: hash(tuple(words(t))) for i, t in docs}, {}
+    for i, bag in bags.items():
+        for g in bag:
+            places.setdefault(g, []).append(i)
+    want = {}
+    for i in (i for i in bags if i % 100 == 0):
+        shared = {}
+        for g in bags[i]:
+            for j in places[g]:
+                shared[j] = shared.get(j, 0) + 1
+        want[i] = sum(whole[j] != whole[i] and n >= 0.8 * (len(bags[i]) + len(bags[j]) - n) - 1e-9 for j, n in shared.items())
+    got = {r.doc_id: r.n_links for r in jaccard_groups(table(spark, "/root/testdata/sf0.1", "documents")).collect() if r.doc_id % 100 == 0}
+    print("links", sum(want.values()), "found", sum(min(got[i], n) for i, n in want.items()))
+    assert got.keys() == want.keys() and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 0
