@@ -4,7 +4,7 @@ A page is read into its leaf blocks in order. Each block has binary features: it
 their classes, ids and roles, and of its text the length, the share inside links, its ending and a copyright sign. The field scores a
 label (main or not) for each block and each pair of neighbours; it is trained on labelled pages by gradient
 steps on the log-likelihood (forward-backward) and decoded by Viterbi. The training pages are generated from a seed
-with known labels (`html_pages`), as the table of pages has none.
+with known labels (`html_pages`) in several independent layouts, as the table of pages has none; tests leave each layout out of training in turn.
 
 Result: blocks labelled main, white space inside a block as one space, joined by two line ends. A null or empty page, or one without
 main blocks, gives an empty text. Repeated rows give repeated results; an empty table an empty one; other columns are ignored.
@@ -21,20 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .html_blocks import Block, page_blocks
-from .html_pages import labelled_pages
+from .html_pages import LAYOUTS, labelled_pages
 
 TRAINING_PAGES = 600
 STEPS = 250
 
 
-def block_features(b: Block) -> list[str]:
+def text_features(b: Block) -> list[str]:
     words = b.text.count(" ") + 1
     share = b.linked / max(1, len(b.text))
-    found = [f"in:{t}" for t in set(b.tags)]
-    found += [f"name:{w}" for w in b.names]
-    found.append(f"parent:{b.tags[-1] if b.tags else ''}")
-    found.append(f"words:{min(words.bit_length(), 7)}")
-    found.append(f"linked:{min(int(share * 4), 3)}")
+    found = [f"parent:{b.parent}", f"words:{min(words.bit_length(), 7)}", f"linked:{min(int(share * 4), 3)}"]
     found.append("ends" if b.text[-1:] in ".!?:;\"'”»" else "open")
     if "©" in b.text or "copyright" in b.text.lower():
         found.append("copyright")
@@ -42,6 +38,10 @@ def block_features(b: Block) -> list[str]:
     return found
 
 
+def block_features(b: Block) -> list[str]:
+    return [*b.around, *text_features(b)]
+
+
 @dataclass
 class Field:
     weights: dict[str, float]  # score of main less that of other
@@ -56,9 +56,17 @@ class Field:
         (stay0, up), (down, stay1) = self.follow.tolist()
         back: list[tuple[int, int]] = []
         zero, one = self.start.tolist()
-        one += sum([get(f, 0.0) for f in block_features(blocks[0])])
+        around: dict[int, float] = {}  # blocks of one element share its set of features
+
+        def score(b: Block) -> float:
+            key = id(b.around)
+            if key not in around:
+                around[key] = sum([get(f, 0.0) for f in sorted(b.around)])
+            return around[key] + sum([get(f, 0.0) for f in text_features(b)])
+
+        one += score(blocks[0])
         for b in blocks[1:]:
-            own = sum([get(f, 0.0) for f in block_features(b)])
+            own = score(b)
             back.append((0 if zero + stay0 >= one + down else 1, 0 if zero + up >= one + stay1 else 1))
             zero, one = max(zero + stay0, one + down), max(zero + up, one + stay1) + own
         label = int(one > zero)
@@ -114,13 +122,15 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, rate:
     return Field({f: float(params[0][k]) for f, k in index.items()}, params[1], params[2])
 
 
-@lru_cache(maxsize=1)
-def trained_field() -> Field:
-    return train(labelled_pages(TRAINING_PAGES))
+@lru_cache(maxsize=8)
+def trained_field(without: str = "", pages: int = TRAINING_PAGES) -> Field:
+    """Trained on generated pages of all layouts but one; a sixth as many of each small layout as of `parts`."""
+    made = [labelled_pages(pages if layout == "parts" else pages // 6, layout, seed=5 + k) for k, layout in enumerate(LAYOUTS) if layout != without]
+    return train([p for own in made for p in own])
 
 
 def main_text(html: str | None, field: Field) -> str:
-    blocks = page_blocks(html)
+    blocks = page_blocks(html, field.weights.__contains__)
     return "\n\n".join(b.text for b, label in zip(blocks, field.decode(blocks), strict=True) if label)
 
 
@@ -132,7 +142,8 @@ def extract_pages(pages: DataFrame, field: Field | None = None, id_col: str = "p
         for batch in batches:
             for first in range(0, len(batch), 256):
                 rows = batch.slice(first, 256)
-                texts = [main_text(html.as_py(), shared.value) for html in rows.column(2)]
+                field = shared.value
+                texts = [main_text(html.as_py(), field) for html in rows.column(2)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}

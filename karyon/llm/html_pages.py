@@ -88,7 +88,7 @@ class _Page:
         kind = self.rng.random()
         if kind < 0.72:
             body = self.words(1, 120 if self.chance(0.7) else 4, _MAIN)
-            return self.pick([f"<p>{body}</p>"] * 5 + [f"<p>{body} {self.link('')}</p>", f"<p><b>{body}<br></p>", f"<p>{body}"])
+            return self.pick([f"<p>{body}</p>"] * 5 + [f"<p>{body} {self.link('')}</p>", f"<p><em>{body}</em></p>", f"<p>{body}"])
         if kind < 0.8:
             return f"<h2>{self.words(1, 8, _MAIN)}</h2>"
         if kind < 0.86:
@@ -124,14 +124,79 @@ class _Page:
         before = [f for f, p in ((self.notice, 0.2), (self.header, 0.5), (self.menu, 0.8), (self.advert, 0.4), (self.form, 0.15), (self.side, 0.15)) if self.chance(p)]
         after = [f for f, p in ((self.comments, 0.3), (self.side, 0.4), (self.advert, 0.25), (self.form, 0.25), (self.menu, 0.15), (self.notice, 0.1), (self.footer, 0.8)) if self.chance(p)]
         body = "".join(f() for f in before) + self.article() + "".join(f() for f in after)
-        return f"<html><head><title>x</title><script>var t='</p>';</script></head><body>{body}" + "</body></html>" * self.chance(0.9)
+        return f"<html><head><title>x</title><style>p {{ margin: 0 }}</style></head><body>{body}" + "</body></html>" * self.chance(0.9)
 
 
-def labelled_pages(n: int, seed: int = 5) -> list[tuple[list, list[int]]]:
-    """(blocks, label of each: 1 for main text) of n generated pages."""
+class _Blog(_Page):
+    """A weblog: header bar, one post with a byline, a column of widgets, replies in a list of definition-like boxes."""
+
+    def html(self) -> str:
+        w = self.words
+        post = "".join(self.pick([f"<p>{w(10, 90, _MAIN)}</p>"] * 6 + [f"<h3>{w(2, 6, _MAIN)}</h3>", f"<blockquote>{w(8, 30, _MAIN)}</blockquote>", f"<ol><li>{w(3, 12, _MAIN)}</li><li>{w(3, 12, _MAIN)}</li></ol>"]) for _ in range(int(self.rng.integers(2, 9))))
+        replies = "".join(f'<div class="reply"><span class="who">{w(1, 2, _OTHER)}</span><p>{w(4, 50, _OTHER)}</p></div>' for _ in range(int(self.rng.integers(0, 5))))
+        widgets = "".join(f'<div class="widget"><h4>{w(1, 3, _OTHER)}</h4><ul>{"".join(f"<li>{self.link(_OTHER, 1, 6)}</li>" for _ in range(4))}</ul></div>' for _ in range(int(self.rng.integers(1, 4))))
+        bar = f'<div id="topbar"><a href="/">{w(1, 3, _OTHER)}</a> <a href="/about">{w(1, 2, _OTHER)}</a></div>'
+        return f'<!doctype html><html><body>{bar}<div id="wrap"><div class="hentry entry"><h1 class="entry-title">{w(2, 9, _MAIN)}</h1><div class="entry-content">{post}</div></div><div id="replies">{replies}</div><div id="secondary">{widgets}</div></div><div id="colophon">{w(3, 9, _OTHER)}</div></body></html>'
+
+
+class _News(_Page):
+    """A newspaper: masthead, sections, story with teasers between its paragraphs, a subscription box, related stories, imprint."""
+
+    def html(self) -> str:
+        w = self.words
+        parts = []
+        for _ in range(int(self.rng.integers(3, 12))):
+            parts.append(f"<p>{w(12, 70, _MAIN)}</p>")
+            if self.chance(0.1):
+                parts.append(f'<div class="teaser related"><h5>{w(1, 2, _OTHER)}</h5>{self.link(_OTHER, 3, 9)}</div>')
+            if self.chance(0.08):
+                parts.append(f'<figure><figcaption>{w(4, 15, _MAIN)}</figcaption></figure>')
+        sections = "".join(f"<a href='/s'>{w(1, 1, _OTHER)}</a>" for _ in range(8))
+        return (
+            f'<html><body><header role="banner"><div class="masthead">{w(1, 3, _OTHER)}</div><nav class="sections">{sections}</nav></header><div class="consent-banner"><p>{w(10, 30, _OTHER)}</p></div>'
+            f'<main><section class="story"><h1>{w(4, 12, _MAIN)}</h1><div class="story-body">{"".join(parts)}</div></section><section class="subscribe-box"><p>{w(5, 15, _OTHER)}</p><button>{w(1, 2, _OTHER)}</button></section></main>'
+            f'<aside class="most-read"><ol>{"".join(f"<li>{self.link(_OTHER, 4, 9)}</li>" for _ in range(5))}</ol></aside><footer><p>{w(3, 10, _OTHER)}</p></footer></body></html>'
+        )
+
+
+class _Manual(_Page):
+    """Documentation: a tree of links at the left, sections with code and tables, a line of neighbours below."""
+
+    def html(self) -> str:
+        w = self.words
+        tree = "<ul>" + "".join(f"<li>{self.link(_OTHER, 1, 4)}<ul><li>{self.link(_OTHER, 1, 4)}</li></ul></li>" for _ in range(int(self.rng.integers(3, 9)))) + "</ul>"
+        parts = []
+        for _ in range(int(self.rng.integers(1, 6))):
+            parts += [f"<h2>{w(1, 6, _MAIN)}</h2>", f"<p>{w(8, 60, _MAIN)}</p>"]
+            parts.append(self.pick([f"<pre><code>{w(4, 25, _MAIN)}</code></pre>", f"<dl><dt>{w(1, 3, _MAIN)}</dt><dd>{w(3, 20, _MAIN)}</dd></dl>", f"<table><tr><th>{w(1, 2, _MAIN)}</th><td>{w(1, 6, _MAIN)}</td></tr></table>", ""]))
+        return (
+            f'<html><body><div class="navbar"><input name="q"><a href="/">{w(1, 2, _OTHER)}</a></div><div class="toc sidebar-tree">{tree}</div><div role="main" class="document"><h1>{w(1, 6, _MAIN)}</h1>{"".join(parts)}</div>'
+            f'<div class="prev-next"><a href="p">{w(1, 3, _OTHER)}</a> <a href="n">{w(1, 3, _OTHER)}</a></div><div class="foot"><p>{w(3, 12, _OTHER)}</p></div></body></html>'
+        )
+
+
+class _Recipe(_Page):
+    """A page of an old shop or hobby site: tables for the layout, few names, an advert column, a sign-up form."""
+
+    def html(self) -> str:
+        w = self.words
+        body = "".join(self.pick([f"<p>{w(8, 60, _MAIN)}</p>"] * 4 + [f"<ul><li>{w(2, 9, _MAIN)}<li>{w(2, 9, _MAIN)}</ul>", f"<h2>{w(1, 5, _MAIN)}</h2>"]) for _ in range(int(self.rng.integers(2, 8))))
+        menu = "".join(f"<tr><td class=\"menu\">{self.link(_OTHER, 1, 2)}</td></tr>" for _ in range(6))
+        return (
+            f'<html><body><table><tr><td><table>{menu}</table></td><td><div class="content"><h1>{w(2, 7, _MAIN)}</h1>{body}</div></td><td><div class="sponsor-col">{w(3, 18, _OTHER)}</div>'
+            f'<form action="/join"><p>{w(3, 10, _OTHER)}</p><input><button>{w(1, 1, _OTHER)}</button></form></td></tr></table><div class="bottom">{w(2, 9, _OTHER)}</div></body></html>'
+        )
+
+
+#: Layouts by name; each is written apart from the others.
+LAYOUTS = {"parts": _Page, "blog": _Blog, "news": _News, "manual": _Manual, "table": _Recipe}
+
+
+def labelled_pages(n: int, layout: str = "parts", seed: int = 5) -> list[tuple[list, list[int]]]:
+    """(blocks, label of each: 1 for main text) of n generated pages of a layout."""
     out = []
     for k in range(n):
-        blocks = page_blocks(_Page(seed * 1_000_003 + k).html())
+        blocks = page_blocks(LAYOUTS[layout](seed * 1_000_003 + k).html())
         labels = [int(_MAIN in b.text) for b in blocks]
         for b in blocks:
             b.text = b.text.replace(_MAIN, "").replace(_OTHER, "")
