@@ -5,17 +5,21 @@ symbols; all others are one separator (a run of them is kept as one), which no p
 shard's FM-index is searched backward for every window of the benchmark at once, the occurrences are
 located by sampled suffix positions, and overlapping ones are merged into removal spans.
 
-The documents are read once and never shuffled. The benchmark's windows are broadcast in blocks of
-at most `block_words` words; if it is larger, the documents pass through one map for each block.
+The documents are read once and never shuffled. The benchmark's windows are made in tasks, in blocks of at most `block_words` words
+that are files of the shared folder (an item with more words is in several blocks, which overlap by a window less a word). A worker loads one block at a
+time for each shard, so a larger benchmark takes more time, not more memory, and the driver sees no text. spark.checkpoint.dir must be mounted on
+the driver and all executors.
 
-Nulls: a null or empty text has no words; a benchmark item without words has no window; a null item
-id has none either. Repeated rows each get their result; an empty benchmark hits nothing. Words are
+Nulls: a null or empty text has no words; a benchmark item without words has no window. Words hit by an item without an id are hit,
+but it is not counted or listed among the items. Rows that repeat an item id are one item. Repeated rows each get their result; an empty benchmark hits nothing. Words are
 compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
+import os
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .text import CHUNK_BYTES, chunks, spans, utf8, word_places, LOWER
+from .tables import local_folder
+from .text import CHUNK_BYTES, LOWER, chunks, spans, word_places
 
 WINDOW = 10
 SHARD_WORDS = 1_500_000
@@ -38,12 +43,12 @@ class Phrases:
 
     vocabulary: np.ndarray
     by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (phrases by symbol; offsets into and values of the indices of their items)
-    items: list[str]
+    items: list[str | None]
 
 
-def phrases(items: list[tuple[str, np.ndarray]], window: int = WINDOW) -> Phrases:
+def phrases(items: list[tuple[str | None, np.ndarray]], window: int = WINDOW) -> Phrases:
     """From (item id, word hashes): distinct windows of `window` words, or of all words of a shorter item."""
-    names = sorted({name for name, _ in items})
+    names = sorted({name for name, _ in items}, key=lambda x: (x is not None, x or ""))
     number = {name: k for k, name in enumerate(names)}
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[w for _, w in items]]))
     found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -96,22 +101,42 @@ def occurrences(hashes: np.ndarray, at: np.ndarray, block: Phrases) -> tuple[np.
     return np.concatenate(starts), np.concatenate(lengths), pairs // len(block.items), pairs % len(block.items)
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> Iterator[Phrases]:
-    """The benchmark, read row by row to the driver and handed on a block at a time."""
-    held: list[tuple[str, np.ndarray]] = []
-    n = 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    for name, text in rows.toLocalIterator():
-        raw, bounds = utf8(pa.array([text]))
-        starts, ends, _ = word_places(raw, bounds)
-        hashes = spans(LOWER[raw], starts, ends)
-        held.append((name, hashes))
-        n += len(hashes)
-        if n >= block_words:
-            yield phrases(held, window)
-            held, n = [], 0
-    if held:
-        yield phrases(held, window)
+def _phrase_files(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> list[str]:
+    """Files of the shared folder with the phrases of the benchmark, a block each; made in tasks, the driver gets their paths."""
+    folder, name = local_folder(benchmark.sparkSession), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str | None, np.ndarray]] = []
+        n = 0
+
+        def written() -> pa.RecordBatch:
+            path = f"{folder}/phrases-{name}-{uuid.uuid4().hex}"
+            with open(path, "wb") as f:
+                pickle.dump(phrases(held, window), f, protocol=pickle.HIGHEST_PROTOCOL)
+            return pa.RecordBatch.from_pylist([{"path": path}])
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for first, _, raw, bounds in chunks(batch.column(1), CHUNK_BYTES):
+                starts, ends, at = word_places(raw, bounds)
+                hashes = spans(LOWER[raw], starts, ends)
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    for begin in range(a, max(b - window + 1, a + 1), block_words):
+                        held.append((ids[first + k], hashes[begin : min(b, begin + block_words + window - 1)]))
+                        n += len(held[-1][1])
+                        if n >= block_words:
+                            yield written()
+                            held, n = [], 0
+        if n:
+            yield written()
+
+    rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    return sorted(r.path for r in rows.mapInArrow(run, "path string").collect())
+
+
+def _loaded(path: str) -> Phrases:
+    with open(path, "rb") as f:
+        return pickle.load(f)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -145,52 +170,52 @@ def benchmark_hits(
 
     These four names stand after `prefix`; columns of docs with the same names are replaced.
     """
-    spark = docs.sparkSession
     new = [prefix + c for c in ("n_words", "hit_words", "removal", "hit_items")]
     extra = ", ".join(f"`{c}` {kind}" for c, kind in zip(new, ("bigint", "array<array<int>>", "array<array<int>>", "array<string>"), strict=True))
     names = [c for c in docs.columns if c not in (id_col, text_col, *new)]
     plain = [f"c{k}" for k in range(len(names) + 2)]  # mapInArrow takes no names with dots
     df = docs.select(id_col, text_col, *[F.col(f"`{c}`") for c in names]).toDF(*plain)
-    before = df.schema
-    blocks = [spark.sparkContext.broadcast(b) for b in _item_blocks(benchmark, item_col, item_text_col, block_words, window)] or [spark.sparkContext.broadcast(phrases([], window))]
-    for number, shared in enumerate(blocks):
-        first, dropped = number == 0, None if keep_text or number + 1 < len(blocks) else plain[1]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, dropped=dropped) -> Iterator[pa.RecordBatch]:
-            for held, hashes, at, starts, ends in _shards(batches, shard_words):
-                block = shared.value
+    files = _phrase_files(benchmark, item_col, item_text_col, block_words, window)
+    one = os.path.getsize(files[0]) if len(files) == 1 else 0
+    kept: list[Phrases] = []  # a single block stays loaded between the shards of a task
+
+    def blocks() -> Iterator[Phrases]:
+        for path in files:
+            if one and not kept:
+                kept.append(_loaded(path))
+            yield kept[0] if one else _loaded(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, hashes, at, starts, ends in _shards(batches, shard_words):
+            rows = pa.Table.from_batches(held)
+            edge = np.zeros(len(hashes) + 1, np.int64)
+            found: list[set[str]] = [set() for _ in range(len(at) - 1)]
+            for block in blocks():
                 begin, length, doc, item = occurrences(hashes, at, block)
-                rows = pa.Table.from_batches(held)
-                if not first:  # spans of the blocks before
-                    for k, old in enumerate(rows.column(new[1]).to_pylist()):
-                        for a, b in old:
-                            begin, length = np.append(begin, at[k] + a), np.append(length, b - a)
-                runs = _merged(begin, length, len(hashes), at)
-                own = [[] for _ in range(len(at) - 1)]
-                cut = [[] for _ in range(len(at) - 1)]
-                for a, b in runs:
-                    k = int(np.searchsorted(at, a, side="right")) - 1
-                    own[k].append([int(a - at[k]), int(b - at[k])])
-                    cut[k].append([int(starts[a]), int(ends[b - 1])])
-                found = [[] for _ in own] if first else [list(x) for x in rows.column(new[3]).to_pylist()]
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
                 for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-                    found[d].append(block.items[i])
-                made = [pa.array(np.diff(at), pa.int64()), pa.array(own, pa.list_(pa.list_(pa.int32()))), pa.array(cut, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))]
-                rows = rows.select([c for c in rows.column_names[: len(rows.columns) - (0 if first else 4)] if c != dropped])
-                yield from pa.table([*rows.columns, *made], names=[*rows.column_names, *new]).combine_chunks().to_batches()
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in before if f.name != dropped) + ", " + extra
-        df = df.mapInArrow(run, schema)
-    return df.toDF(id_col, *[text_col] * keep_text, *names, *new)
-
-
-def _merged(begin: np.ndarray, length: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    """Disjoint runs [first, end) of words that the occurrences cover, none across documents."""
-    if not len(begin):
+                    if block.items[i] is not None:
+                        found[d].add(block.items[i])
+            own: list[list] = [[] for _ in found]
+            cut: list[list] = [[] for _ in found]
+            for a, b in _merged(edge, at):
+                k = int(np.searchsorted(at, a, side="right")) - 1
+                own[k].append([int(a - at[k]), int(b - at[k])])
+                cut[k].append([int(starts[a]), int(ends[b - 1])])
+            made = [pa.array(np.diff(at), pa.int64()), pa.array(own, pa.list_(pa.list_(pa.int32()))), pa.array(cut, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+            rows = rows.select([c for c in rows.column_names if keep_text or c != plain[1]])
+            yield from pa.table([*rows.columns, *made], names=[*rows.column_names, *new]).combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != plain[1]) + ", " + extra
+    return df.mapInArrow(run, schema).toDF(id_col, *[text_col] * keep_text, *names, *new)
+
+
+def _merged(edge: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Disjoint runs [first, end) of words that occurrences cover, none across documents. edge: how many begin less how many end before each word."""
+    n = len(edge) - 1
+    if not n or not edge.any():
         return np.zeros((0, 2), np.int64)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + length, -1)
     hit = np.cumsum(edge[:-1]) > 0
     turn = np.zeros(n + 1, dtype=bool)
     turn[1:n] = hit[1:] != hit[:-1]
@@ -211,11 +236,12 @@ def contamination(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return hits.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), sha256_of_items(F.col("hit_items")).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
 
 
-def without_spans(hits: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each text without its removal spans; native."""
-    raw = F.encode(F.col(text_col), "UTF-8")
-    pieces = F.expr(
-        f"transform(sequence(0, size(removal)), i -> substring(encode(`{text_col}`, 'UTF-8'), if(i = 0, 1, removal[i - 1][1] + 1), if(i = size(removal), length(encode(`{text_col}`, 'UTF-8')), removal[i][0]) - if(i = 0, 0, removal[i - 1][1])))"
-    )
+def without_spans(hits: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """Each text without its removal spans; native. What stands on either side of a span stays apart by the signs around it."""
+    removal = f"`{prefix}removal`"
+    raw = f"encode(`{text_col}`, 'UTF-8')"
+    first = f"if(i = 0, 0, {removal}[i - 1][1])"
+    last = f"if(i = size({removal}), length({raw}), {removal}[i][0])"
+    pieces = F.expr(f"transform(sequence(0, size({removal})), i -> substring({raw}, {first} + 1, {last} - {first}))")
     joined = F.aggregate(pieces, F.lit("").cast("binary"), lambda a, b: F.concat(a, b))
-    return hits.withColumn(text_col, F.when((F.size("removal") > 0) & raw.isNotNull(), F.decode(joined, "UTF-8")).otherwise(F.col(text_col)))
+    return hits.withColumn(text_col, F.when((F.size(F.col(f"{prefix}removal")) > 0) & F.col(f"`{text_col}`").isNotNull(), F.decode(joined, "UTF-8")).otherwise(F.col(f"`{text_col}`")))

@@ -95,7 +95,7 @@ def brute_contamination(docs, items):
             for k in range(len(w) - n + 1):
                 if names := windows.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
-                    found |= names
+                    found |= names - {None}
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
@@ -109,10 +109,18 @@ def test_contamination_as_brute_force(spark):
     assert any(r[5] for r in want)
 
 
+def test_long_items_are_cut_with_overlap(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, text), (2, " ".join(f"w{k}" for k in range(40, 60))), (3, "w1 w2 w3")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("a", text)], "item_id string, text string")
+    got = contamination(benchmark_hits(docs, bench, block_words=25)).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 200, 1), (2, 20, 1), (3, 0, 0)]
+
+
 def test_contamination_of_edges(spark):
     items = [(1, "one two three"), (2, None), (3, ""), (None, "no id at all"), (5, "kurze lange wörter und kurze lange wörter und kurze lange wörter"), (11, "One, two; three!")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    want = brute_contamination([r[:2] for r in edges.rows()], [(i, t) for i, t in items if i is not None])
+    want = brute_contamination([r[:2] for r in edges.rows()], items)  # an item without an id hits words, but is not listed
     hits = benchmark_hits(edges.documents(spark), bench, block_words=4)
     assert sorted(map(tuple, contamination(hits).collect()), key=repr) == want
     assert {r.doc_id: r.text for r in without_spans(hits).where("doc_id in (4, 7)").collect()} == {4: "", 7: edges.rows()[7][1]}
