@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import strand_of
+from ..sources.shared import computed_once
 
 CONTIGS = r"(chr[0-9]+|X|Y)$"
 TAG_OVERLAP = 10
@@ -63,6 +64,7 @@ def drop_near_duplicates(fragments: DataFrame, tolerance: int = TOLERANCE, how:
         return flagged.where(~F.col("duplicate")).drop("duplicate")
     if how != "positional":
         raise ValueError("how must be 'intended' or 'positional'")
+    flagged = computed_once(flagged)
     by = W.partitionBy("cell_id", "chr")
     mask = flagged.select("cell_id", "chr", "duplicate", F.row_number().over(by.orderBy("strand", "start", "end", "name")).alias("place"))
     rows = flagged.drop("duplicate").withColumn("place", F.row_number().over(by.orderBy("start", "end", "strand", "name")))

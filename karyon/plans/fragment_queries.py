@@ -45,11 +45,15 @@ STEPS = {
 }
 
 
+#: Steps that later ones join to themselves: computed once, not once for each use.
+ONCE = {"doublets", "flagged"}
+
+
 def upto(step: str, select: str) -> str:
     """SQL with all steps up to one, and what to select."""
     names = list(STEPS)
     used = names[: names.index(step) + 1]
-    return "WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in used) + f"\n{select}"
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({STEPS[n]})" for n in used) + f"\n{select}"
 
 
 _FRAGMENT = 'cell_id, chr, s AS start, e AS "end", name, strand'

@@ -74,9 +74,9 @@ def pivot_reads(spark, sf_dir):
     return experiment.pivot_matrix(_matrix(spark, sf_dir), "reads", list(range(320)))
 
 
-@query(f"WITH {M} SELECT cell_id, concat('bin_', bin_idx) AS col, reads AS value FROM m WHERE bin_idx < 50")
+@query(f"WITH {M} SELECT cell_id, concat('bin_', bin_idx) AS col, reads AS value FROM m")
 def unpivot_matrix(spark, sf_dir):
-    return experiment.unpivot_matrix(experiment.pivot_matrix(_matrix(spark, sf_dir), "reads", list(range(50))))
+    return experiment.unpivot_matrix(experiment.pivot_matrix(_matrix(spark, sf_dir), "reads", list(range(320))))
 
 
 @query(f"WITH {M} SELECT cell_id, sum(counts)::BIGINT AS total FROM m GROUP BY 1")

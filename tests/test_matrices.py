@@ -155,3 +155,11 @@ def test_end_to_end(spark):
         experiment.process_batch(fixtures.bins(spark))
     with pytest.raises(ValueError):
         experiment.process_batch(fixtures.bins(spark), bedpe=fixtures.bedpe(spark, sf), genome="x")
+
+
+def test_long_path_is_one_connected_part(spark):
+    """100 vertices in a row are one part, and a vertex of the same cluster without an edge to them is another."""
+    rows = [(i, i + 1, 1.0) for i in range(1, 100)]
+    edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(i, 7) for i in [*range(1, 101), 500]], "id long, label long")
+    assert {(r.id, r.label) for r in communities._split(edges, labels).collect()} == {(i, 1) for i in range(1, 101)} | {(500, 500)}

@@ -23,9 +23,9 @@ def test_bam(spark, tmp_path):
     q = [30] * 10
     records = [
         ("a", 99, 100, 60, ["10M"], 200, 110, q, b"CBZcell-1\0"),
-        ("a", 147, 200, 60, ["2S8M"], 100, -110, q, b"NMi\x01\0\0\0CBZcell-1\0"),
+        ("a", 147, 200, 60, ["2S", "8M"], 100, -110, q, b"NMi\x01\0\0\0CBZcell-1\0"),
         ("b", 99, 100, 60, ["10M"], 200, 110, [20] * 10, b"CBZcell-1\0"),
-        ("b", 147, 200, 60, ["2S8M"], 100, -110, [20] * 10, b"CBZcell-1\0"),
+        ("b", 147, 200, 60, ["2S", "8M"], 100, -110, [20] * 10, b"CBZcell-1\0"),
         ("c", 1027, 300, 60, ["10M"], 0, 0, q, b""),
         ("d", 99, 300, 29, ["10M"], 0, 0, q, b""),
     ]
