@@ -1,4 +1,4 @@
-"""Texts of short public licences by SPDX identifier."""
+"""Texts of short public licences by SPDX identifier, and digests of the canonical forms of longer ones and of variants."""
 
 _MIT_TAIL = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -25,19 +25,36 @@ _BSD_NAMES = """
 _BSD_TAIL = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+
+
+def _gnu_header(name: str, version: str, what: str = "program", colon: str = ":", end: str = "If not, see <https://www.gnu.org/licenses/>.") -> str:
+    """The notice that the GNU licences ask for at the start of each source file."""
+    return f"""This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this {what}. {end}"""
+
+
 LICENCES = {
     "0BSD": f"{_ISC_GRANT}.\n\n{_ISC_TAIL}",
+    "AGPL-3.0-or-later-header": _gnu_header("Affero General Public License", "3"),
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "BSD-1-Clause": _BSD_HEAD.split("\n\n2.")[0] + "\n" + _BSD_TAIL,
     "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
     "BSD-3-Clause": _BSD_HEAD + _BSD_NAMES + _BSD_TAIL,
+    "GPL-2.0-or-later-header": _gnu_header("General Public License", "2", colon=";"),
+    "GPL-3.0-or-later-header": _gnu_header("General Public License", "3"),
     "ISC": f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_TAIL}",
-    "MIT": f"MIT License\n\n{_MIT_TAIL}",
+    "LGPL-2.1-or-later-header": _gnu_header("Lesser General Public License", "2.1", "library", ";"),
+    "LGPL-3.0-or-later-header": _gnu_header("Lesser General Public License", "3"),
+    "MIT": _MIT_TAIL,
     "MIT-0": _MIT_0,
-    "MIT-untitled": _MIT_TAIL,
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
@@ -47,6 +64,17 @@ In jurisdictions that recognize copyright laws, the author or authors of this so
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 
 For more information, please refer to <https://unlicense.org>""",
+    "WTFPL": """DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+Version 2, December 2004
+
+Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -57,3 +85,25 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+#: SHA-256 of canonical forms. They follow from the texts and the canonical form; if that changes, they must be made again (tests compare those texts that a Debian system has).
+DIGESTS = {
+    "81bccc02f21e004838eabe2fa0da274493c2fb765c40c74d8943437f42cd257c": "Apache-2.0",
+    "e54bc0de8cf6a9aa0a10634b5633d46c7b2ce568d5be9c6dd14dd7d904b46479": "Apache-2.0",  # without its appendix
+    "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93": "Artistic-1.0-Perl",
+    "435bed3d81d6a6604d21a5ade1086e7e582c7cfc59159047a590de5a456396e9": "BSL-1.0",
+    "9d112ef603d3207d4e033c8a2a46961291832b2ee49b6047ca349781c7898a95": "BlueOak-1.0.0",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",  # of the University of California
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e": "GFDL-1.2",
+    "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff": "GFDL-1.3",
+    "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f": "GPL-1.0",
+    "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6": "GPL-2.0",
+    "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8": "GPL-3.0",
+    "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e": "LGPL-2.0",
+    "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "a423ad6d373d0bbd7aff7a4a1d2f6f4a2553f8bf186d5e34301c2a32360fc4e3": "MPL-1.1",
+    "2ae5d4417f09cff2e3412d0e35c4ee2439f6c18ca69d7d9cc799b33614c368a5": "MPL-2.0",
+    "1f2749af31d35bc19b598494c2e077419b5915a3c774b0a0d27cee2c40aacb48": "Unicode-3.0",
+}

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ import __spark_entry__
 import corpus_pipeline
 from karyon.llm import queries
 from karyon.llm.chat_format import digests, examples, format_turns, spelled_out
-from karyon.llm.licence_texts import LICENCES
+from karyon.llm.licence_texts import DIGESTS, LICENCES
 from karyon.llm.licences import licence_scan
 from karyon.llm.tables import cut, table
 
@@ -74,6 +75,49 @@ def test_wrapped_licences(spark):
     assert {r.doc_id: r.license_id for r in licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1: "ISC", 2: "BSD-2-Clause"}
 
 
+#: Whole texts, and what licence they are; None: not one alone.
+WHOLE_LICENCES = [
+    (f"ISC License\n\nCopyright (c) 2019, A. Person\r\n\r\n{LICENCES['ISC'].replace('above copyright', 'above' + chr(10) + 'copyright')}", "ISC"),
+    (f"The MIT License (MIT)\n=====================\n\nCopyright The Authors of Something\nCopyright: 2011-2013 X\n\n{LICENCES['MIT']}", "MIT"),
+    ("\n".join(f" * {x}" for x in f"BSD 3-Clause License\n\n© me\nAll rights reserved.\n\n{LICENCES['BSD-3-Clause']}".split("\n")), "BSD-3-Clause"),
+    (LICENCES["BSD-3-Clause"].replace("name of the copyright", "name of the\nCopyright"), "BSD-3-Clause"),
+    ('BSD 2-Clause "Simplified" License\n' + LICENCES["BSD-2-Clause"], "BSD-2-Clause"),
+    (LICENCES["GPL-3.0-or-later-header"].upper(), "GPL-3.0-or-later-header"),
+    (LICENCES["MIT"] + "\nAnd more.", None),
+    (LICENCES["MIT"].replace("without restriction", "with restriction"), None),
+    ("Copyright 2020 me\nMIT License", None),
+    ("\x02copyright\n\x02 and copyright © é\n(c) copyright\nCopyright\nCopyright é\ncopyright the software, and", None),
+    (None, None),
+    ("", None),
+]
+
+
+def test_whole_licences_in_spark_and_sql(spark, tmp_path):
+    """Matches in checked rows: Spark and DuckDB name the same licences, with the same canonical forms."""
+    rows = [(i, text) for i, (text, _) in enumerate(WHOLE_LICENCES)] + [(100 + i, text) for i, text in enumerate(LICENCES.values())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for other in Path(SF).glob("*.parquet"):
+        if other.name != "documents.parquet":
+            (tmp_path / other.name).symlink_to(other)
+    assert_same(spark, str(tmp_path), lambda spark, sf_dir: licence_scan(table(spark, sf_dir, "documents")), queries.ORACLE_SQL["op7_licence_scan"])
+    got = {r.doc_id: r.license_id for r in licence_scan(docs).collect()}
+    assert [got[i] for i in range(len(WHOLE_LICENCES))] == [want for _, want in WHOLE_LICENCES]
+    assert [got[100 + i] for i in range(len(LICENCES))] == list(LICENCES)
+    assert len(set(LICENCES) | set(DIGESTS.values())) >= 30
+
+
+def test_licence_digests(spark):
+    """The long licences, where the system has their texts."""
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(k, (folder / f).read_text()) for f, k in files.items() if (folder / f).exists()]
+    if not rows:
+        pytest.skip("no licence texts here")
+    got = licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.license_id for r in got} == {k: k for k, _ in rows}
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     stages = dict(corpus_pipeline.STAGES)
