@@ -5,8 +5,8 @@ one's docs. All but the last return the columns of documents.
 
 1. quality: documents that the classifier rejects go.
 2. toxicity: documents that it finds toxic go.
-3. near_duplicates: of each group linked by 5-gram Jaccard similarity of 0.8 or more, the least doc_id stays.
-   Rows without an id cannot be told apart and stay; of rows that repeat an id one stays.
+3. near_duplicates: of each group linked by 5-gram Jaccard similarity of 0.8 or more, one row stays, with the least doc_id.
+   Rows of one id with different texts are different documents, and a row without an id is a document of its own.
 4. decontamination: documents with a benchmark passage go.
 5. byte_bpe: token counts and digests of what is left.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from karyon.llm import quality, toxicity
 from karyon.llm.decontaminate import benchmark_hits
-from karyon.llm.jaccard_join import jaccard_groups
+from karyon.llm.jaccard_join import one_of_each_group
 from karyon.llm.queries import byte_bpe_file
 from karyon.llm.byte_bpe import bpe_round_trip
 from karyon.llm.tables import columns_of, cut, table
@@ -39,12 +39,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    groups = jaccard_groups(with_id)
-    kept = with_id.join(groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id"), "doc_id", "left_semi")
-    if with_id.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*columns_of(docs))
+    return one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
