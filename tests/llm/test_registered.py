@@ -34,7 +34,7 @@ def test_same_as_sql(spark, name):
 
 def test_all_registered():
     known = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in known} and "pipeline" in known
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in known} and "pipeline" in known
     assert not set(__spark_entry__.oracle_sql()) - set(known)
 
 
