@@ -1,57 +1,167 @@
-"""BAM files as a Spark data source: spark.read.format("bam").option("paths", "a.bam,b.bam").load().
+"""BAM files as a Spark data source: spark.read.format("bam").option("paths", "a.bam,b.bam").load(), and a writer of one file for each cell.
 
-A partition is a file (a cell, as the files are one for each cell). Blocks are inflated one at a time and records are read as a stream, so a
-file is never held whole. The header's text lines come with option("header", "true"), as (path, value).
+Reading: a partition is a byte range of a file (option split_bytes). It owns the records that begin in BGZF blocks which begin in its range. It looks for
+the first such block by magic bytes, then for the first place in it from which a chain of records holds together (`_first_record`), and reads on
+into later ranges only to finish its last record. Every range so finds where the one before it stopped, and no record is read twice. A file that is one plain gzip stream is
+one partition. Rows come as Arrow batches of `ROWS`; one block is inflated at a time. option("full", "true") adds the bases, qualities and tags; option("header", "true")
+gives the header's lines instead, as (path, value).
+
+Writing: rows (cell_id and the columns of a full read) become `<cell_id>.bam` in a folder, in BGZF blocks with the end marker. Rows of a cell must
+follow each other in a task (`write_cell_bams` deals them so); cells dealt to several tasks have a numbered file from each. Tasks write to a folder of their own attempt; the
+driver's commit moves the files of the attempts that count, so a lost or repeated task leaves nothing behind.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from .bgzf import Blocks, BlockWriter, exists, moved, removed
 
 READ_SCHEMA = "path string, qname string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, template_length long, base_quality long, cell_barcode string"
+FULL_SCHEMA = READ_SCHEMA + ", sequence string, qualities binary, tags binary"
 HEADER_SCHEMA = "path string, value string"
-#: Operations of a CIGAR string, and sizes of the tag types, in the order and by the letters of the format.
+SPLIT_BYTES = 32 << 20
+ROWS = 4096
+#: Records that must follow each other from a place for it to be taken for the beginning of one, unless the file ends before.
+CHAIN = 8
+RECORD_MOST = 1 << 26
+_READ = 1 << 16
+#: Operations of a CIGAR string, codes of bases, and sizes of the tag types, in the order and by the letters of the format.
 _CIGAR = "MIDNSHP=X"
+_BASES = "=ACMGRSVTWYHKDBN"
 _TAG_SIZE = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
+_FIXED = struct.Struct("<iiBBHHHiiii")
+_PAIRS = [a + b for a in _BASES for b in _BASES]
+_CODE = {b: i for i, b in enumerate(_BASES)}
 
 
-class _Inflated:
-    """Bytes of a file of gzip members, read in order."""
+class _Stream:
+    """Bytes of a file in order: of BGZF blocks from a place on, or of plain gzip members."""
 
-    def __init__(self, path: str) -> None:
-        self.file = open(path, "rb")
-        self.held = bytearray()
-        self.inflater = zlib.decompressobj(31)
+    def __init__(self, blocks: Blocks, at: int = 0) -> None:
+        self.source = blocks.from_block(at) if blocks.is_blocked() else self._members(blocks)
+        self.held, self.done = bytearray(), 0
+        self.begins: list[tuple[int, int]] = []  # (place in the stream, place of the block), of blocks not read past
 
-    def take(self, n: int) -> bytes:
+    @staticmethod
+    def _members(blocks: Blocks) -> Iterator[tuple[int, bytes]]:
+        at, inflater = 0, zlib.decompressobj(31)
+        while at < blocks.size:
+            data = blocks.bytes_at(at, _READ)
+            at += len(data)
+            while data:
+                yield 0, inflater.decompress(data)
+                data = inflater.unused_data
+                if inflater.eof:
+                    inflater = zlib.decompressobj(31)
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are held, after reading on for them."""
         while len(self.held) < n:
-            data = self.inflater.unused_data
-            if self.inflater.eof:
-                self.inflater = zlib.decompressobj(31)
-            if not data:
-                data = self.file.read(1 << 16)
-                if not data:
-                    break
-            self.held += self.inflater.decompress(data)
+            block = next(self.source, None)
+            if block is None:
+                return False
+            if block[1]:
+                self.begins.append((self.done + len(self.held), block[0]))
+                self.held += block[1]
+        return True
+
+    def take(self, n: int) -> bytes:
+        self.fill(n)
         out = bytes(self.held[:n])
         del self.held[:n]
+        self.done += len(out)
         return out
 
+    def place(self) -> int:
+        """The place of the block that holds the next byte."""
+        while len(self.begins) > 1 and self.begins[1][0] <= self.done:
+            self.begins.pop(0)
+        return self.begins[0][1] if self.begins else 0
+
 
-def _header(stream: _Inflated, path: str) -> tuple[str, list[str]]:
+@dataclass
+class Header:
+    """Lines, names and lengths of the references, and where the first record begins: its block, the place in it, and in the whole stream."""
+
+    text: str
+    names: list[str]
+    lengths: list[int]
+    block: int = 0
+    within: int = 0
+    first: int = 0  # bytes before the first record
+
+
+def read_header(blocks: Blocks) -> Header:
+    stream = _Stream(blocks)
     if stream.take(4) != b"BAM\x01":
-        raise ValueError(f"{path} is not a BAM file")
+        raise ValueError(f"{blocks.path} is not a BAM file")
     text = stream.take(struct.unpack("<i", stream.take(4))[0]).rstrip(b"\0").decode()
-    names = []
+    names, lengths = [], []
     for _ in range(struct.unpack("<i", stream.take(4))[0]):
         names.append(stream.take(struct.unpack("<i", stream.take(4))[0])[:-1].decode())
-        stream.take(4)
-    return text, names
+        lengths.append(struct.unpack("<i", stream.take(4))[0])
+    found = Header(text, names, lengths, first=stream.done)
+    if stream.fill(1):
+        found.block = stream.place()
+        found.within = stream.done - stream.begins[0][0]
+    else:
+        found.block = blocks.size
+    return found
+
+
+def _length_at(data: bytes | bytearray, at: int, header: Header) -> int | None:
+    """The length of a record that may begin at a place of the data; None if none can. 0: too little data to tell."""
+    if at + 36 > len(data):
+        return 0
+    (size,) = struct.unpack_from("<i", data, at)
+    ref, pos, name_len, _, _, n_ops, _, n_bases, mate, mate_pos, _ = _FIXED.unpack_from(data, at + 4)
+    if not (34 <= size <= RECORD_MOST and name_len >= 2 and n_bases >= 0 and 32 + name_len + 4 * n_ops + (n_bases + 1) // 2 + n_bases <= size):
+        return None
+    for r, p in ((ref, pos), (mate, mate_pos)):
+        if not (-1 <= r < len(header.names) and -1 <= p and (r < 0 or p <= header.lengths[r])):
+            return None
+    head = at + 36
+    if head + name_len + 4 * n_ops > len(data):
+        return 0
+    name = data[head : head + name_len]
+    if name[-1] or not all(33 <= c <= 126 for c in name[:-1]):
+        return None
+    ops = data[head + name_len : head + name_len + 4 * n_ops : 4]
+    return 4 + size if all(op & 15 < len(_CIGAR) for op in ops) else None
+
+
+def _first_record(stream: _Stream, header: Header, end: int) -> bool:
+    """Moves the stream to the first record that begins in a block before `end`; False if none does."""
+    while stream.fill(1) and stream.place() < end:
+        at, n = 0, 0
+        while n < CHAIN:
+            length = _length_at(stream.held, at, header)
+            if length == 0:
+                if stream.fill(len(stream.held) + 1):
+                    continue
+                length = 4 if at == len(stream.held) and n else None  # the file ends with a whole record
+                n = CHAIN if length else n
+            if not length:
+                break
+            if n < CHAIN and not stream.fill(at + length):
+                break
+            at, n = at + length, n + 1
+        if n >= CHAIN:
+            return True
+        stream.take(1)
+    return False
 
 
 def _barcode(tags: bytes) -> str | None:
@@ -72,40 +182,191 @@ def _barcode(tags: bytes) -> str | None:
     return None
 
 
-def bam_records(path: str) -> Iterator[tuple]:
-    stream = _Inflated(path)
-    _, names = _header(stream, path)
+def _decoded(path: str, body: bytes, names: list[str], full: bool) -> tuple:
     name_of = lambda k: names[k] if k >= 0 else None
-    while len(size := stream.take(4)) == 4:
-        body = stream.take(struct.unpack("<i", size)[0])
-        ref, pos, name_len, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, length = struct.unpack("<iiBBHHHiiii", body[:32])
-        at = 32 + name_len
-        ops = struct.unpack(f"<{n_cigar}I", body[at : at + 4 * n_cigar])
-        at += 4 * n_cigar + (n_seq + 1) // 2
-        quality = body[at : at + n_seq]
-        cigar = "".join(f"{op >> 4}{_CIGAR[op & 15]}" for op in ops) or "*"
-        total = sum(q for q in quality if q >= 15) if quality[:1] != b"\xff" else 0
-        yield path, body[32 : 32 + name_len - 1].decode(), flag, name_of(ref), pos + 1, mapq, cigar, name_of(mate), mate_pos + 1, length, total, _barcode(body[at + n_seq :])
+    ref, pos, name_len, mapq, _, n_ops, flag, n_bases, mate, mate_pos, length = _FIXED.unpack_from(body)
+    at = 32 + name_len
+    ops = struct.unpack_from(f"<{n_ops}I", body, at)
+    bases = at + 4 * n_ops
+    at = bases + (n_bases + 1) // 2
+    quality = body[at : at + n_bases]
+    cigar = "".join(f"{op >> 4}{_CIGAR[op & 15]}" for op in ops) or "*"
+    total = sum(q for q in quality if q >= 15) if quality[:1] != b"\xff" else 0
+    tags = body[at + n_bases :]
+    row = path, body[32 : 32 + name_len - 1].decode(), flag, name_of(ref), pos + 1, mapq, cigar, name_of(mate), mate_pos + 1, length, total, _barcode(tags)
+    if not full:
+        return row
+    return *row, "".join(map(_PAIRS.__getitem__, body[bases:at]))[:n_bases], quality if quality[:1] != b"\xff" else None, tags
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def _types(full: bool) -> list[tuple[str, pa.DataType]]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return [(n, kinds[k]) for n, k in (c.split(" ") for c in (FULL_SCHEMA if full else READ_SCHEMA).split(", "))]
+
+
+def bam_batches(path: str, begin: int, end: int, full: bool = False) -> Iterator[pa.RecordBatch]:
+    """The records of a file that begin in blocks from byte `begin` to `end`."""
+    types = _types(full)
+    make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)], names=[n for n, _ in types])
+    with Blocks(path) as blocks:
+        header = read_header(blocks)
+        if not blocks.is_blocked():
+            stream = _Stream(blocks)
+            stream.take(header.first)
+            end = 1
+        elif begin <= header.block:
+            stream = _Stream(blocks, header.block)
+            stream.take(header.within)
+        else:
+            stream = _Stream(blocks, blocks.first_block(begin))
+            if not _first_record(stream, header, end):
+                return
+        rows: list[tuple] = []
+        while stream.fill(4) and stream.place() < end:
+            (size,) = struct.unpack("<i", stream.take(4))
+            body = stream.take(size)
+            if len(body) < size:
+                raise ValueError(f"{path} ends within a record")
+            rows.append(_decoded(path, body, header.names, full))
+            if len(rows) == ROWS:
+                yield make(rows)
+                rows = []
+        if rows:
+            yield make(rows)
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, begin: int, end: int) -> None:
+        self.path, self.begin, self.end = path, begin, end
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], header: bool) -> None:
-        self.paths, self.header = paths, header
+    def __init__(self, paths: list[str], header: bool, full: bool, split_bytes: int) -> None:
+        self.paths, self.header, self.full, self.split_bytes = paths, header, full, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        found = []
+        for path in self.paths:
+            with Blocks(path) as blocks:
+                whole = self.header or not blocks.is_blocked()
+                step = max(1, blocks.size if whole else self.split_bytes)
+                found += [_Range(path, k, min(k + step, blocks.size)) for k in range(0, blocks.size, step)]
+        return found
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if self.header:
-            text, _ = _header(_Inflated(partition.path), partition.path)
-            yield from ((partition.path, line) for line in text.splitlines())
-        else:
-            yield from bam_records(partition.path)
+    def read(self, partition: _Range) -> Iterator:
+        if not self.header:
+            yield from bam_batches(partition.path, partition.begin, partition.end, self.full)
+        elif partition.begin == 0:
+            with Blocks(partition.path) as blocks:
+                yield from ((partition.path, line) for line in read_header(blocks).text.splitlines())
+
+
+def encoded_header(text: str) -> tuple[bytes, dict[str, int]]:
+    """The bytes of a header before the records, and the number of each reference, from its @SQ lines."""
+    refs = [(m[1], int(m[2])) for m in (re.match(r"@SQ\t(?=.*\bSN:([^\t]+))(?=.*\bLN:(\d+))", line) for line in text.splitlines()) if m]
+    own = text.encode()
+    out = [b"BAM\x01", struct.pack("<i", len(own)), own, struct.pack("<i", len(refs))]
+    for name, length in refs:
+        out += [struct.pack("<i", len(name) + 1), name.encode(), b"\0", struct.pack("<i", length)]
+    return b"".join(out), {name: k for k, (name, _) in enumerate(refs)}
+
+
+def _interval(begin: int, end: int) -> int:
+    """The smallest interval of the format's index that holds [begin, end)."""
+    end -= 1
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == end >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
+def encoded(row: dict, refs: dict[str, int]) -> bytes:
+    """A record of the columns of a full read."""
+    name = (row["qname"] or "*").encode() + b"\0"
+    cigar, bases = row["cigar"] or "*", row["sequence"] or ""
+    ops = [(int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    pos = (row["pos"] or 0) - 1
+    span = sum(n for n, k in ops if k in "MDN=X") or 1
+    code = [_CODE.get(b, 15) for b in bases] + [0] * (len(bases) % 2)
+    quality = row["qualities"] if row["qualities"] is not None else b"\xff" * len(bases)
+    if len(quality) != len(bases):
+        raise ValueError(f"{row['qname']}: {len(bases)} bases and {len(quality)} qualities")
+    number = lambda chrom: -1 if chrom is None else refs[chrom]
+    fixed = _FIXED.pack(
+        number(row["chrom"]), pos, len(name), row["mapq"] or 0, _interval(pos, pos + span) if pos >= 0 else 4680, len(ops), row["flag"] or 0, len(bases), number(row["mate_chrom"]), (row["mate_pos"] or 0) - 1, row["template_length"] or 0
+    )
+    body = b"".join([fixed, name, *(struct.pack("<I", n << 4 | _CIGAR.index(k)) for n, k in ops), bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True)), quality, row["tags"] or b""])
+    return struct.pack("<i", len(body)) + body
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """(cell, file of the attempt) of a task."""
+
+    files: list[tuple[str, str]]
+
+
+class CellFiles(DataSourceArrowWriter):
+    """Writes a file for each run of rows of one cell; the commit moves the files into the folder."""
+
+    def __init__(self, folder: str, overwrite: bool, ending: str) -> None:
+        self.folder, self.ending = folder.rstrip("/"), ending
+        self.waiting = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
+        if exists(self.folder) and overwrite:
+            removed(self.folder)
+
+    def begin(self, out: BlockWriter) -> None:
+        """What stands before the first row of a file."""
+
+    def one(self, row: dict) -> bytes:
+        raise NotImplementedError
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        attempt, files, cell, out = uuid.uuid4().hex, [], None, None
+        for batch in iterator:
+            for row in batch.to_pylist():
+                if out is None or row["cell_id"] != cell:
+                    if out:
+                        out.close()
+                    cell = row["cell_id"]
+                    files.append((cell, f"{self.waiting}/{attempt}/{len(files)}"))
+                    out = BlockWriter(files[-1][1])
+                    self.begin(out)
+                out.write(self.one(row))
+        if out:
+            out.close()
+        return _Written(files)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        by_cell: dict[str, list[str]] = {}
+        for message in messages:
+            for cell, path in message.files if message else []:
+                by_cell.setdefault(cell, []).append(path)
+        for cell, paths in by_cell.items():
+            for k, path in enumerate(paths):
+                part = f".part-{k:04d}" if len(paths) > 1 else ""
+                moved(path, f"{self.folder}/{quote(str(cell), safe=' ')}{part}{self.ending}")
+        removed(self.waiting)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        removed(self.waiting)
+
+
+class _BamWriter(CellFiles):
+    def __init__(self, folder: str, overwrite: bool, header: str) -> None:
+        super().__init__(folder, overwrite, ".bam")
+        self.head, self.refs = encoded_header(header)
+
+    def begin(self, out: BlockWriter) -> None:
+        out.write(self.head)
+
+    def one(self, row: dict) -> bytes:
+        return encoded(row, self.refs)
+
+
+class _LineWriter(CellFiles):
+    def one(self, row: dict) -> bytes:
+        return row["line"].encode() + b"\n"
 
 
 class BamDataSource(DataSource):
@@ -113,16 +374,50 @@ class BamDataSource(DataSource):
     def name(cls) -> str:
         return "bam"
 
-    def _is_header(self) -> bool:
-        return str(self.options.get("header", "false")).lower() == "true"
+    def _is(self, option: str) -> bool:
+        return str(self.options.get(option, "false")).lower() == "true"
 
     def schema(self) -> str:
-        return HEADER_SCHEMA if self._is_header() else READ_SCHEMA
+        return HEADER_SCHEMA if self._is("header") else FULL_SCHEMA if self._is("full") else READ_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         paths = self.options.get("paths") or self.options.get("path") or ""
-        return _Reader([p for p in paths.split(",") if p], self._is_header())
+        return _Reader([p for p in paths.split(",") if p], self._is("header"), self._is("full"), int(self.options.get("split_bytes", SPLIT_BYTES)))
+
+    def writer(self, schema, overwrite: bool) -> CellFiles:
+        return _BamWriter(self.options["path"], overwrite, self.options.get("header_text", ""))
+
+
+class LinesDataSource(DataSource):
+    """Rows (cell_id, line) as blocked gzip text, a file for each cell."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cell_lines"
+
+    def writer(self, schema, overwrite: bool) -> CellFiles:
+        return _LineWriter(self.options["path"], overwrite, self.options.get("ending", ".gz"))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamDataSource)
+    spark.dataSource.register(LinesDataSource)
+
+
+#: Rows of a cell for which one task writes one file.
+FILE_ROWS = 5_000_000
+
+
+def dealt_by_cell(rows: DataFrame, together: str, order: list[str], file_rows: int = FILE_ROWS) -> DataFrame:
+    """rows with those of a cell in one task and in order; cells of more than file_rows rows in several, by a hash of `together`."""
+    parts = rows.groupBy("cell_id").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("__parts"))
+    salted = rows.join(parts, "cell_id").withColumn("__part", F.pmod(F.xxhash64(together), F.col("__parts")))
+    return salted.repartition("cell_id", "__part").sortWithinPartitions("cell_id", "__part", *order).drop("__parts", "__part")
+
+
+def write_cell_bams(reads: DataFrame, folder: str, header: str, file_rows: int = FILE_ROWS) -> None:
+    """Full reads (cell_id, ...) as a BAM file for each cell, by place; mates of a pair are in one file."""
+    names = [c.split(" ")[0] for c in FULL_SCHEMA.split(", ") if not c.startswith(("path", "base_quality", "cell_barcode"))]
+    dealt = dealt_by_cell(reads.select(F.col("cell_id").cast("string").alias("cell_id"), *names), "qname", ["chrom", "pos", "qname", "flag"], file_rows)
+    register(reads.sparkSession)
+    dealt.write.format("bam").mode("append").option("header_text", header).save(folder)

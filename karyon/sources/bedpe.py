@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bam import dealt_by_cell, register
+
 SCHEMA = "Chr1 string, Start1 long, End1 long, Chr2 string, Start2 long, End2 long, Name string, Score double, R1_direction string, R2_direction string"
 
 
 def cell_of_path(path):
-    """The file's name without directories and without .bedpe, .bam and .gz endings."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\.bam)?(\.bedpe)?(\.gz|\.bgz)?$", "")
+    """The file's name without directories and without .bedpe, .bam, .gz and part endings."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\.part-\d+)?(\.bam)?(\.bedpe)?(\.gz|\.bgz)?$", "")
 
 
 def read_bedpe(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -25,8 +27,12 @@ def manifest(spark: SparkSession, rows: list[tuple[str, str | None, str | None]]
 
 
 def write_bedpe(bedpe: DataFrame, path: str) -> None:
-    """Gzipped BEDPE, a folder for each cell."""
-    bedpe.repartition("cell_id").write.partitionBy("cell_id").option("sep", "\t").option("compression", "gzip").option("quote", "").csv(path)
+    """Blocked gzip BEDPE files `<cell_id>.bedpe.gz`, in order of names; a large cell has several, numbered."""
+    columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = dealt_by_cell(bedpe.select(F.col("cell_id").cast("string").alias("cell_id"), "Name", line.alias("line")), "Name", ["Name", "line"])
+    register(bedpe.sparkSession)
+    rows.select("cell_id", "line").write.format("cell_lines").mode("append").option("ending", ".bedpe.gz").save(path)
 
 
 def write_cell_ids(cells: DataFrame, path: str) -> None:

@@ -1,9 +1,15 @@
 """Files: BEDPE, BAM, headers, streams."""
 
 import gzip
+import random
 import struct
 
+import pytest
+from pyspark.sql import functions as F
+
+from karyon.operators import preprocess
 from karyon.sources import alignments, bam, bedpe
+from karyon.sources.bgzf import BLOCK, END, Blocks, BlockWriter, block_size
 from karyon.streaming.arrivals import arriving_fragments
 
 
@@ -55,7 +61,10 @@ def test_bedpe_round_trip(spark, tmp_path):
     assert sorted(r.cell_id for r in rows.collect()) == ["cell_a", "cell_b", "cell_b"]
     assert rows.first().Name == 'r"1'
     bedpe.write_bedpe(rows, str(tmp_path / "out"))
-    assert (tmp_path / "out" / "cell_id=cell_a").exists()
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["cell_a.bedpe.gz", "cell_b.bedpe.gz"]
+    assert block_size((tmp_path / "out" / "cell_a.bedpe.gz").read_bytes()) and (tmp_path / "out" / "cell_a.bedpe.gz").read_bytes().endswith(END)
+    again = bedpe.read_bedpe(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
 
 
 def test_stream_of_arriving_files(spark, tmp_path):
@@ -66,3 +75,101 @@ def test_stream_of_arriving_files(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.cell_id, r.start, r.end, r.length, r.bin_start) for r in spark.table("arrived").collect()] == [("cell_a", 10, 650, 640, 1)]
+
+
+HEADER = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:100000\n@SQ\tLN:50000\tSN:chr2\n@CO\tCB:cell-1\n@CO\tCB:cell-2\n@CO\tCB:cell-3\n"
+
+
+def full_reads(n, seed=1, longest=200):
+    """Rows of a full read: pairs on two chromosomes, with names, tags and sizes of many kinds."""
+    own = random.Random(seed)
+    rows = []
+    for k in range(n):
+        size, chrom, at = own.choice([1, 2, 35, 36, longest]), own.choice(["chr1", "chr2"]), own.randrange(1, 40_000)
+        cell = own.choice(["cell-1", "cell-2", "other", None])
+        tags = (b"NMi" + struct.pack("<i", k)) + (b"" if cell is None else b"CBZ" + cell.encode() + b"\0") + own.choice([b"", b"XBBc\x03\0\0\0\1\2\3"])
+        for flag, pos, length in ((99, at, 110), (147, at + 100, -110)):
+            bases = "".join(own.choice("ACGTN") for _ in range(size))
+            cigar = f"{size}M" if size < 30 else f"3S{size - 3}M"
+            rows.append((f"read:{k}/{'x' * own.randrange(9)}" if flag == 99 else rows[-1][0], flag, chrom, pos, own.choice([60, 30, 29]), cigar, chrom, 2 * at + 100 - pos, length, bases, bytes(own.randrange(2, 40) for _ in bases) if own.random() < 0.9 else None, tags))
+    return rows
+
+
+NAMES = ["qname", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "template_length", "sequence", "qualities", "tags"]
+
+
+def write_bam(path, rows, block=BLOCK):
+    head, refs = bam.encoded_header(HEADER)
+    out = BlockWriter(str(path))
+    records = [head, *(bam.encoded(dict(zip(NAMES, r, strict=True)), refs) for r in rows)]
+    data = b"".join(records)
+    for k in range(0, len(data), block):
+        out._block(data[k : k + block])
+    out.close()
+
+
+def load_bam(spark, path, split, **more):
+    bam.register(spark)
+    return spark.read.format("bam").options(paths=str(path), split_bytes=split, full="true", **more).load()
+
+
+@pytest.mark.parametrize("block,parts,longest", [(5_000, 5, 200), (600, 37, 200), (3_000, 6, 9_000), (BLOCK, 4, 200)])
+def test_any_split_reads_each_record_once(spark, tmp_path, block, parts, longest):
+    rows = full_reads(300, block, longest)
+    write_bam(tmp_path / "x.bam", rows, block)
+    size = (tmp_path / "x.bam").stat().st_size
+    split = load_bam(spark, tmp_path / "x.bam", -(-size // parts))
+    assert split.rdd.getNumPartitions() == parts
+    got = [tuple(r[n] if n not in ("qualities", "tags") or r[n] is None else bytes(r[n]) for n in NAMES) for r in split.collect()]
+    assert got == rows
+    whole = load_bam(spark, tmp_path / "x.bam", size)
+    assert whole.rdd.getNumPartitions() == 1 and whole.count() == len(rows)
+
+
+def test_ranges_of_any_size(tmp_path):
+    """Without Spark: ranges down to a few bytes, blocks that end inside lengths and names, a file without records."""
+    rows = full_reads(40, 3)
+    write_bam(tmp_path / "x.bam", rows, 97)
+    size = (tmp_path / "x.bam").stat().st_size
+    for step in (31, 150, 1000, size):
+        got = [n for k in range(0, size, step) for b in bam.bam_batches(str(tmp_path / "x.bam"), k, min(k + step, size)) for n in zip(b["qname"].to_pylist(), b["flag"].to_pylist(), strict=True)]
+        assert got == [r[:2] for r in rows], step
+    write_bam(tmp_path / "none.bam", [], 20)
+    assert not list(bam.bam_batches(str(tmp_path / "none.bam"), 0, 10**6))
+    with Blocks(str(tmp_path / "x.bam")) as blocks:
+        assert blocks.first_block(0) == 0 and blocks.first_block(size) == size
+        starts = [at for at, _ in blocks.from_block(0)]
+        assert [blocks.first_block(a - 3) for a in starts[1:]] == starts[1:]
+
+
+def test_cells_are_written_and_read_back(spark, tmp_path):
+    rows = full_reads(200, 7)
+    df = spark.createDataFrame(rows, bam.FULL_SCHEMA.replace("path string, ", "").replace(", base_quality long, cell_barcode string", "")).withColumn("cell_id", F.concat(F.lit("c/"), (F.xxhash64("qname") % 3 + 3).cast("string")))
+    bam.write_cell_bams(df, str(tmp_path / "out"), HEADER, file_rows=50)
+    files = sorted((tmp_path / "out").iterdir())
+    assert len(files) > 3 and all(f.name.startswith("c%2F") and f.read_bytes().endswith(END) for f in files)
+    back = spark.read.format("bam").option("paths", ",".join(map(str, files))).option("full", "true").load()
+    key = lambda r: tuple(repr(bytes(r[n]) if isinstance(r[n], bytearray) else r[n]) for n in NAMES)
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))
+    cells = back.select("qname", bedpe.cell_of_path(F.col("path")).alias("file")).distinct()
+    wrong = cells.join(df.select("qname", "cell_id").distinct(), "qname").where(F.regexp_replace("cell_id", "/", "%2F") != F.col("file"))
+    assert wrong.count() == 0
+
+
+def test_merged_and_split_preprocessing(spark, tmp_path):
+    """From one BAM file of many cells to files of each; from those the same pairs again; a listed cell without reads stays in the manifest."""
+    rows = full_reads(150, 11)
+    write_bam(tmp_path / "all.bam", rows, 4_000)
+    made = {r.cell_id: r for r in preprocess.preprocess_merged_bam(spark, str(tmp_path / "all.bam"), str(tmp_path / "out")).collect()}
+    assert set(made) == {"cell-1", "cell-2", "cell-3"} and made["cell-3"].bedpe_file is None and made["cell-3"].pairs == 0
+    pairs = bedpe.read_bedpe(spark, str(tmp_path / "out" / "bedpe"))
+    counts = {r.cell_id: r["count"] for r in pairs.groupBy("cell_id").count().collect()}
+    assert counts == {c: made[c].pairs for c in ("cell-1", "cell-2")}
+    kept = [r for r in rows if r[4] >= 30 and b"CBZcell-1" in r[11]]
+    names = {r[0] for r in kept if r[1] == 99} & {r[0] for r in kept if r[1] == 147}
+    assert 0 < counts["cell-1"] <= len(names)
+    paths = [made[c].bam_file for c in ("cell-1", "cell-2")]
+    again = {r.cell_id: r.pairs for r in preprocess.preprocess_split_bams(spark, paths, str(tmp_path / "again")).collect()}
+    assert again == counts
+    assert sorted(map(tuple, bedpe.read_bedpe(spark, str(tmp_path / "again" / "bedpe")).collect())) == sorted(map(tuple, pairs.collect()))
+    assert {x.split("\t")[0] for f in (tmp_path / "out" / "CellIDList").glob("part*") for x in f.read_text().splitlines()} == set(made)
