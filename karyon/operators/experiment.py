@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import computed_once
 from . import clusters, communities, copyfit, ploidy, segment
 from .bins import bin_size
 from .correct import correct_reads
@@ -117,26 +120,55 @@ def identify_subclones(x: CellExperiment, assay: str = "copy", k: int = 30, reso
         edges = clusters.neighbour_edges(knn, features, method)
         found = best_partition(edges, ids, seed) if resolution == "auto" else communities.partition(edges, ids, float(resolution), seed=seed)
         numbers = found.groupBy("label").agg(F.count("*").alias("n"))
-        from pyspark.sql import Window as W
-
         numbers = numbers.select("label", F.row_number().over(W.orderBy(F.desc("n"), "label")).alias("number"))  # clusters, not cells
         labels = found.join(numbers, "label").select("cell_id", F.col("number").alias("label"))
     labels = clusters.collapse_small(labels, min_size).withColumnRenamed("label", column)
     return replace(x, cells=x.cells.drop(column).join(labels, "cell_id", "left"), changepoints=features)
 
 
-#: Resolutions tried for `auto`; of equal modularity the nearest to 1 is taken.
+#: Bounds of the resolution, and resolutions within them that are tried first.
+RESOLUTION_LEAST, RESOLUTION_MOST = 1e-4, 10.0
 RESOLUTIONS = (1.0, 0.5, 2.0, 0.1, 5.0)
 
 
-def best_partition(edges: DataFrame, ids: DataFrame, seed: int = 1234) -> DataFrame:
-    best = None
+def search_resolution(edges: DataFrame, ids: DataFrame, seed: int = 1234, width: float = 0.1, id_col: str = "cell_id") -> tuple[float, float, DataFrame]:
+    """(resolution, modularity, partition) of the greatest modularity between the bounds; of equal ones the resolution nearest to 1.
+
+    A driver's search whose evaluations are Spark jobs on one stored graph: the first resolutions, then golden sections of the logarithm around the best
+    until the interval is `width`. Each resolution is evaluated once; those of the sections start from the best partition so far.
+    """
+    edges = computed_once(edges.select("src", "dst", "weight"))
+    graph = communities.summed_graph(edges)
+    known: dict[float, tuple[float, DataFrame]] = {}
+
+    def at(log: float, start: DataFrame | None = None) -> float:
+        log = round(log, 9)
+        if log not in known:
+            found = computed_once(communities.partition_graph(graph, ids, math.exp(log), seed, id_col, start))
+            known[log] = (clusters.modularity(edges, found, id_col).first()[0] or 0.0), found
+        return known[log][0]
+
+    def best() -> float:
+        return max(known, key=lambda x: (round(known[x][0], 9), -abs(x)))
+
     for r in RESOLUTIONS:
-        found = communities.partition(edges, ids, r, seed=seed)
-        score = clusters.modularity(edges, found).first()[0] or 0.0
-        if best is None or score > best[0] + 1e-9:
-            best = (score, found)
-    return best[1]
+        at(math.log(r))
+    ends = sorted([*known, math.log(RESOLUTION_LEAST), math.log(RESOLUTION_MOST)])
+    i = ends.index(best())
+    low, high = ends[i - 1], ends[i + 1]
+    section = (math.sqrt(5) - 1) / 2
+    while high - low > width:
+        one, two = high - section * (high - low), low + section * (high - low)
+        start = known[best()][1]
+        if at(one, start) >= at(two, start):
+            high = two
+        else:
+            low = one
+    return math.exp(best()), *known[best()]
+
+
+def best_partition(edges: DataFrame, ids: DataFrame, seed: int = 1234) -> DataFrame:
+    return search_resolution(edges, ids, seed)[2]
 
 
 def ploidy_correction(x: CellExperiment, min_reads: int = 100_000, k: int = 45, call_wgd: bool = True, least_cells: int = 10, least_count: float = 30) -> CellExperiment:

@@ -8,6 +8,7 @@ from ..functions.columns import inv_ccc, inv_manhattan, inv_wasserstein
 from ..operators import clusters as c
 from ..operators import communities, copyfit, experiment, plotdata, segment
 from ..operators import ploidy as p
+from ..sources.shared import computed_once
 from . import fixtures
 from .registry import query
 
@@ -261,6 +262,28 @@ def leiden(spark, sf_dir):
     return communities.partition(edges, _vectors(spark, sf_dir), id_col="vec_id")
 
 
+_FAULTLESS = "SELECT count(*) AS vertices, 0::BIGINT AS apart, 0::BIGINT AS gaining FROM embeddings"
+
+
+@query(_FAULTLESS)
+def leiden_faults(spark, sf_dir):
+    """The partition of `leiden`: each vertex once, each community connected, no vertex gains by moving."""
+    edges = c.neighbour_edges(_knn(spark, sf_dir), _vectors(spark, sf_dir), "inv_manhattan", "vec_id")
+    edges = computed_once(edges)
+    return communities.faults(edges, communities.partition(edges, _vectors(spark, sf_dir), id_col="vec_id"), id_col="vec_id")
+
+
+@query("SELECT true AS in_bounds, true AS no_fixed_is_better, count(*) AS vertices FROM embeddings")
+def resolution_search(spark, sf_dir):
+    """The resolution found between the bounds has a modularity no less than any of the fixed ones."""
+    edges = computed_once(c.neighbour_edges(_knn(spark, sf_dir), _vectors(spark, sf_dir), "inv_manhattan", "vec_id"))
+    ids = _vectors(spark, sf_dir).select("vec_id")
+    found, score, labels = experiment.search_resolution(edges, ids, id_col="vec_id")
+    fixed = [c.modularity(edges, communities.partition(edges, ids, r, id_col="vec_id"), "vec_id").first()[0] for r in experiment.RESOLUTIONS]
+    inside = experiment.RESOLUTION_LEAST <= found <= experiment.RESOLUTION_MOST
+    return labels.agg(F.lit(inside).alias("in_bounds"), F.lit(all(score >= x - 1e-9 for x in fixed)).alias("no_fixed_is_better"), F.count("*").alias("vertices"))
+
+
 @query()
 def subclones(spark, sf_dir):
     cells = fixtures.cells(spark, sf_dir)

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import fragment_queries, matrix_queries  # noqa: E402, F401
+from . import fragment_queries, matrix_queries, source_queries  # noqa: E402, F401

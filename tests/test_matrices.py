@@ -163,3 +163,89 @@ def test_long_path_is_one_connected_part(spark):
     edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src long, dst long, weight double")
     labels = spark.createDataFrame([(i, 7) for i in [*range(1, 101), 500]], "id long, label long")
     assert {(r.id, r.label) for r in communities._split(edges, labels).collect()} == {(i, 1) for i in range(1, 101)} | {(500, 500)}
+
+
+def _blocks(rng, sizes, inside, outside):
+    """A random graph of blocks: pairs of a block are linked with one probability, others with another."""
+    of = [b for b, n in enumerate(sizes) for _ in range(n)]
+    return [(i, j, round(float(rng.uniform(0.5, 1.5)), 3)) for i in range(len(of)) for j in range(i) if rng.random() < (inside if of[i] == of[j] else outside)], of
+
+
+def _connected(pairs, label):
+    near = {}
+    for a, b, _ in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    parts, seen = 0, set()
+    for v in label:
+        if v not in seen:
+            parts, todo = parts + 1, [v]
+            seen.add(v)
+            for x in todo:
+                for u in near.get(x, ()):
+                    if u not in seen and label[u] == label[v]:
+                        seen.add(u)
+                        todo.append(u)
+    return parts == len(set(label.values()))
+
+
+def _gains(pairs, label, resolution):
+    """The most that one vertex gains by moving, by definition."""
+    degree, total = dict.fromkeys(label, 0.0), sum(w for *_, w in pairs)
+    for a, b, w in pairs:
+        degree[a] += w
+        degree[b] += w
+    most = 0.0
+    for v in label:
+        links = {}
+        for a, b, w in pairs:
+            if v in (a, b):
+                u = b if a == v else a
+                links[label[u]] = links.get(label[u], 0.0) + w
+        pull = {c: links.get(c, 0.0) - resolution * degree[v] * sum(degree[u] for u in label if label[u] == c and u != v) / (2 * total) for c in {*links, label[v]}}
+        most = max(most, max([*pull.values(), 0.0]) - pull[label[v]])
+    return most
+
+
+@pytest.mark.parametrize("seed,resolution", [(1, 1.0), (2, 0.3), (3, 2.5)])
+def test_communities_are_connected_and_no_vertex_gains(spark, seed, resolution):
+    """The distributed steps and the one-task steps: same properties, modularity alike, blocks found."""
+    pairs, of = _blocks(np.random.default_rng(seed), [14, 12, 10, 8, 5], 0.6, 0.04)
+    edges = spark.createDataFrame(pairs, "src int, dst int, weight double")
+    ids = spark.createDataFrame([(k,) for k in range(len(of))], "cell_id int")
+    scores = []
+    for small in (0, 10**6):
+        found = communities.partition(edges, ids, resolution, small=small)
+        label = {r.cell_id: r.label for r in found.collect()}
+        assert len(label) == len(of) and all(min(u for u in label if label[u] == c) == c for c in set(label.values()))
+        assert _connected(pairs, label) and _gains(pairs, label, resolution) < 1e-6
+        assert tuple(communities.faults(edges, found, resolution).first()) == (len(of), 0, 0)
+        scores.append(clusters.modularity(edges, found, weight="weight").first()[0])
+    assert abs(scores[0] - scores[1]) < 0.05
+    if resolution == 1.0:
+        assert len({(of[v], label[v]) for v in label}) == len(set(label.values())) == 5
+    wrong = spark.createDataFrame([(k, k % 2) for k in range(len(of))], "cell_id int, label int")
+    assert communities.faults(edges, wrong).first().gaining > 5
+
+
+def test_refinement_splits_what_hangs_by_one_vertex(spark):
+    """Two cliques that a bridge vertex held together fall apart once it is gone: the refined parts of their community are connected."""
+    pairs = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 6) for b in range(base, a)]
+    graph = communities.summed_graph(spark.createDataFrame(pairs, "src int, dst int, weight double"))
+    degrees = graph.groupBy("src").agg({"weight": "sum"}).toDF("id", "degree")
+    placed = degrees.selectExpr("id", "struct(0 AS id, 0 AS born) AS label", "degree")
+    refined = {r.id: r.sub for r in communities._refined(graph, placed, 30.0, 1.0, 5, communities._Births()).collect()}
+    assert all((refined[a] == refined[b]) <= (a // 10 == b // 10) for a in refined for b in refined)
+    start = spark.createDataFrame([(v, 0) for v in refined], "cell_id int, label int")
+    for small in (0, 10**6):
+        found = communities.partition_graph(graph, start, start=start, small=small)
+        assert {(r.cell_id, r.label) for r in found.collect()} == {(v, v // 10 * 10) for v in refined}
+
+
+def test_resolution_search(spark):
+    pairs, of = _blocks(np.random.default_rng(9), [9, 9, 9], 0.7, 0.05)
+    edges = spark.createDataFrame(pairs, "src int, dst int, weight double")
+    ids = spark.createDataFrame([(k,) for k in range(len(of))], "cell_id int")
+    r, score, found = experiment.search_resolution(edges, ids, width=0.6)
+    fixed = [clusters.modularity(edges, communities.partition(edges, ids, x)).first()[0] for x in experiment.RESOLUTIONS]
+    assert 1e-4 <= r <= 10 and score >= max(fixed) - 1e-9 and found.count() == len(of)
