@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import AFFINITIES
+from .neighbours import nearest as nearest
 
 
 def bin_mask(rows: DataFrame, least: float = 30, around: int = 2) -> DataFrame:
@@ -56,37 +56,6 @@ def changepoint_features(steps: DataFrame, places: DataFrame) -> DataFrame:
     return listed.select("cell_id", F.transform("all", lambda f: f["change"]).alias("features"))
 
 
-def nearest(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "features", block: int = 1024) -> DataFrame:
-    """(src, dst, rank, dist): the k nearest vectors of each, itself among them, by exact Euclidean distance, then id.
-
-    Queries are dealt in blocks; each block meets every block of vectors in its own task, which keeps the k best of its pairs;
-    these partial lists are merged by query. No task holds more than two blocks, and rows grow as queries x blocks x k.
-    """
-    kind = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-int(rows.count()) // block))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.select("id", "v", F.col("own").alias("a"), every.alias("b"), F.lit(0).alias("side"))
-    points = rows.select("id", "v", every.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"))
-
-    def best(pair: pd.DataFrame) -> pd.DataFrame:
-        left, right = pair[pair["side"] == 0], pair[pair["side"] == 1].sort_values("id")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        x, y, ids = np.stack(left["v"].to_list()), np.stack(right["v"].to_list()), right["id"].to_numpy()
-        out = []
-        for own, row in zip(left["id"], x, strict=True):
-            d = np.sqrt(((y - row) ** 2).sum(axis=1))
-            order = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"src": own, "dst": ids[order], "dist": d[order]}))
-        return pd.concat(out)
-
-    partial = queries.unionByName(points).groupBy("a", "b").applyInPandas(best, f"src {kind}, dst {kind}, dist double")
-    ranked = partial.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("dist", "dst")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
-
-
 def neighbour_edges(knn: DataFrame, features: DataFrame, method: str | Callable[[Column, Column], Column] = "inv_manhattan", id_col: str = "cell_id") -> DataFrame:
     """(src, dst, weight): each neighbour but the first, without loops, weighted by the affinity of the two feature arrays.
 

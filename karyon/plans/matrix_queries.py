@@ -215,6 +215,16 @@ def knn_l2(spark, sf_dir):
     return _knn(spark, sf_dir).select("src", "dst", "rank", *_round("dist"))
 
 
+@query(
+    f"""WITH {_STEPS}, v AS (SELECT cell_id, list(CAST(coalesce(change, 0) AS DOUBLE) ORDER BY ord) AS v FROM steps JOIN places USING (place) GROUP BY 1),
+d AS (SELECT a.cell_id AS src, b.cell_id AS dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist FROM v a CROSS JOIN v b)
+SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS INT) AS rank, round(dist, 6) AS dist FROM d QUALIFY rank <= {_K}"""
+)
+def knn_cells(spark, sf_dir):
+    """Nearest cells by their changepoints, where most pairs of blocks need not be compared."""
+    return c.nearest(_features(spark, sf_dir), _K, "cell_id", block=64).select("src", "dst", "rank", *_round("dist"))
+
+
 def _affinity(spark, sf_dir, method):
     return c.neighbour_edges(_knn(spark, sf_dir), _vectors(spark, sf_dir), method, "vec_id").select("src", "dst", *_round("weight"))
 
