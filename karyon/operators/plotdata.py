@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+from .roworder import row_order
+
 #: The order of chromosomes, and the colours of copy numbers 0 to 11.
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
 COPY_COLOURS = ["#496bab", "#9fbdd7", "#c1c1c1", "#e9c47e", "#d6804f", "#b3402e", "#821010", "#6a0936", "#ab1964", "#b6519f", "#ad80b9", "#c2a9d1"]
@@ -21,8 +24,8 @@ def heatmap_data(rows: DataFrame, assay: str = "copy", attributes: list[str] | N
     made = rows.select("cell_id", "bin_idx", F.when(order > 0, order.cast("int")).alias("chr_order"), value.alias("value"), *(attributes or []))
     if "copy" in assay:
         return made.withColumn("value", F.least("value", F.lit(12.0))).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(11.0))
-    limits = made.agg(F.percentile("value", 0.01).alias("low"), F.percentile("value", 0.99).alias("high"))
-    return made.join(F.broadcast(limits))
+    low, high = exact_quantiles(made, "value", [0.01, 0.99])
+    return made.withColumn("low", F.lit(low).cast("double")).withColumn("high", F.lit(high).cast("double"))
 
 
 def annotation_bar(df: DataFrame, value: str, limits: tuple[float, float] | None = None) -> DataFrame:
@@ -31,9 +34,15 @@ def annotation_bar(df: DataFrame, value: str, limits: tuple[float, float] | None
         return df.withColumn("bar", F.col(value))
     if limits:
         return df.withColumn("bar", F.greatest(F.least(F.col(value).cast("double"), F.lit(float(limits[1]))), F.lit(float(limits[0]))))
-    ends = df.agg(F.percentile(value, 0.01).alias("low"), F.percentile(value, 0.99).alias("high"))
-    held = F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value).cast("double"), F.col("high")), F.col("low")))
-    return df.join(F.broadcast(ends)).withColumn("bar", held).drop("low", "high")
+    low, high = (F.lit(x).cast("double") for x in exact_quantiles(df, value, [0.01, 0.99]))
+    return df.withColumn("bar", F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value).cast("double"), high), low)))
+
+
+def heatmap_rows(rows: DataFrame, assay: str = "copy", row_split: str | None = None) -> DataFrame:
+    """(cell_id, [row_split,] row_number): the heatmap's rows from top to bottom, clustered within each split. Copies over 12 count as 12."""
+    value = F.coalesce(F.col(assay).cast("double"), F.lit(0.0))
+    shown = F.least(value, F.lit(12.0)) if "copy" in assay else value
+    return row_order(rows.select("cell_id", "bin_idx", shown.alias("value"), *([row_split] if row_split else [])), "value", row_split)
 
 
 def cell_profiles(rows: DataFrame, assay: str = "copy", chromosome: str | None = None) -> DataFrame:

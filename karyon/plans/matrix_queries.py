@@ -351,6 +351,15 @@ def heatmap_data(spark, sf_dir):
     return plotdata.heatmap_data(rows, "seg").select("cell_id", "bin_idx", "chr_order", "value", *_round("low", "high"))
 
 
+@query(f"WITH {M}, r AS (SELECT cell_id, (regexp_extract(cell_id, '[0-9]+')::INT % 3)::VARCHAR AS clone, count(*) OVER () AS n FROM m GROUP BY cell_id) SELECT clone, min(n) AS cells, true AS together, count(*) AS own FROM r GROUP BY clone")
+def heatmap_order(spark, sf_dir):
+    """Of the heatmap's row order by copy: whether the rows of each clone are next to each other."""
+    rows = plotdata.heatmap_rows(_matrix(spark, sf_dir))
+    clone = (F.regexp_extract("cell_id", "[0-9]+", 0).cast("int") % 3).cast("string")
+    spans = rows.withColumn("clone", clone).groupBy("clone").agg(F.count("*").alias("own"), (F.max("row_number") - F.min("row_number") + 1 == F.count("*")).alias("together"))
+    return spans.crossJoin(rows.agg(F.countDistinct("row_number").alias("cells"))).select("clone", "cells", "together", "own")  # one row
+
+
 @query("WITH q AS (SELECT quantile_cont(c_acctbal, 0.01) AS lo, quantile_cont(c_acctbal, 0.99) AS hi FROM customer) SELECT c_custkey, round(greatest(least(c_acctbal, hi), lo), 6) AS bar FROM customer, q")
 def annobar_clamp(spark, sf_dir):
     return plotdata.annotation_bar(fixtures.table(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", *_round("bar"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from karyon.functions.columns import inv_wasserstein
-from karyon.operators import clusters, communities, copyfit, experiment, neighbours, ploidy, segment
+from karyon.operators import clusters, communities, copyfit, experiment, neighbours, ploidy, quantiles, roworder, segment
 from karyon.operators.bins import make_bins
 from karyon.operators.correct import correct_reads
 
@@ -287,3 +287,51 @@ def test_nearest_of_nothing_and_one(spark):
     df = spark.createDataFrame([("only", [1.0, 2.0])], "id string, features array<double>")
     assert [tuple(r) for r in clusters.nearest(df, 3).collect()] == [("only", "only", 1, 0.0)]
     assert clusters.nearest(df.limit(0), 3).count() == 0
+
+
+def _plain_order(x):
+    """Complete linkage by looking at all pairs of clusters, then leaves by means."""
+    clusters_ = [([i], -row.mean(), i) for i, row in enumerate(x)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    while len(clusters_) > 1:
+        _, i, j = min((d[np.ix_(clusters_[i][0], clusters_[j][0])].max(), i, j) for i in range(len(clusters_)) for j in range(i))
+        a, b = sorted((clusters_[i], clusters_[j]), key=lambda c: c[1])
+        clusters_ = [c for k, c in enumerate(clusters_) if k not in (i, j)] + [(a[0] + b[0], (a[1] + b[1]) / 2, 0)]
+    return clusters_[0][0]
+
+
+def test_row_order_is_that_of_complete_linkage(spark):
+    x = np.random.default_rng(2).normal(0, 1, (70, 5))
+    assert roworder.leaf_order(x, -x.mean(axis=1)) == _plain_order(x)
+    heights = [h for *_, h in roworder.linkage(x)]
+    assert heights == sorted(heights) and len(heights) == 69
+    rows = spark.createDataFrame([(f"c{i:03d}", b, float(v), f"s{i % 2}") for i, row in enumerate(x) for b, v in enumerate(row)], "cell_id string, bin_idx int, value double, half string")
+    got = [r.cell_id for r in roworder.row_order(rows).orderBy("row_number").collect()]
+    assert got == [f"c{i:03d}" for i in _plain_order(x)]
+    halves = roworder.row_order(rows, split="half").orderBy("row_number").collect()
+    for k in (0, 1):
+        own = [r.cell_id for r in halves if r.half == f"s{k}"]
+        assert own == [f"c{2 * i + k:03d}" for i in _plain_order(x[k::2])]
+    assert [r.row_number for r in halves] == list(range(1, 71)) and [r.half for r in halves] == ["s0"] * 35 + ["s1"] * 35
+
+
+def test_row_order_of_many_cells_keeps_clones_together(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 20, (4, 6))
+    of = rng.permutation(np.repeat([0, 1, 2, 3], [60, 20, 15, 5]))
+    rows = spark.createDataFrame([(int(i), b, float(centres[k, b] + rng.normal(0, 0.1))) for i, k in enumerate(of) for b in range(6)], "cell_id long, bin_idx int, value double")
+    got = roworder.row_order(rows, cells_most=24).orderBy("row_number").collect()
+    assert [r.row_number for r in got] == list(range(1, 101)) and {r.cell_id for r in got} == set(range(100))
+    clones = [of[r.cell_id] for r in got]
+    assert sum(a != b for a, b in zip(clones, clones[1:], strict=False)) == 3
+
+
+@pytest.mark.parametrize("case", ["spread", "ties", "wild", "one", "none"])
+def test_exact_quantiles(spark, monkeypatch, case):
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    rng = np.random.default_rng(4)
+    x = {"spread": rng.normal(0, 1, 999), "ties": rng.integers(0, 3, 500).astype(float), "wild": np.concatenate([10.0 ** rng.uniform(-300, 300, 300), [-1e308, 1e308, 0.0]]), "one": np.array([4.0]), "none": np.array([])}[case]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = quantiles.exact_quantiles(df, "v", shares)
+    assert got == ([None] * 5 if case == "none" else pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12))
