@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, gaussian_log_density
+from .segment import with_array
 
 
 def modal_states(ploidy: Column | str) -> Column:
@@ -36,38 +37,50 @@ def usable(rows: DataFrame, least: float = 1e-3) -> DataFrame:
     return rows.where(F.col("segmented") > least)
 
 
+def _states(ploidy: float | None) -> np.ndarray:
+    """The same as `modal_states`."""
+    if ploidy is None or np.isnan(ploidy):
+        return np.arange(2, 9)
+    e = 2.0 if ploidy < 0.5 else 15.0 if ploidy > 15 else ploidy
+    return np.arange(max(int(np.floor(e)), 1), int(np.rint(e * 1.75)) + 1)
+
+
+def _best_of_grid(v: np.ndarray, sigma: float, ploidy: float | None, steps: int) -> tuple[int, float, float]:
+    """(state, rpcn, score) of one cell's usable bins: all candidates against all bins as one matrix."""
+    n, known = len(v), ploidy is not None and not np.isnan(ploidy)
+    inside = np.abs(v - v.mean()) / sigma < 3
+    mid = inside if inside.sum() >= 100 else np.ones(n, bool)
+    null = v.min() + (np.arange(n) + 0.5) / n * (v.max() - v.min())
+    states, peak = _states(ploidy), np.median(v)
+    low, high = peak / (states + 0.5), peak / (states - 0.5)
+    rpcn = (low[:, None] + (high - low)[:, None] * np.arange(steps + 1) / steps).ravel()[:, None]
+    squares = lambda x: (x - np.rint(x / rpcn) * rpcn) ** 2
+    own, reference = squares(v[None, :]), squares(null[None, :])
+    constant = -np.log(sigma) - 0.5 * np.log(2 * np.pi)
+    loglik = lambda s: -s.sum(axis=1) / (2 * sigma * sigma) + s.shape[1] * constant
+    fit, score = loglik(own[:, mid]) - loglik(reference), loglik(own[:, mid]) - loglik(reference[:, mid])
+    if known:
+        score -= 0.5 * mid.sum() * ((np.rint(v[None, :] / rpcn).mean(axis=1) - ploidy) / ploidy) ** 2
+    tuned = np.round(fit, 6).reshape(len(states), -1).argmax(axis=1) + np.arange(len(states)) * (steps + 1)  # the first of equal ones
+    i = int(np.round(score[tuned], 6).argmax())
+    return int(states[i]), float(rpcn[tuned[i], 0]), float(score[tuned[i]])
+
+
 def fit_grid(rows: DataFrame, cells: DataFrame, steps: int = 40, least: float = 1e-3) -> DataFrame:
-    """(cell_id, state, rpcn, score): the best of `steps` + 1 values of reads per copy for each modal state, in SQL only.
+    """(cell_id, state, rpcn, score): the best of `steps` + 1 values of reads per copy for each modal state.
 
     cells has sigma and ploidy (NULL: unknown). The middle bins are those within 3 sigma of the mean, or all if fewer than
-    100 are. The null values are the midpoints of as many equal parts of the range of the bins as there are bins. Each cell's
-    bins are held in one array of a genome's length, so candidates are scored in place and no bin is copied for a candidate.
+    100 are. The null values are the midpoints of as many equal parts of the range of the bins as there are bins. A cell's
+    bins are one array of a genome's length; cells go through one Arrow map in batches, and one cell's candidates and bins are a matrix in it.
     """
-    good = usable(rows, least)
-    vectors = good.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin_idx", "segmented"))), lambda b: b["segmented"]).alias("v"), F.median("segmented").alias("peak"), F.avg("segmented").alias("mean"))
-    vectors = vectors.join(cells.select("cell_id", "sigma", "ploidy"), "cell_id")
-    inside = F.filter("v", lambda x: F.abs(x - F.col("mean")) / F.col("sigma") < 3)
-    vectors = vectors.withColumn("inside", inside).withColumn("few", F.size("inside") < 100).withColumn("mid", F.when(F.col("few"), F.col("v")).otherwise(F.col("inside")))
-    low, high, n = F.array_min("v"), F.array_max("v"), F.size("v")
-    null = F.transform(F.sequence(F.lit(0), n - 1), lambda i: low + (i + 0.5) / n * (high - low))
-    vectors = vectors.withColumn("null", null)
-    null_mid = F.transform(F.filter(F.arrays_zip("null", "v"), lambda p: F.col("few") | (F.abs(p["v"] - F.col("mean")) / F.col("sigma") < 3)), lambda p: p["null"])
-    vectors = vectors.withColumn("null_mid", null_mid)
-    tried = vectors.withColumn("state", F.explode(modal_states("ploidy"))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    lowest, highest = F.col("peak") / (F.col("state") + 0.5), F.col("peak") / (F.col("state") - 0.5)
-    tried = tried.withColumn("rpcn", lowest + (highest - lowest) * F.col("step") / steps)
-
-    def squares(name: str) -> Column:
-        return F.aggregate(name, F.lit(0.0), lambda s, x: s + (x - F.rint(x / F.col("rpcn")) * F.col("rpcn")) * (x - F.rint(x / F.col("rpcn")) * F.col("rpcn")))
-
-    two = 2 * F.col("sigma") * F.col("sigma")
-    constant = -F.log("sigma") - F.lit(0.9189385332046727)
-    loglik = lambda name: -squares(name) / two + F.size(name) * constant
-    tried = tried.withColumns({"fit": loglik("mid") - loglik("null"), "final": loglik("mid") - loglik("null_mid"), "mean_state": F.aggregate("v", F.lit(0.0), lambda s, x: s + F.rint(x / F.col("rpcn"))) / F.size("v")})
-    off = (F.col("mean_state") - F.col("ploidy")) / F.col("ploidy")
-    tried = tried.withColumn("score", F.col("final") - F.when(F.col("ploidy").isNull(), F.lit(0.0)).otherwise(0.5 * F.size("mid") * off * off))
-    tuned = tried.groupBy("cell_id", "state").agg(F.max_by(F.struct("rpcn", "score"), F.struct(F.round("fit", 6), -F.col("step"))).alias("best"))
-    return tuned.groupBy("cell_id").agg(F.max_by(F.struct("state", "best.rpcn", "best.score"), F.struct(F.round("best.score", 6), -F.col("state"))).alias("b")).select("cell_id", "b.state", "b.rpcn", "b.score")
+    vectors = usable(rows, least).groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin_idx", F.col("segmented").cast("double").alias("segmented")))), lambda b: b["segmented"]).alias("v"))
+    vectors = vectors.join(cells.select("cell_id", F.col("sigma").cast("double").alias("sigma"), F.col("ploidy").cast("double").alias("ploidy")), "cell_id")
+
+    def best(v: pa.Array, sigma: pa.Array, ploidy: pa.Array) -> pa.Array:
+        made = [_best_of_grid(np.array(x), s, p, steps) if s is not None and s > 0 else (None, None, None) for x, s, p in zip(v.to_pylist(), sigma.to_pylist(), ploidy.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64()))], names=["state", "rpcn", "score"])
+
+    return vectors.withColumn("b", F.arrow_udf(best, "state int, rpcn double, score double")("v", "sigma", "ploidy")).select("cell_id", "b.*")
 
 
 def _log_density(v: np.ndarray, rpcn: float, sigma: float) -> np.ndarray:
@@ -146,13 +159,16 @@ def fit_means(values: np.ndarray, sigma: float, ploidy: float | None, null: str
 
 
 def copy_call(rows: DataFrame, cells: DataFrame, null: str = "grid", seed: int = 0) -> DataFrame:
-    """rows (cell_id, bin_idx, segmented, ...) with copy; cells has sigma and ploidy. One grouped map by cell."""
-
-    def one(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("bin_idx")
-        states, _ = fit_means(cell["segmented"].to_numpy(dtype=float), float(cell["sigma"].iloc[0]), cell["ploidy"].iloc[0], null, seed)
-        return pd.DataFrame({"cell_id": cell["cell_id"], "bin_idx": cell["bin_idx"], "copy": [None if np.isnan(s) else int(s) for s in states]}).astype({"copy": "Int32"})
-
-    kind = rows.schema["cell_id"].dataType.simpleString()
-    joined = rows.select("cell_id", "bin_idx", "segmented").join(cells.select("cell_id", "sigma", "ploidy"), "cell_id")
-    return rows.join(joined.groupBy("cell_id").applyInPandas(one, f"cell_id {kind}, bin_idx int, copy int"), ["cell_id", "bin_idx"])
+    """rows (cell_id, bin_idx, segmented, ...) with copy; cells has sigma and ploidy. One Arrow map over cells' arrays of bins."""
+
+    def fitted(values: pa.Array, sigma: pa.Array, ploidy: pa.Array) -> pa.Array:
+        out = []
+        for v, s, p in zip(values.to_pylist(), sigma.to_pylist(), ploidy.to_pylist(), strict=True):
+            states, _ = fit_means(np.array(v, dtype=float), np.nan if s is None else s, p, null, seed)
+            out.append([None if np.isnan(x) else int(x) for x in states])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    fit = F.arrow_udf(fitted, "array<int>")
+    joined = rows.drop("copy").join(cells.select("cell_id", F.col("sigma").cast("double").alias("__sigma"), F.col("ploidy").cast("double").alias("__ploidy")), "cell_id")
+    one = lambda array, c: F.element_at(array(c), 1)
+    return with_array(joined, lambda array: fit(array("segmented").cast("array<double>"), one(array, "__sigma"), one(array, "__ploidy")), "copy", "int").drop("__sigma", "__ploidy")

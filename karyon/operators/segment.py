@@ -1,14 +1,16 @@
 """Noise, scaling and segmentation of each cell's binned reads.
 
-The unbalanced Haar transform looks at a cell's whole vector, so it runs in a grouped map by cell: a group is the bins of one
-genome, some thousands of rows, whatever the number of cells. All steps around it are windows.
+The unbalanced Haar transform looks at a cell's whole vector, so it gets a cell's bins as one array (those of a genome, some thousands, whatever the
+number of cells), a batch of cells at a time. All steps around it are windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,33 +32,42 @@ def mad_offset(rows: DataFrame, value: str = "reads") -> DataFrame:
     return steps.join(centre, "cell_id").groupBy("cell_id").agg((MAD_SCALE * F.median(F.abs(F.col("x") - F.col("m")))).alias("sigma"))
 
 
-def haar_reconstruction(x: np.ndarray, sigma: float) -> np.ndarray:
-    """Best unbalanced Haar transform, coefficients up to sigma sqrt(2 log n) set to zero, and its inverse.
+def haar_reconstructions(vectors: list[np.ndarray], sigmas: list[float]) -> list[np.ndarray]:
+    """Best unbalanced Haar transform of each vector, coefficients up to sigma sqrt(2 log n) set to zero, and its inverse.
 
-    An interval is split where the Haar coefficient of its two parts is largest in absolute value (the first such place).
+    An interval is split where the Haar coefficient of its two parts is largest in absolute value (the first such place). All intervals of a
+    level, of all vectors, are looked at in one pass over their running sums.
     """
-    n = len(x)
-    if n == 0:
-        return x.astype(float)
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    limit = sigma * np.sqrt(2 * np.log(n)) if n > 1 else 0.0
-    out = np.full(n, total[n] / n)
-    waiting = [(0, n)]
-    while waiting:
-        a, b = waiting.pop()
-        if b - a < 2:
-            continue
-        cuts = np.arange(a + 1, b)
-        left, right = cuts - a, b - cuts
-        size = b - a
-        c = np.sqrt(right / (size * left)) * (total[cuts] - total[a]) - np.sqrt(left / (size * right)) * (total[b] - total[cuts])
-        k = int(np.argmax(np.abs(c)))
-        cut, value = int(cuts[k]), c[k]
-        if abs(value) > limit:
-            out[a:cut] += value * np.sqrt(right[k] / (size * left[k]))
-            out[cut:b] -= value * np.sqrt(left[k] / (size * right[k]))
-        waiting += [(a, cut), (cut, b)]
-    return out
+    sizes = np.array([len(v) for v in vectors], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] if len(sizes) else np.zeros(0, np.int64)  # running sums have a place more than the vector
+    total = np.concatenate([np.zeros(0), *(np.concatenate([[0.0], np.cumsum(v)]) for v in vectors)])
+    out = np.concatenate([np.zeros(0), *(np.full(len(v) + 1, v.mean() if len(v) else 0.0) for v in vectors)])
+    limit = np.array([s * np.sqrt(2 * np.log(n)) if n > 1 else 0.0 for s, n in zip(sigmas, sizes, strict=True)])
+    a, b, most = first, first + sizes, limit
+    while True:
+        long_ = b - a >= 2
+        a, b, most = a[long_], b[long_], most[long_]
+        if not len(a):
+            break
+        n = b - a - 1
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        of = np.repeat(np.arange(len(a)), n)
+        cut = np.arange(n.sum()) - begin[of] + a[of] + 1
+        left, right, size = cut - a[of], b[of] - cut, (b - a)[of]
+        c = np.sqrt(right / (size * left)) * (total[cut] - total[a][of]) - np.sqrt(left / (size * right)) * (total[b][of] - total[cut])
+        height = np.abs(c)
+        at_top = np.flatnonzero(height == np.maximum.reduceat(height, begin)[of])
+        k = at_top[np.unique(of[at_top], return_index=True)[1]]
+        strong = np.flatnonzero(height[k] > most)
+        for i, j in zip(strong.tolist(), k[strong].tolist(), strict=True):
+            out[a[i] : cut[j]] += c[j] * np.sqrt(right[j] / (size[j] * left[j]))
+            out[cut[j] : b[i]] -= c[j] * np.sqrt(left[j] / (size[j] * right[j]))
+        a, b, most = np.concatenate([a, cut[k]]), np.concatenate([cut[k], b]), np.concatenate([most, most])
+    return [out[f : f + n] for f, n in zip(first, sizes, strict=True)]
+
+
+def haar_reconstruction(x: np.ndarray, sigma: float) -> np.ndarray:
+    return haar_reconstructions([np.asarray(x, float)], [sigma])[0]
 
 
 def _mad_offset(x: np.ndarray) -> float:
@@ -64,21 +75,32 @@ def _mad_offset(x: np.ndarray) -> float:
     return float(MAD_SCALE * np.median(np.abs(steps - np.median(steps)))) if len(steps) else 0.0
 
 
-def haar_segments(rows: DataFrame, value: str = "reads") -> DataFrame:
-    """(cell_id, bin_idx, haar): the thresholded reconstruction; 0 where the value is 0 or the reconstruction negative, NULL where the value is."""
+def _haar(values: pa.Array) -> pa.Array:
+    """Of each cell's values: the thresholded reconstruction, as `haar_segments` says."""
+    cells = [np.array(v, dtype=float) for v in values.to_pylist()]
+    real = [x[~np.isnan(x)] for x in cells]
+    made = haar_reconstructions(real, [_mad_offset(x) for x in real])
+    out = []
+    for x, own, found in zip(cells, real, made, strict=True):
+        whole = np.full(len(x), np.nan)
+        whole[~np.isnan(x)] = np.where((own == 0) | (found < 0), 0, found)
+        out.append([None if np.isnan(v) else float(v) for v in whole])
+    return pa.array(out, pa.list_(pa.float64()))
+
 
-    def one(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("bin_idx")
-        x = cell[value].to_numpy(dtype=float)
-        real = ~np.isnan(x)
-        out = np.full(len(x), np.nan)
-        made = haar_reconstruction(x[real], _mad_offset(x[real]))
-        made[(x[real] == 0) | (made < 0)] = 0
-        out[real] = made
-        return pd.DataFrame({"cell_id": cell["cell_id"], "bin_idx": cell["bin_idx"], "haar": [None if np.isnan(v) else v for v in out]})
+def with_array(rows: DataFrame, made: Callable[[Callable[[str], Column]], Column], name: str, kind: str) -> DataFrame:
+    """rows with a column computed from whole cells: made gets a function from a column's name to its array in order of bins, and returns an array. One shuffle by cell; nothing is joined back."""
+    others = [c for c in rows.columns if c not in ("cell_id", name)]
+    whole = rows.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("bin_idx", *[F.col(c) for c in others if c != "bin_idx"]))).alias("__bins"))  # bins of one genome
+    both = whole.withColumn("__made", made(lambda c: F.transform("__bins", lambda b: b[c])))
+    each = both.select("cell_id", F.inline(F.arrays_zip("__bins", F.col("__made").cast(f"array<{kind}>").alias("__made"))).alias("__bin", "__one"))
+    return each.select("cell_id", *[F.col(f"__bin.{c}").alias(c) for c in others], F.col("__one").alias(name))
 
-    kind = rows.schema["cell_id"].dataType.simpleString()
-    return rows.select("cell_id", "bin_idx", value).groupBy("cell_id").applyInPandas(one, f"cell_id {kind}, bin_idx int, haar double")
+
+def haar_segments(rows: DataFrame, value: str = "reads") -> DataFrame:
+    """rows with haar: the thresholded reconstruction; 0 where the value is 0 or the reconstruction negative, NULL where the value is."""
+    transform = F.arrow_udf(_haar, "array<double>")
+    return with_array(rows, lambda array: transform(array(value).cast("array<double>")), "haar", "double")
 
 
 def bridge_gaps(rows: DataFrame, raw: str = "reads", segmented: str = "haar") -> DataFrame:
@@ -106,6 +128,5 @@ def repair_singlets(rows: DataFrame, raw: str = "reads", segmented: str = "haar"
 
 def segment(rows: DataFrame, value: str = "reads") -> DataFrame:
     """rows with segmented and bin_depth = reads / segmented."""
-    made = rows.join(haar_segments(rows, value), ["cell_id", "bin_idx"])
-    done = repair_singlets(bridge_gaps(made, value), value).drop("haar")
+    done = repair_singlets(bridge_gaps(haar_segments(rows, value), value), value).drop("haar")
     return done.withColumn("bin_depth", F.try_divide(F.col(value), F.col("segmented")))

@@ -335,3 +335,35 @@ def test_exact_quantiles(spark, monkeypatch, case):
     shares = [0.0, 0.01, 0.5, 0.99, 1.0]
     got = quantiles.exact_quantiles(df, "v", shares)
     assert got == ([None] * 5 if case == "none" else pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12))
+
+
+def _haar_by_intervals(x, sigma):
+    """One interval after the other, as the transform is defined."""
+    n = len(x)
+    out = np.full(n, x.mean() if n else 0.0)
+    waiting = [(0, n)]
+    while waiting:
+        a, b = waiting.pop()
+        if b - a < 2:
+            continue
+        best = None
+        for cut in range(a + 1, b):
+            left, right, size = cut - a, b - cut, b - a
+            c = np.sqrt(right / (size * left)) * x[a:cut].sum() - np.sqrt(left / (size * right)) * x[cut:b].sum()
+            if best is None or abs(c) > abs(best[0]) + 1e-12:
+                best = (c, cut)
+        c, cut = best
+        if abs(c) > sigma * np.sqrt(2 * np.log(n)):
+            out[a:cut] += c * np.sqrt((b - cut) / ((b - a) * (cut - a)))
+            out[cut:b] -= c * np.sqrt((cut - a) / ((b - a) * (b - cut)))
+        waiting += [(a, cut), (cut, b)]
+    return out
+
+
+def test_batches_of_the_transform_are_the_transform():
+    rng = np.random.default_rng(6)
+    vectors = [rng.normal(np.repeat(rng.integers(0, 9, 5), 12), 0.5) for _ in range(6)] + [np.zeros(0), np.ones(1), np.array([1.0, 5.0]), rng.normal(0, 1, 90)]
+    sigmas = [0.4, 0.0, 1.0, 0.5, 2.0, 0.5, 1.0, 1.0, 0.1, 0.0]
+    for x, s, got in zip(vectors, sigmas, segment.haar_reconstructions(vectors, sigmas), strict=True):
+        assert np.allclose(got, _haar_by_intervals(x, s), atol=1e-9)
+    assert segment.haar_reconstructions([], []) == []
