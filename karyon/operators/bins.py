@@ -6,6 +6,7 @@ Bins are a small annotation table (bins of a genome, whatever the number of cell
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_start, ratio
@@ -44,10 +45,16 @@ def bin_summary(counted: DataFrame, size: int) -> DataFrame:
 
 
 def on_all_bins(summary: DataFrame, bins: DataFrame, cells: DataFrame) -> DataFrame:
-    """A row for each cell and bin; measures of empty bins are NULL, not 0. The grid is what the result is: cells x bins rows."""
+    """A row for each cell and bin; measures of empty bins are NULL, not 0. The grid is what the result is: cells x bins rows.
+
+    Grid and summary are laid together and dealt by cell, where a bin's two rows become one; what follows by cell needs no further shuffle.
+    """
     grid = cells.select("cell_id").distinct().withColumn("bin_idx", F.explode(F.sequence(F.lit(0), F.lit(int(bins.count()) - 1)))).join(bins, "bin_idx")
-    keys = summary.withColumnRenamed("bin_start", "start").withColumn("chromosome", F.expr("substring(chr, 4)")).drop("chr")
-    return grid.join(keys, ["cell_id", "chromosome", "start"], "left")
+    keyed = summary.withColumnRenamed("bin_start", "start").withColumn("chromosome", F.expr("substring(chr, 4)")).drop("chr")
+    both = grid.unionByName(keyed, allowMissingColumns=True).repartition("cell_id")
+    keys = ["cell_id", "chromosome", "start"]
+    others = [c for c in both.columns if c not in keys]
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in others]).where("bin_idx IS NOT NULL").select(*both.columns)
 
 
 def bin_quality(rows: DataFrame) -> DataFrame:
@@ -63,8 +70,8 @@ def good_bins(least_mappability: float = 90, least_bases: float = 90) -> Column:
 
 def focal_selector(rows: DataFrame, low: float = 0.1, high: float = 0.9, least: int = 50) -> DataFrame:
     """depth_ok: overlap count strictly between the cell's quantiles; true everywhere in a cell with fewer than `least` such bins."""
-    limits = rows.groupBy("cell_id").agg(F.percentile("olap_count", low).alias("q_low"), F.percentile("olap_count", high).alias("q_high"))
-    between = (F.col("olap_count") > F.col("q_low")) & (F.col("olap_count") < F.col("q_high"))
-    flagged = rows.join(limits, "cell_id").withColumn("between", F.coalesce(between, F.lit(False)))
-    counts = flagged.groupBy("cell_id").agg(F.sum(F.col("between").cast("int")).alias("n_between"))
-    return flagged.join(counts, "cell_id").withColumn("depth_ok", (F.col("n_between") < least) | F.col("between")).drop("q_low", "q_high", "between", "n_between")
+    cell = W.partitionBy("cell_id")
+    q_low, q_high = F.percentile("olap_count", low).over(cell), F.percentile("olap_count", high).over(cell)
+    flagged = rows.withColumn("__low", q_low).withColumn("__high", q_high)
+    flagged = flagged.withColumn("__between", F.coalesce((F.col("olap_count") > F.col("__low")) & (F.col("olap_count") < F.col("__high")), F.lit(False)))
+    return flagged.withColumn("depth_ok", (F.sum(F.col("__between").cast("int")).over(cell) < least) | F.col("__between")).drop("__low", "__high", "__between")

@@ -62,12 +62,13 @@ def unpivot_matrix(wide: DataFrame, value: str = "value", key: str = "cell_id")
 
 
 def process_batch(
-    bins: DataFrame, bedpe: DataFrame | None = None, reads: DataFrame | None = None, genome: str = "hg38", min_length: int = 50, max_length: float | None = None, tag_overlap: int = 10, focal_amps: bool = True, window: int = 1, correction: str = "none", how: str = "intended", least_fragments: int = 100
+    bins: DataFrame, bedpe: DataFrame | None = None, reads: DataFrame | None = None, genome: str = "hg38", min_length: int = 50, max_length: float | None = None, tag_overlap: int = 10, focal_amps: bool = True, window: int = 1, correction: str = "none", how: str = "intended", least_fragments: int = 100, cells: DataFrame | None = None
 ) -> CellExperiment:
     """Loads, corrects, scales, segments and estimates ploidy of all cells.
 
     bedpe: rows of all cells with cell_id; reads: (cell_id, bin_idx, counts) from BAM files. With reads, they are corrected and scaled to
     10,000 a cell; with bedpe alone, the counts are its fragments by bin and are not scaled; without bedpe there is no ploidy.
+    cells: a list (cell_id) of all cells of the run, as a manifest or `bedpe.cells_of_files` gives it; a cell without rows stays to the end, with NULLs.
     """
     if genome not in GENOMES:
         raise ValueError(f"genome must be one of {', '.join(GENOMES)}")
@@ -75,21 +76,30 @@ def process_batch(
         raise ValueError("give bedpe, reads, or both")
     rows = None
     if bedpe is not None:
-        rows = ploidy.ploidy_bins(bedpe, bins, bin_size(bins), min_length, max_length, tag_overlap, focal_amps, window, how, least_fragments)
+        rows = ploidy.ploidy_bins(bedpe, bins, bin_size(bins), min_length, max_length, tag_overlap, focal_amps, window, how, least_fragments, cells)
         rows = rows.join(ploidy.cell_ploidy(rows).select("cell_id", "est_ploidy"), "cell_id")
     if reads is not None:
         own = reads.select("cell_id", "bin_idx", F.col("counts").cast("double").alias("counts"))
         if rows is None:
-            rows = own.join(bins, "bin_idx").withColumns({c: F.lit(None).cast("double") for c in ("est_ploidy", "bin_coverage", "bin_quality")})
+            rows = _read_grid(own, bins, cells).withColumns({c: F.lit(None).cast("double") for c in ("est_ploidy", "bin_coverage", "bin_quality")})
         else:
             rows = rows.join(own, ["cell_id", "bin_idx"], "left")
         rows = segment.scale_reads(correct_reads(rows, correction))
     else:
         rows = correct_reads(rows.withColumn("counts", F.col("bin_reads").cast("double")), correction)
-    rows = segment.segment(rows)
+    rows = computed_once(segment.segment(rows))  # every later step reads it
     return CellExperiment(cell_qc(rows), bin_names(bins), rows)
 
 
+def _read_grid(own: DataFrame, bins: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """A row for each cell and bin: bins without reads have 0 in a cell with any, NULL in one without."""
+    listed = own.select("cell_id") if cells is None else own.select("cell_id").unionByName(cells.select("cell_id"))
+    grid = listed.distinct().withColumn("bin_idx", F.explode(F.sequence(F.lit(0), F.lit(int(bins.count()) - 1)))).join(bins, "bin_idx")  # the result itself
+    counted = grid.join(own, ["cell_id", "bin_idx"], "left")
+    some = F.max("counts").over(W.partitionBy("cell_id")).isNotNull()
+    return counted.withColumn("counts", F.when(some, F.coalesce("counts", F.lit(0.0))))
+
+
 def from_bin_reads(rows: DataFrame, bins: DataFrame) -> CellExperiment:
     """From (cell_id, bin_idx, counts, reads) binned elsewhere; segments here."""
     made = segment.segment(rows)
@@ -171,8 +181,8 @@ def best_partition(edges: DataFrame, ids: DataFrame, seed: int = 1234) -> DataFr
     return search_resolution(edges, ids, seed)[2]
 
 
-def ploidy_correction(x: CellExperiment, min_reads: int = 100_000, k: int = 45, call_wgd: bool = True, least_cells: int = 10, least_count: float = 30) -> CellExperiment:
+def ploidy_correction(x: CellExperiment, min_reads: int = 100_000, k: int = 45, call_wgd: bool = True, least_cells: int = 10, least_count: float = 30, resolution: float | str = "auto", min_size: int = 5) -> CellExperiment:
     """Groups cells by their segmented profiles (pc_groups), averages trusted ploidies by group and doubles those of genome-doubled cells: wgd, corr_ploidy."""
-    grouped = identify_subclones(x, "segmented", k, column="pc_groups", least_count=least_count)
+    grouped = identify_subclones(x, "segmented", k, resolution, min_size=min_size, column="pc_groups", least_count=least_count)
     cells = grouped.cells.withColumnRenamed("pc_groups", "group")
     return replace(grouped, cells=ploidy.correct_ploidy(cells, min_reads, least_cells, call_wgd).withColumnRenamed("group", "pc_groups"))

@@ -1,6 +1,8 @@
 """Fragments from paired-end rows: orient, prefix, filter contigs, flag doublets, trim, drop near duplicates.
 
-Every step is keyed by cell_id, so any number of cells is one DataFrame. A unique `name` within a cell breaks ties.
+Every step is keyed by cell_id, so any number of cells is one DataFrame. A unique `name` within a cell breaks ties. `load_fragments` deals the rows by cell once;
+flags, counts and limits of all later steps are windows over cells or parts of them, which need no further shuffle and no join of rows to their own aggregates.
+Windows spill, so a cell with very many fragments costs its task time and not memory.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import strand_of
-from ..sources.shared import computed_once
 
 CONTIGS = r"(chr[0-9]+|X|Y)$"
 TAG_OVERLAP = 10
@@ -30,9 +31,9 @@ def orient(bedpe: DataFrame) -> DataFrame:
 
 
 def chr_prefix(fragments: DataFrame) -> DataFrame:
-    """Adds `chr` to all names of a cell none of whose names has it. One flag per cell is aggregated and joined back."""
-    flags = fragments.groupBy("cell_id").agg(F.max(F.contains(F.substring("chr", 1, 3), F.lit("chr"))).alias("prefixed"))
-    return fragments.join(flags, "cell_id").withColumn("chr", F.when(F.col("prefixed"), F.col("chr")).otherwise(F.concat(F.lit("chr"), "chr"))).drop("prefixed")
+    """Adds `chr` to all names of a cell none of whose names has it."""
+    prefixed = F.max(F.contains(F.substring("chr", 1, 3), F.lit("chr"))).over(W.partitionBy("cell_id"))
+    return fragments.withColumn("__prefixed", prefixed).withColumn("chr", F.when(F.col("__prefixed"), F.col("chr")).otherwise(F.concat(F.lit("chr"), "chr"))).drop("__prefixed")
 
 
 def contig_filter(fragments: DataFrame) -> DataFrame:
@@ -40,9 +41,11 @@ def contig_filter(fragments: DataFrame) -> DataFrame:
 
 
 def flag_doublets(fragments: DataFrame, tag_overlap: int = TAG_OVERLAP) -> DataFrame:
-    """doublet: some fragment of the cell and chromosome ends tag-1 or tag bases after this one's start. Two equi-joins on distinct ends, no range join."""
-    ends = fragments.select("cell_id", "chr", F.explode(F.array(F.col("end") - tag_overlap + 1, F.col("end") - tag_overlap)).alias("start")).distinct().withColumn("doublet", F.lit(True))
-    return fragments.join(ends, ["cell_id", "chr", "start"], "left").withColumn("doublet", F.coalesce("doublet", F.lit(False)))
+    """doublet: some fragment of the cell and chromosome ends tag-1 or tag bases after this one's start. Starts and marks of the two places before each end meet in a window; no range join."""
+    places = F.array(F.col("start"), F.col("end") - tag_overlap + 1, F.col("end") - tag_overlap)
+    laid = fragments.select("*", F.posexplode(places).alias("__mark", "__at"))
+    marked = F.max(F.col("__mark") > 0).over(W.partitionBy("cell_id", "chr", "__at"))
+    return laid.withColumn("doublet", marked).where("__mark = 0").drop("__mark", "__at")
 
 
 def trim(fragments: DataFrame, tag_overlap: int = TAG_OVERLAP) -> DataFrame:
@@ -64,23 +67,22 @@ def drop_near_duplicates(fragments: DataFrame, tolerance: int = TOLERANCE, how:
         return flagged.where(~F.col("duplicate")).drop("duplicate")
     if how != "positional":
         raise ValueError("how must be 'intended' or 'positional'")
-    flagged = computed_once(flagged)
     by = W.partitionBy("cell_id", "chr")
-    mask = flagged.select("cell_id", "chr", "duplicate", F.row_number().over(by.orderBy("strand", "start", "end", "name")).alias("place"))
-    rows = flagged.drop("duplicate").withColumn("place", F.row_number().over(by.orderBy("start", "end", "strand", "name")))
-    return rows.join(mask, ["cell_id", "chr", "place"]).where(~F.col("duplicate")).drop("duplicate", "place")
+    placed = flagged.withColumn("__own", F.row_number().over(by.orderBy("start", "end", "strand", "name"))).withColumn("__mask", F.row_number().over(by.orderBy("strand", "start", "end", "name")))
+    laid = placed.select("*", F.posexplode(F.array("__own", "__mask")).alias("__kind", "__place"))
+    masked = F.max(F.when(F.col("__kind") == 1, F.col("duplicate"))).over(W.partitionBy("cell_id", "chr", "__place"))
+    return laid.withColumn("__masked", masked).where("__kind = 0 AND NOT __masked").drop("duplicate", "__own", "__mask", "__kind", "__place", "__masked")
 
 
 def load_fragments(bedpe: DataFrame, tag_overlap: int = TAG_OVERLAP, how: str = "intended") -> DataFrame:
     """(cell_id, chr, start, end, name, strand, doublet, length)."""
-    rows = flag_doublets(contig_filter(chr_prefix(orient(bedpe))), tag_overlap)
+    rows = flag_doublets(contig_filter(chr_prefix(orient(bedpe).repartition("cell_id"))), tag_overlap)
     return drop_near_duplicates(trim(rows, tag_overlap), how=how).select("cell_id", "chr", "start", "end", "name", "strand", "doublet", "length")
 
 
 def enough_fragments(fragments: DataFrame, least: int = 100) -> DataFrame:
     """Fragments of the cells that have at least `least`."""
-    kept = fragments.groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cell_id")
-    return fragments.join(kept, "cell_id", "left_semi")
+    return fragments.withColumn("__n", F.count("*").over(W.partitionBy("cell_id"))).where(F.col("__n") >= least).drop("__n")
 
 
 def length_limits(fragments: DataFrame, quantile: float = 0.99) -> DataFrame:
@@ -90,7 +92,8 @@ def length_limits(fragments: DataFrame, quantile: float = 0.99) -> DataFrame:
 
 def length_filter(fragments: DataFrame, min_length: int = 50, max_length: float | None = None) -> DataFrame:
     """Lengths strictly between the limits; adds max_length, the cell's 0.99 quantile unless given."""
-    limited = fragments.join(length_limits(fragments), "cell_id") if max_length is None else fragments.withColumn("max_length", F.lit(float(max_length)))
+    limit = F.percentile("length", 0.99).over(W.partitionBy("cell_id")) if max_length is None else F.lit(float(max_length))
+    limited = fragments.withColumn("max_length", limit)
     return limited.where((F.col("length") > min_length) & (F.col("length") < F.col("max_length")))
 
 

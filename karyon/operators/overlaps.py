@@ -27,10 +27,10 @@ def count_upstream(fragments: DataFrame) -> DataFrame:
         F.struct(low.alias("at"), F.lit(0).alias("rank"), F.lit(0).alias("n"), F.lit(-1).alias("sign")),
         F.struct(high.alias("at"), F.lit(2).alias("rank"), F.lit(0).alias("n"), F.lit(1).alias("sign")),
     )
-    laid = fragments.select("cell_id", "chr", "name", F.inline(marks))
-    running = F.sum("n").over(W.partitionBy("cell_id", "chr").orderBy("at", "rank", "name").rowsBetween(W.unboundedPreceding, 0))
-    counted = laid.withColumn("before", running).where("sign <> 0").groupBy("cell_id", "chr", "name").agg(F.sum(F.col("before") * F.col("sign")).alias("count_upstream"))
-    return fragments.join(counted, ["cell_id", "chr", "name"])
+    laid = fragments.select("*", F.inline(marks).alias("__at", "__rank", "__n", "__sign"))
+    running = F.sum("__n").over(W.partitionBy("cell_id", "chr").orderBy("__at", "__rank", "name").rowsBetween(W.unboundedPreceding, 0))
+    counted = laid.withColumn("__before", running * F.col("__sign")).withColumn("count_upstream", F.sum("__before").over(W.partitionBy("cell_id", "chr", "name")))
+    return counted.where("__n = 1").drop("__at", "__rank", "__n", "__sign", "__before")
 
 
 def count_overlaps(fragments: DataFrame, min_length: int = 50, window: int = 1) -> DataFrame:

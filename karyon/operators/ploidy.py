@@ -7,24 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..sources.shared import computed_once
 from .bins import bin_quality, bin_summary, focal_selector, good_bins, on_all_bins
 from .fragments import enough_fragments, length_filter, load_fragments
 from .overlaps import count_overlaps
 
 
-def ploidy_bins(bedpe: DataFrame, bins: DataFrame, size: int, min_length: int = 50, max_length: float | None = None, tag_overlap: int = 10, focal: bool = True, window: int = 1, how: str = "intended", least_fragments: int = 100) -> DataFrame:
-    """A row for each cell and bin with all measures and bin_ratio. A cell with too few fragments keeps its rows, with NULLs.
+def ploidy_bins(bedpe: DataFrame, bins: DataFrame, size: int, min_length: int = 50, max_length: float | None = None, tag_overlap: int = 10, focal: bool = True, window: int = 1, how: str = "intended", least_fragments: int = 100, cells: DataFrame | None = None) -> DataFrame:
+    """A row for each cell and bin with all measures and bin_ratio. A cell with too few fragments keeps its rows, with NULLs, and so does one of `cells` (cell_id) without any.
 
-    Later steps join the loaded fragments, and the bins, to their own aggregates by cell, so both are written once and read back."""
-    fragments = computed_once(load_fragments(bedpe, tag_overlap, how))
+    Fragments are dealt by cell once, and so are the bins with the cells' grid; all measures, limits and counts are windows and aggregates within these."""
+    fragments = load_fragments(bedpe, tag_overlap, how)
     counted = count_overlaps(length_filter(enough_fragments(fragments, least_fragments), min_length, max_length), min_length, window)
-    rows = computed_once(bin_quality(on_all_bins(bin_summary(counted, size), bins, bedpe.select("cell_id"))))
+    rows = bin_quality(on_all_bins(bin_summary(counted, size), bins, _listed(bedpe, cells)))
     rows = focal_selector(rows) if focal else rows.withColumn("depth_ok", F.lit(True))
     selected = F.col("depth_ok") & good_bins()
     return rows.withColumn("selected", selected).withColumn("bin_ratio", F.when(F.col("selected"), ratio("norm_over", "norm_upstream")))
 
 
+def _listed(rows: DataFrame, cells: DataFrame | None) -> DataFrame:
+    own = rows.select("cell_id")
+    return own if cells is None else own.unionByName(cells.select("cell_id"))
+
+
 def cell_ploidy(rows: DataFrame) -> DataFrame:
     """(cell_id, selected_bins, mean_ratio, est_ploidy): 1 / (1 - mean ratio), neither clamped nor checked."""
     means = rows.groupBy("cell_id").agg(F.count("bin_ratio").alias("selected_bins"), F.avg("bin_ratio").alias("mean_ratio"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import experiment
 from ..sources import alignments, bam
 from ..sources.shared import shared_folder
 from . import fixtures
@@ -64,3 +65,25 @@ def bam_round_trip(spark, sf_dir):
         F.count("*").alias("reads"), F.countDistinct("qname").alias("names"), F.sum("pos").alias("pos"), F.sum("mate_pos").alias("mate_pos"), F.sum(F.col("flag").cast("long")).alias("flags"), F.sum(F.col("mapq").cast("long")).alias("mapq"),
         F.sum(F.length("sequence").cast("long")).alias("bases"), F.sum(F.col("template_length") * F.col("flag")).alias("lengths"), F.sum("base_quality").alias("base_quality"), F.sum(F.col("cigar").startswith("2S").cast("long")).alias("clipped"),
     )
+
+
+@query(f"WITH r AS ({READS}), c AS (SELECT cell_id, count(*) AS n FROM r WHERE flag = 99 AND mapq >= 37 GROUP BY cell_id) SELECT cell_id, n::DOUBLE AS total_reads, 320 AS bins, 10000.0::DOUBLE AS scaled FROM c UNION ALL SELECT 'cell_empty', NULL, 320, NULL")
+def batch_from_reads(spark, sf_dir):
+    """process_batch over binned reads, with a listed cell that has none: reads in all, bins, and the sum of the scaled reads."""
+    bins = fixtures.bins(spark)
+    counts = alignments.binned_counts(_reads(spark, sf_dir), fixtures.BIN_SIZE).join(bins.select("bin_idx", "chromosome", "start"), ["chromosome", "start"])
+    cells = spark.createDataFrame([("cell_empty",)], "cell_id string")
+    x = experiment.process_batch(bins, reads=counts, cells=cells)
+    sums = x.cell_bins.groupBy("cell_id").agg(F.count("*").cast("int").alias("bins"), F.round(F.sum("reads"), 6).alias("scaled"))
+    return x.cells.select("cell_id", "total_reads").join(sums, "cell_id")
+
+
+@query("SELECT 1 + count(DISTINCT l_suppkey) AS cells, 0::BIGINT AS uneven, 1::BIGINT AS without FROM lineitem")
+def ploidy_correction_run(spark, sf_dir):
+    """process_batch over fragments, then ploidy_correction: every cell once, one mean a group but for doubling, and no ploidy for a listed cell without fragments."""
+    cells = spark.createDataFrame([("cell_empty",)], "cell_id string")
+    x = experiment.process_batch(fixtures.bins(spark), bedpe=fixtures.bedpe(spark, sf_dir), cells=cells)
+    found = experiment.ploidy_correction(x, min_reads=0, k=5, least_cells=2, least_count=0, resolution=1.0, min_size=2).cells
+    mean = F.round(F.col("corr_ploidy") / F.when(F.col("wgd"), 2).otherwise(1), 6)
+    groups = found.withColumn("mean", mean).groupBy("pc_groups").agg(F.countDistinct("mean").alias("means"), F.count("*").alias("cells"), F.count(F.when((F.col("cell_id") == "cell_empty") & F.col("est_ploidy").isNull(), 1)).alias("without"))
+    return groups.agg(F.sum("cells").alias("cells"), F.count(F.when(F.col("means") > 1, 1)).alias("uneven"), F.sum("without").alias("without"))

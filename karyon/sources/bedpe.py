@@ -21,6 +21,18 @@ def read_bedpe(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select(cell_of_path(F.col("_metadata.file_path")).alias("cell_id"), "*")
 
 
+def cells_of_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(cell_id) of all files of folders, files or patterns, those without rows too; no file is read."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        store = hadoop.Path(path).getFileSystem(conf)
+        for entry in store.globStatus(hadoop.Path(path)) or []:
+            found += [f.getPath().toString() for f in (store.listStatus(entry.getPath()) if entry.isDirectory() else [entry]) if f.isFile()]
+    named = spark.createDataFrame([(f,) for f in found], "path string").where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))
+    return named.select(cell_of_path(F.col("path")).alias("cell_id")).distinct()
+
+
 def manifest(spark: SparkSession, rows: list[tuple[str, str | None, str | None]]) -> DataFrame:
     """(cell_id, bam_file, bedpe_file) of the cells of a run, so that a cell without rows is kept."""
     return spark.createDataFrame(rows, "cell_id string, bam_file string, bedpe_file string")

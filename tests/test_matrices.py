@@ -367,3 +367,19 @@ def test_batches_of_the_transform_are_the_transform():
     for x, s, got in zip(vectors, sigmas, segment.haar_reconstructions(vectors, sigmas), strict=True):
         assert np.allclose(got, _haar_by_intervals(x, s), atol=1e-9)
     assert segment.haar_reconstructions([], []) == []
+
+
+def test_empty_files_stay_to_the_end(spark, tmp_path):
+    from karyon.plans import fixtures
+    from karyon.sources import bedpe
+
+    sf = "/root/testdata/sf0.001"
+    bedpe.write_bedpe(fixtures.bedpe(spark, sf).where("cell_id IN ('cell_1', 'cell_2')"), str(tmp_path / "in"))
+    (tmp_path / "in" / "cell_none.bedpe").write_text("")
+    listed = bedpe.cells_of_files(spark, str(tmp_path / "in"))
+    assert sorted(r.cell_id for r in listed.collect()) == ["cell_1", "cell_2", "cell_none"]
+    x = experiment.copy_calls(experiment.process_batch(fixtures.bins(spark), bedpe=bedpe.read_bedpe(spark, str(tmp_path / "in")), cells=listed))
+    cells = {r.cell_id: r for r in x.cells.collect()}
+    assert set(cells) == {"cell_1", "cell_2", "cell_none"} and cells["cell_none"].est_ploidy is None and cells["cell_none"].total_reads is None and cells["cell_1"].est_ploidy is not None
+    rows = x.cell_bins.where("cell_id = 'cell_none'").select("copy", "segmented", "reads").collect()
+    assert len(rows) == 320 and all(v is None for r in rows for v in r)
