@@ -65,6 +65,26 @@ def seg_singlet_repair(spark, sf_dir):
     return segment.repair_singlets(_bridged(spark, sf_dir), "reads", "seg").select("cell_id", "bin_idx", *_round("segmented"))
 
 
+# every interval of every level of every cell in a recursive query; then what the strong ones add
+_HAAR = f"""WITH RECURSIVE {M}, x AS (SELECT cell_id, bin_idx, reads AS v, row_number() OVER w AS i, sum(reads) OVER (w ROWS UNBOUNDED PRECEDING) AS t FROM m WINDOW w AS (PARTITION BY cell_id ORDER BY bin_idx)),
+d AS (SELECT cell_id, sqrt(2) * abs(v - lag(v) OVER (PARTITION BY cell_id ORDER BY i)) AS e FROM x), md AS (SELECT cell_id, median(e) AS mid FROM d GROUP BY 1),
+sg AS (SELECT cell_id, 1.4826 * median(abs(e - mid)) AS sigma FROM d JOIN md USING (cell_id) WHERE e IS NOT NULL GROUP BY 1),
+n AS (SELECT cell_id, max(i) AS n, max_by(t, i) AS total FROM x GROUP BY 1),
+p AS MATERIALIZED (SELECT cell_id, i, t FROM x UNION ALL SELECT cell_id, 0, 0.0 FROM n),
+iv AS (SELECT cell_id, 0::BIGINT AS a, n AS b, 0.0::DOUBLE AS ta, total AS tb, -1::BIGINT AS pa, -1::BIGINT AS pb FROM n
+ UNION ALL SELECT cell_id, CASE WHEN side = 0 THEN a ELSE z.k END, CASE WHEN side = 0 THEN z.k ELSE b END, CASE WHEN side = 0 THEN ta ELSE z.t END, CASE WHEN side = 0 THEN z.t ELSE tb END, a, b
+ FROM (SELECT iv.cell_id, a, b, any_value(ta) AS ta, any_value(tb) AS tb, max({{'h': abs(sqrt((b - i)::DOUBLE / ((b - a) * (i - a))) * (t - ta) - sqrt((i - a)::DOUBLE / ((b - a) * (b - i))) * (tb - t)), 'o': -i, 'k': i, 't': t}}) AS z FROM iv JOIN p ON p.cell_id = iv.cell_id AND i > a AND i < b GROUP BY iv.cell_id, a, b), (SELECT unnest([0, 1]) AS side)),
+c AS (SELECT cell_id, pa AS a, pb AS b, a AS k, sqrt((pb - a)::DOUBLE / ((pb - pa) * (a - pa))) * (ta - l.tl) - sqrt((a - pa)::DOUBLE / ((pb - pa) * (pb - a))) * (tb - ta) AS c FROM iv JOIN (SELECT cell_id, i AS pa, t AS tl FROM p) l USING (cell_id, pa) WHERE iv.b = iv.pb AND iv.a > iv.pa),
+strong AS (SELECT c.* FROM c JOIN n USING (cell_id) JOIN sg USING (cell_id) WHERE abs(c) > sigma * sqrt(2 * ln(n))),
+added AS (SELECT x.cell_id, x.bin_idx, x.v, any_value(total / n) + coalesce(sum(CASE WHEN x.i <= k THEN c * sqrt((b - k)::DOUBLE / ((b - a) * (k - a))) ELSE -c * sqrt((k - a)::DOUBLE / ((b - a) * (b - k))) END), 0) AS r FROM x JOIN n USING (cell_id) LEFT JOIN strong s ON s.cell_id = x.cell_id AND x.i > a AND x.i <= b GROUP BY ALL)
+SELECT cell_id, bin_idx, round(CASE WHEN v = 0 OR r < 0 THEN 0 ELSE r END, 6) AS haar FROM added"""
+
+
+@query(_HAAR)
+def haar_reconstruct(spark, sf_dir):
+    return segment.haar_segments(_matrix(spark, sf_dir).drop("seg")).select("cell_id", "bin_idx", *_round("haar"))
+
+
 @query()
 def seg_unbal_haar(spark, sf_dir):
     return segment.segment(_matrix(spark, sf_dir).drop("seg")).select("cell_id", "bin_idx", *_round("segmented", "bin_depth"))
@@ -142,16 +162,16 @@ def fit_means_grid(spark, sf_dir):
     return copyfit.fit_grid(rows, cells).select("cell_id", "state", *_round("rpcn"), *_round("score", digits=4))
 
 
-@query()
+@query(f"WITH {M} SELECT cell_id, bin_idx, CASE WHEN seg IS NOT NULL THEN CAST(cp AS INT) END AS copy FROM m")
 def copy_call(spark, sf_dir):
     rows = _segmented(spark, sf_dir).drop("copy")
     cells = copyfit.bin_noise(rows).withColumn("ploidy", F.lit(2.2))
     return copyfit.copy_call(rows, cells).select("cell_id", "bin_idx", "copy")
 
 
-@query()
+@query(f"WITH {M} SELECT cell_id, CASE WHEN seg IS NOT NULL THEN CAST(cp AS INT) END AS copy, count(*) AS bins FROM m GROUP BY ALL")
 def fit_means_brent(spark, sf_dir):
-    """Copies found without a known ploidy."""
+    """Copies found without a known ploidy; the SQL has those that the matrix was made of."""
     rows = _segmented(spark, sf_dir).drop("copy")
     cells = copyfit.bin_noise(rows).withColumn("ploidy", F.lit(None).cast("double"))
     return copyfit.copy_call(rows, cells).groupBy("cell_id", "copy").agg(F.count("*").alias("bins"))
@@ -378,3 +398,13 @@ def cell_profile(spark, sf_dir):
 @query(f"WITH {BINS}, n AS (SELECT chromosome, row_number() OVER (ORDER BY bin_idx) AS n FROM bins), s AS (SELECT chromosome, avg(n) AS label_at, max(n) AS b FROM n GROUP BY 1) SELECT chromosome, label_at, CAST(CASE WHEN b < max(b) OVER () THEN b END AS INT) AS border_at FROM s")
 def chr_label_pos(spark, sf_dir):
     return plotdata.chromosome_labels(fixtures.bins(spark))
+
+
+_SEEN = f"seen AS (SELECT DISTINCT regexp_replace(Chr1, '^chr', '') AS chromosome, (Start1 // 500) * 500 + 1 AS start FROM ({fixtures.BEDPE_DUCK}))"
+
+
+@query(f"WITH {_SEEN}, n AS (SELECT chromosome, row_number() OVER (ORDER BY chromosome, start) AS n FROM seen), s AS (SELECT chromosome, avg(n) AS label_at, max(n) AS b FROM n GROUP BY 1) SELECT chromosome, label_at, CAST(CASE WHEN b < max(b) OVER () THEN b END AS INT) AS border_at FROM s")
+def chr_labels_of_fragments(spark, sf_dir):
+    """Labels over the bins in which fragments begin, in order of chromosome and place."""
+    seen = fixtures.bedpe(spark, sf_dir).select(F.regexp_replace("Chr1", "^chr", "").alias("chromosome"), F.expr("(Start1 div 500) * 500 + 1").alias("start")).distinct()
+    return plotdata.chromosome_labels(seen.withColumn("bin_idx", F.struct("chromosome", "start")))
