@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tables import local_folder
 
@@ -24,9 +25,9 @@ _MAPPED_MOST = 64
 _mapped: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
 
-def _maps(path: str, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _maps(path: str, n: int, width: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     if path not in _mapped:
-        _mapped[path] = np.memmap(path + ".keys", np.int64, "r", shape=(n,)), np.memmap(path + ".values", np.float32, "r", shape=(n, width))
+        _mapped[path] = np.memmap(path + ".keys", np.int64, "r", shape=(n,)), np.memmap(path + ".values", kind, "r", shape=(n, width))
         if len(_mapped) > _MAPPED_MOST:
             _mapped.popitem(last=False)
     _mapped.move_to_end(path)
@@ -34,8 +35,8 @@ def _maps(path: str, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lookup:
-    def __init__(self, files: list[tuple[int, int, str, int]], width: int = 1):
-        self.files, self.width = sorted(files), width
+    def __init__(self, files: list[tuple[int, int, str, int]], width: int = 1, kind: type = np.float32):
+        self.files, self.width, self.kind = sorted(files), width, kind
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """A row of values for each key; nan where the key is not there."""
@@ -44,7 +45,7 @@ class Lookup:
         for first, last, path, n in self.files:
             i, j = np.searchsorted(some, first, "left"), np.searchsorted(some, last, "right")
             if i < j:
-                own, values = _maps(path, n, self.width)
+                own, values = _maps(path, n, self.width, self.kind)
                 at = np.minimum(np.searchsorted(own, some[i:j]), n - 1)
                 here = np.flatnonzero(own[at] == some[i:j])
                 found[i + here] = values[at[here]]
@@ -54,11 +55,22 @@ class Lookup:
         return self.find(keys)[:, 0]
 
 
+def in_ranges(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """rows with a hash as their key, dealt to `parts` equal ranges of it and sorted: the ranges of a hash need no look at the rows first."""
+    place = F.shiftrightunsigned(F.col(key).bitwiseXOR(F.lit(-(1 << 63))), 32) * F.lit(parts)
+    return rows.withColumn("__range", F.shiftright(place, 32).cast("int")).repartitionById(parts, "__range").drop("__range").sortWithinPartitions(key)
+
+
 def lookup(rows: DataFrame, width: int = 1) -> Lookup:
     """Writes rows of (key long, value), keys once each, as the files of a Lookup. value: a number, or the bytes of `width` float32."""
-    folder = local_folder(rows.sparkSession)
-    name = uuid.uuid4().hex
     parts = max(1, -(-rows.count() // FILE_ROWS))
+    return sorted_lookup(rows.select("key", "value").repartitionByRange(parts, "key").sortWithinPartitions("key"), width)
+
+
+def sorted_lookup(ordered: DataFrame, width: int = 1, kind: type = np.float32) -> Lookup:
+    """The same of rows whose partitions are ranges of the key and sorted. kind: the type of the values' bytes."""
+    folder = local_folder(ordered.sparkSession)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/lookup-{name}-{uuid.uuid4().hex}"
@@ -81,6 +93,5 @@ def lookup(rows: DataFrame, width: int = 1) -> Lookup:
             os.remove(path + ".keys")
             os.remove(path + ".values")
 
-    ordered = rows.select("key", "value").repartitionByRange(parts, "key").sortWithinPartitions("key")
     files = ordered.mapInArrow(run, "first bigint, last bigint, path string, n bigint").collect()  # a row for each file
-    return Lookup([tuple(r) for r in files], width)
+    return Lookup([tuple(r) for r in files], width, kind)

@@ -2,8 +2,9 @@
 
 Tokens are runs of word characters (case kept) and runs of other visible characters. Each has a sparse random index vector, made
 from its hash; its word vector is the sum of the index vectors of all its direct neighbours over all documents, scaled to
-length 1. Each token has its own sum: a map emits partial sums by token, and one aggregation adds them. The vectors are a table in files of the
-shared folder, mapped page by page, so the vocabulary has no bound and no process holds it. A document is pooled to the means and spreads
+length 1. Each token has its own sum: a map emits partial sums by token, those of rare tokens as their few places that are not zero, and tasks that own
+a range of the tokens' hashes add them up in order and write the vectors, a byte a place, to files of the shared folder. These are mapped page by page, so the vocabulary
+has no bound and no process holds it. A document is pooled to the means and spreads
 of its vectors and the mean change from token to token. A numpy network with one hidden layer reads these; a temperature
 fitted on labelled documents apart calibrates its probabilities.
 
@@ -23,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import label_rate, labelled, remainder
-from .lookup import Lookup, lookup
-from .tables import cut
-from .text import IS_WORD, LOWER, chunks, mix, spans
+from .lookup import Lookup, in_ranges, sorted_lookup
+from .text import IS_WORD, LOWER, chunks, mix, spans, utf8
 
 SIZE = 48
 NONZERO = 4
@@ -34,7 +34,11 @@ MOST = 6000
 THRESHOLD = 0.5
 _CHUNK = 1 << 20
 #: Token rows that a task holds before it passes their sums on.
-MOST_HELD = 1 << 17
+MOST_HELD = 1 << 18
+#: Places of a partial sum that are passed on one by one, if no more are not zero; fewer than SIZE / 2.
+FEW_PLACES = 23
+#: Steps of a vector's values; with its own share a value is at most 1.5.
+STEPS = 84
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[IS_WORD[LOWER]] = 1
@@ -84,7 +88,50 @@ def neighbour_sums(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     total = np.zeros(len(some) * SIZE)
     for k in range(NONZERO):
         total += np.bincount(a * SIZE + place[b, k], sign[b, k], len(total)) + np.bincount(b * SIZE + place[a, k], sign[a, k], len(total))
-    return some, total.reshape(-1, SIZE).astype(np.int64)
+    return some, total.reshape(-1, SIZE).astype(np.int32)
+
+
+#: Types of whole sums in a packed row, told apart by its length; shorter rows are (place, value) of two bytes.
+_WHOLE = (np.int8, np.int16, np.int64)
+
+
+def packed(token: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches (token, sums): of rows with few places that are not zero, these and their values, a byte each; of the others SIZE integers as short as they may be."""
+    most = np.abs(sums).max(axis=1, initial=0)
+    few = ((sums != 0).sum(axis=1) <= FEW_PLACES) & (most < 128)
+    own = sums[few]
+    row, place = np.nonzero(own)
+    flat = np.stack([place.astype(np.uint8), own[row, place].astype(np.int8).view(np.uint8)], axis=1).tobytes()
+    ends = np.concatenate([[0], 2 * np.cumsum(np.bincount(row, minlength=len(own)))]).astype(np.int32)
+    made, done = [(token[few], ends, flat)], few
+    for kind in _WHOLE:
+        fits = ~done & (most <= np.iinfo(kind).max)
+        made.append((token[fits], np.arange(fits.sum() + 1, dtype=np.int32) * (np.dtype(kind).itemsize * SIZE), sums[fits].astype(kind).tobytes()))
+        done = done | fits
+    for tokens_, offsets, data in made:
+        if len(tokens_):
+            values = pa.Array.from_buffers(pa.binary(), len(tokens_), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens_.view(np.int64)), values], names=["token", "sums"])
+
+
+def unpacked(values: pa.Array) -> np.ndarray:
+    """The rows of sums of a column that `packed` made."""
+    raw, at = utf8(values)
+    out = np.zeros((len(values), SIZE), np.int64)
+    size = np.diff(at)
+    few = np.ones(len(values), bool)
+    for kind in _WHOLE:
+        n = np.dtype(kind).itemsize * SIZE
+        rows = np.flatnonzero(size == n)
+        if len(rows):
+            out[rows] = raw[at[rows][:, None] + np.arange(n)].view(kind)
+            few[rows] = False
+    few = np.flatnonzero(few)
+    pairs = size[few] // 2
+    row = np.repeat(few, pairs)
+    begin = np.repeat(at[few], pairs) + 2 * (np.arange(len(row)) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+    out[row, raw[begin]] = raw[begin + 1].view(np.int8)
+    return out
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +143,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(token, kind="stable")
         token = token[order]
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        return token[at], np.add.reduceat(np.concatenate([h[1] for h in held])[order], at, axis=0)
-
-    def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), *(pa.array(np.ascontiguousarray(found[1][:, d])) for d in range(SIZE))], names=["token", *(f"d{d}" for d in range(SIZE))])
+        return token[at], np.add.reduceat(np.concatenate([h[1] for h in held])[order], at, axis=0, dtype=np.int32)
 
     for batch in batches:
         for _, _, raw, bounds in chunks(batch.column(0), _CHUNK):
@@ -109,34 +153,55 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(neighbour_sums(token, at))
             size += len(held[-1][0])
             if size > MOST_HELD:
-                found = merged()
-                held, size = [found], len(found[0])
-                if size > MOST_HELD // 2:
-                    yield rows(found)
-                    held, size = [], 0
+                token, sums = merged()
+                if len(token) > MOST_HELD // 2:  # frequent tokens stay, so each task passes them on once
+                    order = np.argpartition(np.abs(sums).sum(axis=1), len(token) - MOST_HELD // 2)
+                    rest, stay = np.sort(order[: len(token) - MOST_HELD // 2]), np.sort(order[len(token) - MOST_HELD // 2 :])
+                    yield from packed(token[rest], sums[rest])
+                    token, sums = token[stay], sums[stay]
+                held, size = [(token, sums)], len(token)
     if held:
-        yield rows(merged())
+        yield from packed(*merged())
+
+
+def _unit(token: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """(key, value): vectors of length 1 (or 0) with a share of the token's own index vector, in steps of 1 / STEPS."""
+    out = sums.astype(np.float32)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
+    place, sign = index_places(token)
+    for k in range(NONZERO):
+        np.add.at(out, (np.arange(len(token)), place[:, k]), sign[:, k].astype(np.float32) * np.float32(0.5 / np.sqrt(NONZERO)))
+    flat = np.clip(np.rint(out * STEPS), -127, 127).astype(np.int8).tobytes()
+    offsets = np.arange(len(token) + 1, dtype=np.int32) * SIZE
+    values = pa.Array.from_buffers(pa.binary(), len(token), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+    return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), values], names=["key", "value"])
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, sums): (key, value), vectors of length 1 (or 0) with a share of the token's own index vector."""
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (token, sums) in order of tokens: a vector for each token."""
+    last, carried = None, np.zeros(SIZE, np.int64)
     for batch in batches:
-        token = batch.column(0).to_numpy().view(np.uint64)
-        out = np.stack([batch.column(1 + d).to_numpy() for d in range(SIZE)], axis=1).astype(np.float32)
-        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
-        place, sign = index_places(token)
-        for k in range(NONZERO):
-            np.add.at(out, (np.arange(len(token)), place[:, k]), sign[:, k].astype(np.float32) * np.float32(0.5 / np.sqrt(NONZERO)))
-        width = 4 * SIZE
-        flat = out.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[i : i + width] for i in range(0, len(flat), width)], pa.binary())], names=["key", "value"])
+        if not batch.num_rows:
+            continue
+        token, sums = batch.column(0).to_numpy(), unpacked(batch.column(1))
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        own, total = token[at], np.add.reduceat(sums, at, axis=0, dtype=np.int32)
+        if last == own[0]:
+            total[0] += carried
+        elif last is not None:
+            yield _unit(np.array([last], np.int64).view(np.uint64), carried[None, :])
+        last, carried = own[-1], total[-1]
+        if len(own) > 1:
+            yield _unit(own[:-1].view(np.uint64), total[:-1])
+    if last is not None:
+        yield _unit(np.array([last], np.int64).view(np.uint64), carried[None, :])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> Lookup:
     """The vector of each token of all documents."""
-    parts = docs.select(text_col).mapInArrow(_neighbours, "token bigint, " + ", ".join(f"d{d} bigint" for d in range(SIZE)))
-    sums = parts.groupBy("token").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(SIZE)])
-    return lookup(cut(sums.mapInArrow(_unit, "key bigint, value binary")), SIZE)
+    parts = docs.select(text_col).mapInArrow(_neighbours, "token bigint, sums binary")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sorted_lookup(in_ranges(parts, "token", ranges).mapInArrow(_added_up, "key bigint, value binary"), SIZE, np.int8)
 
 
 def pooled(vectors: Lookup, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -151,7 +216,7 @@ def pooled(vectors: Lookup, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     start, count = at[some], n[some].astype(np.float32)
     ends = np.append(start[1:], len(token)) - 1
     known, which = np.unique(token, return_inverse=True)
-    for d, table in enumerate(np.ascontiguousarray(np.nan_to_num(vectors.find(known.view(np.int64))).T)):
+    for d, table in enumerate(np.ascontiguousarray(np.nan_to_num(vectors.find(known.view(np.int64))).T / np.float32(STEPS))):
         own = table[which]
         mean = np.add.reduceat(own, start) / count
         change = np.zeros_like(own)

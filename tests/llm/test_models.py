@@ -112,3 +112,124 @@ def test_pages(spark):
     assert [r.text for r in got if r.page_id == 1] == [want, want]
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_word_vectors_and_pooling(spark, monkeypatch):
+    """Against sums over all neighbours one by one, with few rows held at a time and wide and narrow sums."""
+    monkeypatch.setattr(quality, "FEW_PLACES", 12)
+    monkeypatch.setattr(quality, "MOST_HELD", 20)
+    monkeypatch.setattr(quality, "_CHUNK", 64)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, n)) + f" rare{i}, common common\tend." for i, n in enumerate([0, 1, 5, 40, 300])] + ["", " \n", None, "one", "é!é"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = quality.word_vectors(docs)
+    sums = {}
+    listed = []
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        own, _ = quality.tokens(raw, np.array([0, len(raw)]))
+        listed.append([int(x) for x in own])
+        for x in listed[-1]:
+            sums.setdefault(x, np.zeros(quality.SIZE))
+        for a, b in zip(listed[-1], listed[-1][1:], strict=False):
+            for x, y in ((a, b), (b, a)):
+                places, signs = quality.index_places(np.array([y], np.uint64))
+                for p, s in zip(places[0], signs[0], strict=True):
+                    sums[x][p] += s
+    vectors = {}
+    for x, total in sums.items():
+        v = total / max(np.linalg.norm(total), 1)
+        places, signs = quality.index_places(np.array([x], np.uint64))
+        for p, s in zip(places[0], signs[0], strict=True):
+            v[p] += s * 0.5 / np.sqrt(quality.NONZERO)
+        vectors[x] = v
+    keys = np.array(list(vectors), np.uint64)
+    got = found.find(keys.view(np.int64)) / quality.STEPS
+    assert np.abs(got - np.stack([vectors[int(k)] for k in keys])).max() <= 0.5 / quality.STEPS + 1e-6
+    assert np.isnan(found.find(np.array([123], np.int64))).all()
+    data = [(t or "").encode() for t in texts]
+    rows = quality.pooled(found, np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    for row, own in zip(rows, listed, strict=True):
+        v = np.stack([vectors[x] for x in own]) if own else np.zeros((0, quality.SIZE))
+        want = np.zeros(3 * quality.SIZE + 1)
+        if own:
+            want[: quality.SIZE], want[quality.SIZE : 2 * quality.SIZE], want[-1] = v.mean(0), v.std(0), np.log1p(len(own))
+            want[2 * quality.SIZE : -1] = np.abs(np.diff(v, axis=0)).sum(0) / max(len(own) - 1, 1)
+        assert np.abs(row - want).max() < 0.02
+
+
+def test_sums_are_packed_exactly():
+    rng = np.random.default_rng(1)
+    sums = rng.integers(-300, 300, (50, quality.SIZE)) * rng.choice([1, 500], (50, 1)) * (rng.random((50, quality.SIZE)) < rng.choice([0.0, 0.1, 0.9], (50, 1)))
+    sums[::3] = np.clip(sums[::3], -127, 127)
+    token = np.arange(50, dtype=np.uint64)
+    back = {t: row for b in quality.packed(token, sums) for t, row in zip(b.column(0).to_pylist(), quality.unpacked(b.column(1)), strict=True)}
+    assert all((back[i] == sums[i]).all() for i in range(50)) and not list(quality.packed(token[:0], sums[:0]))
+
+
+class PlainKneserNey:
+    """The shared model and the class models by their definitions, one dictionary a level."""
+
+    def __init__(self, texts, labels):
+        n = toxicity.ORDER
+        self.order, self.counts, self.by_class = n, {}, ({}, {})
+        for text, label in zip(texts, labels, strict=True):
+            own = " " * n + " ".join(text.split())
+            for i in range(n, len(own) + 1):
+                gram = own[i - n : i]
+                self.counts[gram] = self.counts.get(gram, 0) + 1
+                if label is not None:
+                    self.by_class[label][gram] = self.by_class[label].get(gram, 0) + 1
+        self.levels = {n: self.counts}
+        for m in range(n - 1, 0, -1):
+            level = {}
+            for gram in self.levels[m + 1]:
+                level[gram[1:]] = level.get(gram[1:], 0) + 1
+            self.levels[m] = level
+        self.discounts = {m: self.discount(level) for m, level in self.levels.items()}
+
+    @staticmethod
+    def discount(level):
+        once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    def p(self, gram):
+        m = len(gram)
+        if not m:
+            return 1 / 256
+        after = [c for g, c in self.levels[m].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return self.p(gram[1:])
+        d = self.discounts[m]
+        return (max(self.levels[m].get(gram, 0) - d, 0) + d * len(after) * self.p(gram[1:])) / sum(after)
+
+    def of_class(self, label, gram, strength):
+        own = self.by_class[label]
+        d, after = self.discount(own), [c for g, c in own.items() if g[:-1] == gram[:-1]]
+        return (max(own.get(gram, 0) - d, 0) + (d * len(after) + strength) * self.p(gram)) / (sum(after) + strength)
+
+
+def test_kneser_ney_by_definition(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcd"), rng.integers(1, 4))) for _ in range(rng.integers(1, 7))) for _ in range(50)]
+    labels = [int(k) if k < 2 else None for k in rng.integers(0, 3, 50)]
+    plain = PlainKneserNey(texts, labels)
+    number = lambda gram: int.from_bytes(gram.encode(), "big")
+    rows = [(number(g), plain.by_class[0].get(g, 0), plain.by_class[1].get(g, 0), c) for g, c in plain.counts.items()]
+    counts = spark.createDataFrame(rows, "gram long, n0 long, n1 long, n long")
+    known = spark.createDataFrame([(i, k) for i, k in enumerate(labels) if k is not None], "id long, label int")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select(toxicity.F.xxhash64(toxicity.F.col("id").cast("string")).alias("key"), "text")
+    made = docs.mapInArrow(toxicity._counts(toxicity._label_lookup(known)), "gram bigint, n0 bigint, n1 bigint, n bigint").groupBy("gram").agg({"n0": "sum", "n1": "sum", "n": "sum"}).select("gram", "sum(n0)", "sum(n1)", "sum(n)")
+    assert {tuple(r) for r in made.collect()} == set(rows)
+    shared = {r.gram: r.p for r in toxicity.shared_model(counts).collect()}
+    assert len(shared) == len(rows) and all(abs(shared[number(g)] - plain.p(g)) < 1e-12 for g in plain.counts)
+    for history in (sorted(plain.counts)[0][:-1], "  a b"[-4:], "zzzz"):
+        assert abs(sum(plain.p(history + chr(k)) for k in range(256)) - 1) < 1e-9
+    table = toxicity.ratio_table(counts, 3.0)
+    own = [g for g in plain.counts if g in plain.by_class[0] or g in plain.by_class[1]]
+    got = table.find_one(np.array([number(g) for g in own], np.int64))
+    want = [np.log(plain.of_class(1, g, 3.0) / plain.of_class(0, g, 3.0)) for g in own]
+    assert np.abs(got - want).max() < 1e-5
+    unseen = {g[:-1] for g in own}
+    got = table.find_one(np.array([number(h) for h in unseen], np.int64) + toxicity._HISTORY)
+    assert np.abs(got - [np.log(plain.of_class(1, h + "?", 3.0) / plain.of_class(0, h + "?", 3.0)) for h in unseen]).max() < 1e-5
