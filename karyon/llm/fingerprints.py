@@ -6,10 +6,11 @@ is a table of cells (count, xor of digests, xor of their checks); a digest goes
 place that the lowest bits of a hash give. Sizes are powers of two, so a sketch folds to half its size by adding the halves of
 each quarter, and sketches of different sizes can be compared.
 
-The fingerprint is the text's sketch folded to BASE_CELLS cells, with the number of its digests, in base 64. Two fingerprints
-are compared by subtracting their cells and peeling: a cell with one digest left gives that digest, which is taken out of its
-other cells, until nothing remains. What is recovered are the paragraph digests in which the two texts differ. A small sketch recovers
-few; where cells remain, the comparison is retried with sketches GROWTH times as large, made from the texts, until it works.
+The fingerprint is the text's sketch of at least LOAD cells a digest, with the number of its digests, in base 64. Two fingerprints
+are compared by subtracting their cells, the larger folded to the smaller, and peeling: a cell with one digest left gives that digest, which is taken out of its
+other cells, until nothing remains. What is recovered are the paragraph digests in which the two texts differ. So two versions of a text of which up to about half was
+replaced are told from their fingerprints. Where cells remain, as with unrelated texts, the comparison is retried with sketches GROWTH times as large, made from the texts, until
+they have LOAD times GROWTH cells for all digests of both. Digests that peeling cannot tell apart even then (two equal ones on one side) are counted exactly.
 With d digests recovered of texts with a and b, the texts share (a + b - d) / 2, and their likeness is this part of all their digests.
 
 `neighbour_fingerprints` compares each document with an edited text and with the next document by descending id. The documents are
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .tables import cut
 from .text import LOWER, mix, spans, utf8, word_places
 
-CUT = np.uint64(4)
+CUT = np.uint64(16)
 BASE_CELLS = 16
+#: Cells for each digest at least; peeling works up to about 0.77 digests a cell.
+LOAD = 2
 GROWTH = 4
 KEY_BITS, CHECK_BITS = 40, 16
 _HASHES = 4
@@ -137,10 +140,15 @@ class Sketches:
         return out
 
 
-def sketches(digest: np.ndarray, at: np.ndarray, cells: np.ndarray | int = BASE_CELLS) -> Sketches:
-    """The sketch of each text with so many cells."""
+def cells_for(n: np.ndarray) -> np.ndarray:
+    """The cells of sketches of n digests: a power of two."""
+    return np.maximum(BASE_CELLS, 1 << np.ceil(np.log2(np.maximum(n * LOAD, 1))).astype(np.int64))
+
+
+def sketches(digest: np.ndarray, at: np.ndarray, cells: np.ndarray | int | None = None) -> Sketches:
+    """The sketch of each text, with so many cells or as many as its digests ask for."""
     n = np.diff(at)
-    out = Sketches(np.broadcast_to(np.asarray(cells, np.int64), len(n)))
+    out = Sketches(cells_for(n) if cells is None else np.broadcast_to(np.asarray(cells, np.int64), len(n)))
     out.add(np.repeat(np.arange(len(n)), n), digest, 1)
     return out
 
@@ -156,16 +164,15 @@ def folded(packed: np.ndarray, cells: int) -> np.ndarray:
     return packed
 
 
-def encoded(n: np.ndarray, packed: np.ndarray) -> list[str]:
-    """Fingerprints: the number of digests (8 bytes), then the cells, in base 64."""
-    rows = np.concatenate([np.asarray(n, np.uint64)[:, None], packed.reshape(len(n), -1)], axis=1).astype("<u8")
-    flat, width = rows.tobytes(), 8 * rows.shape[1]
-    return [base64.b64encode(flat[i : i + width]).decode() for i in range(0, len(flat), width)]
+def encoded(n: np.ndarray, made: Sketches) -> list[bytes]:
+    """Fingerprints as bytes: the number of digests (8 bytes), then the cells."""
+    cells = made.packed().astype("<u8")
+    return [int(k).to_bytes(8, "little") + cells[i:j].tobytes() for k, i, j in zip(n, made.at[:-1], made.at[1:], strict=True)]
 
 
-def decoded(fingerprints: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(numbers of digests, packed cells) of fingerprints, which may be of different sizes."""
-    rows = [np.frombuffer(base64.b64decode(f), "<u8") for f in fingerprints]
+def decoded(fingerprints: list[bytes | str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(numbers of digests, packed cells) of fingerprints, as bytes or in base 64, which may be of different sizes."""
+    rows = [np.frombuffer(base64.b64decode(f) if isinstance(f, str) else f, "<u8") for f in fingerprints]
     return np.array([int(r[0]) for r in rows], np.int64), [r[1:] for r in rows]
 
 
@@ -174,7 +181,7 @@ def _gather(digest: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return digest[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[rows], n)], n
 
 
-def fingerprint_likeness(one: list[str], other: list[str]) -> np.ndarray:
+def fingerprint_likeness(one: list[bytes | str], other: list[bytes | str]) -> np.ndarray:
     """The likeness of fingerprints, nan where their sketches are too small for it. Sketches of different sizes are folded to the smaller one."""
     (n, a), (m, b) = decoded(one), decoded(other)
     cells = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
@@ -188,12 +195,20 @@ def _shared(n: np.ndarray, m: np.ndarray, differing: np.ndarray, whole: np.ndarr
     return np.where(sane, np.where(n + m == 0, 1.0, shared / np.maximum(n + m - shared, 1)), np.nan)
 
 
-def likeness(one: list[str], other: list[str], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+def _exact(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many digests two lists differ, repeated ones counted as often as they are there."""
+    both, which = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return int(np.abs(np.bincount(which[: len(a)], minlength=len(both)) - np.bincount(which[len(a) :], minlength=len(both))).sum())
+
+
+def likeness(one: list[bytes | str], other: list[bytes | str], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
     """(likeness of fingerprint i to the other's i for all i, how many were retried). a and b have the digests of the texts, for the retries."""
     out = fingerprint_likeness(one, other)
     n, m = np.diff(a[1]), np.diff(b[1])
     todo = np.flatnonzero(np.isnan(out))
-    retried, cells = len(todo), np.full(len(todo), BASE_CELLS * GROWTH, np.int64)
+    retried = len(todo)
+    most = GROWTH * cells_for(n[todo] + m[todo])
+    cells = np.minimum(GROWTH * cells_for(np.minimum(n, m)[todo]), most)
     while len(todo):
         sides = []
         for digest, at in (a, b):
@@ -201,8 +216,11 @@ def likeness(one: list[str], other: list[str], a: tuple[np.ndarray, np.ndarray],
             sides.append(sketches(own, np.concatenate([[0], np.cumsum(count)]), cells))
         found = _shared(n[todo], m[todo], *sides[0].less(sides[1]).peel())
         out[todo] = found
-        failed = np.isnan(found)
-        todo, cells = todo[failed], cells[failed] * GROWTH
+        for i in todo[np.isnan(found) & (cells == most)].tolist():
+            differing = _exact(a[0][a[1][i] : a[1][i + 1]], b[0][b[1][i] : b[1][i + 1]])
+            out[i] = _shared(n[[i]], m[[i]], np.array([differing]), np.array([True]))[0]
+        again = np.isnan(found) & (cells < most)
+        todo, cells, most = todo[again], np.minimum(cells[again] * GROWTH, most[again]), most[again]
     return out, retried
 
 
@@ -231,8 +249,8 @@ def compared(texts: list[bytes], follower: np.ndarray) -> list[pa.Array]:
     edited, chars = _edited(data, raw, bounds, follower)
     changed = digests(np.frombuffer(b"".join(edited), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in edited])]).astype(np.int64))
     n = len(follower)
-    prints = encoded(np.diff(own[1]), sketches(*own).packed())
-    edited_prints = encoded(np.diff(changed[1]), sketches(*changed).packed())
+    prints = encoded(np.diff(own[1]), sketches(*own))
+    edited_prints = encoded(np.diff(changed[1]), sketches(*changed))
     digest, count = _gather(*own, follower)
     head, following = (own[0][: own[1][n]], own[1][: n + 1]), (digest, np.concatenate([[0], np.cumsum(count)]))
     near_edited, _ = likeness(prints[:n], edited_prints, head, changed)
@@ -240,16 +258,16 @@ def compared(texts: list[bytes], follower: np.ndarray) -> list[pa.Array]:
     return [
         pa.array(chars[:n], pa.int64()),
         pa.array([hashlib.sha256(t).hexdigest() for t in edited], pa.string()),
-        pa.array(prints[:n], pa.string()),
-        pa.array(edited_prints, pa.string()),
+        pa.array(prints[:n], pa.binary()),
+        pa.array(edited_prints, pa.binary()),
         pa.array(near_edited),
         pa.array(near_next),
     ]
 
 
-_RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_EMPTY = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_EMPTY = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,4 +333,5 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     parts = edge.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a number for each range; texts do not pass here
     edge = edge.join(parts, "part").join(edge.select(F.col("part").alias("next_part"), F.col("first").alias("next")), "next_part").select("id", "last", "next")
     whole = made.where("part is null").drop("part", "first", "last").unionByName(edge.mapInArrow(_pairs, f"id {kind}, {_RESULT}"))
-    return whole.withColumnRenamed("id", id_col)
+    prints = {c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")}
+    return whole.withColumns(prints).withColumnRenamed("id", id_col)
