@@ -118,20 +118,21 @@ def copy_calls(x: CellExperiment, null: str = "grid", seed: int = 0) -> CellExpe
 def identify_subclones(x: CellExperiment, assay: str = "copy", k: int = 30, resolution: float | str = "auto", method="inv_manhattan", min_size: int = 5, seed: int = 1234, least_count: float = 30, column: str = "subclone") -> CellExperiment:
     """Adds `column` to cells: clusters of cells by changepoints; 0 for clusters under min_size. Without informative changepoints all cells are one cluster."""
     mask = clusters.bin_mask(x.cell_bins, least_count)
-    steps = clusters.changes(x.cell_bins, mask, assay)
-    places = clusters.changepoint_places(clusters.select_changepoints(steps), steps)
-    features = clusters.changepoint_features(steps, places)
+    steps = computed_once(clusters.changes(x.cell_bins, mask, assay))
+    places = computed_once(clusters.changepoint_places(clusters.select_changepoints(steps), steps))
+    features = computed_once(clusters.changepoint_features(steps, places))
     ids = x.cells.select("cell_id")
     if not places.limit(1).count():
         labels = ids.withColumn("label", F.lit(1))
     else:
         n = int(features.count())
         knn = clusters.nearest(features, min(k, n), "cell_id")
-        edges = clusters.neighbour_edges(knn, features, method)
+        edges = computed_once(clusters.neighbour_edges(knn, features, method))
         found = best_partition(edges, ids, seed) if resolution == "auto" else communities.partition(edges, ids, float(resolution), seed=seed)
+        found = computed_once(found)
         numbers = found.groupBy("label").agg(F.count("*").alias("n"))
         numbers = numbers.select("label", F.row_number().over(W.orderBy(F.desc("n"), "label")).alias("number"))  # clusters, not cells
-        labels = found.join(numbers, "label").select("cell_id", F.col("number").alias("label"))
+        labels = computed_once(found.join(numbers, "label").select("cell_id", F.col("number").alias("label")))
     labels = clusters.collapse_small(labels, min_size).withColumnRenamed("label", column)
     return replace(x, cells=x.cells.drop(column).join(labels, "cell_id", "left"), changepoints=features)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import experiment
 from ..sources import alignments, bam
-from ..sources.shared import shared_folder
+from ..sources.shared import application_folder
 from . import fixtures
 from .registry import query
 
@@ -53,7 +53,7 @@ CAST(sum(size) AS BIGINT) AS bases, CAST(sum(template_length * flag) AS BIGINT)
 )
 def bam_round_trip(spark, sf_dir):
     """All reads, written as a BAM file for each cell to the shared folder, then read back in ranges of 32 kB."""
-    folder = f"{shared_folder(spark)}/karyon-bam-{uuid.uuid4().hex}"
+    folder = f"{application_folder(spark)}/bam-{uuid.uuid4().hex}"
     reads = _reads(spark, sf_dir)
     quality = F.unhex(F.repeat(F.lpad(F.hex("quality"), 2, "0"), F.col("size")))
     tag = F.concat(F.unhex(F.lit("43425A")), F.col("cell_id").cast("binary"), F.unhex(F.lit("00")))  # CB:Z:cell
