@@ -273,3 +273,25 @@ def test_edited_texts_are_told_by_their_fingerprints(spark):
     told = ~np.isnan(alone)
     print("told", told.mean(), "mean characters", np.mean([len(r.fingerprint) for r in rows]))
     assert told.mean() >= 0.9 and np.allclose(alone[told], np.array([r.near_edited for r in rows])[told])
+
+
+def test_recall_close_to_the_threshold(spark):
+    """Over 400 pairs whose similarity is between 0.80 and 0.85, in texts of 60 to 400 words: each is found, and pairs just below are not."""
+    rng = random.Random(12)
+    rows, near, below = [], set(), set()
+    while len(near) < 400:
+        n = rng.randrange(60, 400)
+        base = [f"w{rng.randrange(20_000)}" for _ in range(n)]
+        own = list(base)
+        for _ in range(max(1, round(n * rng.uniform(0.015, 0.03)))):
+            own[rng.randrange(n)] = f"x{rng.randrange(20_000)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(own))
+        alike = len(a & b) / len(a | b)
+        if 0.8 <= alike <= 0.85 or (0.75 < alike < 0.8 and len(below) < 100):
+            k = len(rows)
+            (near if alike >= 0.8 else below).add(k)
+            rows += [(k, " ".join(base)), (k + 1, " ".join(own))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = sum(got[k][0] == got[k + 1][0] for k in near)
+    print("found", found, "of", len(near))
+    assert found == len(near) and all(got[k][1] == got[k + 1][1] == 0 for k in below)
