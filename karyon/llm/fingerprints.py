@@ -14,8 +14,8 @@ they have LOAD times GROWTH cells for all digests of both. Digests that peeling
 With d digests recovered of texts with a and b, the texts share (a + b - d) / 2, and their likeness is this part of all their digests.
 
 `neighbour_fingerprints` compares each document with an edited text and with the next document by descending id. The documents are
-dealt by ranges of the id and the beginning of the text, and read in order; what a range needs of the next one (its first text) is carried
-in a row for each range. Rows that repeat an id stand in the order of their texts, null ids last; ids may be of any type that has an order. A
+dealt by ranges of the id and the beginning of the text, and read in order; what a range needs of the next one, its first text, is one more
+row of it. Texts are shuffled once, and results go straight on. Rows that repeat an id stand in the order of their texts, null ids last; ids may be of any type that has an order. A
 null text is empty; two empty texts have likeness 1; a single document is its own next. Other columns are ignored. One output row for each input row.
 """
 
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,8 @@ _HASHES = 4
 _KEY, _CHECK = np.uint64((1 << KEY_BITS) - 1), np.uint64((1 << CHECK_BITS) - 1)
 _SALT = np.uint64(0x51ED270B7A9C3F15)
 _ROWS_BYTES = 1 << 21
-#: Characters of a text by which rows of one id are dealt to ranges.
-_PREFIX = 32
+#: Characters of a text by which rows of one id are dealt to ranges, and rows for each range of the sample that gives their borders.
+_PREFIX, _SAMPLED = 32, 20
 
 
 def digests(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,71 +269,81 @@ def compared(texts: list[bytes], follower: np.ndarray) -> list[pa.Array]:
 
 _RESULT = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_EMPTY = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a range's rows (id, text) in order: results of all but its last row, then a row with its first and its last text."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+    """Of a range's rows (id, text, follows) in order, of which the last, that follows, is the first text of the next range: the results of the others."""
     ids: list[pa.Array] = []
     texts: list[bytes] = []
-    first = None
-    names = ["id", *_NAMES, "part", "first", "last"]
 
     def flush() -> pa.RecordBatch:
         n = len(texts) - 1
-        columns = compared(texts, np.arange(1, n + 1))
-        none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
         own = pa.concat_arrays(ids)
-        batch = pa.RecordBatch.from_arrays([own.slice(0, n), *columns, *none], names=names)
+        batch = pa.RecordBatch.from_arrays([own.slice(0, n), *compared(texts, np.arange(1, n + 1))], names=["id", *_NAMES])
         ids[:] = [own.slice(n)]
         del texts[:-1]
         return batch
 
     for batch in batches:
         raw, bounds = utf8(batch.column(1))
-        data = raw.tobytes()
+        data, follows = raw.tobytes(), batch.column(2).to_pylist()
         held, begin = sum(map(len, texts)), 0
         for i in range(len(batch)):
-            text = data[bounds[i] : bounds[i + 1]]
-            if first is None:
-                first = text
-            texts.append(text)
-            held += len(text)
-            if held > _ROWS_BYTES and len(texts) > 1:
+            texts.append(data[bounds[i] : bounds[i + 1]])
+            held += len(texts[-1])
+            if follows[i] or (held > _ROWS_BYTES and len(texts) > 1):
                 ids.append(batch.column(0).slice(begin, i + 1 - begin))
                 begin = i + 1
-                yield flush()
-                held = len(texts[0])
+                if len(texts) > 1:
+                    yield flush()
+                if follows[i]:
+                    ids[:], texts[:] = [], []
+                held = sum(map(len, texts))
         if begin < len(batch):
             ids.append(batch.column(0).slice(begin))
-    if len(texts) > 1:
-        yield flush()
-    if texts:
-        empty = [pa.nulls(1, t) for t in _EMPTY]
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *empty, pa.array([part], pa.int32()), pa.array([first.decode()], pa.string()), pa.array([texts[0].decode()], pa.string())], names=names)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (id, text, next text): their results."""
-    for batch in batches:
-        for i in range(len(batch)):
-            texts = [(batch.column(c)[i].as_py() or "").encode() for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *compared(texts, np.array([1]))], names=["id", *_NAMES])
+def _after(one: tuple, other: tuple) -> int:
+    """Whether (id, beginning) stands after (1), before (-1) or at (0) another: ids descending, null last, then beginnings."""
+    (a, x), (b, y) = one, other
+    if a != b:
+        if a is None or b is None:
+            return 1 if a is None else -1
+        return 1 if a < b else -1
+    return (x > y) - (x < y)
+
+
+def _range_of(borders: list[tuple]) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """The number of borders that do not stand after a row."""
+
+    def run(ids: pa.Array, beginnings: pa.Array) -> pa.Array:
+        place = cmp_to_key(_after)
+        keys = [place(b) for b in borders]
+        return pa.array([bisect_right(keys, place(row)) for row in zip(ids.to_pylist(), beginnings.to_pylist(), strict=True)], pa.int32())
+
+    return run
 
 
 def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # a task gets the rows of a range of (id, beginning of the text), so rows that repeat an id are split by their texts
-    dealt = rows.repartitionByRange(F.desc_nulls_last("id"), F.substring("text", 1, _PREFIX).asc()).sortWithinPartitions(F.desc_nulls_last("id"), F.asc("text"))
-    made = cut(dealt.mapInArrow(_in_order, f"id {kind}, {_RESULT}, part int, first string, last string"))
-    edge = made.where("part is not null").select("id", "part", "first", "last")
-    parts = edge.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))  # a number for each range; texts do not pass here
-    edge = edge.join(parts, "part").join(edge.select(F.col("part").alias("next_part"), F.col("first").alias("next")), "next_part").select("id", "last", "next")
-    whole = made.where("part is null").drop("part", "first", "last").unionByName(edge.mapInArrow(_pairs, f"id {kind}, {_RESULT}"))
+    # ranges of (id, beginning of the text), so rows that repeat an id are split by their texts; their borders are rows of a bounded sample
+    keys = rows.select("id", F.substring("text", 1, _PREFIX).alias("beginning"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = keys.orderBy(F.xxhash64("id", "beginning"), "id", "beginning").limit(_SAMPLED * ranges)
+    sample = sorted({tuple(r) for r in sample.collect()}, key=cmp_to_key(_after))
+    borders = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}, key=cmp_to_key(_after)) if sample else []
+    dealt = rows.withColumn("range", F.arrow_udf(_range_of(borders), "int")("id", F.substring("text", 1, _PREFIX)))
+    # the first row of each range, by number of the range: its id, then of the rows with this id the least text
+    top = dealt.groupBy("range").agg(F.max("id").alias("top"))
+    at_top = dealt.join(F.broadcast(top.withColumnRenamed("range", "r")), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("top")))  # a row for each range
+    first = cut(at_top.groupBy("range").agg(F.min("text").alias("text")))
+    names = first.select("range", F.coalesce(F.lag("range").over(W.orderBy("range")), F.max("range").over(W.partitionBy())).alias("before"))  # texts do not pass here
+    following = first.join(names, "range").select(F.lit(None).cast(kind).alias("id"), "text", F.col("before").alias("range"), F.lit(True).alias("follows"))
+    laid = dealt.withColumn("follows", F.lit(False)).unionByName(following)
+    ordered = laid.repartitionById(len(borders) + 1, "range").sortWithinPartitions("range", "follows", F.desc_nulls_last("id"), F.asc("text"))
+    whole = ordered.select("id", "text", "follows").mapInArrow(_in_order, f"id {kind}, {_RESULT}")
     prints = {c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")}
     return whole.withColumns(prints).withColumnRenamed("id", id_col)
