@@ -32,9 +32,9 @@ NONZERO = 4
 HIDDEN = 32
 MOST = 6000
 THRESHOLD = 0.5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 #: Token rows that a task holds before it passes their sums on.
-MOST_HELD = 1 << 18
+MOST_HELD = 3 << 16
 #: Places of a partial sum that are passed on one by one, if no more are not zero; fewer than SIZE / 2.
 FEW_PLACES = 23
 #: Steps of a vector's values; with its own share a value is at most 1.5.
@@ -85,10 +85,11 @@ def neighbour_sums(token: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     right = np.flatnonzero(joined)
     a, b = which[right - 1], which[right]
     place, sign = index_places(some)
-    total = np.zeros(len(some) * SIZE)
+    total = np.zeros(len(some) * SIZE, np.int32)
     for k in range(NONZERO):
-        total += np.bincount(a * SIZE + place[b, k], sign[b, k], len(total)) + np.bincount(b * SIZE + place[a, k], sign[a, k], len(total))
-    return some, total.reshape(-1, SIZE).astype(np.int32)
+        for one, other in ((a, b), (b, a)):
+            total += np.bincount(one * SIZE + place[other, k], sign[other, k], len(total)).astype(np.int32)
+    return some, total.reshape(-1, SIZE)
 
 
 #: Types of whole sums in a packed row, told apart by its length; shorter rows are (place, value) of two bytes.
@@ -139,11 +140,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        token = np.concatenate([h[0] for h in held])
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        return token[at], np.add.reduceat(np.concatenate([h[1] for h in held])[order], at, axis=0, dtype=np.int32)
+        some, which = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        total, at = np.zeros((len(some), SIZE), np.int32), 0
+        for token, sums in held:  # each has a token once
+            total[which[at : at + len(token)]] += sums
+            at += len(token)
+        return some, total
 
     for batch in batches:
         for _, _, raw, bounds in chunks(batch.column(0), _CHUNK):
