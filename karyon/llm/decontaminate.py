@@ -1,12 +1,14 @@
 """Benchmark passages in documents, found by an FM-index of each shard of the documents.
 
-A task takes its partition in shards of about `shard_words` words. Words of the benchmark become
-symbols; all others are one separator (a run of them is kept as one), which no phrase can contain. The
-shard's FM-index is searched backward for every window of the benchmark at once, the occurrences are
+A task takes its partition in shards of about `shard_words` words. A shard's words that the benchmark has, too, become
+symbols, numbered within the shard; all others are one separator (a run of them is kept as one), which no phrase can contain. The
+shard has one FM-index, however many blocks the benchmark has: each block's windows are renamed to the shard's symbols (those with a word
+that the shard lacks go) and searched backward at once, the occurrences are
 located by sampled suffix positions, and overlapping ones are merged into removal spans.
 
 The documents are read once and never shuffled. The benchmark's windows are made in tasks, in blocks of at most `block_words` words
-that are files of the shared folder (an item with more words is in several blocks, which overlap by a window less a word). A worker loads one block at a
+that are files of the shared folder (an item with more words is in several blocks, which overlap by a window less a word). The benchmark's partitions
+are coalesced by its size first, so the number of blocks does not follow the number of its files. A worker loads one block at a
 time for each shard, so a larger benchmark takes more time, not more memory, and the driver sees no text. spark.checkpoint.dir must be mounted on
 the driver and all executors.
 
@@ -17,10 +19,11 @@ compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 import os
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,8 @@ from .text import CHUNK_BYTES, LOWER, chunks, spans, word_places
 WINDOW = 10
 SHARD_WORDS = 1_500_000
 BLOCK_WORDS = 2_000_000
+#: Bytes of text for each word of a block when the benchmark is coalesced.
+_WORD_BYTES = 6
 
 
 @dataclass
@@ -54,7 +59,7 @@ def phrases(items: list[tuple[str | None, np.ndarray]], window: int = WINDOW) ->
     found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for name, w in items:
         if len(w):
-            symbols = np.searchsorted(vocabulary, w) + 1
+            symbols = (np.searchsorted(vocabulary, w) + 1).astype(np.int32)
             size = min(window, len(w))
             rows = np.lib.stride_tricks.sliding_window_view(symbols, size)
             found.setdefault(size, []).append((rows, np.full(len(rows), number[name])))
@@ -67,28 +72,57 @@ def phrases(items: list[tuple[str | None, np.ndarray]], window: int = WINDOW) ->
     return Phrases(vocabulary, by_length, names)
 
 
-def occurrences(hashes: np.ndarray, at: np.ndarray, block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's words with offsets by document: first words and lengths of all occurrences, and pairs (document, item) that occur."""
-    none = np.zeros(0, np.int64)
-    if not len(hashes) or not len(block.vocabulary):
-        return none, none, none, none
-    k = np.searchsorted(block.vocabulary, hashes)
-    k[k == len(block.vocabulary)] = 0
-    symbol = np.where(block.vocabulary[k] == hashes, k + 1, 0).astype(np.int32)
+@dataclass
+class Shard:
+    """The index of a shard's words that the benchmark has. vocabulary: their sorted hashes; symbol k + 1 is its k-th."""
+
+    index: FMIndex
+    vocabulary: np.ndarray
+    place: np.ndarray  # the word of the shard at each place of the indexed text
+    at: np.ndarray  # offsets of the shard's words by document
+
+
+def _found(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in a sorted array, and whether it does."""
+    if not len(among):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), dtype=bool)
+    k = np.searchsorted(among, values)
+    k[k == len(among)] = 0
+    return k, among[k] == values
+
+
+def indexed(hashes: np.ndarray, at: np.ndarray, vocabularies: Iterable[np.ndarray]) -> Shard | None:
+    """Of a shard's words with offsets by document; None if it has no word of these vocabularies."""
+    distinct, which = np.unique(hashes, return_inverse=True)
+    known = np.zeros(len(distinct), dtype=bool)
+    for vocabulary in vocabularies:
+        known |= _found(distinct, vocabulary)[1]
+    if not known.any():
+        return None
+    symbol = np.where(known, np.cumsum(known), 0).astype(np.int32)[which]
     text = np.insert(symbol, at[:-1], 0)  # a separator before each document
     place = np.insert(np.arange(len(hashes)), at[:-1], -1)
     keep = text != 0
     keep[1:] |= text[:-1] != 0
     keep[0] = True
     text, place = np.append(text[keep], 0).astype(np.int32), np.append(place[keep], -1)
-    index = FMIndex(text, len(block.vocabulary) + 1)
+    return Shard(FMIndex(text, int(known.sum()) + 1), distinct[known], place, at)
+
+
+def occurrences(shard: Shard, block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words and lengths of all occurrences of a block's phrases, and pairs (document, item) that occur."""
+    k, known = _found(block.vocabulary, shard.vocabulary)
+    symbol = np.append(0, np.where(known, k + 1, 0)).astype(np.int32)  # of the shard, by symbol of the block
+    none, at = np.zeros(0, np.int64), shard.at
     starts, lengths, docs, items = [none], [none], [none], [none]
     for phrase, owner_at, owner in block.by_length:
-        low, high = index.search(phrase)
+        here = symbol[phrase]
+        possible = np.flatnonzero((here > 0).all(axis=1))
+        low, high = shard.index.search(here[possible])
         count = high - low
-        which = np.repeat(np.arange(len(phrase)), count)
-        found = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
-        first = place[index.locate(found)]
+        which = np.repeat(possible, count)
+        found = np.arange(len(which)) + np.repeat(low - np.cumsum(count) + count, count)
+        first = shard.place[shard.index.locate(found)]
         doc = np.searchsorted(at, first, side="right") - 1
         starts.append(first)
         lengths.append(np.full(len(first), phrase.shape[1]))
@@ -111,8 +145,10 @@ def _phrase_files(benchmark: DataFrame, item_col: str, text_col: str, block_word
 
         def written() -> pa.RecordBatch:
             path = f"{folder}/phrases-{name}-{uuid.uuid4().hex}"
+            block = phrases(held, window)
+            np.save(f"{path}.npy", block.vocabulary)
             with open(path, "wb") as f:
-                pickle.dump(phrases(held, window), f, protocol=pickle.HIGHEST_PROTOCOL)
+                pickle.dump(block, f, protocol=pickle.HIGHEST_PROTOCOL)
             return pa.RecordBatch.from_pylist([{"path": path}])
 
         for batch in batches:
@@ -131,7 +167,8 @@ def _phrase_files(benchmark: DataFrame, item_col: str, text_col: str, block_word
             yield written()
 
     rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return sorted(r.path for r in rows.mapInArrow(run, "path string").collect())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return sorted(r.path for r in rows.coalesce(max(1, math.ceil(size / (block_words * _WORD_BYTES)))).mapInArrow(run, "path string").collect())
 
 
 def _loaded(path: str) -> Phrases:
@@ -185,13 +222,17 @@ def benchmark_hits(
                 kept.append(_loaded(path))
             yield kept[0] if one else _loaded(path)
 
+    def vocabularies() -> Iterator[np.ndarray]:
+        return (b.vocabulary for b in blocks()) if one else (np.load(f"{path}.npy") for path in files)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, hashes, at, starts, ends in _shards(batches, shard_words):
             rows = pa.Table.from_batches(held)
             edge = np.zeros(len(hashes) + 1, np.int64)
             found: list[set[str]] = [set() for _ in range(len(at) - 1)]
-            for block in blocks():
-                begin, length, doc, item = occurrences(hashes, at, block)
+            shard = indexed(hashes, at, vocabularies())
+            for block in blocks() if shard else ():
+                begin, length, doc, item = occurrences(shard, block)
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, begin + length, -1)
                 for d, i in zip(doc.tolist(), item.tolist(), strict=True):

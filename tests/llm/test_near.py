@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from karyon.llm import decontaminate, fm_index
 from karyon.llm.decontaminate import benchmark_hits, contamination, without_spans
 from karyon.llm.fingerprints import Sketches, digests, encoded, fingerprint_likeness, folded, likeness, neighbour_fingerprints, sketches
 from karyon.llm.jaccard_join import jaccard_groups, least_similarity, one_of_each_group, stop_depths
@@ -110,6 +111,33 @@ def test_contamination_as_brute_force(spark):
     assert any(r[5] for r in want)
 
 
+def test_blocks_do_not_follow_the_files_of_the_benchmark(spark, monkeypatch):
+    """A benchmark in many partitions has one block, and a shard one index however many blocks there are."""
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    want = sorted(map(tuple, contamination(benchmark_hits(docs, bench)).collect()), key=repr)
+    assert sorted(map(tuple, contamination(benchmark_hits(docs, bench.repartition(40))).collect()), key=repr) == want
+    assert len(decontaminate._phrase_files(bench.repartition(40), "item_id", "text", decontaminate.BLOCK_WORDS, 10)) == 1
+
+    made = []
+    monkeypatch.setattr(decontaminate, "FMIndex", lambda *args: made.append(1) or fm_index.FMIndex(*args))
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 30, 4000).astype(np.uint64)
+    at = np.array([0, 1000, 1000, 2500, 4000])
+    items = [(str(k), hashes[i : i + 14] if k % 2 else rng.integers(0, 60, 14).astype(np.uint64)) for k, i in enumerate(rng.integers(0, 3900, 40))]
+    blocks = [decontaminate.phrases(items[k : k + 5], 3) for k in range(0, 40, 5)]
+    shard = decontaminate.indexed(hashes, at, [b.vocabulary for b in blocks])
+    for block in blocks:
+        first, length, doc, item = decontaminate.occurrences(shard, block)
+        alone = decontaminate.occurrences(decontaminate.indexed(hashes, at, [block.vocabulary]), block)
+        assert sorted(zip(first.tolist(), length.tolist(), strict=True)) == sorted(zip(alone[0].tolist(), alone[1].tolist(), strict=True))
+        assert list(zip(doc, item, strict=True)) == list(zip(alone[2], alone[3], strict=True))
+        phrase = {tuple(p) for rows, _, _ in block.by_length for p in block.vocabulary[rows - 1].tolist()}
+        runs = [(a, b) for a, b in zip(at, at[1:], strict=False)]
+        assert sorted(first.tolist()) == [i for a, b in runs for i in range(a, b - 2) if tuple(hashes[i : i + 3].tolist()) in phrase]
+    assert len(made) == 1 + len(blocks)
+    assert decontaminate.indexed(hashes, at, [np.array([99], np.uint64)]) is None
+
+
 def test_long_items_are_cut_with_overlap(spark):
     text = " ".join(f"w{k}" for k in range(200))
     docs = spark.createDataFrame([(1, text), (2, " ".join(f"w{k}" for k in range(40, 60))), (3, "w1 w2 w3")], "doc_id bigint, text string")
