@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .text import chunks
+from .workers import released
 
 #: Each half of the memo holds so many fragments at most; longer fragments are not kept.
 MEMO_FRAGMENTS = 150_000
@@ -184,4 +185,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

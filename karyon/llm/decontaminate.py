@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .fm_index import FMIndex
 from .tables import local_folder
 from .text import CHUNK_BYTES, LOWER, chunks, spans, word_places
+from .workers import released
 
 WINDOW = 10
 SHARD_WORDS = 1_500_000
@@ -168,7 +169,7 @@ def _phrase_files(benchmark: DataFrame, item_col: str, text_col: str, block_word
 
     rows = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return sorted(r.path for r in rows.coalesce(max(1, math.ceil(size / (block_words * _WORD_BYTES)))).mapInArrow(run, "path string").collect())
+    return sorted(r.path for r in rows.coalesce(max(1, math.ceil(size / (block_words * _WORD_BYTES)))).mapInArrow(released(run), "path string").collect())
 
 
 def _loaded(path: str) -> Phrases:
@@ -249,7 +250,7 @@ def benchmark_hits(
             yield from pa.table([*rows.columns, *made], names=[*rows.column_names, *new]).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep_text or f.name != plain[1]) + ", " + extra
-    return df.mapInArrow(run, schema).toDF(id_col, *[text_col] * keep_text, *names, *new)
+    return df.mapInArrow(released(run), schema).toDF(id_col, *[text_col] * keep_text, *names, *new)
 
 
 def _merged(edge: np.ndarray, at: np.ndarray) -> np.ndarray:

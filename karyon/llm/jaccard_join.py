@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .components import components, local_roots
 from .tables import columns_of, cut
 from .text import CHUNK_BYTES, chunks, mix, shingles, words
+from .workers import released
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -314,7 +315,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, carried: list[str], wi
     root = max(int(stops.min()), depth - 64 // _SUFFIX_BITS)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     schema = f"row bigint, same_a bigint, same_b bigint, n_shingles bigint, nodes array<bigint>, rest array<bigint>, signature binary, {schema}"
-    signed = cut(docs.mapInArrow(_signatures(trees, depth, root, width), schema))
+    signed = cut(docs.mapInArrow(released(_signatures(trees, depth, root, width)), schema))
 
     # a class of copies goes by its first row; rows without an id count one by one
     ids = F.countDistinct("id") + F.count(F.when(F.col("id").isNull(), 1))
@@ -325,13 +326,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, carried: list[str], wi
     members = rows.select("id", "nodes", "rest").join(firsts.select("id"), "id", "left_semi").select("id", F.explode(F.arrays_zip("nodes", "rest")).alias("n")).select("id", F.col("n.nodes").alias("node"), F.col("n.rest").alias("rest"))
     compared = _dealt(members, "node", node_block).join(rows.select("id", "signature", "n_shingles"), "id").select("node", "part", "id", "side", "signature", "rest", "n_shingles")
     compared = compared.repartition("node", "part").sortWithinPartitions("node", "part", "rest")
-    candidates = compared.mapInArrow(_node_roots(least_agreement(threshold, trees * depth), depth, root, stops), "a bigint, b bigint")
+    candidates = compared.mapInArrow(released(_node_roots(least_agreement(threshold, trees * depth), depth, root, stops)), "a bigint, b bigint")
     clusters = components(candidates)
 
     placed = _dealt(clusters.select("id", F.col("component").alias("cluster")).join(firsts, "id"), "cluster", block, BLOCK_SHINGLES)
     texts = placed.join(rows.select("id", "text"), "id").select("cluster", "part", "id", "side", "copies", "text")
     texts = texts.repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    found = cut(texts.mapInArrow(_verified(width, threshold), "id bigint, root bigint, links bigint"))
+    found = cut(texts.mapInArrow(released(_verified(width, threshold)), "id bigint, root bigint, links bigint"))
     groups = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
 

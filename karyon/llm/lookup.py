@@ -34,6 +34,11 @@ def _maps(path: str, n: int, width: int, kind: type) -> tuple[np.ndarray, np.nda
     return _mapped[path]
 
 
+def let_go() -> None:
+    """Unmaps this process's files; a later look maps them again."""
+    _mapped.clear()
+
+
 class Lookup:
     def __init__(self, files: list[tuple[int, int, str, int]], width: int = 1, kind: type = np.float32):
         self.files, self.width, self.kind = sorted(files), width, kind

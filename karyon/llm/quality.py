@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .labelled import label_rate, labelled, remainder
 from .lookup import Lookup, in_ranges, sorted_lookup
 from .text import IS_WORD, LOWER, chunks, mix, spans, utf8
+from .workers import released
 
 SIZE = 48
 NONZERO = 4
@@ -201,9 +202,9 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> Lookup:
     """The vector of each token of all documents."""
-    parts = docs.select(text_col).mapInArrow(_neighbours, "token bigint, sums binary")
+    parts = docs.select(text_col).mapInArrow(released(_neighbours), "token bigint, sums binary")
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sorted_lookup(in_ranges(parts, "token", ranges).mapInArrow(_added_up, "key bigint, value binary"), SIZE, np.int8)
+    return sorted_lookup(in_ranges(parts, "token", ranges).mapInArrow(released(_added_up), "key bigint, value binary"), SIZE, np.int8)
 
 
 def pooled(vectors: Lookup, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -287,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows = pooled(shared.value, raw, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([r.tobytes() for r in rows], pa.binary())], names=["label", "part", "row"])
 
-    found = sample.mapInArrow(run, "label int, part int, row binary").toArrow()
+    found = sample.mapInArrow(released(run), "label int, part int, row binary").toArrow()
     if not found.num_rows:
         return model
     x = np.frombuffer(b"".join(found["row"].to_pylist()), np.float32).reshape(found.num_rows, -1).astype(np.float64)
@@ -333,7 +334,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     picked = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*plain)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    return picked.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
+    return picked.mapInArrow(released(run), schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -39,6 +39,7 @@ from .labelled import known_labels, label_rate, picked, remainder, texts_of
 from .lookup import Lookup, lookup
 from .tables import cut
 from .text import IS_WORD, LOWER, chunks
+from .workers import released
 
 MOST = 8000
 THRESHOLD = 0.3
@@ -253,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = cut(known.join(F.broadcast(chosen.select("id")), "id", "left_anti"))  # chosen has at most 2 x most rows
     key = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(F.lit(0))
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
-    counts = cut(texts.mapInArrow(_counts(_label_lookup(counted)), "gram bigint, n0 bigint, n1 bigint, n bigint").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n")]))
+    counts = cut(texts.mapInArrow(released(_counts(_label_lookup(counted))), "gram bigint, n0 bigint, n1 bigint, n bigint").groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n")]))
     both = counts.agg(F.sum("n0"), F.sum("n1")).first()
     if not both[0] or not both[1]:
         return Model(Lookup([]), np.zeros(4), always=rate)
@@ -279,7 +280,7 @@ def _scored(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                 x = features(*word_ratios(shared.value, raw, bounds))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(1, 4))], names=["label", "a", "b", "c"])
 
-    found = rows.select("label", "text").mapInArrow(run, "label int, a double, b double, c double").toArrow()
+    found = rows.select("label", "text").mapInArrow(released(run), "label int, a double, b double, c double").toArrow()
     y = found["label"].to_numpy().astype(np.int64)
     x = np.stack([np.ones(len(y)), *(found[c].to_numpy() for c in "abc")], axis=1)
     order = np.lexsort((*x.T, y))
@@ -308,7 +309,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*plain)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    return chosen.mapInArrow(run, schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
+    return chosen.mapInArrow(released(run), schema + f", `{made[0]}` double, `{made[1]}` int").toDF(*names, *made)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from karyon.llm import quality, toxicity
+from karyon.llm import lookup, quality, toxicity, workers
 from karyon.llm.html_extract import extract_pages, main_text, trained_field
 from karyon.llm.html_pages import LAYOUTS, labelled_pages
 from karyon.llm.tables import table
@@ -233,3 +233,16 @@ def test_kneser_ney_by_definition(spark):
     unseen = {g[:-1] for g in own}
     got = table.find_one(np.array([number(h) for h in unseen], np.int64) + toxicity._HISTORY)
     assert np.abs(got - [np.log(plain.of_class(1, h + "?", 3.0) / plain.of_class(0, h + "?", 3.0)) for h in unseen]).max() < 1e-5
+
+
+def test_workers_let_go_of_memory_and_files():
+    """A finished map, and one that fails, unmaps its files; its batches are as without."""
+
+
+    lookup._mapped["x"] = (np.zeros(1), np.zeros(1))
+    assert list(workers.released(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+    assert not lookup._mapped
+    lookup._mapped["x"] = (np.zeros(1), np.zeros(1))
+    with pytest.raises(ZeroDivisionError):
+        list(workers.released(lambda batches: (1 // b for b in batches))(iter([1, 0])))
+    assert not lookup._mapped
