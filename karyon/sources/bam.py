@@ -1,6 +1,6 @@
 """BAM files as a Spark data source: spark.read.format("bam").option("paths", "a.bam,b.bam").load(), and a writer of one file for each cell.
 
-Reading: a partition is a byte range of a file (option split_bytes). It owns the records that begin in BGZF blocks which begin in its range. It looks for
+Reading: files are cut into byte ranges (option split_bytes), and a partition is a range; over `RANGES_APART` of them, as many as come to `task_bytes`, one at least, so that many small files are few tasks. A range owns the records that begin in BGZF blocks which begin in it. It looks for
 the first such block by magic bytes, then for the first place in it from which a chain of records holds together (`_first_record`), and reads on
 into later ranges only to finish its last record. Every range so finds where the one before it stopped, and no record is read twice. A file that is one plain gzip stream is
 one partition. Rows come as Arrow batches of `ROWS`; one block is inflated at a time. option("full", "true") adds the bases, qualities and tags; option("header", "true")
@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -32,6 +33,11 @@ READ_SCHEMA = "path string, qname string, flag int, chrom string, pos long, mapq
 FULL_SCHEMA = READ_SCHEMA + ", sequence string, qualities binary, tags binary"
 HEADER_SCHEMA = "path string, value string"
 SPLIT_BYTES = 32 << 20
+#: Bytes of the ranges that one task reads one after the other.
+TASK_BYTES = 4 << 20
+RANGES_APART = 64
+#: Files that the driver looks at together for their size and kind.
+_LOOKS = 16
 ROWS = 4096
 #: Records that must follow each other from a place for it to be taken for the beginning of one, unless the file ends before.
 CHAIN = 8
@@ -42,8 +48,10 @@ _CIGAR = "MIDNSHP=X"
 _BASES = "=ACMGRSVTWYHKDBN"
 _TAG_SIZE = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 _FIXED = struct.Struct("<iiBBHHHiiii")
-_PAIRS = [a + b for a in _BASES for b in _BASES]
-_CODE = {b: i for i, b in enumerate(_BASES)}
+#: Bases are half bytes: their hexadecimal digits are exchanged for letters, and letters for digits, what is no base for the last.
+_LETTERS = str.maketrans("0123456789abcdef", _BASES)
+_DIGITS = bytes(f"{_BASES.find(chr(b)) % 16:x}".encode()[0] for b in range(256))
+_LOW = bytes(range(15))
 
 
 class _Stream:
@@ -191,12 +199,12 @@ def _decoded(path: str, body: bytes, names: list[str], full: bool) -> tuple:
     at = bases + (n_bases + 1) // 2
     quality = body[at : at + n_bases]
     cigar = "".join(f"{op >> 4}{_CIGAR[op & 15]}" for op in ops) or "*"
-    total = sum(q for q in quality if q >= 15) if quality[:1] != b"\xff" else 0
+    total = sum(quality.translate(None, _LOW)) if quality[:1] != b"\xff" else 0
     tags = body[at + n_bases :]
     row = path, body[32 : 32 + name_len - 1].decode(), flag, name_of(ref), pos + 1, mapq, cigar, name_of(mate), mate_pos + 1, length, total, _barcode(tags)
     if not full:
         return row
-    return *row, "".join(map(_PAIRS.__getitem__, body[bases:at]))[:n_bases], quality if quality[:1] != b"\xff" else None, tags
+    return *row, body[bases:at].hex().translate(_LETTERS)[:n_bases], quality if quality[:1] != b"\xff" else None, tags
 
 
 def _types(full: bool) -> list[tuple[str, pa.DataType]]:
@@ -235,30 +243,45 @@ def bam_batches(path: str, begin: int, end: int, full: bool = False) -> Iterator
             yield make(rows)
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int) -> None:
-        self.path, self.begin, self.end = path, begin, end
+class _Ranges(InputPartition):
+    """(path, begin, end) of byte ranges."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        self.ranges = ranges
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], header: bool, full: bool, split_bytes: int) -> None:
-        self.paths, self.header, self.full, self.split_bytes = paths, header, full, split_bytes
+    def __init__(self, paths: list[str], header: bool, full: bool, split_bytes: int, task_bytes: int) -> None:
+        self.paths, self.header, self.full, self.split_bytes, self.task_bytes = paths, header, full, split_bytes, task_bytes
+
+    def _ranges(self, path: str) -> list[tuple[str, int, int]]:
+        with Blocks(path) as blocks:
+            whole = self.header or not blocks.is_blocked()
+            step = max(1, blocks.size if whole else self.split_bytes)
+            return [(path, k, min(k + step, blocks.size)) for k in range(0, blocks.size, step)]
 
     def partitions(self) -> list[InputPartition]:
-        found = []
-        for path in self.paths:
-            with Blocks(path) as blocks:
-                whole = self.header or not blocks.is_blocked()
-                step = max(1, blocks.size if whole else self.split_bytes)
-                found += [_Range(path, k, min(k + step, blocks.size)) for k in range(0, blocks.size, step)]
+        with ThreadPoolExecutor(_LOOKS) as pool:
+            ranges = [r for own in pool.map(self._ranges, self.paths) for r in own]
+        if len(ranges) <= RANGES_APART:
+            return [_Ranges([r]) for r in ranges]
+        found, held = [_Ranges([])], 0
+        for one in ranges:
+            size = one[2] - one[1]
+            if found[-1].ranges and held + size > self.task_bytes:
+                found.append(_Ranges([]))
+                held = 0
+            found[-1].ranges.append(one)
+            held += size
         return found
 
-    def read(self, partition: _Range) -> Iterator:
-        if not self.header:
-            yield from bam_batches(partition.path, partition.begin, partition.end, self.full)
-        elif partition.begin == 0:
-            with Blocks(partition.path) as blocks:
-                yield from ((partition.path, line) for line in read_header(blocks).text.splitlines())
+    def read(self, partition: _Ranges) -> Iterator:
+        for path, begin, end in partition.ranges:
+            if not self.header:
+                yield from bam_batches(path, begin, end, self.full)
+            elif begin == 0:
+                with Blocks(path) as blocks:
+                    yield from ((path, line) for line in read_header(blocks).text.splitlines())
 
 
 def encoded_header(text: str) -> tuple[bytes, dict[str, int]]:
@@ -287,7 +310,7 @@ def encoded(row: dict, refs: dict[str, int]) -> bytes:
     ops = [(int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
     pos = (row["pos"] or 0) - 1
     span = sum(n for n, k in ops if k in "MDN=X") or 1
-    code = [_CODE.get(b, 15) for b in bases] + [0] * (len(bases) % 2)
+    code = bytes.fromhex((bases.encode("latin-1", "replace").translate(_DIGITS) + b"0" * (len(bases) % 2)).decode())
     quality = row["qualities"] if row["qualities"] is not None else b"\xff" * len(bases)
     if len(quality) != len(bases):
         raise ValueError(f"{row['qname']}: {len(bases)} bases and {len(quality)} qualities")
@@ -295,7 +318,7 @@ def encoded(row: dict, refs: dict[str, int]) -> bytes:
     fixed = _FIXED.pack(
         number(row["chrom"]), pos, len(name), row["mapq"] or 0, _interval(pos, pos + span) if pos >= 0 else 4680, len(ops), row["flag"] or 0, len(bases), number(row["mate_chrom"]), (row["mate_pos"] or 0) - 1, row["template_length"] or 0
     )
-    body = b"".join([fixed, name, *(struct.pack("<I", n << 4 | _CIGAR.index(k)) for n, k in ops), bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True)), quality, row["tags"] or b""])
+    body = b"".join([fixed, name, *(struct.pack("<I", n << 4 | _CIGAR.index(k)) for n, k in ops), code, quality, row["tags"] or b""])
     return struct.pack("<i", len(body)) + body
 
 
@@ -324,7 +347,9 @@ class CellFiles(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         attempt, files, cell, out = uuid.uuid4().hex, [], None, None
         for batch in iterator:
-            for row in batch.to_pylist():
+            names = batch.schema.names
+            for values in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                row = dict(zip(names, values, strict=True))
                 if out is None or row["cell_id"] != cell:
                     if out:
                         out.close()
@@ -382,7 +407,7 @@ class BamDataSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         paths = self.options.get("paths") or self.options.get("path") or ""
-        return _Reader([p for p in paths.split(",") if p], self._is("header"), self._is("full"), int(self.options.get("split_bytes", SPLIT_BYTES)))
+        return _Reader([p for p in paths.split(",") if p], self._is("header"), self._is("full"), int(self.options.get("split_bytes", SPLIT_BYTES)), int(self.options.get("task_bytes", TASK_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> CellFiles:
         return _BamWriter(self.options["path"], overwrite, self.options.get("header_text", ""))

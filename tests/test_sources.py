@@ -173,3 +173,16 @@ def test_merged_and_split_preprocessing(spark, tmp_path):
     assert again == counts
     assert sorted(map(tuple, bedpe.read_bedpe(spark, str(tmp_path / "again" / "bedpe")).collect())) == sorted(map(tuple, pairs.collect()))
     assert {x.split("\t")[0] for f in (tmp_path / "out" / "CellIDList").glob("part*") for x in f.read_text().splitlines()} == set(made)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    rows = full_reads(90, 5)
+    for k in range(90):
+        write_bam(tmp_path / f"{k:02}.bam", rows[2 * k : 2 * k + 2])
+    files = sorted(tmp_path.iterdir())
+    back = load_bam(spark, ",".join(map(str, files)), 10**6)
+    assert back.rdd.getNumPartitions() == 1
+    assert [r.qname for r in back.collect()] == [r[0] for r in rows]
+    sizes = [f.stat().st_size for f in files]
+    parts = load_bam(spark, ",".join(map(str, files)), 10**6, task_bytes=3 * max(sizes)).rdd.getNumPartitions()
+    assert sum(sizes) / (3 * max(sizes)) <= parts <= 45
