@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from karyon.functions.columns import inv_wasserstein
 from karyon.operators import clusters, communities, copyfit, experiment, neighbours, ploidy, quantiles, roworder, segment
@@ -383,3 +384,26 @@ def test_empty_files_stay_to_the_end(spark, tmp_path):
     assert set(cells) == {"cell_1", "cell_2", "cell_none"} and cells["cell_none"].est_ploidy is None and cells["cell_none"].total_reads is None and cells["cell_1"].est_ploidy is not None
     rows = x.cell_bins.where("cell_id = 'cell_none'").select("copy", "segmented", "reads").collect()
     assert len(rows) == 320 and all(v is None for r in rows for v in r)
+
+
+@pytest.mark.parametrize("tile", [None, 20, 70])
+def test_nearest_of_copies_and_tiles(spark, tile):
+    """Against brute force, with many copies, ties between other vectors, and far from 0; a copy's neighbours are those of all its class."""
+    rng = np.random.default_rng(8)
+    few = rng.integers(0, 3, (60, 4)).astype(float)
+    x = np.concatenate([few[rng.integers(0, 60, 150)], np.repeat(few[:1], 40, axis=0), rng.normal(0, 1, (60, 4))]) + 1000.0
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, features array<double>")
+    got = {(r.src, r.dst, r["rank"], round(r.dist, 9)) for r in neighbours.nearest(df, 7, block=20, tile=tile).collect()}
+    assert got == _brute_nearest(x, 7)
+    names = df.withColumn("id", F.concat(F.lit("c"), F.lpad("id", 4, "0")))
+    named = {(int(r.src[1:]), int(r.dst[1:]), r["rank"], round(r.dist, 9)) for r in neighbours.nearest(names, 7, block=20, tile=tile).collect()}
+    assert named == got
+
+
+def test_queries_go_to_tiles_and_not_to_blocks(spark):
+    x = np.random.default_rng(9).normal(0, 1, (400, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, features array<double>")
+    own, intervals = neighbours._blocks(df, 5, "id", "features", 20)
+    assert len(intervals.names) > 15
+    found = neighbours._tiled(own, 5, "int", 200, intervals)
+    assert found.count() <= 400 * 5 * 3
