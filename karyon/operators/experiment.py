@@ -46,10 +46,18 @@ def bin_names(bins: DataFrame) -> DataFrame:
     return bins.withColumn("bin_name", F.concat("chromosome", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
 
 
+#: Rows of a task that makes rows of a wide matrix.
+PIVOT_ROWS = 500_000
+
+
 def pivot_matrix(rows: DataFrame, value: str, bins: list[int] | None = None) -> DataFrame:
-    """cells x bins, a column bin_<idx> for each bin: for export; inside, rows stay long."""
-    wide = rows.groupBy("cell_id").pivot("bin_idx", bins).agg(F.first(value, ignorenulls=True))
-    return wide.select("cell_id", *[F.col(f"`{c}`").alias(f"bin_{c}") for c in wide.columns if c != "cell_id"])
+    """cells x bins, a column bin_<idx> for each bin: for export; inside, rows stay long. Cells are dealt before anything is grouped, to tasks that grow in number and not in rows."""
+    if bins is None:
+        bins = [r[0] for r in rows.select("bin_idx").distinct().orderBy("bin_idx").collect()]  # bins of one genome
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PIVOT_ROWS)
+    one = rows.select("cell_id", "bin_idx", value).repartition(parts, "cell_id").groupBy("cell_id", "bin_idx").agg(F.first(value, ignorenulls=True).alias("value"))
+    listed = one.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("bin_idx").isNotNull(), F.struct("bin_idx", "value")))).alias("values"))
+    return listed.select("cell_id", *[F.try_element_at("values", F.lit(b)).alias(f"bin_{b}") for b in bins])
 
 
 def total_counts(rows: DataFrame, value: str) -> DataFrame:

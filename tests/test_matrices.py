@@ -415,3 +415,14 @@ def test_a_graph_of_ten_thousand_vertices_is_one_task(spark, monkeypatch):
     edges = spark.range(56_000).selectExpr("id AS src", "(id + 1) % 8 + id - id % 8 AS dst", "1.0D AS weight")
     found = communities.partition(edges, spark.range(56_000).withColumnRenamed("id", "cell_id"))
     assert found.select("label").distinct().count() == 7_000
+
+
+def test_pivot_deals_cells_before_it_groups(spark, monkeypatch):
+    """Before, each task that read rows held a group for all its cells and bins. Repeats, NULLs and bins of no cell stay as they were."""
+    rows = spark.createDataFrame([("a", 0, None), ("a", 0, 5.0), ("a", 2, 7.0), ("b", 1, None), ("c", None, 3.0), ("d", 9, 1.0)], "cell_id string, bin_idx int, reads double")
+    monkeypatch.setattr(experiment, "PIVOT_ROWS", 1)
+    wide = experiment.pivot_matrix(rows, "reads", [0, 1, 2])
+    assert wide.columns == ["cell_id", "bin_0", "bin_1", "bin_2"]
+    assert {tuple(r) for r in wide.collect()} == {("a", 5.0, None, 7.0), ("b", None, None, None), ("c", None, None, None), ("d", None, None, None)}
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert ", 6), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
