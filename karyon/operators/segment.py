@@ -19,8 +19,8 @@ from ..functions.columns import MAD_SCALE
 
 def scale_reads(rows: DataFrame, total: float = 10_000) -> DataFrame:
     """reads scaled so that a cell's sum is `total`; NULL bins stay NULL."""
-    sums = rows.groupBy("cell_id").agg(F.sum("reads").alias("all_reads"))
-    return rows.join(sums, "cell_id").withColumn("reads", F.try_divide(F.col("reads") * F.lit(float(total)), F.col("all_reads"))).drop("all_reads")
+    sums = F.sum("reads").over(W.partitionBy("cell_id"))
+    return rows.withColumn("__all", sums).withColumn("reads", F.try_divide(F.col("reads") * F.lit(float(total)), F.col("__all"))).drop("__all")
 
 
 def mad_offset(rows: DataFrame, value: str = "reads") -> DataFrame:
@@ -75,17 +75,24 @@ def _mad_offset(x: np.ndarray) -> float:
     return float(MAD_SCALE * np.median(np.abs(steps - np.median(steps)))) if len(steps) else 0.0
 
 
+#: Values whose intervals are looked at together.
+TOGETHER = 500_000
+
+
 def _haar(values: pa.Array) -> pa.Array:
     """Of each cell's values: the thresholded reconstruction, as `haar_segments` says."""
-    cells = [np.array(v, dtype=float) for v in values.to_pylist()]
-    real = [x[~np.isnan(x)] for x in cells]
-    made = haar_reconstructions(real, [_mad_offset(x) for x in real])
-    out = []
-    for x, own, found in zip(cells, real, made, strict=True):
-        whole = np.full(len(x), np.nan)
-        whole[~np.isnan(x)] = np.where((own == 0) | (found < 0), 0, found)
-        out.append([None if np.isnan(v) else float(v) for v in whole])
-    return pa.array(out, pa.list_(pa.float64()))
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)  # NULL is NaN
+    sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    group = ends // TOGETHER
+    out = np.full(len(flat), np.nan)
+    for g in np.unique(group):
+        spans = [flat[e - n : e] for e, n in zip(ends[group == g].tolist(), sizes[group == g].tolist(), strict=True)]
+        real = [x[~np.isnan(x)] for x in spans]
+        made = haar_reconstructions(real, [_mad_offset(x) for x in real])
+        for x, own, found, e in zip(spans, real, made, ends[group == g].tolist(), strict=True):
+            out[e - len(x) : e][~np.isnan(x)] = np.where((own == 0) | (found < 0), 0, found)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out, pa.float64(), mask=np.isnan(out)))
 
 
 def with_array(rows: DataFrame, made: Callable[[Callable[[str], Column]], Column], name: str, kind: str) -> DataFrame:
@@ -111,19 +118,20 @@ def bridge_gaps(rows: DataFrame, raw: str = "reads", segmented: str = "haar") ->
 
 
 def repair_singlets(rows: DataFrame, raw: str = "reads", segmented: str = "haar") -> DataFrame:
-    """Steps of one bin: a high one far from its raw value takes the raw value; then one below the upper tenth takes the next bin's value."""
-    w = W.partitionBy("cell_id").orderBy("bin_idx")
+    """Steps of one bin: a high one far from its raw value takes the raw value; then one below the upper tenth takes the next bin's value.
+
+    A cell's limits are windows over its rows: nothing is joined to its own aggregates, so what made the rows (the transform) runs once."""
+    cell = W.partitionBy("cell_id")
+    w = cell.orderBy("bin_idx")
     s = F.col(segmented)
-    limits = rows.groupBy("cell_id").agg(F.percentile(segmented, F.array(F.lit(0.05), F.lit(0.95), F.lit(0.9))).alias("q"))
-    marked = rows.join(limits, "cell_id").withColumn("singlet", F.coalesce((s != F.lag(s).over(w)) & (s != F.lead(s).over(w)), F.lit(False)))
-    spread = marked.where((s > F.col("q")[0]) & (s < F.col("q")[1])).groupBy("cell_id").agg(F.var_samp(segmented).alias("bin_var"))
-    marked = marked.join(spread, "cell_id", "left")
+    singlet = F.coalesce((s != F.lag(s).over(w)) & (s != F.lead(s).over(w)), F.lit(False))
+    marked = rows.withColumn("singlet", singlet).withColumn("q", F.percentile(segmented, F.array(F.lit(0.05), F.lit(0.95), F.lit(0.9))).over(cell))
+    marked = marked.withColumn("bin_var", F.var_samp(F.when((s > F.col("q")[0]) & (s < F.col("q")[1]), s)).over(cell))
     high = F.col("singlet") & (F.abs(s - F.col(raw)) > F.col("bin_var")) & (s > F.col("q")[2])
     raised = marked.withColumn("raised", F.when(F.coalesce(high, F.lit(False)), F.col(raw)).otherwise(s))
-    again = raised.groupBy("cell_id").agg(F.percentile("raised", 0.9).alias("q9"))
+    again = raised.withColumn("q9", F.percentile("raised", 0.9).over(cell))
     low = F.coalesce(F.col("singlet") & (F.col("raised") < F.col("q9")), F.lit(False))
-    done = raised.join(again, "cell_id").withColumn("segmented", F.when(low, F.lead("raised").over(w)).otherwise(F.col("raised")))
-    return done.drop("q", "singlet", "bin_var", "raised", "q9")
+    return again.withColumn("segmented", F.when(low, F.lead("raised").over(w)).otherwise(F.col("raised"))).drop("q", "singlet", "bin_var", "raised", "q9")
 
 
 def segment(rows: DataFrame, value: str = "reads") -> DataFrame:

@@ -426,3 +426,21 @@ def test_pivot_deals_cells_before_it_groups(spark, monkeypatch):
     assert {tuple(r) for r in wide.collect()} == {("a", 5.0, None, 7.0), ("b", None, None, None), ("c", None, None, None), ("d", None, None, None)}
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert ", 6), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_a_segmented_table_has_one_transform(spark, capsys):
+    rows = long_rows(spark, {"a": [1, 1, 9, 1, 5, 5], "b": [None, 2, 2, 8, 8, 8]})
+    made = segment.segment(rows)
+    made.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") == 1
+    assert made.count() == 12
+
+
+def test_many_cells_are_transformed_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    cells = [[1.0, 1, 1, 6, 6, None, 6], [], [None, None], [0.0, 3, 3, 3], [2.0] * 9]
+    whole = segment._haar(pa.array(cells, pa.list_(pa.float64()))).to_pylist()
+    monkeypatch.setattr(segment, "TOGETHER", 5)
+    assert segment._haar(pa.array(cells, pa.list_(pa.float64()))).to_pylist() == whole
+    assert [len(x) for x in whole] == [len(x) for x in cells] and whole[2] == [None, None] and whole[0][5] is None
