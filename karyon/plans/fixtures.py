@@ -42,6 +42,8 @@ FROM {supplier}
 DUCK = {"lineitem": "lineitem", "supplier": "supplier", "bins": "(SELECT range AS i FROM range(320)) r"}
 BEDPE_DUCK, BINS_DUCK, MATRIX_DUCK, CELLS_DUCK = (s.format(**DUCK) for s in (BEDPE_SQL, BINS_SQL, MATRIX_SQL, CELLS_SQL))
 BIN_SIZE = 500
+#: Bins, and rows of the matrix that a task makes.
+PLACES, MATRIX_ROWS = 320, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _places(spark: SparkSession) -> DataFrame:
-    return spark.range(320).withColumnRenamed("id", "i")
+    return spark.range(PLACES).withColumnRenamed("id", "i")
 
 
 def bedpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,9 @@ def bins(spark: SparkSession) -> DataFrame:
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, bin_idx, copy, reads, counts, seg); seg has NULL bins."""
-    rows = spark.sql(MATRIX_SQL, supplier=table(spark, sf_dir, "supplier"), bins=_places(spark))
+    cells = table(spark, sf_dir, "supplier")
+    parts = max(1, cells.count() * PLACES // MATRIX_ROWS)  # a short file is one task, and what is made of it would be too
+    rows = spark.sql(MATRIX_SQL, supplier=cells.repartition(parts, "s_suppkey"), bins=_places(spark))
     return rows.withColumnRenamed("cp", "copy").withColumn("counts", F.rint("reads").cast("long"))
 
 

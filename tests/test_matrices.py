@@ -444,3 +444,13 @@ def test_many_cells_are_transformed_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(segment, "TOGETHER", 5)
     assert segment._haar(pa.array(cells, pa.list_(pa.float64()))).to_pylist() == whole
     assert [len(x) for x in whole] == [len(x) for x in cells] and whole[2] == [None, None] and whole[0][5] is None
+
+
+def test_the_matrix_of_many_cells_is_many_tasks(spark, monkeypatch):
+    from karyon.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "MATRIX_ROWS", 800, raising=False)
+    made = fixtures.matrix(spark, "/root/testdata/sf0.001")
+    n = made.count()
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < n
