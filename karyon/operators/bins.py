@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bin_start, ratio
+from ..sources.shared import computed_once
+from .fragments import dealt
 
 MEASURES = ["bin_reads", "count_upstream", "norm_upstream", "count_over", "norm_over", "bin_coverage", "avg_length", "num_doublets", "olap_count"]
 
@@ -44,17 +46,29 @@ def bin_summary(counted: DataFrame, size: int) -> DataFrame:
     )
 
 
-def on_all_bins(summary: DataFrame, bins: DataFrame, cells: DataFrame) -> DataFrame:
-    """A row for each cell and bin; measures of empty bins are NULL, not 0. The grid is what the result is: cells x bins rows.
+#: Rows of cells x bins of a task.
+GRID_ROWS = 300_000
+
+
+def cells_with_bins(rows: DataFrame, bins: DataFrame, cells: DataFrame) -> DataFrame:
+    """A row for each cell and bin, with the bin's columns and those of rows (cell_id, bin_idx, ...; one for each cell and bin at most), NULL where there is none. Cells are those of `cells`.
 
-    Grid and summary are laid together and dealt by cell, where a bin's two rows become one; what follows by cell needs no further shuffle.
+    Rows and cells are dealt by cell together, to tasks that grow in number and not in rows, and only there a cell is laid out over the bins; what follows by cell needs no further shuffle.
     """
-    grid = cells.select("cell_id").distinct().withColumn("bin_idx", F.explode(F.sequence(F.lit(0), F.lit(int(bins.count()) - 1)))).join(bins, "bin_idx")
+    own = computed_once(cells.select("cell_id").distinct())
+    n = int(bins.count())
+    measures = [c for c in rows.columns if c not in ("cell_id", "bin_idx")]
+    both = dealt(rows.where("bin_idx IS NOT NULL").unionByName(own, allowMissingColumns=True), own.count() * n, GRID_ROWS)
+    places = F.when(F.col("bin_idx").isNull(), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array("bin_idx"))
+    laid = both.where(F.lit(n > 0)).select("cell_id", F.explode(places).alias("bin_idx"), *measures)
+    return laid.groupBy("cell_id", "bin_idx").agg(*[F.max(c).alias(c) for c in measures]).join(F.broadcast(bins), "bin_idx")
+
+
+def on_all_bins(summary: DataFrame, bins: DataFrame, cells: DataFrame) -> DataFrame:
+    """A row for each cell and bin; measures of empty bins are NULL, not 0. The grid is what the result is: cells x bins rows."""
     keyed = summary.withColumnRenamed("bin_start", "start").withColumn("chromosome", F.expr("substring(chr, 4)")).drop("chr")
-    both = grid.unionByName(keyed, allowMissingColumns=True).repartition("cell_id")
-    keys = ["cell_id", "chromosome", "start"]
-    others = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in others]).where("bin_idx IS NOT NULL").select(*both.columns)
+    found = keyed.join(F.broadcast(bins.select("bin_idx", "chromosome", "start")), ["chromosome", "start"]).drop("chromosome", "start")
+    return cells_with_bins(found, bins, cells)
 
 
 def bin_quality(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import computed_once
 from . import clusters, communities, copyfit, ploidy, segment
-from .bins import bin_size
+from .bins import bin_size, cells_with_bins
 from .correct import correct_reads
 
 GENOMES = ("hg38", "hg19", "hs1", "mm10")
@@ -85,7 +85,7 @@ def process_batch(
     rows = None
     if bedpe is not None:
         rows = ploidy.ploidy_bins(bedpe, bins, bin_size(bins), min_length, max_length, tag_overlap, focal_amps, window, how, least_fragments, cells)
-        rows = rows.join(ploidy.cell_ploidy(rows).select("cell_id", "est_ploidy"), "cell_id")
+        rows = ploidy.with_ploidy(rows)
     if reads is not None:
         own = reads.select("cell_id", "bin_idx", F.col("counts").cast("double").alias("counts"))
         if rows is None:
@@ -101,9 +101,9 @@ def process_batch(
 
 def _read_grid(own: DataFrame, bins: DataFrame, cells: DataFrame | None) -> DataFrame:
     """A row for each cell and bin: bins without reads have 0 in a cell with any, NULL in one without."""
+    own = computed_once(own)
     listed = own.select("cell_id") if cells is None else own.select("cell_id").unionByName(cells.select("cell_id"))
-    grid = listed.distinct().withColumn("bin_idx", F.explode(F.sequence(F.lit(0), F.lit(int(bins.count()) - 1)))).join(bins, "bin_idx")  # the result itself
-    counted = grid.join(own, ["cell_id", "bin_idx"], "left")
+    counted = cells_with_bins(own, bins, listed)
     some = F.max("counts").over(W.partitionBy("cell_id")).isNotNull()
     return counted.withColumn("counts", F.when(some, F.coalesce("counts", F.lit(0.0))))
 

@@ -1,13 +1,13 @@
 """Fragments from paired-end rows: orient, prefix, filter contigs, flag doublets, trim, drop near duplicates.
 
-Every step is keyed by cell_id, so any number of cells is one DataFrame. A unique `name` within a cell breaks ties. `load_fragments` deals the rows by cell once;
+Every step is keyed by cell_id, so any number of cells is one DataFrame. A unique `name` within a cell breaks ties. `load_fragments` deals the rows by cell once, to tasks that grow in number and not in rows;
 flags, counts and limits of all later steps are windows over cells or parts of them, which need no further shuffle and no join of rows to their own aggregates.
 Windows spill, so a cell with very many fragments costs its task time and not memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,14 @@ from ..functions.columns import strand_of
 CONTIGS = r"(chr[0-9]+|X|Y)$"
 TAG_OVERLAP = 10
 TOLERANCE = 1
+#: Fragments of a task.
+TASK_ROWS = 200_000
+
+
+def dealt(rows: DataFrame, n: int, task_rows: int) -> DataFrame:
+    """rows, n in all when they are worked on, dealt by cell: to as many tasks as a shuffle has, or fewer of few rows, or so many that a task has about task_rows."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, n // task_rows, min(usual, 16 * n // task_rows)), "cell_id")
 
 
 def orient(bedpe: DataFrame) -> DataFrame:
@@ -40,12 +48,19 @@ def contig_filter(fragments: DataFrame) -> DataFrame:
     return fragments.where(F.col("chr").rlike(CONTIGS))
 
 
+def laid(fragments: DataFrame, own: list[Column], marks: list[list[Column]], names: list[str], keys: list[str]) -> DataFrame:
+    """Each fragment with `names` = own, and a row for each of marks: their values of `names`, and of the fragment only `keys`, so that marks are short. __own tells them apart."""
+    others = [c for c in fragments.columns if c not in keys]
+    rest = lambda whole: [F.when(F.lit(whole), F.col(c)).alias(c) for c in others]
+    each = lambda values, whole: F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)], F.lit(whole).alias("__own"), *rest(whole))
+    return fragments.select(*keys, F.inline(F.array(each(own, True), *[each(m, False) for m in marks])))
+
+
 def flag_doublets(fragments: DataFrame, tag_overlap: int = TAG_OVERLAP) -> DataFrame:
-    """doublet: some fragment of the cell and chromosome ends tag-1 or tag bases after this one's start. Starts and marks of the two places before each end meet in a window; no range join."""
-    places = F.array(F.col("start"), F.col("end") - tag_overlap + 1, F.col("end") - tag_overlap)
-    laid = fragments.select("*", F.posexplode(places).alias("__mark", "__at"))
-    marked = F.max(F.col("__mark") > 0).over(W.partitionBy("cell_id", "chr", "__at"))
-    return laid.withColumn("doublet", marked).where("__mark = 0").drop("__mark", "__at")
+    """doublet: some fragment of the cell and chromosome ends tag-1 or tag bases after this one's start. Starts and a mark `tag` before each end meet in a window of two places; no range join."""
+    both = laid(fragments, [F.col("start")], [[F.col("end") - tag_overlap]], ["__at"], ["cell_id", "chr"])
+    near = W.partitionBy("cell_id", "chr").orderBy("__at").rangeBetween(-1, 0)
+    return both.withColumn("doublet", F.max(~F.col("__own")).over(near)).where("__own").select(*fragments.columns, "doublet")
 
 
 def trim(fragments: DataFrame, tag_overlap: int = TAG_OVERLAP) -> DataFrame:
@@ -76,7 +91,8 @@ def drop_near_duplicates(fragments: DataFrame, tolerance: int = TOLERANCE, how:
 
 def load_fragments(bedpe: DataFrame, tag_overlap: int = TAG_OVERLAP, how: str = "intended") -> DataFrame:
     """(cell_id, chr, start, end, name, strand, doublet, length)."""
-    rows = flag_doublets(contig_filter(chr_prefix(orient(bedpe).repartition("cell_id"))), tag_overlap)
+    rows = flag_doublets(dealt(orient(bedpe), bedpe.count(), TASK_ROWS), tag_overlap)
+    rows = contig_filter(chr_prefix(rows))  # by names as they are or with chr, chromosomes of a cell are the same, so one sort does for both
     return drop_near_duplicates(trim(rows, tag_overlap), how=how).select("cell_id", "chr", "start", "end", "name", "strand", "doublet", "length")
 
 

@@ -35,6 +35,11 @@ def cell_ploidy(rows: DataFrame) -> DataFrame:
     return means.withColumn("est_ploidy", ratio(F.lit(1.0), 1 - F.col("mean_ratio")))
 
 
+def with_ploidy(rows: DataFrame) -> DataFrame:
+    """rows with their cell's est_ploidy, as `cell_ploidy` has it; a window, so what made the rows runs once."""
+    return rows.withColumn("est_ploidy", ratio(F.lit(1.0), 1 - F.avg("bin_ratio").over(W.partitionBy("cell_id"))))
+
+
 def trusted(cells: DataFrame, min_reads: int) -> DataFrame:
     return cells.where((F.col("est_ploidy") > 0) & (F.col("est_ploidy") < 10) & (F.col("total_reads") > min_reads))
 

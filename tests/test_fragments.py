@@ -77,3 +77,39 @@ def test_results_do_not_depend_on_partitions(spark):
     df = bedpe(spark, [("a", "chr1", random.randrange(500), 700 + random.randrange(99), f"n{k}") for k in range(200)])
     names = lambda d: sorted(r.name for r in f.load_fragments(d).collect())
     assert names(df) == names(df.repartition(7, F.rand(1)))
+
+
+def test_tasks_grow_in_number_with_the_fragments(spark, monkeypatch):
+    random.seed(11)
+    df = bedpe(spark, [(f"c{k % 40}", "chr1", random.randrange(5000), 6000 + random.randrange(200), f"n{k}") for k in range(800)])
+    usual = f.load_fragments(df)
+    monkeypatch.setattr(f, "TASK_ROWS", 80, raising=False)
+    many = f.load_fragments(df)
+    assert many.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, usual.collect()))
+    counted = o.count_overlaps(f.length_filter(many))
+    assert counted.rdd.getNumPartitions() == 10
+
+
+def test_doublets_and_names_match_brute_force(spark):
+    random.seed(13)
+    rows = [(c, random.choice(["1", "chr2", "X"]), s, s + 20 + random.randrange(40), f"n{k}") for c in "ab" for k in range(150) for s in [random.randrange(200)]]
+    own = f.orient(bedpe(spark, rows)).collect()
+    got = {(r.cell_id, r.name): r.doublet for r in f.flag_doublets(f.orient(bedpe(spark, rows))).collect()}
+    assert len(got) == 300
+    for r in own:
+        assert got[r.cell_id, r.name] == any(x.cell_id == r.cell_id and x.chr == r.chr and x.end - r.start in (9, 10) for x in own)
+
+
+def test_cells_are_laid_over_bins_in_many_tasks(spark, monkeypatch):
+    from karyon.operators import bins as B
+
+    bins = spark.createDataFrame([(k, "1", 500 * k + 1, 500 * k + 500) for k in range(4)], "bin_idx int, chromosome string, start long, end long")
+    summary = spark.createDataFrame([("a", "chr1", 501, 7), ("b", "chr1", 1, 5), ("b", "chr9", 1, 6), ("b", "chr1", 99, 6), (None, "chr1", 1501, 8)], "cell_id string, chr string, bin_start long, bin_reads long")
+    cells = spark.createDataFrame([(c,) for c in ["a", "b", "b", None, *(f"c{k}" for k in range(50))]], "cell_id string")
+    monkeypatch.setattr(B, "GRID_ROWS", 20, raising=False)
+    made = B.on_all_bins(summary, bins, cells)
+    rows = {(r.cell_id, r.bin_idx): r.bin_reads for r in made.collect()}
+    assert len(rows) == made.count() == 53 * 4
+    assert {k: v for k, v in rows.items() if v is not None} == {("a", 1): 7, ("b", 0): 5, (None, 3): 8}
+    assert made.groupBy(F.spark_partition_id()).count().count() > 4
