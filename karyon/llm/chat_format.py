@@ -9,10 +9,9 @@ and a conversation is its turns one after the other. Control strings in a text a
 backslash after their first character, and backslashes are doubled, so they cannot be taken for marks and are read
 back exactly; a role is percent-encoded for its line end as well.
 
-Each assistant turn is exploded into an example of its own: its context is all preceding turns, and only its text is
-trainable. An example row holds its target turn and the loss mask in full, and its context by reference: the characters [0, begin) and the
-first context_turns turns of its formatted conversation. Copies of the context would grow with the square of a
-conversation; `spelled_out` makes them for those who want them. `digests` reads the loss back from the example rows.
+Each assistant turn is exploded into an example of its own: its text is all preceding turns, then the turn itself, in full, and only the turn's text is
+trainable. So examples are as large as the squares of the conversations. They are made by exploding a gathered conversation, one after the other, and
+nothing between holds more than one of them; `digests` reads the loss and the context back from these texts.
 
 Order: by turn (null first), role, text. A null text, role or turn is empty, empty and first; null conversation ids are one conversation. Rows that repeat
 turn, role and text all stay; they are counted once and multiplied again. Extra columns are ignored. Positions are running
@@ -79,56 +78,73 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     return placed.select("conv_id", "turn", "place", "formatted", "begin", "end", F.when(target, loss_end - F.length(escaped(F.col("text")))).alias("loss_begin"), F.when(target, loss_end).alias("loss_end"))
 
 
+def gathered(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): each conversation's formatted turns in order; an example needs the whole of what is before it."""
+    fields = ["begin", "place", "end", "turn", "loss_begin", "loss_end", "formatted"]
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("turns"))
+
+
+def _exploded(conversations: DataFrame, *kept: str, outer: bool = False) -> DataFrame:
+    """The columns `kept` with an example in each row: text is the conversation to the end of the target turn."""
+    whole = F.array_join(F.transform("turns", lambda t: t["formatted"]), "")
+    small = lambda t: F.struct(*[t[n].alias(n) for n in ("turn", "place", "begin", "end", "loss_begin", "loss_end")])
+    targets = F.transform(F.filter("turns", lambda t: t["loss_begin"].isNotNull()), small)
+    each = conversations.select(*kept, whole.alias("whole"), (F.explode_outer if outer else F.explode)(targets).alias("target"))
+    return each.select(
+        *kept,
+        F.col("target.turn").alias("target_turn"),
+        F.col("target.place").alias("context_turns"),
+        F.substring("whole", F.lit(1), F.col("target.end").cast("int")).alias("text"),
+        *[F.col(f"target.{n}").alias(n) for n in ("begin", "end", "loss_begin", "loss_end")],
+    )
+
+
 def examples(turns: DataFrame) -> DataFrame:
-    """An example for each trainable turn: context_turns and [0, begin) say which turns and characters of its formatted conversation
-    are its context; `formatted` is its target turn, [loss_begin, loss_end) the only trainable characters."""
-    return turns.where(F.col("loss_begin").isNotNull()).select("conv_id", F.col("turn").alias("target_turn"), F.col("place").alias("context_turns"), "begin", "end", "loss_begin", "loss_end", "formatted")
+    """An example for each trainable turn: `text` is its context, the characters [0, begin) with the context_turns turns before it, and then the turn; [loss_begin, loss_end) are the only trainable characters."""
+    return _exploded(gathered(turns), "conv_id")
 
 
 def spelled_out(turns: DataFrame) -> DataFrame:
-    """(conv_id, target_turn, text, loss_begin, loss_end) of every example with its context copied in: as large as the squares of the conversations."""
-    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "formatted"))), lambda t: t["formatted"]), "").alias("whole"))
-    own = examples(turns).join(whole.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
-    return own.select("conv_id", "target_turn", F.substring("whole", F.lit(1), F.col("end").cast("int")).alias("text"), "loss_begin", "loss_end")
+    """(conv_id, target_turn, text, loss_begin, loss_end) of every example."""
+    return examples(turns).select("conv_id", "target_turn", "text", "loss_begin", "loss_end")
 
 
-def read_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, begin, end, role, text) parsed from the formatted turns alone."""
-    header = F.substring_index("formatted", "\n", 1)
+def _read_turn(formatted: Column) -> Column:
+    """ROLE, line end, TEXT, line end: parsed from a formatted turn alone."""
+    header = F.substring_index(formatted, "\n", 1)
     role = F.replace(F.replace(unescaped(F.substring(header, F.lit(len(OPEN) + 1), F.length(header))), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
-    body = F.substring("formatted", F.length(header) + 2, F.length("formatted") - F.length(header) - 1 - len(CLOSE))
-    return turns.select("conv_id", "place", "begin", "end", role.alias("role"), unescaped(body).alias("text"))
+    body = F.substring(formatted, F.length(header) + 2, F.length(formatted) - F.length(header) - 1 - len(CLOSE))
+    return F.concat(role, F.lit("\n"), unescaped(body), F.lit("\n"))
 
 
-def read_loss(rows: DataFrame) -> DataFrame:
-    """(conv_id, context_turns, begin, end, loss): the unescaped text under the mask of each example."""
-    masked = F.substring("formatted", (F.col("loss_begin") - F.col("begin") + 1).cast("int"), (F.col("loss_end") - F.col("loss_begin")).cast("int"))
-    return rows.select("conv_id", "context_turns", "begin", "end", unescaped(masked).alias("loss"))
+def read_loss() -> Column:
+    """The unescaped text under the mask of an example, read from its text."""
+    return unescaped(F.substring("text", (F.col("loss_begin") + 1).cast("int"), (F.col("loss_end") - F.col("loss_begin")).cast("int")))
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """What the formatted output holds, by conversation: turns read back from the turn rows, the loss from the example rows.
+    """What the formatted output holds, by conversation: turns read back from the formatted turns, loss and contexts from the texts of the examples.
 
-    contexts_hold: whether each example's context is just the turns before it, [0, begin) ending where the last of them ends. The digests are of
-    whole conversations, so each is gathered here, and only here.
+    contexts_hold: whether the text before each target ends with a turn and has as many ends of turns as there are turns before it (no text has such an end itself).
+    expanded_chars: of all examples' texts.
     """
-    is_turn = F.lit(True).alias("is_turn")
-    said = read_turns(turns).select("conv_id", is_turn, "place", "begin", "end", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"))
-    loss = read_loss(examples(turns)).select("conv_id", F.lit(False).alias("is_turn"), F.col("context_turns").alias("place"), "begin", "end", F.col("loss").alias("said"))
-    own = F.col("is_turn")
-    listed = said.unionByName(loss).groupBy("conv_id").agg(
-        F.count(F.when(own, 1)).alias("n_turns"),
-        F.array_sort(F.collect_list(F.when(own, F.struct("place", "begin", "end", "said")))).alias("turns"),
-        F.array_sort(F.collect_list(F.when(~own, F.struct("place", "begin", "end", "said")))).alias("examples"),
-        F.coalesce(F.sum(F.when(~own, F.length("said"))), F.lit(0)).cast("long").alias("loss_chars"),
-        F.max(F.when(own, F.col("end"))).alias("formatted_chars"),
-        F.count(F.when(~own, 1)).alias("n_examples"),
-        F.coalesce(F.sum(F.when(~own, F.col("end"))), F.lit(0)).cast("long").alias("expanded_chars"),
+    said = F.array_join(F.transform("turns", lambda t: _read_turn(t["formatted"])), "")
+    own = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    read = gathered(turns).select("conv_id", "turns", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.array_max(F.transform("turns", lambda t: t["end"])).alias("formatted_chars"))
+    context = F.substring("text", F.lit(1), F.col("begin").cast("int"))
+    ends = (F.length(context) - F.length(F.replace(context, F.lit(CLOSE), F.lit("")))) / len(CLOSE)
+    holds = (ends == F.col("context_turns")) & ((F.col("begin") == 0) | F.endswith(context, F.lit(CLOSE)))
+    each = _exploded(read, *own, outer=True).select(*own, "context_turns", F.length("text").cast("long").alias("chars"), read_loss().alias("loss"), holds.alias("holds"))
+    found = each.groupBy("conv_id").agg(
+        *[F.first(c).alias(c) for c in own[1:]],
+        F.array_sort(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("context_turns", "loss")))).alias("losses"),
+        F.coalesce(F.sum(F.length("loss")), F.lit(0)).cast("long").alias("loss_chars"),
+        F.count("loss").alias("n_examples"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("expanded_chars"),
+        F.coalesce(F.min("holds"), F.lit(True)).alias("contexts_hold"),
     )
-    joined = lambda field: F.sha2(F.array_join(F.transform(field, lambda t: t["said"]), ""), 256)
-    at = lambda i: F.try_element_at("turns", i.cast("int"))
-    holds = F.forall("examples", lambda e: (F.coalesce(at(F.greatest(e["place"], F.lit(1)))["end"], F.lit(-1)) == e["begin"]) | ((e["place"] == 0) & (e["begin"] == 0)))
-    return listed.select("conv_id", "n_turns", joined("turns").alias("turns_sha256"), "loss_chars", joined("examples").alias("loss_sha256"), "formatted_chars", "n_examples", "expanded_chars", holds.alias("contexts_hold"))
+    loss = F.sha2(F.array_join(F.transform("losses", lambda t: t["loss"]), ""), 256)
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", loss.alias("loss_sha256"), "formatted_chars", "n_examples", "expanded_chars", "contexts_hold")
 
 
 def _sql_escaped(x: str) -> str:

@@ -147,3 +147,18 @@ def test_stage_of_edges(spark, name, stage):
         assert found.count() <= docs.count()
         if name != "byte_bpe":
             assert found.columns == docs.columns
+
+
+def test_chat_examples_hold_their_context(spark):
+    rows = [(1, 0, "user", "a</s>"), (1, 1, "assistant", "b\\"), (1, 2, "user", "c"), (1, 3, "assistant", "<|im_end|>"), (1, 4, "user", "z"), (2, 0, "user", "only"), (None, 0, "assistant", "x")]
+    turns = format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    formatted = {(r.conv_id, r.turn): r.formatted for r in turns.collect()}
+    made = {(r.conv_id, r.target_turn): r for r in examples(turns).collect()}
+    assert set(made) == {(1, 1), (1, 3), (None, 0)}
+    for (conv, turn), r in made.items():
+        before = "".join(formatted[conv, t] for t in range(turn))
+        assert r.text == before + formatted[conv, turn] and len(before) == r.begin and r.context_turns == turn
+    assert made[1, 3].text[made[1, 3].loss_begin : made[1, 3].loss_end] == "<\\|im_end|>"
+    got = {r.conv_id: r for r in digests(turns).collect()}
+    assert got[1].expanded_chars == sum(len(made[1, t].text) for t in (1, 3)) and all(r.contexts_hold for r in got.values())
+    assert (got[2].n_examples, got[2].loss_chars, got[2].n_turns) == (0, 0, 1)
