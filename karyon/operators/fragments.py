@@ -23,7 +23,7 @@ TASK_ROWS = 200_000
 def dealt(rows: DataFrame, n: int, task_rows: int) -> DataFrame:
     """rows, n in all when they are worked on, dealt by cell: to as many tasks as a shuffle has, or fewer of few rows, or so many that a task has about task_rows."""
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(1, n // task_rows, min(usual, 16 * n // task_rows)), "cell_id")
+    return rows.repartition(max(1, n // task_rows, min(usual, 4 * n // task_rows)), "cell_id")
 
 
 def orient(bedpe: DataFrame) -> DataFrame:

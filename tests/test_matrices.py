@@ -454,3 +454,24 @@ def test_the_matrix_of_many_cells_is_many_tasks(spark, monkeypatch):
     n = made.count()
     sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < n
+
+
+def test_read_cells_are_laid_over_bins_in_many_tasks(spark, monkeypatch):
+    from karyon.operators import bins as B
+
+    bins = make_bins(spark, [("1", 2000)], 500)
+    own = spark.createDataFrame([(f"c{k}", k % 4, float(k + 1)) for k in range(40)], "cell_id string, bin_idx int, counts double")
+    monkeypatch.setattr(B, "GRID_ROWS", 20, raising=False)
+    made = experiment._read_grid(own, bins, spark.createDataFrame([("none",)], "cell_id string"))
+    rows = {(r.cell_id, r.bin_idx): r.counts for r in made.collect()}
+    assert rows == {(f"c{k}", b): float(k + 1) if b == k % 4 else 0.0 for k in range(40) for b in range(4)} | {("none", b): None for b in range(4)}
+    assert made.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_ploidy_of_a_cell_is_on_its_rows_without_a_join(spark, capsys):
+    rows = spark.createDataFrame([("a", 0, 0.5), ("a", 1, None), ("a", 2, 0.25), ("b", 0, 1.0), ("c", 0, None), (None, 0, 0.5)], "cell_id string, bin_idx int, bin_ratio double")
+    made = ploidy.with_ploidy(rows)
+    made.explain()
+    assert "Join" not in capsys.readouterr().out
+    want = {r.cell_id: r.est_ploidy for r in ploidy.cell_ploidy(rows).collect()}
+    assert made.count() == 6 and all(r.est_ploidy == want[r.cell_id] for r in made.collect())
