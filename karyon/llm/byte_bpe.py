@@ -4,7 +4,7 @@ A pair of bytes that stands inside no vocabulary token is never merged over, so
 them is a token border in every text: the encodings of the two sides, one after the other, are the
 encoding of the whole. A text is cut at all such places that the tokenizer's pre-splitting cannot
 notice either (see `fragments`); each distinct fragment is encoded once by the library and kept in a
-bounded memo of the worker, and the results are concatenated. Fragments are short and repeat, so
+bounded memo of the task, and the results are concatenated. Fragments are short and repeat, so
 most are looked up, and a very long text needs no long call.
 
 Null and empty texts have no tokens and decode to the empty text. Repeated rows give repeated
@@ -140,6 +140,9 @@ class ForcedBoundaryCodec:
                 new[f] = known[f]
         return list(map(known.__getitem__, parts))
 
+    def forget(self) -> None:
+        self.memo = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         parts = self.fragments(np.frombuffer((text or "").encode("utf-8"), np.uint8))
         return [int(i) for ids in self.look_up(parts) for i in ids.split(",")]
@@ -164,25 +167,28 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            for first, end, raw, bounds in chunks(batch.column(1), LOOK_UP_BYTES):
-                parts = [c.fragments(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                found = c.look_up([f for row in parts for f in row])
-                n, shas, backs, ids, at = [], [], [], [], 0
-                for k, row in enumerate(parts):
-                    own = found[at : at + len(row)]
-                    at += len(row)
-                    listed = ",".join(own)
-                    n.append(listed.count(",") + 1 if own else 0)
-                    shas.append(hashlib.sha256(listed.encode()).hexdigest())
-                    backs.append(hashlib.sha256(c.decode_listed(listed)).hexdigest())
+        try:
+            for batch in batches:
+                for first, end, raw, bounds in chunks(batch.column(1), LOOK_UP_BYTES):
+                    parts = [c.fragments(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    found = c.look_up([f for row in parts for f in row])
+                    n, shas, backs, ids, at = [], [], [], [], 0
+                    for k, row in enumerate(parts):
+                        own = found[at : at + len(row)]
+                        at += len(row)
+                        listed = ",".join(own)
+                        n.append(listed.count(",") + 1 if own else 0)
+                        shas.append(hashlib.sha256(listed.encode()).hexdigest())
+                        backs.append(hashlib.sha256(c.decode_listed(listed)).hexdigest())
+                        if keep_ids:
+                            ids.append([int(i) for i in listed.split(",")] if own else [])
+                    columns = [batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
+                    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                     if keep_ids:
-                        ids.append([int(i) for i in listed.split(",")] if own else [])
-                columns = [batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                        columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            c.forget()  # the worker goes on to other stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +72,8 @@ def lookup(rows: DataFrame, width: int = 1) -> Lookup:
     return sorted_lookup(rows.select("key", "value").repartitionByRange(parts, "key").sortWithinPartitions("key"), width)
 
 
-def sorted_lookup(ordered: DataFrame, width: int = 1, kind: type = np.float32) -> Lookup:
-    """The same of rows whose partitions are ranges of the key and sorted. kind: the type of the values' bytes."""
+def sorted_lookup(ordered: DataFrame, width: int = 1, kind: type = np.float32, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> Lookup:
+    """The same of rows whose partitions are ranges of the key and sorted. kind: the type of the values' bytes. made: makes the rows of what `ordered` has, in the same worker."""
     folder = local_folder(ordered.sparkSession)
     name = uuid.uuid4().hex
 
@@ -82,7 +82,7 @@ def sorted_lookup(ordered: DataFrame, width: int = 1, kind: type = np.float32) -
         first = last = None
         n = 0
         with open(path + ".keys", "wb") as keys, open(path + ".values", "wb") as values:
-            for batch in batches:
+            for batch in made(batches) if made else batches:
                 if not batch.num_rows:
                     continue
                 own = np.ascontiguousarray(batch.column(0).to_numpy())

@@ -143,7 +143,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def merged() -> tuple[np.ndarray, np.ndarray]:
         some, which = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
         total, at = np.zeros((len(some), SIZE), np.int32), 0
-        for token, sums in held:  # each has a token once
+        while held:  # each has a token once
+            token, sums = held.pop(0)
             total[which[at : at + len(token)]] += sums
             at += len(token)
         return some, total
@@ -204,7 +205,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> Lookup:
     """The vector of each token of all documents."""
     parts = docs.select(text_col).mapInArrow(released(_neighbours), "token bigint, sums binary")
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sorted_lookup(in_ranges(parts, "token", ranges).mapInArrow(released(_added_up), "key bigint, value binary"), SIZE, np.int8)
+    return sorted_lookup(in_ranges(parts, "token", ranges), SIZE, np.int8, released(_added_up))  # a map of its own would take a second worker for each task
 
 
 def pooled(vectors: Lookup, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:

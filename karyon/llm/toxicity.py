@@ -49,6 +49,8 @@ STRENGTH = 100.0
 TOP = 0.03
 #: n-grams that a task holds before it passes their counts on.
 MOST_HELD = 1 << 21
+#: Of these, so many are in a batch.
+_ROWS = 1 << 16
 #: Texts are looked up so many bytes at a time.
 _SLICE = 1 << 20
 _SPACE = 32
@@ -104,18 +106,24 @@ def _counts(label_of: Lookup):
     """From (key of the id, text): (gram, n0, n1, n), its counts in the texts of either class and in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # (n-gram and, in the last two bits, its text's class), count
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            gram = np.concatenate([h[0] for h in held])
-            order = np.argsort(gram, kind="stable")
-            gram = gram[order]
-            at = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            return gram[at], np.add.reduceat(np.concatenate([h[1] for h in held])[order], at, axis=0)
-
-        def rows(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), *(pa.array(np.ascontiguousarray(found[1][:, k])) for k in range(3))], names=["gram", "n0", "n1", "n"])
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            return key[at], np.add.reduceat(n, at)
+
+        def rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(keys), _ROWS):  # an n-gram on a border is in both batches, a part of its count in each
+                key, n = keys[a : a + _ROWS], counts[a : a + _ROWS]
+                gram, kind = key >> 2, key & 3
+                at = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+                own = [np.where(kind == 0, n, 0), np.where(kind == 1, n, 0), n]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[at]), *(pa.array(np.add.reduceat(c, at)) for c in own)], names=["gram", "n0", "n1", "n"])
 
         for batch in batches:
             label = label_of.find_one(batch.column(0).to_numpy()) if label_of.files else np.full(len(batch), np.nan)
@@ -125,22 +133,18 @@ def _counts(label_of: Lookup):
                 for a, gram in _slices(own):
                     text = np.searchsorted(at, np.arange(a, a + len(gram)), side="right") - 1
                     inside = np.arange(a, a + len(gram)) - at[text] >= ORDER - 1
-                    some, where = np.unique(((gram << 2) | kind[text])[inside], return_counts=True)
-                    n = np.zeros((len(some), 3), np.int64)
-                    n[:, 2] = where
-                    for k in (0, 1):
-                        n[:, k] = np.where((some & 3) == k, where, 0)
-                    held.append((some >> 2, n))
-                    size += len(some)
+                    held.append(np.unique(((gram << 2) | kind[text])[inside], return_counts=True))
+                    size += len(held[-1][0])
                     if size > MOST_HELD:
                         found = merged()
                         if len(found[0]) > MOST_HELD // 2:
-                            yield rows(found)
-                            held, size = [], 0
+                            yield from rows(*found)
+                            size = 0
                         else:
-                            held, size = [found], len(found[0])
-        if held:
-            yield rows(merged())
+                            held.append(found)
+                            size = len(found[0])
+        if size:
+            yield from rows(*merged())
 
     return run
 

@@ -4,6 +4,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from karyon.llm import lookup, quality, toxicity, workers
@@ -246,3 +247,37 @@ def test_workers_let_go_of_memory_and_files():
     with pytest.raises(ZeroDivisionError):
         list(workers.released(lambda batches: (1 // b for b in batches))(iter([1, 0])))
     assert not lookup._mapped
+
+
+def test_counting_ngrams_holds_little_memory():
+    """A task holds its distinct n-grams in some tens of megabytes, and what it passes on adds up to the counts."""
+    rng = np.random.default_rng(5)
+    texts = [rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), 500_000).tobytes().decode() for _ in range(9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t])], names=["key", "text"]) for k, t in enumerate(texts)]
+    tracemalloc.start()
+    made, peak = [], 0
+    for batch in toxicity._counts(lookup.Lookup([]))(iter(batches)):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        made.append((batch.column(0).to_numpy().copy(), batch.column(3).to_numpy().astype(np.int32)))
+        tracemalloc.reset_peak()
+    held = sum(a.nbytes + b.nbytes for a, b in made)
+    tracemalloc.stop()
+    assert peak - held < 160e6
+    keys, n = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+    want, counts = np.unique(np.concatenate([toxicity.ngrams(np.frombuffer(t.encode(), np.uint8), np.full(4, 32, np.uint8)) for t in texts]), return_counts=True)
+    some, which = np.unique(keys, return_inverse=True)
+    got = dict(zip(some.tolist(), np.bincount(which, n).astype(int).tolist(), strict=True))
+    assert all(got[k] == c for k, c in zip(want.tolist()[::997], counts.tolist()[::997], strict=True)) and len(made) > 1
+
+
+def test_word_vectors_take_one_worker_a_task(spark):
+    """Adding up and writing is one map: two, one after the other, would hold two Python workers for each task."""
+    maps = []
+    frame = type(spark.range(1))
+    plain = frame.mapInArrow
+    frame.mapInArrow = lambda self, f, schema, *a, **b: maps.append(self._jdf.queryExecution().logical().toString().count("MapInArrow")) or plain(self, f, schema, *a, **b)
+    try:
+        quality.word_vectors(spark.createDataFrame([("a b c a",)], "text string"))
+    finally:
+        frame.mapInArrow = plain
+    assert maps == [0, 1]  # with an exchange between

@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from karyon.llm.byte_bpe import ForcedBoundaryCodec, bpe_round_trip
+from karyon.llm.byte_bpe import ForcedBoundaryCodec, bpe_round_trip, codec
 from karyon.llm import queries
 from karyon.llm.tables import table
 from karyon.llm.token_counts import CHUNK_BYTES, encode_huge, token_counts
@@ -86,3 +87,14 @@ def test_whole_table_round_trip(spark):
         ids = tok.encode(r.text or "", add_special_tokens=False).ids
         want.add((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
     assert set(map(tuple, queries.op2_bpe_round_trip(spark, SF).collect())) == want
+
+
+def test_memo_ends_with_the_task(spark):
+    """What a task has looked up does not stay in its worker, which goes on to other stages."""
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id bigint, text string").coalesce(1)
+    assert bpe_round_trip(docs, BYTES).count() == 1
+    held = spark.range(1).repartition(8).mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": sum(map(len, codec(BYTES).memo))}]) for _ in batches), "n bigint")
+    assert {r.n for r in held.collect()} <= {0}
+    codec(BYTES).look_up([b"one"])
+    codec(BYTES).forget()
+    assert not any(codec(BYTES).memo)
