@@ -475,3 +475,16 @@ def test_ploidy_of_a_cell_is_on_its_rows_without_a_join(spark, capsys):
     assert "Join" not in capsys.readouterr().out
     want = {r.cell_id: r.est_ploidy for r in ploidy.cell_ploidy(rows).collect()}
     assert made.count() == 6 and all(r.est_ploidy == want[r.cell_id] for r in made.collect())
+
+
+def test_graph_of_many_copies_is_one_task(spark, monkeypatch):
+    """Subclones of 45,000 cells that are copies: 900,000 edges to a few cells, where sweeps of single moves between few communities would take many jobs."""
+
+    def refuse(*args):
+        raise AssertionError("distributed sweeps")
+
+    monkeypatch.setattr(communities, "_settle", refuse)
+    ids = spark.range(45_000).withColumnRenamed("id", "cell_id")
+    edges = ids.selectExpr("cell_id AS src", "explode(sequence(0, 27, 3)) AS hub").selectExpr("src", "src % 3 + hub AS dst", "1.0D AS weight").where("src <> dst")
+    found = communities.partition(edges, ids)
+    assert sorted(tuple(r) for r in found.groupBy("label").agg(F.count("*"), F.countDistinct(F.col("cell_id") % 3)).collect()) == [(k, 15_000, 1) for k in range(3)]
