@@ -150,39 +150,40 @@ RESOLUTION_LEAST, RESOLUTION_MOST = 1e-4, 10.0
 RESOLUTIONS = (1.0, 0.5, 2.0, 0.1, 5.0)
 
 
+#: Resolutions of a section that are evaluated at the same time: with 7, two sections come from a factor of 2 to each side to the width.
+SECTION = 7
+
+
 def search_resolution(edges: DataFrame, ids: DataFrame, seed: int = 1234, width: float = 0.1, id_col: str = "cell_id") -> tuple[float, float, DataFrame]:
     """(resolution, modularity, partition) of the greatest modularity between the bounds; of equal ones the resolution nearest to 1.
 
-    A driver's search whose evaluations are Spark jobs on one stored graph: the first resolutions, then golden sections of the logarithm around the best
-    until the interval is `width`. Each resolution is evaluated once; those of the sections start from the best partition so far.
+    A driver's search whose evaluations are Spark jobs on one stored graph: the first resolutions together, then `SECTION` equal steps of the logarithm together
+    between the neighbours of the best, until these are `width` apart. Each resolution is evaluated once; those of the sections start from the best partition so far.
     """
     edges = computed_once(edges.select("src", "dst", "weight"))
     graph = communities.summed_graph(edges)
     known: dict[float, tuple[float, DataFrame]] = {}
 
-    def at(log: float, start: DataFrame | None = None) -> float:
-        log = round(log, 9)
-        if log not in known:
-            found = computed_once(communities.partition_graph(graph, ids, math.exp(log), seed, id_col, start))
-            known[log] = (clusters.modularity(edges, found, id_col).first()[0] or 0.0), found
-        return known[log][0]
+    def look(logs: list[float], start: DataFrame | None = None) -> None:
+        logs = [x for x in dict.fromkeys(round(x, 9) for x in logs) if x not in known]
+        if logs:
+            found = computed_once(communities.partition_graphs(graph, ids, [math.exp(x) for x in logs], seed, id_col, start))
+            scores = {r.nr: r.modularity for r in clusters.modularities(edges, found, id_col).collect()}  # a row for each resolution
+            known.update({x: (scores.get(i) or 0.0, found.where(F.col("nr") == i).drop("nr")) for i, x in enumerate(logs)})
 
     def best() -> float:
         return max(known, key=lambda x: (round(known[x][0], 9), -abs(x)))
 
-    for r in RESOLUTIONS:
-        at(math.log(r))
-    ends = sorted([*known, math.log(RESOLUTION_LEAST), math.log(RESOLUTION_MOST)])
-    i = ends.index(best())
-    low, high = ends[i - 1], ends[i + 1]
-    section = (math.sqrt(5) - 1) / 2
+    def around() -> tuple[float, float]:
+        ends = sorted({*known, math.log(RESOLUTION_LEAST), math.log(RESOLUTION_MOST)})
+        i = ends.index(best())
+        return ends[max(i - 1, 0)], ends[min(i + 1, len(ends) - 1)]
+
+    look([math.log(r) for r in RESOLUTIONS])
+    low, high = around()
     while high - low > width:
-        one, two = high - section * (high - low), low + section * (high - low)
-        start = known[best()][1]
-        if at(one, start) >= at(two, start):
-            high = two
-        else:
-            low = one
+        look([low + (high - low) * i / (SECTION + 1) for i in range(1, SECTION + 1)], known[best()][1])
+        low, high = around()
     return math.exp(best()), *known[best()]
 
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from karyon.functions.columns import inv_wasserstein
-from karyon.operators import clusters, communities, copyfit, experiment, neighbours, ploidy, quantiles, roworder, segment
+from karyon.operators import clusters, communities, copyfit, experiment, neighbours, ploidy, quantiles, roworder, segment, small_graphs
 from karyon.operators.bins import make_bins
 from karyon.operators.correct import correct_reads
 
@@ -253,6 +253,66 @@ def test_resolution_search(spark):
     assert 1e-4 <= r <= 10 and score >= max(fixed) - 1e-9 and found.count() == len(of)
 
 
+def test_resolutions_are_evaluated_together(spark, monkeypatch):
+    """The first resolutions are one job, then a section is; each partition is that of its resolution alone, ids beyond 2^53 included."""
+    pairs, of = _blocks(np.random.default_rng(4), [12, 10, 9], 0.7, 0.05)
+    far = 2**60
+    edges = spark.createDataFrame([(far + a, far + b, w) for a, b, w in pairs], "src long, dst long, weight double")
+    ids = spark.createDataFrame([(far + k,) for k in range(len(of))], "cell_id long")
+    graph = communities.summed_graph(edges)
+    found = communities.partition_graphs(graph, ids, [0.3, 1.0, 4.0])
+    scores = {r.nr: r.modularity for r in clusters.modularities(edges, found).collect()}
+    for i, r in enumerate((0.3, 1.0, 4.0)):
+        alone = communities.partition_graph(graph, ids, r)
+        assert {(x.cell_id, x.label) for x in alone.collect()} == {(x.cell_id, x.label) for x in found.where(F.col("nr") == i).collect()}
+        assert abs(clusters.modularity(edges, alone).first()[0] - scores[i]) < 1e-9
+    asked, plain = [], communities.partition_graphs
+    monkeypatch.setattr(communities, "partition_graphs", lambda g, v, many, *a: asked.append(len(many)) or plain(g, v, many, *a))
+    experiment.search_resolution(edges, ids)
+    assert asked[0] == 5 and len(asked) <= 4 and max(asked) <= 7
+
+
+def _edge_arrays(rng, n, blocks, near, far):
+    """Both ways, as arrays, of a graph with `near` links of a vertex in its block and `far` to any."""
+    a = np.repeat(np.arange(n), near + far)
+    b = np.concatenate([np.concatenate([rng.integers(0, n // blocks, near) * blocks + v % blocks, rng.integers(0, n, far)]) for v in range(n)])
+    keys = np.unique(np.minimum(a, b)[a != b] * n + np.maximum(a, b)[a != b])
+    a, b, w = keys // n, keys % n, rng.uniform(0.5, 1.5, len(keys))
+    return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+
+
+@pytest.mark.parametrize("blocks,far,resolution", [(12, 2, 1.0), (12, 2, 0.2), (40, 5, 3.0), (1, 4, 1.0)])
+def test_many_vertices_move_at_a_time(blocks, far, resolution):
+    """Of a graph that is worked on as arrays: connected communities, no vertex gains, blocks found, the same again."""
+    n = 4000
+    src, dst, weight = _edge_arrays(np.random.default_rng(blocks), n, blocks, 6, far)
+    degree = np.bincount(src, weight, n)
+    label = small_graphs.solve(src, dst, weight, degree, np.arange(n), resolution, degree.sum(), 7)
+    assert (label == small_graphs.solve(src, dst, weight, degree, np.arange(n), resolution, degree.sum(), 7)).all()
+    assert _connected(zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True), dict(enumerate(label.tolist())))
+    mass, rate = np.bincount(label, degree), resolution / degree.sum()
+    links = np.zeros((n, label.max() + 1))
+    np.add.at(links, (src, label[dst]), weight)
+    pull = links - rate * degree[:, None] * (mass[None, :] - np.where(np.arange(len(mass))[None, :] == label[:, None], degree[:, None], 0))
+    assert (np.maximum(pull.max(axis=1), 0) - pull[np.arange(n), label]).max() < 1e-7
+    inside = lambda of: weight[of[src] == of[dst]].sum() - rate * (np.bincount(of, degree) ** 2).sum()
+    assert inside(label) >= inside(np.arange(n) % blocks) * 0.99
+    if resolution == 1.0 and blocks > 1:
+        assert sum(np.bincount(label[np.arange(n) % blocks == b]).max() for b in range(blocks)) > 0.95 * n
+
+
+def test_a_refined_part_is_connected_and_the_same_for_the_same_seeds():
+    src, dst, weight = _edge_arrays(np.random.default_rng(2), 3000, 30, 4, 1)
+    graph = small_graphs._graph(src, dst, weight, np.bincount(src, weight, 3000))
+    label, names, seeds = np.arange(3000) % 30, np.arange(3000), np.zeros(3000, np.int64)
+    part = small_graphs._refine(graph, label, 1 / graph.degree.sum(), names, seeds)
+    assert (label[part] == label).all() and (part[part] == part).all() and 30 <= len(np.unique(part)) < 1500
+    assert _connected(zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True), dict(enumerate(part.tolist())))
+    other = seeds + (label == 3)
+    again = small_graphs._refine(graph, label, 1 / graph.degree.sum(), names, other)
+    assert (again == part)[label != 3].all() and (again != part)[label == 3].any()
+
+
 def _brute_nearest(x, k):
     out = set()
     for i, v in enumerate(x):
