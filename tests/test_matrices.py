@@ -272,6 +272,19 @@ def test_resolutions_are_evaluated_together(spark, monkeypatch):
     assert asked[0] == 5 and len(asked) <= 4 and max(asked) <= 7
 
 
+def test_small_graphs_with_names_are_solved_some_at_a_time(spark, monkeypatch):
+    """Names as ids, and resolutions in several jobs where copies of the graph would be too large together: the same partitions."""
+    pairs, of = _blocks(np.random.default_rng(6), [11, 10, 8], 0.7, 0.05)
+    edges = spark.createDataFrame([(f"cell {a}", f"cell {b}", w) for a, b, w in pairs], "src string, dst string, weight double")
+    ids = spark.createDataFrame([(f"cell {k}",) for k in [*range(len(of)), "alone"]], "cell_id string")
+    graph = communities.summed_graph(edges)
+    whole = {tuple(r) for r in communities.partition_graphs(graph, ids, [0.5, 1.0, 3.0]).collect()}
+    monkeypatch.setattr(communities, "TOGETHER_EDGES", 2 * graph.count())
+    assert {tuple(r) for r in communities.partition_graphs(graph, ids, [0.5, 1.0, 3.0]).collect()} == whole
+    assert len(whole) == 3 * (len(of) + 1) and (1, "cell alone", "cell alone") in whole
+    assert len({label for nr, _, label in whole if nr == 1}) == 4
+
+
 def _edge_arrays(rng, n, blocks, near, far):
     """Both ways, as arrays, of a graph with `near` links of a vertex in its block and `far` to any."""
     a = np.repeat(np.arange(n), near + far)
@@ -301,6 +314,24 @@ def test_many_vertices_move_at_a_time(blocks, far, resolution):
         assert sum(np.bincount(label[np.arange(n) % blocks == b]).max() for b in range(blocks)) > 0.95 * n
 
 
+def test_few_vertices_are_looked_at_alone(monkeypatch):
+    """Of 20,000 vertices nearly all moves are made in sweeps, whose rise is that of the modularity, and rounds come to an end."""
+    n, looked, plain, rounds = 20_000, [], small_graphs._one_by_one, []
+    monkeypatch.setattr(small_graphs, "_one_by_one", lambda g, label, rate, order: looked.append(len(order)) or plain(g, label, rate, order))
+    cut = small_graphs._cut
+    monkeypatch.setattr(small_graphs, "_cut", lambda *a: rounds.append(1) or cut(*a))
+    src, dst, weight = _edge_arrays(np.random.default_rng(8), n, 25, 5, 4)
+    degree = np.bincount(src, weight, n)
+    small_graphs.solve(src, dst, weight, degree, np.arange(n), 1.0, degree.sum(), 3)
+    assert sum(looked) < 0.2 * n * len(rounds) and len(rounds) < 60
+    graph, rate, label, waiting = small_graphs._graph(src, dst, weight, degree), 1 / degree.sum(), np.arange(n) % 50, np.ones(n, bool)
+    height = lambda: weight[label[src] == label[dst]].sum() - rate * (np.bincount(label, degree) ** 2).sum()
+    for _ in range(3):
+        before = height()
+        _, rise = small_graphs._sweep(graph, label, rate, np.random.default_rng(1), waiting)
+        assert abs(height() - before - rise) < 1e-6 * abs(height())
+
+
 def test_a_refined_part_is_connected_and_the_same_for_the_same_seeds():
     src, dst, weight = _edge_arrays(np.random.default_rng(2), 3000, 30, 4, 1)
     graph = small_graphs._graph(src, dst, weight, np.bincount(src, weight, 3000))
