@@ -31,6 +31,17 @@ def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(READS_SQL, lineitem=fixtures.table(spark, sf_dir, "lineitem"))
 
 
+_OF_READS = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+
+
+def _full_reads(templates: DataFrame) -> DataFrame:
+    """Both reads of each template, with mates, bases, qualities and tags."""
+    reads = templates.sparkSession.sql(READS_SQL, lineitem=templates)
+    quality = F.unhex(F.repeat(F.lpad(F.hex("quality"), 2, "0"), F.col("size")))
+    tag = F.concat(F.unhex(F.lit("43425A")), F.col("cell_id").cast("binary"), F.unhex(F.lit("00")))  # CB:Z:cell
+    return reads.select("*", F.col("chrom").alias("mate_chrom"), F.repeat(F.lit("A"), F.col("size")).alias("sequence"), quality.alias("qualities"), tag.alias("tags"))
+
+
 # the 5' end of a second mate is behind its clipped bases, on the reverse strand: pos + size - 2 without a clip at that end
 @query(
     f"""WITH r AS ({READS}), a AS (SELECT * FROM r WHERE flag = 99), b AS (SELECT * FROM r WHERE flag = 147),
@@ -55,10 +66,7 @@ def bam_round_trip(spark, sf_dir):
     """All reads, written as a BAM file for each cell to the shared folder, then read back in ranges of 32 kB."""
     folder = f"{application_folder(spark)}/bam-{uuid.uuid4().hex}"
     reads = _reads(spark, sf_dir)
-    quality = F.unhex(F.repeat(F.lpad(F.hex("quality"), 2, "0"), F.col("size")))
-    tag = F.concat(F.unhex(F.lit("43425A")), F.col("cell_id").cast("binary"), F.unhex(F.lit("00")))  # CB:Z:cell
-    full = reads.select("*", F.col("chrom").alias("mate_chrom"), F.repeat(F.lit("A"), F.col("size")).alias("sequence"), quality.alias("qualities"), tag.alias("tags"))
-    bam.write_cell_bams(full, folder, HEADER)
+    bam.write_cell_bams(fixtures.table(spark, sf_dir, "lineitem").select(*_OF_READS), folder, HEADER, bam.FILE_ROWS // 2, "l_suppkey", ["l_orderkey", "l_linenumber"], _full_reads)
     cells = [r.cell_id for r in reads.select("cell_id").distinct().collect()]  # names of the files
     back = spark.read.format("bam").option("paths", ",".join(f"{folder}/{c}.bam" for c in cells)).option("split_bytes", 32 << 10).option("full", "true").load()
     return back.groupBy(F.col("cell_barcode").alias("cell_id")).agg(

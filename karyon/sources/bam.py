@@ -17,9 +17,10 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .bgzf import Blocks, BlockWriter, exists, moved, removed
+from .shared import computed_once
 
 READ_SCHEMA = "path string, qname string, flag int, chrom string, pos long, mapq int, cigar string, mate_chrom string, mate_pos long, template_length long, base_quality long, cell_barcode string"
 FULL_SCHEMA = READ_SCHEMA + ", sequence string, qualities binary, tags binary"
@@ -86,7 +88,8 @@ class _Stream:
         return True
 
     def take(self, n: int) -> bytes:
-        self.fill(n)
+        if len(self.held) < n:
+            self.fill(n)
         out = bytes(self.held[:n])
         del self.held[:n]
         self.done += len(out)
@@ -177,7 +180,7 @@ def _barcode(tags: bytes) -> str | None:
     while at + 3 <= len(tags):
         name, kind = tags[at : at + 2], tags[at + 2 : at + 3]
         at += 3
-        if kind in (b"Z", b"H"):
+        if kind == b"Z" or kind == b"H":
             end = tags.index(b"\0", at)
             if name == b"CB":
                 return tags[at:end].decode()
@@ -191,17 +194,15 @@ def _barcode(tags: bytes) -> str | None:
 
 
 def _decoded(path: str, body: bytes, names: list[str], full: bool) -> tuple:
-    name_of = lambda k: names[k] if k >= 0 else None
     ref, pos, name_len, mapq, _, n_ops, flag, n_bases, mate, mate_pos, length = _FIXED.unpack_from(body)
     at = 32 + name_len
-    ops = struct.unpack_from(f"<{n_ops}I", body, at)
     bases = at + 4 * n_ops
+    cigar = _cigar_of(body[at:bases])
     at = bases + (n_bases + 1) // 2
     quality = body[at : at + n_bases]
-    cigar = "".join(f"{op >> 4}{_CIGAR[op & 15]}" for op in ops) or "*"
     total = sum(quality.translate(None, _LOW)) if quality[:1] != b"\xff" else 0
     tags = body[at + n_bases :]
-    row = path, body[32 : 32 + name_len - 1].decode(), flag, name_of(ref), pos + 1, mapq, cigar, name_of(mate), mate_pos + 1, length, total, _barcode(tags)
+    row = path, body[32 : 32 + name_len - 1].decode(), flag, names[ref] if ref >= 0 else None, pos + 1, mapq, cigar, names[mate] if mate >= 0 else None, mate_pos + 1, length, total, _barcode(tags)
     if not full:
         return row
     return *row, body[bases:at].hex().translate(_LETTERS)[:n_bases], quality if quality[:1] != b"\xff" else None, tags
@@ -231,8 +232,8 @@ def bam_batches(path: str, begin: int, end: int, full: bool = False) -> Iterator
                 return
         rows: list[tuple] = []
         while stream.fill(4) and stream.place() < end:
-            (size,) = struct.unpack("<i", stream.take(4))
-            body = stream.take(size)
+            size = int.from_bytes(stream.held[:4], "little", signed=True)
+            body = stream.take(4 + size)[4:]
             if len(body) < size:
                 raise ValueError(f"{path} ends within a record")
             rows.append(_decoded(path, body, header.names, full))
@@ -303,22 +304,41 @@ def _interval(begin: int, end: int) -> int:
     return 0
 
 
+@lru_cache(1 << 16)
+def _operations(cigar: str) -> tuple[bytes, int, int]:
+    """(bytes, number, places of the reference) of a CIGAR string's operations."""
+    ops = [(int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return b"".join(struct.pack("<I", n << 4 | _CIGAR.index(k)) for n, k in ops), len(ops), sum(n for n, k in ops if k in "MDN=X") or 1
+
+
+@lru_cache(1 << 16)
+def _cigar_of(ops: bytes) -> str:
+    return "".join(f"{op >> 4}{_CIGAR[op & 15]}" for (op,) in struct.iter_unpack("<I", ops)) or "*"
+
+
+def _listed(column: pa.Array) -> list:
+    """The values as a list; strings, bytes, and whole numbers without NULL go through numpy, which is faster."""
+    kind, types = column.type, pa.types
+    if types.is_string(kind) or types.is_binary(kind) or types.is_large_string(kind) or types.is_large_binary(kind) or (types.is_integer(kind) and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def encoded(row: dict, refs: dict[str, int]) -> bytes:
     """A record of the columns of a full read."""
     name = (row["qname"] or "*").encode() + b"\0"
-    cigar, bases = row["cigar"] or "*", row["sequence"] or ""
-    ops = [(int(n), k) for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    bases = row["sequence"] or ""
+    ops, n_ops, span = _operations(row["cigar"] or "*")
     pos = (row["pos"] or 0) - 1
-    span = sum(n for n, k in ops if k in "MDN=X") or 1
     code = bytes.fromhex((bases.encode("latin-1", "replace").translate(_DIGITS) + b"0" * (len(bases) % 2)).decode())
     quality = row["qualities"] if row["qualities"] is not None else b"\xff" * len(bases)
     if len(quality) != len(bases):
         raise ValueError(f"{row['qname']}: {len(bases)} bases and {len(quality)} qualities")
-    number = lambda chrom: -1 if chrom is None else refs[chrom]
+    chrom, mate = row["chrom"], row["mate_chrom"]
     fixed = _FIXED.pack(
-        number(row["chrom"]), pos, len(name), row["mapq"] or 0, _interval(pos, pos + span) if pos >= 0 else 4680, len(ops), row["flag"] or 0, len(bases), number(row["mate_chrom"]), (row["mate_pos"] or 0) - 1, row["template_length"] or 0
+        -1 if chrom is None else refs[chrom], pos, len(name), row["mapq"] or 0, _interval(pos, pos + span) if pos >= 0 else 4680, n_ops, row["flag"] or 0, len(bases), -1 if mate is None else refs[mate], (row["mate_pos"] or 0) - 1, row["template_length"] or 0
     )
-    body = b"".join([fixed, name, *(struct.pack("<I", n << 4 | _CIGAR.index(k)) for n, k in ops), code, quality, row["tags"] or b""])
+    body = b"".join([fixed, name, ops, code, quality, row["tags"] or b""])
     return struct.pack("<i", len(body)) + body
 
 
@@ -348,7 +368,7 @@ class CellFiles(DataSourceArrowWriter):
         attempt, files, cell, out = uuid.uuid4().hex, [], None, None
         for batch in iterator:
             names = batch.schema.names
-            for values in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for values in zip(*(_listed(column) for column in batch.columns), strict=True):
                 row = dict(zip(names, values, strict=True))
                 if out is None or row["cell_id"] != cell:
                     if out:
@@ -429,20 +449,31 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LinesDataSource)
 
 
-#: Rows of a cell for which one task writes one file.
+#: Rows of a cell for which one task writes one file, and rows of all cells of a task.
 FILE_ROWS = 5_000_000
+TASK_ROWS = 250_000
+
+
+def dealt_by_cell(rows: DataFrame, together: list[str], file_rows: int = FILE_ROWS, cell: str = "cell_id", task_rows: int = TASK_ROWS) -> DataFrame:
+    """rows with those of a cell in one task; those of a cell of more than file_rows rows in several, by a hash of `together`. Rows without a cell are left out.
 
+    Only the few cells of so many rows are joined to, so rows are shuffled once. Tasks grow in number and not in rows.
+    """
+    spark, rows = rows.sparkSession, rows.where(F.col(cell).isNotNull())
+    counts = computed_once(rows.groupBy(cell).agg(F.count("*").alias("n")))
+    large = counts.where(F.col("n") > file_rows).select(cell, F.ceil(F.col("n") / file_rows).cast("int").alias("__parts"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (counts.agg(F.sum("n")).first()[0] or 0) // task_rows)
+    part = F.coalesce(F.pmod(F.xxhash64(*together), F.col("__parts")), F.lit(0))
+    return rows.join(F.broadcast(large), cell, "left").withColumn("__part", part).repartition(tasks, cell, "__part").drop("__parts", "__part")
 
-def dealt_by_cell(rows: DataFrame, together: str, order: list[str], file_rows: int = FILE_ROWS) -> DataFrame:
-    """rows with those of a cell in one task and in order; cells of more than file_rows rows in several, by a hash of `together`."""
-    parts = rows.groupBy("cell_id").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("__parts"))
-    salted = rows.join(parts, "cell_id").withColumn("__part", F.pmod(F.xxhash64(together), F.col("__parts")))
-    return salted.repartition("cell_id", "__part").sortWithinPartitions("cell_id", "__part", *order).drop("__parts", "__part")
 
+def write_cell_bams(reads: DataFrame, folder: str, header: str, file_rows: int = FILE_ROWS, cell: str = "cell_id", together: list[str] | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Full reads (cell_id, ...) as a BAM file for each cell, by place; mates of a pair are in one file.
 
-def write_cell_bams(reads: DataFrame, folder: str, header: str, file_rows: int = FILE_ROWS) -> None:
-    """Full reads (cell_id, ...) as a BAM file for each cell, by place; mates of a pair are in one file."""
+    made: makes the full reads of other rows, such as templates, after these are dealt by `cell`, and those of a large one by `together`; so what it adds is not shuffled.
+    """
     names = [c.split(" ")[0] for c in FULL_SCHEMA.split(", ") if not c.startswith(("path", "base_quality", "cell_barcode"))]
-    dealt = dealt_by_cell(reads.select(F.col("cell_id").cast("string").alias("cell_id"), *names), "qname", ["chrom", "pos", "qname", "flag"], file_rows)
+    dealt = dealt_by_cell(reads, together, file_rows, cell) if made else dealt_by_cell(reads.select("cell_id", *names), together or ["qname"], file_rows, cell)
+    full = (made(dealt) if made else dealt).select(F.col("cell_id").cast("string").alias("cell_id"), *names)
     register(reads.sparkSession)
-    dealt.write.format("bam").mode("append").option("header_text", header).save(folder)
+    full.sortWithinPartitions("cell_id", "chrom", "pos", "qname", "flag").write.format("bam").mode("append").option("header_text", header).save(folder)

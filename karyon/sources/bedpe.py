@@ -42,9 +42,9 @@ def write_bedpe(bedpe: DataFrame, path: str) -> None:
     """Blocked gzip BEDPE files `<cell_id>.bedpe.gz`, in order of names; a large cell has several, numbered."""
     columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = dealt_by_cell(bedpe.select(F.col("cell_id").cast("string").alias("cell_id"), "Name", line.alias("line")), "Name", ["Name", "line"])
+    rows = dealt_by_cell(bedpe.select(F.col("cell_id").cast("string").alias("cell_id"), "Name", line.alias("line")), ["Name"])
     register(bedpe.sparkSession)
-    rows.select("cell_id", "line").write.format("cell_lines").mode("append").option("ending", ".bedpe.gz").save(path)
+    rows.sortWithinPartitions("cell_id", "Name", "line").select("cell_id", "line").write.format("cell_lines").mode("append").option("ending", ".bedpe.gz").save(path)
 
 
 def write_cell_ids(cells: DataFrame, path: str) -> None:

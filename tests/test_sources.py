@@ -4,10 +4,12 @@ import gzip
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from karyon.operators import preprocess
+from karyon.plans import source_queries
 from karyon.sources import alignments, bam, bedpe
 from karyon.sources.bgzf import BLOCK, END, Blocks, BlockWriter, block_size
 from karyon.streaming.arrivals import arriving_fragments
@@ -186,3 +188,40 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     sizes = [f.stat().st_size for f in files]
     parts = load_bam(spark, ",".join(map(str, files)), 10**6, task_bytes=3 * max(sizes)).rdd.getNumPartitions()
     assert sum(sizes) / (3 * max(sizes)) <= parts <= 45
+
+
+def test_rows_are_dealt_to_cells_by_one_shuffle(spark):
+    """Only the cells that need several files are joined to, by broadcast; each cell is in one task, a large one in several, rows without a cell in none."""
+    data = [(f"cell {k % 4}", f"n{k // 2}", k) for k in range(80)] + [("large", f"n{k // 2}", k) for k in range(200)] + [(None, "x", 0)]
+    rows = spark.createDataFrame(data, "cell_id string, qname string, k int")
+    dealt = bam.dealt_by_cell(rows, ["qname"], file_rows=60, task_rows=10)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString() + dealt._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert dealt.columns == rows.columns and dealt.rdd.getNumPartitions() == 28
+    got = dealt.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.cell_id, r.qname, r.k) for r in got) == sorted(d for d in data if d[0])
+    tasks = {c: {r.task for r in got if r.cell_id == c} for c in {d[0] for d in data if d[0]}}
+    assert 1 < len(tasks.pop("large")) <= 4 and all(len(t) == 1 for t in tasks.values())
+    assert all(len({r.task for r in got if (r.cell_id, r.qname) == pair}) == 1 for pair in {(r.cell_id, r.qname) for r in got})
+
+
+def test_what_is_made_of_templates_is_not_shuffled(spark, tmp_path, monkeypatch):
+    """Reads made after the dealing are written like reads made before; the query deals templates."""
+    columns = bam.FULL_SCHEMA.replace("path string, ", "").replace(", base_quality long, cell_barcode string", "")
+    reads = spark.createDataFrame(full_reads(120, 5), columns).withColumn("cell_id", F.concat(F.lit("c"), (F.xxhash64("qname") % 3 + 3).cast("string")))
+    bam.write_cell_bams(reads, str(tmp_path / "before"), HEADER)
+    templates = reads.groupBy(F.col("cell_id").alias("cell"), F.col("qname").alias("name")).agg(F.collect_list(F.struct("*")).alias("reads"))
+    bam.write_cell_bams(templates, str(tmp_path / "after"), HEADER, cell="cell", together=["name"], made=lambda t: t.select(F.inline("reads")))
+    files = lambda part: {f.name: f for f in (tmp_path / part).iterdir()}
+    load = lambda f: sorted(map(str, (r for b in bam.bam_batches(str(f), 0, 10**7, True) for r in b.drop_columns("path").to_pylist())))
+    before, after = files("before"), files("after")
+    assert set(before) == set(after) and all(load(before[f]) == load(after[f]) for f in before)
+    asked, plain = [], bam.dealt_by_cell
+    monkeypatch.setattr(bam, "dealt_by_cell", lambda rows, *a: asked.append(rows.columns) or plain(rows, *a))
+    source_queries.bam_round_trip(spark, "/root/testdata/sf0.001")
+    assert asked == [source_queries._OF_READS] and not {"sequence", "qualities"} & set(asked[0])
+
+
+def test_columns_with_and_without_null_are_listed():
+    for column in (pa.array([1, None, 3], pa.int32()), pa.array([1, 2**60], pa.int64()), pa.array(["a", None]), pa.array([b"\0x", None]), pa.array([], pa.string()), pa.array([1.5, None])):
+        assert bam._listed(column) == column.to_pylist() and [type(v) for v in bam._listed(column)] == [type(v) for v in column.to_pylist()]
